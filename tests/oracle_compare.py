@@ -17,11 +17,12 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def norm(v):
-    if v is None:
+    import pandas as pd
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
-            return "nan"
+            return None
         return round(v, 6)
     if hasattr(v, "item"):
         return norm(v.item())
@@ -55,7 +56,8 @@ def main():
             sdf = qs[name](spark, sf)
             spd = sdf.toPandas()
         except Exception:
-            print(f"FAIL {name}: spark error\n{traceback.format_exc()[-3000:]}")
+            msg = traceback.format_exc().strip().splitlines()[-1][:600]
+            print(f"FAIL {name}: spark error {msg}")
             bad += 1
             continue
         dt = time.time() - t0

@@ -77,3 +77,42 @@ pairs AS (
            lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_text
     FROM conversations) WHERE role = 'assistant' AND prev_role = 'user')
 """
+
+# documents as JSON lines with defects, numbered per slice (blank lines stay in line_no).
+D_JSONL = """
+jl0 AS (
+  SELECT source AS slice, doc_id AS sample_id,
+         CASE doc_id % 3 WHEN 0 THEN CAST(to_json({'text': text}) AS VARCHAR)
+              WHEN 1 THEN CAST(to_json({'instruction': lang, 'output': text}) AS VARCHAR)
+              ELSE CAST(to_json({'messages': [{'role': 'user', 'content': source},
+                                              {'role': 'assistant', 'content': text}]}) AS VARCHAR) END AS good
+  FROM documents),
+jl1 AS (
+  SELECT slice, sample_id,
+         CASE WHEN sample_id % 11 = 0 THEN left(good, length(good) - 1)
+              WHEN sample_id % 13 = 0 THEN good || ' x'
+              WHEN sample_id % 17 = 0 THEN ''
+              WHEN sample_id % 19 = 0 THEN '[1]' ELSE good END AS raw,
+         row_number() OVER (PARTITION BY slice ORDER BY sample_id) AS line_no
+  FROM jl0),
+jl AS (
+  SELECT slice, sample_id, raw, line_no,
+         row_number() OVER (PARTITION BY slice ORDER BY sample_id) AS nb_no,
+         CASE WHEN NOT json_valid(raw) THEN 'bad_json'
+              WHEN json_type(raw) = 'OBJECT' THEN 'ok' ELSE 'not_object' END AS status
+  FROM jl1 WHERE raw <> ''),
+jo AS (
+  SELECT *, CASE WHEN status = 'ok' THEN raw END AS obj FROM jl),
+js AS (
+  SELECT slice, sample_id, line_no, nb_no, status, raw,
+         json_exists(obj, '$.messages') AS k_messages,
+         json_exists(obj, '$.instruction') AS k_instruction,
+         json_exists(obj, '$.output') AS k_output,
+         json_exists(obj, '$.conversations') AS k_conversations,
+         json_exists(obj, '$.text') AS k_text,
+         json_extract_string(obj, '$.instruction') AS instruction,
+         json_extract_string(obj, '$.output') AS output,
+         json_extract_string(obj, '$.text') AS text,
+         CASE WHEN json_type(obj, '$.messages') = 'ARRAY' THEN json_extract(obj, '$.messages[*]') END AS messages
+  FROM jo)
+"""

@@ -148,7 +148,7 @@ SELECT slice, array_to_string(list_filter([
        WHEN valid_lines < 500 THEN printf('Small dataset (%d samples, 1000+ recommended)', valid_lines) END,
   CASE WHEN p95_tokens > 4096 THEN printf('P95 token length (%d) exceeds typical max_seq_length (4096)', p95_tokens) END,
   CASE WHEN avg_tokens < 50 THEN printf('Average token length too short (%.0f), may lack sufficient training signal', round_even(avg_tokens, 0)) END
-  ], x -> x IS NOT NULL), ' | ') AS issues
+  ], lambda x: x IS NOT NULL), ' | ') AS issues
 FROM vstat""")
 def agg_issues_v(spark, sf):
     """V's ordered issue strings per slice."""
@@ -260,7 +260,7 @@ SELECT slice, n, short_count, duplicate_count, control_count, bilingual_count,
          CASE WHEN short_count > 0 THEN printf('发现 %d 条回复过短（< 5 字符），可能是生成失败', short_count) END,
          CASE WHEN duplicate_count > 0 THEN printf('发现 %d 条完全重复数据，建议去重', duplicate_count) END,
          CASE WHEN control_count > 0 THEN printf('发现 %d 条包含控制字符（\\t \\r \\x00），可能影响解析', control_count) END
-       ], x -> x IS NOT NULL), ' | ') AS issues
+       ], lambda x: x IS NOT NULL), ' | ') AS issues
 FROM q""")
 def agg_quality_a(spark, sf):
     """A: short-output / duplicate / bilingual ratios, control-character count and issue texts."""

@@ -1 +1,252 @@
-"""placeholder"""
+"""Corpus planning (§2.10) and the override join (§2.4)."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import formats as fm
+from ..functions import text as tx
+from ..operators import audit as au
+from ..plans import catalog as cat
+from ..plans import planner as pl
+from ..plans import rules as ru
+from ..sources import fixtures as fx
+from .common import D_PAIRS, d_tokens_f, register
+
+TASKS = ["chat", "code", "math", "roleplay", "cpt"]
+
+
+def plan_corpus(spark, sf) -> DataFrame:
+    parts = [fx.text_records(spark, sf).drop("lang"), fx.messages_records(spark, sf),
+             fx.pair_records(spark, sf).drop("conv_id", "turn")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+# DuckDB: A's per-row token estimate for the same slices.
+D_PLAN_ROWS = D_PAIRS + f""",
+pa AS (
+  SELECT source AS slice, 0.3::DOUBLE AS tokens_f FROM documents
+  UNION ALL
+  SELECT 'conversations', {d_tokens_f('t')} FROM (
+    SELECT string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
+  UNION ALL
+  SELECT 'pairs', {d_tokens_f("coalesce(instruction, '') || ' ' || coalesce(output, '')")} FROM pairs),
+ps AS (
+  SELECT slice, count(*) AS n, CAST(trunc(quantile_cont(tokens_f, 0.95)) AS BIGINT) AS p95_tokens FROM pa GROUP BY slice),
+psl AS (
+  SELECT *, CASE WHEN raw_len > 8192 THEN least(raw_len, 16384) ELSE raw_len END AS seq_len FROM (
+    SELECT *, greatest(512, (p95_tokens // 512 + 1) * 512) AS raw_len FROM ps))
+"""
+
+
+@register("plan_seq_len", sql="WITH " + D_PLAN_ROWS + """
+SELECT psl.slice, psl.n, psl.p95_tokens, psl.seq_len,
+       count(*) FILTER (WHERE pa.tokens_f > psl.seq_len) AS over_count,
+       round_even(count(*) FILTER (WHERE pa.tokens_f > psl.seq_len) / psl.n, 4) AS over_share
+FROM psl JOIN pa USING (slice) GROUP BY psl.slice, psl.n, psl.p95_tokens, psl.seq_len""")
+def plan_seq_len(spark, sf):
+    """Max sequence length per slice from A's token P95, and the rows it would truncate."""
+    return pl.seq_len_plan(plan_corpus(spark, sf), ["slice"])
+
+
+def _d_rules(n: str, task: str, model: str, gpu: str) -> str:
+    """R2-R9 as DuckDB expressions (written from the rule text, independently of the Spark code)."""
+    base = f"(CASE WHEN {n} < 1000 THEN 4 WHEN {n} < 5000 THEN 8 WHEN {n} < 20000 THEN 16 ELSE 32 END)"
+    ceil = f"(CASE WHEN {n} < 500 THEN 4 WHEN {n} < 1000 THEN 8 WHEN {n} < 5000 THEN 16 WHEN {n} < 20000 THEN 32 ELSE 999 END)"
+    cceil = f"(CASE WHEN {n} < 500 THEN 8 WHEN {n} < 1000 THEN 16 WHEN {n} < 5000 THEN 32 ELSE 64 END)"
+    rank = (f"(CASE WHEN {task} = 'cpt' THEN (CASE WHEN {cceil} > {ceil} THEN {cceil} ELSE least({ceil}, 64) END) "
+            f"WHEN {task} IN ('code', 'math') THEN (CASE WHEN 16 > {ceil} THEN {ceil} WHEN {base} < 16 THEN 16 ELSE {base} END) "
+            f"WHEN {task} = 'roleplay' THEN least({base}, 8) ELSE {base} END)")
+    return rank
+
+
+def _d_hyper_select(src: str) -> str:
+    """SELECT list computing the plan columns from a relation with n, task, model, gpu_gb."""
+    rank = _d_rules("n", "task", "model", "gpu_gb")
+    size = ("(CASE WHEN regexp_matches(replace(lower(model), 'b', ''), '^\\s*[+-]?[0-9]+\\s*$') "
+            "THEN TRY_CAST(trim(replace(lower(model), 'b', '')) AS INT) ELSE 7 END)")
+    mods = ("(CASE task WHEN 'cpt' THEN ['q_proj','k_proj','v_proj','o_proj','up_proj','down_proj','gate_proj'] "
+            "WHEN 'code' THEN ['q_proj','k_proj','v_proj','o_proj'] "
+            "WHEN 'math' THEN ['q_proj','v_proj','up_proj','down_proj','gate_proj'] "
+            "WHEN 'roleplay' THEN ['v_proj'] ELSE ['q_proj','v_proj'] END)")
+    return f"""
+  r1 AS (SELECT *, {rank} AS rank, {mods} AS mods0, {size} AS size_b FROM {src}),
+  r2 AS (SELECT *,
+    CASE WHEN task = 'roleplay' THEN rank * 4 WHEN task = 'math' THEN rank ELSE rank * 2 END AS alpha,
+    CASE WHEN size_b IN (13, 14, 20, 34, 67, 70, 72, 123, 405) AND NOT list_contains(mods0, 'o_proj')
+         THEN list_append(mods0, 'o_proj') ELSE mods0 END AS mods,
+    CASE WHEN task = 'cpt' THEN 0.05 WHEN n < 500 THEN 0.15 WHEN n < 1000 THEN 0.1 WHEN n < 10000 THEN 0.05 ELSE 0.0 END::DOUBLE AS dropout,
+    (CASE WHEN rank <= 4 THEN 1e-4 WHEN rank <= 8 THEN 2e-4 WHEN rank <= 16 THEN 3e-4 ELSE 5e-4 END)::DOUBLE AS lr0,
+    CASE WHEN task = 'cpt' THEN 1 WHEN n < 500 THEN 5 WHEN n < 5000 THEN 3 WHEN n < 20000 THEN 2 ELSE 1 END AS epochs,
+    CASE WHEN gpu_gb < 8 THEN 1 WHEN gpu_gb < 16 THEN 2 WHEN gpu_gb < 24 THEN 4 WHEN gpu_gb < 48 THEN 8 ELSE 16 END AS batch_size,
+    CASE WHEN task = 'cpt' THEN 32 WHEN n < 200 THEN 8 WHEN n > 50000 THEN 32 ELSE 16 END AS target_batch
+    FROM r1),
+  r3 AS (SELECT *,
+    round_even((CASE WHEN task = 'cpt' THEN greatest(5e-5::DOUBLE, least(lr0, 1e-4::DOUBLE))
+                     WHEN task = 'roleplay' THEN lr0 * 1.5::DOUBLE WHEN task = 'math' THEN lr0 * 0.75::DOUBLE ELSE lr0 END)
+               * (CASE WHEN n > 20000 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END), 6) AS learning_rate,
+    greatest(1, target_batch // batch_size) AS gradient_accumulation FROM r2),
+  r4 AS (SELECT *, batch_size * gradient_accumulation AS effective_batch,
+    greatest(1, (n // (batch_size * gradient_accumulation)) * epochs) AS total_steps FROM r3),
+  hp AS (SELECT *, least(greatest(10, total_steps // 10), greatest(1, total_steps - 1)) AS warmup_steps,
+    least(500, greatest(50, total_steps // 5)) AS save_steps,
+    CASE task WHEN 'cpt' THEN 'constant_with_warmup' WHEN 'roleplay' THEN 'linear' ELSE 'cosine' END AS scheduler,
+    CASE WHEN task = 'cpt' THEN 0 ELSE 5 END AS neftune_alpha FROM r4)"""
+
+
+D_HYPER = D_PLAN_ROWS + """,
+ph AS (SELECT ps.slice, ps.n, t.task, m.model, 24.0::DOUBLE AS gpu_gb FROM ps,
+       (VALUES ('chat'), ('code'), ('math'), ('roleplay'), ('cpt')) AS t(task),
+       (VALUES ('qwen2-7b'), ('Qwen/Qwen2-7B-Instruct'), ('7b'), ('llama3_8b'), ('13b'), ('72B')) AS m(model)),
+""" + _d_hyper_select("ph")
+
+
+@register("plan_hyperparams", sql="WITH " + D_HYPER + """
+SELECT slice, task, model, n, rank, alpha, array_to_string(mods, ',') AS target_modules, dropout, learning_rate,
+       epochs, batch_size, gradient_accumulation, effective_batch, total_steps, warmup_steps, save_steps,
+       scheduler, neftune_alpha
+FROM hp""")
+def plan_hyperparams(spark, sf):
+    """One row per slice × task × model request: rank, alpha, modules, dropout, learning rate,
+    epochs, batch, accumulation, steps, warmup, save steps, scheduler, NEFTune (rules R2-R9)."""
+    stats = pl.slice_stats(plan_corpus(spark, sf), ["slice"])
+    req = stats.select("slice", "n", F.explode(F.array(*[F.lit(t) for t in TASKS])).alias("task"))
+    req = req.select("*", F.explode(F.array(*[F.lit(m) for m in pl.PLAN_MODELS])).alias("model"),
+                     F.lit(ru.DEFAULT_GPU_GB).alias("gpu_gb"))
+    hp = ru.hyperparams(req)
+    return hp.select("slice", "task", "model", "n", "rank", "alpha",
+                     F.array_join("target_modules", ",").alias("target_modules"), "dropout", "learning_rate",
+                     "epochs", "batch_size", "gradient_accumulation", "effective_batch", "total_steps",
+                     "warmup_steps", "save_steps", "scheduler", "neftune_alpha")
+
+
+@register("plan_hyper_reasons")
+def plan_hyper_reasons(spark, sf):
+    """Reason strings of rank and alpha per slice and task (compared as rows only)."""
+    stats = pl.slice_stats(plan_corpus(spark, sf), ["slice"])
+    req = stats.select("slice", "n", F.explode(F.array(*[F.lit(t) for t in TASKS])).alias("task"),
+                       F.lit("qwen2-7b").alias("model"), F.lit(ru.DEFAULT_GPU_GB).alias("gpu_gb"))
+    return ru.hyperparams(req).select("slice", "task", "rank_reason", "alpha_reason")
+
+
+def _models_sql(alias):
+    return cat.sql_values([(i, m[0], m[1], m[2], m[3]) for i, m in enumerate(cat.MODELS)],
+                          ["pos", "name", "params", "hidden", "layers"], alias)
+
+
+def _gpus_sql(alias):
+    return cat.sql_values(cat.GPUS, ["gpu", "gpu_gb"], alias)
+
+D_MATCH = f"""
+req AS (SELECT DISTINCT d.source AS slice, r.request FROM documents d,
+        (VALUES ('qwen2-7b'), ('Qwen/Qwen2-7B-Instruct'), ('7b'), ('llama3_8b'), ('unknown-x')) AS r(request)),
+cand AS (
+  SELECT req.slice, req.request, c.* FROM req, {_models_sql('c')}
+  WHERE req.request <> '' AND (
+    position(replace(c.name, '-', '') IN replace(replace(lower(req.request), '-', ''), '_', '')) > 0
+    OR position(replace(replace(lower(req.request), '-', ''), '_', '') IN replace(c.name, '-', '')) > 0)),
+best AS (SELECT slice, request, arg_min(name, (abs(params - 7e9::DOUBLE), pos)) AS matched,
+                arg_min(params, (abs(params - 7e9::DOUBLE), pos)) AS params,
+                arg_min(hidden, (abs(params - 7e9::DOUBLE), pos)) AS hidden,
+                arg_min(layers, (abs(params - 7e9::DOUBLE), pos)) AS layers
+         FROM cand GROUP BY slice, request),
+matched AS (
+  SELECT req.slice, req.request, coalesce(b.matched, 'default-7b') AS matched,
+         coalesce(b.params, 7e9::DOUBLE) AS params, CAST(coalesce(b.hidden, 4096) AS BIGINT) AS hidden,
+         CAST(coalesce(b.layers, 32) AS BIGINT) AS layers
+  FROM req LEFT JOIN best b USING (slice, request))
+"""
+
+
+@register("plan_match_models", sql="WITH " + D_MATCH + "SELECT * FROM matched")
+def plan_match_models(spark, sf):
+    """Model request → catalogue row: substring either way after dropping '-' (and '_' in the
+    request); closest to 7e9 parameters wins, catalogue order breaks ties; no match → 7B default."""
+    srcs = fx.table(spark, sf, "documents").select(F.col("source").alias("slice")).distinct()
+    req = srcs.select("slice", F.explode(F.array(*[F.lit(m) for m in fx.MODEL_REQUESTS])).alias("request"))
+    m = pl.match_models(req, "request")
+    return m.select("slice", "request", F.col("matched_model.name").alias("matched"),
+                    F.col("matched_model.params").alias("params"), F.col("matched_model.hidden").alias("hidden"),
+                    F.col("matched_model.layers").alias("layers"))
+
+
+D_FIT = D_PLAN_ROWS + f""",
+fit0 AS (
+  SELECT psl.slice, psl.n, psl.seq_len, m.name AS model, m.params, m.hidden, m.layers, g.gpu, g.gpu_gb,
+         CASE WHEN psl.n < 1000 THEN 4 WHEN psl.n < 5000 THEN 8 WHEN psl.n < 20000 THEN 16 ELSE 32 END AS rank,
+         CASE WHEN g.gpu_gb < 8 THEN 1 WHEN g.gpu_gb < 16 THEN 2 WHEN g.gpu_gb < 24 THEN 4 WHEN g.gpu_gb < 48 THEN 8 ELSE 16 END AS batch_size,
+         CASE WHEN regexp_matches(replace(lower(m.name), 'b', ''), '^\\s*[+-]?[0-9]+\\s*$')
+              AND TRY_CAST(trim(replace(lower(m.name), 'b', '')) AS INT) IN (13, 14, 20, 34, 67, 70, 72, 123, 405)
+              THEN 3 ELSE 2 END AS modules
+  FROM psl, {_models_sql('m')}, {_gpus_sql('g')}),
+fit1 AS (
+  SELECT *, params * 0.5::DOUBLE / 1e9::DOUBLE + (layers * (2 * rank * hidden * modules) * 2) / 1e9::DOUBLE AS w,
+         (batch_size * seq_len * hidden * 2) / 1e9::DOUBLE * layers * 0.3::DOUBLE AS a,
+         (layers * modules * (2 * rank * hidden)) * 8 / 1e9::DOUBLE AS o FROM fit0),
+fit2 AS (SELECT *, (w + a + o) * 0.15::DOUBLE AS ov FROM fit1),
+fit AS (SELECT *, w + a + o + ov AS tot FROM fit2)
+"""
+
+
+@register("plan_fit", sql="WITH " + D_FIT + """
+SELECT slice, model, gpu, seq_len, rank, batch_size, modules,
+       round_even(w, 2) AS model_weight, round_even(a, 2) AS activation, round_even(o, 2) AS optimizer,
+       round_even(ov, 2) AS overhead, round_even(tot, 2) AS total,
+       round_even(gpu_gb - tot, 2) AS headroom_gb,
+       CASE WHEN gpu_gb - tot >= 4 THEN 'Yes' WHEN gpu_gb - tot >= 0 THEN 'Tight' ELSE 'No' END AS fits,
+       CASE WHEN (gpu_gb - tot) / gpu_gb > 0.30 THEN 'safe' WHEN (gpu_gb - tot) / gpu_gb >= 0.10 THEN 'possible'
+            WHEN (gpu_gb - tot) / gpu_gb >= 0 THEN 'risky' ELSE 'over' END AS headroom_band,
+       CASE WHEN tot < 6 THEN 6 WHEN tot < 8 THEN 8 WHEN tot < 12 THEN 12 WHEN tot < 16 THEN 16
+            WHEN tot < 24 THEN 24 WHEN tot < 48 THEN 48 END AS card_gb,
+       CASE WHEN tot < 24 THEN 'OK' WHEN tot < 48 THEN 'WARN' ELSE 'FAIL' END AS status
+FROM fit""")
+def plan_fit(spark, sf):
+    """Slice × catalogue model × card: QLoRA memory parts (R10), headroom and verdicts (R11)."""
+    seq = pl.seq_len_plan(plan_corpus(spark, sf), ["slice"]).select("slice", "n", "seq_len")
+    return pl.fit(seq)
+
+
+@register("plan_full", sql="WITH " + D_PLAN_ROWS + """,
+req AS (SELECT slice, n, 'chat' AS task, 'qwen2-7b' AS model, 24.0::DOUBLE AS gpu_gb, p95_tokens, seq_len FROM psl),
+""" + _d_hyper_select("req") + """,
+mem AS (
+  SELECT *, 7e9::DOUBLE * 0.5::DOUBLE / 1e9::DOUBLE + (28 * (2 * rank * 3584 * len(mods)) * 2) / 1e9::DOUBLE AS w,
+         (batch_size * seq_len * 3584 * 2) / 1e9::DOUBLE * 28 * 0.3::DOUBLE AS a,
+         (28 * len(mods) * (2 * rank * 3584)) * 8 / 1e9::DOUBLE AS o FROM hp),
+mem2 AS (SELECT *, w + a + o + (w + a + o) * 0.15::DOUBLE AS tot FROM mem)
+SELECT slice, n, p95_tokens, seq_len, CASE WHEN slice = 'conversations' THEN 'messages' ELSE 'instruction-output' END AS data_format,
+       rank, alpha, learning_rate, epochs, batch_size, gradient_accumulation, total_steps, warmup_steps,
+       round_even(tot, 2) AS memory_total_gb
+FROM mem2""")
+def plan_full(spark, sf):
+    """Per slice: audit summary, sequence length, chat plan for qwen2-7b on a 24 GB card, and memory."""
+    return pl.full_plan(plan_corpus(spark, sf), ["slice"], task="chat", model="qwen2-7b", gpu_gb=24.0)
+
+
+D_OVR = D_PLAN_ROWS + """,
+req AS (SELECT slice, n, 'chat' AS task, 'qwen2-7b' AS model, 24.0::DOUBLE AS gpu_gb FROM ps),
+""" + _d_hyper_select("req") + """,
+ov AS (SELECT source AS slice, 16 AS rank, 0.0005::DOUBLE AS learning_rate FROM documents
+       GROUP BY source HAVING min(doc_id) % 2 = 0)
+"""
+
+
+@register("jn_overrides", sql="WITH " + D_OVR + """
+SELECT hp.slice, coalesce(ov.rank, hp.rank) AS rank, ov.rank IS NOT NULL AS rank_overridden,
+       coalesce(ov.learning_rate, hp.learning_rate) AS learning_rate
+FROM hp LEFT JOIN ov USING (slice)""")
+def jn_overrides(spark, sf):
+    """A per-slice override table (rank 16, lr 5e-4 for sources whose smallest doc_id is even)
+    wins over the recommended values; the reason gains the override tag."""
+    stats = pl.slice_stats(plan_corpus(spark, sf), ["slice"])
+    req = stats.select("slice", "n", F.lit("chat").alias("task"), F.lit("qwen2-7b").alias("model"),
+                       F.lit(24.0).alias("gpu_gb"))
+    hp = ru.hyperparams(req)
+    ov = (fx.table(spark, sf, "documents").groupBy(F.col("source").alias("slice"))
+          .agg(F.min("doc_id").alias("m")).filter(F.pmod("m", F.lit(2)) == 0)
+          .select("slice", F.lit(16).alias("rank"), F.lit(5e-4).alias("learning_rate")))
+    j = pl.apply_overrides(hp, ov, ["rank", "learning_rate"])
+    return j.select("slice", "rank", F.col("rank_overridden"), "learning_rate")
