@@ -4,7 +4,7 @@ for most of them an independent DuckDB SQL oracle over the same driver tables.""
 from __future__ import annotations
 
 from .common import QUERIES, SQL  # noqa: F401
-from . import q_sources, q_audit, q_prep, q_joins, q_plan, q_logs, q_stream  # noqa: F401,E402
+from . import q_sources, q_audit, q_prep, q_logs, q_joins, q_plan, q_stream  # noqa: F401,E402
 
 
 def queries():

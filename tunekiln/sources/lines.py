@@ -7,6 +7,7 @@ table with one row per file split.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +85,10 @@ def number_rows(df: DataFrame, order_col: str, by: list[str] | None = None, out:
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     ranged = ranged.withColumn("_mid", F.monotonically_increasing_id())
     ranged = ranged.withColumn("_pid", F.shiftright(F.col("_mid"), _POS_BITS))
+    # Both branches below must see the same range partitioning: a second evaluation of the
+    # exchange would sample new bounds. Persisting pins one evaluation (a lost block is
+    # recomputed through the same partitioner, so positions stay stable).
+    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
     counts = ranged.groupBy(*by, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_min_mid"))
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1)
