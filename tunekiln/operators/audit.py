@@ -297,21 +297,68 @@ def a_rows(samples: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def numpy_round(x: Column, decimals: int) -> Column:
+    """``round(np.float64, d)``: rint(x · 10^d) / 10^d (differs from Python's ``round`` at ties)."""
+    f = float(10 ** decimals)
+    return F.rint(x.cast("double") * F.lit(f)) / F.lit(f)
+
+
+def numpy_quantiles(rows: DataFrame, by: list[str], value: str, qs: dict[str, float],
+                    median: str | None = None) -> DataFrame:
+    """numpy's linear percentiles (and median) per slice, exact to the last bit, from a
+    (slice, value) histogram: index (n-1)·q, neighbours by running count, numpy's two-sided lerp.
+    The histogram is bounded by the distinct values, never by the rows of a slice."""
+    hist = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    h = hist.withColumn("_cum", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    n = F.col("_n")
+    v = F.col(value)
+
+    def at(k):
+        return F.min(F.when(F.col("_cum") > k, v))
+    aggs = [F.max("_n").alias("_n")]
+    for name, q in qs.items():
+        vi = (n - 1).cast("double") * F.lit(float(q))
+        prev = F.floor(vi)
+        aggs += [at(prev).alias(name + "__a"), at(F.least(prev + 1, n - 1)).alias(name + "__b"),
+                 at(n - 1).alias(name + "__z"), F.max(vi).alias(name + "__vi")]
+    if median:
+        aggs += [at(F.floor((n - 1) / 2)).alias("_m1"), at(F.floor(n / 2)).alias("_m2")]
+    g = h.groupBy(*by).agg(*aggs)
+    out = [F.col(c) for c in by]
+    for name in qs:
+        a, b = F.col(name + "__a").cast("double"), F.col(name + "__b").cast("double")
+        vi = F.col(name + "__vi")
+        gam = vi - F.floor(vi)
+        d = b - a
+        val = (F.when(vi >= F.col("_n") - 1, F.col(name + "__z").cast("double"))
+               .when(gam >= 0.5, b - d * (F.lit(1.0) - gam)).otherwise(a + d * gam))
+        out.append(val.alias(name))
+    if median:
+        out.append(((F.col("_m1").cast("double") + F.col("_m2").cast("double")) / F.lit(2.0)).alias(median))
+    return g.select(*out)
+
+
 def length_stats(samples: DataFrame, by=("slice",)) -> DataFrame:
-    """A: chars min, max, mean, median (1 dec.), P80, P95 (int); tokens median (1 dec.), P95 (int)."""
+    """A: chars min, max, mean, median (1 dec.), P80, P95 (int); tokens median (1 dec.), P95 (int).
+    Percentiles and rounding follow numpy (linear interpolation, rint-based rounding)."""
     by = _by(by)
     r = a_rows(samples, by)
-    return r.groupBy(*by).agg(
+    base = r.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_samples"),
         F.min("chars").alias("min_chars"),
         F.max("chars").alias("max_chars"),
-        tx.round_even(F.avg("chars"), 1).alias("mean_chars"),
-        tx.round_even(F.percentile("chars", 0.5), 1).alias("median_chars"),
-        F.percentile("chars", 0.8).cast("bigint").alias("p80_chars"),
-        F.percentile("chars", 0.95).cast("bigint").alias("p95_chars"),
-        F.percentile("tokens_f", 0.95).cast("bigint").alias("p95_tokens_est"),
-        tx.round_even(F.percentile("tokens_f", 0.5), 1).alias("median_tokens_est"),
+        numpy_round(F.avg("chars"), 1).alias("mean_chars"),
     )
+    qc = numpy_quantiles(r, by, "chars", {"_p80": 0.8, "_p95": 0.95}, median="_med")
+    qt = numpy_quantiles(r, by, "tokens_f", {"_tp95": 0.95}, median="_tmed")
+    s = base.join(qc, by).join(qt, by)
+    return s.select(*by, "total_samples", "min_chars", "max_chars", "mean_chars",
+                    numpy_round(F.col("_med"), 1).alias("median_chars"),
+                    F.col("_p80").cast("bigint").alias("p80_chars"),
+                    F.col("_p95").cast("bigint").alias("p95_chars"),
+                    F.col("_tp95").cast("bigint").alias("p95_tokens_est"),
+                    numpy_round(F.col("_tmed"), 1).alias("median_tokens_est"))
 
 
 def exact_dups(rows: DataFrame, by: list[str], key: str = "text_key") -> DataFrame:

@@ -18,8 +18,9 @@ PLAN_MODELS = ["qwen2-7b", "Qwen/Qwen2-7B-Instruct", "7b", "llama3_8b", "13b", "
 def slice_stats(samples: DataFrame, by: list[str]) -> DataFrame:
     """A's sample count and integer token P95 per slice (what the plan is derived from)."""
     r = au.a_rows(samples, by)
-    return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
-                              F.percentile("tokens_f", 0.95).cast("bigint").alias("p95_tokens")) \
+    n = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    q = au.numpy_quantiles(r, by, "tokens_f", {"_p95": 0.95})
+    return n.join(q, by).select(*by, "n", F.col("_p95").cast("bigint").alias("p95_tokens")) \
             .withColumn("seq_len", tx.seq_len_from_p95(F.col("p95_tokens")))
 
 

@@ -68,6 +68,25 @@ def d_rank(s: str, n: str, p: float | None) -> str:
     return f"{s}[least(CAST(floor({n} * {p}::DOUBLE) AS BIGINT), {n} - 1) + 1]"
 
 
+def d_np_quantile(s: str, n: str, q: float) -> str:
+    """numpy linear percentile over a sorted list ``s`` of length ``n`` (1-based lists)."""
+    vi = f"(({n} - 1)::DOUBLE * {q}::DOUBLE)"
+    a = f"{s}[CAST(floor({vi}) AS BIGINT) + 1]::DOUBLE"
+    b = f"{s}[least(CAST(floor({vi}) AS BIGINT) + 1, {n} - 1) + 1]::DOUBLE"
+    g = f"({vi} - floor({vi}))"
+    return (f"(CASE WHEN {vi} >= {n} - 1 THEN {s}[{n}]::DOUBLE WHEN {g} >= 0.5 THEN {b} - ({b} - {a}) * (1.0 - {g}) "
+            f"ELSE {a} + ({b} - {a}) * {g} END)")
+
+
+def d_np_median(s: str, n: str) -> str:
+    return f"(({s}[({n} - 1) // 2 + 1]::DOUBLE + {s}[{n} // 2 + 1]::DOUBLE) / 2.0)"
+
+
+def d_np_round(x: str, d: int) -> str:
+    f = float(10 ** d)
+    return f"(round_even(({x}) * {f}, 0) / {f})"
+
+
 # Fixture spellings shared by several oracle queries.
 D_PAIRS = """
 pairs AS (

@@ -11,7 +11,8 @@ from ..functions import formats as fm
 from ..functions import text as tx
 from ..operators import audit as au
 from ..sources import fixtures as fx
-from .common import D_PAIRS, d_blank, d_fp, d_rank, d_short, d_strip, d_tokens_f, d_tokens_t, d_tokens_v, register
+from .common import (D_PAIRS, d_blank, d_fp, d_np_median, d_np_quantile, d_np_round, d_rank, d_short, d_strip,
+                     d_tokens_f, d_tokens_t, d_tokens_v, register)
 
 ORDER = "sample_id"
 
@@ -234,14 +235,16 @@ def a_corpus(spark, sf) -> DataFrame:
     return corpus(spark, sf)
 
 
-@register("agg_length_stats", sql="WITH " + D_CORPUS_A + """
-SELECT slice, count(*) AS total_samples, min(chars) AS min_chars, max(chars) AS max_chars,
-       round_even(avg(chars), 1) AS mean_chars, round_even(quantile_cont(chars, 0.5), 1) AS median_chars,
-       CAST(trunc(quantile_cont(chars, 0.8)) AS BIGINT) AS p80_chars,
-       CAST(trunc(quantile_cont(chars, 0.95)) AS BIGINT) AS p95_chars,
-       CAST(trunc(quantile_cont(tokens_f, 0.95)) AS BIGINT) AS p95_tokens_est,
-       round_even(quantile_cont(tokens_f, 0.5), 1) AS median_tokens_est
-FROM ar GROUP BY slice""")
+@register("agg_length_stats", sql="WITH " + D_CORPUS_A + f"""
+, al AS (SELECT slice, count(*) AS n, min(chars) AS min_chars, max(chars) AS max_chars, avg(chars) AS mean_c,
+                list_sort(list(chars)) AS sc, list_sort(list(tokens_f)) AS st FROM ar GROUP BY slice)
+SELECT slice, n AS total_samples, min_chars, max_chars, {d_np_round('mean_c', 1)} AS mean_chars,
+       {d_np_round(d_np_median('sc', 'n'), 1)} AS median_chars,
+       CAST(trunc({d_np_quantile('sc', 'n', 0.8)}) AS BIGINT) AS p80_chars,
+       CAST(trunc({d_np_quantile('sc', 'n', 0.95)}) AS BIGINT) AS p95_chars,
+       CAST(trunc({d_np_quantile('st', 'n', 0.95)}) AS BIGINT) AS p95_tokens_est,
+       {d_np_round(d_np_median('st', 'n'), 1)} AS median_tokens_est
+FROM al""")
 def agg_length_stats(spark, sf):
     """A: character-length and token-estimate distribution per slice (numpy-linear percentiles)."""
     return au.length_stats(a_corpus(spark, sf), ["slice"])

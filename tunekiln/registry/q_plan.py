@@ -14,7 +14,7 @@ from ..plans import catalog as cat
 from ..plans import planner as pl
 from ..plans import rules as ru
 from ..sources import fixtures as fx
-from .common import D_PAIRS, d_tokens_f, register
+from .common import D_PAIRS, d_np_quantile, d_tokens_f, register
 
 TASKS = ["chat", "code", "math", "roleplay", "cpt"]
 
@@ -34,8 +34,8 @@ pa AS (
     SELECT string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
   UNION ALL
   SELECT 'pairs', {d_tokens_f("coalesce(instruction, '') || ' ' || coalesce(output, '')")} FROM pairs),
-ps AS (
-  SELECT slice, count(*) AS n, CAST(trunc(quantile_cont(tokens_f, 0.95)) AS BIGINT) AS p95_tokens FROM pa GROUP BY slice),
+ps0 AS (SELECT slice, count(*) AS n, list_sort(list(tokens_f)) AS st FROM pa GROUP BY slice),
+ps AS (SELECT slice, n, CAST(trunc(""" + d_np_quantile('st', 'n', 0.95) + """) AS BIGINT) AS p95_tokens FROM ps0),
 psl AS (
   SELECT *, CASE WHEN raw_len > 8192 THEN least(raw_len, 16384) ELSE raw_len END AS seq_len FROM (
     SELECT *, greatest(512, (p95_tokens // 512 + 1) * 512) AS raw_len FROM ps))
