@@ -34,7 +34,10 @@ FINGERPRINT_CHARS = 200
 WS_CLASS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 # ---------------------------------------------------------------------------
 
-_STRIP_RE = r"\A" + WS_CLASS + r"+|" + WS_CLASS + r"+\z"
+# The same white space as a literal character set (for trim / translate, which need no regex).
+WS_CHARS = "".join(chr(c) for c in [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                                    *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+_NON_WS_CLASS = "[^" + WS_CLASS[1:-1] + "]"
 
 
 def _c(x) -> Column:
@@ -76,17 +79,24 @@ def tokens_t(t) -> Column:
 
 
 def py_strip(t) -> Column:
-    """Python ``str.strip()``: Unicode white space at both ends (Spark ``trim`` strips only U+0020)."""
-    return F.regexp_replace(_c(t), F.lit(_STRIP_RE), F.lit(""))
+    """Python ``str.strip()``: Unicode white space at both ends. Plain ``trim`` strips only
+    U+0020, so the full set is passed as trim characters (no regex, linear in the ends)."""
+    return F.trim(_c(t), F.lit(WS_CHARS))
 
 
 def is_blank(t) -> Column:
-    return F.coalesce(py_strip(t) == F.lit(""), F.lit(True))
+    """Empty after strip ⇔ no non-white-space character (the search stops at the first one)."""
+    return F.coalesce(~_c(t).rlike(_NON_WS_CLASS), F.lit(True))
 
 
 def fingerprint(t) -> Column:
-    """V's near-duplicate key: lower case, all white space removed, first 200 characters."""
-    return F.substring(F.regexp_replace(F.lower(F.coalesce(_c(t), F.lit(""))), F.lit(WS_CLASS), F.lit("")), 1, FINGERPRINT_CHARS)
+    """V's near-duplicate key: lower case, all white space removed, first 200 characters.
+
+    White space is deleted from the whole text with ``translate``; lower-casing the 200 kept
+    characters gives the same key as lower-casing first (lower never removes characters and
+    never turns a character into white space)."""
+    no_ws = F.translate(F.coalesce(_c(t), F.lit("")), WS_CHARS, "")
+    return F.substring(F.lower(F.substring(no_ws, 1, FINGERPRINT_CHARS)), 1, FINGERPRINT_CHARS)
 
 
 def text_digest(t) -> Column:

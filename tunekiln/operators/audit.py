@@ -60,23 +60,47 @@ ALERT_DUP_SHARE = 0.10
 VALID_SHARE_MIN = 0.90
 # ---------------------------------------------------------------------------
 
-MAX_BROADCAST_SLICES = 100_000
 
 
 def _by(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def attach_small(big: DataFrame, small: DataFrame, on: list[str], limit: int = MAX_BROADCAST_SLICES,
-                 how: str = "inner") -> DataFrame:
-    """Join a per-slice table back to rows: broadcast after its size is checked, else shuffle
-    (AQE's skew-join split handles a hot slice there)."""
-    small = small.checkpoint(eager=True)
-    if small.count() <= limit:
-        small = F.broadcast(small)
+def attach_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join a per-slice table (one row per slice) back to the rows.
+
+    No static hint: the per-slice side is the output of an aggregation stage, so AQE knows its
+    measured size and turns the join into a broadcast below
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold``; above it the join stays a shuffle join
+    and AQE's skew-join handling splits a hot slice.
+    """
     return big.join(small, on, how)
 
 
+def grouped_counts(rows: DataFrame, by: list[str], keys: list[str], aggs: list[Column] | None = None) -> dict:
+    """Row counts per (by, key) for several keys and per (by) alone in ONE aggregation
+    (GROUPING SETS): the per-row projection is evaluated once, one shuffle carries all sets,
+    and partial aggregation before the shuffle absorbs hot keys.
+    Returns {key: frame(by, key, _c, ...), None: frame(by, _c, ...)}."""
+    cols = by + keys
+    sets = [by + [k] for k in keys] + [list(by)]
+    extra = aggs or []
+    g = rows.groupingSets(sets, *cols).agg(F.count(F.lit(1)).alias("_c"), *extra, F.grouping_id().alias("_gid"))
+    # The grouped table (at most one narrow row per distinct key) feeds several consumers whose
+    # pruned plans differ, so Spark would not reuse the exchange: write it once to the
+    # checkpoint folder (reliable; also cuts the lineage of the text pass).
+    g = g.checkpoint(eager=True)
+
+    def gid(members):
+        return sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in members)
+    out = {}
+    for k, st in zip(keys + [None], sets):
+        keep = by + ([k] if k else [])
+        out[k] = g.filter(F.col("_gid") == gid(st)).select(*keep, "_c", *[a for a in g.columns
+                                                                          if a not in cols + ["_c", "_gid"]])
+    return out
+
+
 # ---- parse counts / format mix ---------------------------------------------
 
 def parse_counts(samples: DataFrame, by=("slice",)) -> DataFrame:
@@ -118,9 +142,9 @@ def format_mix(samples: DataFrame, by=("slice",), order: str = "line_no") -> Dat
 
 # ---- V: validator audit -----------------------------------------------------
 
-def _v_rows(samples: DataFrame, by: list[str], order: str) -> DataFrame:
+def _v_rows(samples: DataFrame, by: list[str], order: str, first: DataFrame | None = None) -> DataFrame:
     """Valid rows with the slice's key format attached and V's per-row values computed once."""
-    first = first_records(samples, by, order)
+    first = first if first is not None else first_records(samples, by, order)
     valid = samples.filter(F.col("status") != "bad_json")
     j = attach_small(valid, first, by)
     kf = F.col("fmt_v")
@@ -174,9 +198,11 @@ def nearest_rank(hist: DataFrame, by: list[str], value: str, count: str, ranks:
     return h.groupBy(*by).agg(*aggs)
 
 
-def token_stats(rows: DataFrame, by: list[str], tokens: str = "tokens", p99: bool = True) -> DataFrame:
+def token_stats(rows: DataFrame, by: list[str], tokens: str = "tokens", p99: bool = True,
+                hist: DataFrame | None = None) -> DataFrame:
     """Mean and nearest-rank P50/P95/P99 of integer tokens: sorted[n//2], sorted[min(int(n*p), n-1)]."""
-    hist = rows.groupBy(*by, tokens).agg(F.count(F.lit(1)).alias("_c"))
+    if hist is None:
+        hist = rows.groupBy(*by, tokens).agg(F.count(F.lit(1)).alias("_c"))
     n = F.col("_n")
     ranks = {
         "p50_tokens": F.floor(n / F.lit(2)),
@@ -190,9 +216,9 @@ def token_stats(rows: DataFrame, by: list[str], tokens: str = "tokens", p99: boo
     return base.join(pct, by).withColumn("avg_tokens", F.col("total_tokens") / F.col("n"))
 
 
-def near_dups(rows: DataFrame, by: list[str], key: str = "fp") -> DataFrame:
+def near_dups(rows: DataFrame, by: list[str], key: str = "fp", counts: DataFrame | None = None) -> DataFrame:
     """Groups sharing a key: number of groups with more than one row, and Σ(count − 1)."""
-    g = rows.groupBy(*by, key).agg(F.count(F.lit(1)).alias("_c"))
+    g = counts if counts is not None else rows.groupBy(*by, key).agg(F.count(F.lit(1)).alias("_c"))
     return g.groupBy(*by).agg(
         F.count_if(F.col("_c") > 1).alias("dup_count"),
         F.coalesce(F.sum(F.when(F.col("_c") > 1, F.col("_c") - 1)), F.lit(0)).alias("total_duplicates"),
@@ -200,19 +226,23 @@ def near_dups(rows: DataFrame, by: list[str], key: str = "fp") -> DataFrame:
 
 
 def v_audit(samples: DataFrame, by=("slice",), order: str = "line_no") -> DataFrame:
-    """V statistics per slice: lines, format, empties, near-dups, token stats, score, grade, passed."""
+    """V statistics per slice: lines, format, empties, near-dups, token stats, score, grade, passed.
+
+    Rows are scanned twice in total: once for the parse counts and the first record of each
+    slice (key presence only), once for the text rules, whose three groupings (fingerprint,
+    tokens, slice) share one GROUPING SETS aggregation."""
     by = _by(by)
     counts = parse_counts(samples, by)
-    rows = _v_rows(samples, by, order)
-    # per-row aggregate and the two keyed aggregates, each ending in one row per slice
-    basic = rows.groupBy(*by).agg(
-        F.first("fmt_v").alias("detected_format"),
-        F.first("first_keys").alias("key_fields"),
-        F.sum("n_empty").cast("bigint").alias("empty_count"),
-    )
-    dups = near_dups(rows, by, "fp")
-    toks = token_stats(rows, by, "tokens")
-    s = counts.join(basic, by, "left").join(dups, by, "left").join(toks.drop("n"), by, "left")
+    first = first_records(samples, by, order)
+    rows = _v_rows(samples, by, order, first)
+    parts = grouped_counts(rows.withColumn("fp", F.unhex(F.md5("fp"))), by, ["fp", "tokens"],
+                           [F.sum("n_empty").alias("_e")])
+    dups = near_dups(None, by, "fp", parts["fp"])
+    toks = token_stats(None, by, "tokens", hist=parts["tokens"])
+    basic = parts[None].select(*by, F.col("_e").cast("bigint").alias("empty_count"))
+    info = first.select(*by, F.col("fmt_v").alias("detected_format"), F.col("first_keys").alias("key_fields"))
+    s = (counts.join(info, by, "left").join(basic, by, "left").join(dups, by, "left")
+         .join(toks.drop("n"), by, "left"))
     return score_v(s)
 
 
@@ -304,11 +334,12 @@ def numpy_round(x: Column, decimals: int) -> Column:
 
 
 def numpy_quantiles(rows: DataFrame, by: list[str], value: str, qs: dict[str, float],
-                    median: str | None = None) -> DataFrame:
+                    median: str | None = None, hist: DataFrame | None = None) -> DataFrame:
     """numpy's linear percentiles (and median) per slice, exact to the last bit, from a
     (slice, value) histogram: index (n-1)·q, neighbours by running count, numpy's two-sided lerp.
     The histogram is bounded by the distinct values, never by the rows of a slice."""
-    hist = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    if hist is None:
+        hist = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     h = hist.withColumn("_cum", F.sum("_c").over(w)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
     n = F.col("_n")
@@ -341,17 +372,18 @@ def numpy_quantiles(rows: DataFrame, by: list[str], value: str, qs: dict[str, fl
 
 def length_stats(samples: DataFrame, by=("slice",)) -> DataFrame:
     """A: chars min, max, mean, median (1 dec.), P80, P95 (int); tokens median (1 dec.), P95 (int).
-    Percentiles and rounding follow numpy (linear interpolation, rint-based rounding)."""
+    Percentiles and rounding follow numpy (linear interpolation, rint-based rounding). One
+    GROUPING SETS aggregation gives both histograms and the plain aggregates."""
     by = _by(by)
     r = a_rows(samples, by)
-    base = r.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total_samples"),
-        F.min("chars").alias("min_chars"),
-        F.max("chars").alias("max_chars"),
-        numpy_round(F.avg("chars"), 1).alias("mean_chars"),
-    )
-    qc = numpy_quantiles(r, by, "chars", {"_p80": 0.8, "_p95": 0.95}, median="_med")
-    qt = numpy_quantiles(r, by, "tokens_f", {"_tp95": 0.95}, median="_tmed")
+    parts = grouped_counts(r, by, ["chars", "tokens_f"],
+                           [F.min("chars").alias("_min"), F.max("chars").alias("_max"),
+                            F.sum("chars").alias("_sum")])
+    base = parts[None].select(*by, F.col("_c").alias("total_samples"), F.col("_min").alias("min_chars"),
+                              F.col("_max").alias("max_chars"),
+                              numpy_round(F.col("_sum") / F.col("_c"), 1).alias("mean_chars"))
+    qc = numpy_quantiles(None, by, "chars", {"_p80": 0.8, "_p95": 0.95}, median="_med", hist=parts["chars"])
+    qt = numpy_quantiles(None, by, "tokens_f", {"_tp95": 0.95}, median="_tmed", hist=parts["tokens_f"])
     s = base.join(qc, by).join(qt, by)
     return s.select(*by, "total_samples", "min_chars", "max_chars", "mean_chars",
                     numpy_round(F.col("_med"), 1).alias("median_chars"),
@@ -371,13 +403,11 @@ def quality_a(samples: DataFrame, by=("slice",)) -> DataFrame:
     """A: short-output, duplicate and bilingual ratios (4 dec.), control-char count, issues."""
     by = _by(by)
     r = a_rows(samples, by)
-    base = r.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("short").alias("short_count"),
-        F.count_if("control").alias("control_count"),
-        F.count_if("bilingual").alias("bilingual_count"),
-    )
-    d = exact_dups(r, by).drop("n")
+    parts = grouped_counts(r, by, ["text_key"], [
+        F.count_if("short").alias("short_count"), F.count_if("control").alias("control_count"),
+        F.count_if("bilingual").alias("bilingual_count")])
+    base = parts[None].select(*by, F.col("_c").alias("n"), "short_count", "control_count", "bilingual_count")
+    d = parts["text_key"].groupBy(*by).agg((F.sum("_c") - F.count(F.lit(1))).alias("duplicate_count"))
     s = base.join(d, by)
     n = F.col("n")
     s = s.select(
