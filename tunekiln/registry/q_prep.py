@@ -200,9 +200,15 @@ def win_split(spark, sf):
     return prep.split(d, "doc_id", ["slice"]).select("slice", "doc_id", "split")
 
 
-PACK_SEQ, PACK_SHARDS = 2048, 4
-D_PACK = f"""
-pt AS (SELECT doc_id % {PACK_SHARDS} AS shard, doc_id AS sample_id, {d_tokens_v('text')} + 1 AS sample_len FROM documents),
+PACK_SEQ = 2048
+# shard count from the data: ceil(Σ(tokens + 1) / 2^27); samples go to shard doc_id % shards
+D_SHARDS = f"""
+nsh AS (SELECT CAST(greatest(1, ceil(sum({d_tokens_v('text')} + 1) / {prep.PACK_TOKENS_PER_SHARD})) AS BIGINT) AS shards
+        FROM documents)
+"""
+D_PACK = D_SHARDS + f""",
+pt AS (SELECT doc_id % nsh.shards AS shard, doc_id AS sample_id, {d_tokens_v('text')} + 1 AS sample_len
+       FROM documents, nsh),
 pc AS (SELECT *, CAST(sum(sample_len) OVER (PARTITION BY shard ORDER BY sample_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e,
               CAST(sum(sample_len) OVER (PARTITION BY shard) AS BIGINT) AS shard_total FROM pt),
 pp AS (SELECT shard, sample_id, sample_len, e - sample_len AS s, e, shard_total,
@@ -216,12 +222,15 @@ pieces AS (SELECT shard, pack, sample_id, greatest(s, pack * {PACK_SEQ}) - s AS
 
 def _pieces(spark, sf):
     d = fx.table(spark, sf, "documents").select("doc_id", tx.tokens_v("text").alias("tokens"))
-    return prep.pack(d, "doc_id", "tokens", PACK_SEQ, F.pmod(F.col("doc_id"), F.lit(PACK_SHARDS)))
+    shards = prep.pack_shard_count(d, "tokens")
+    # doc_id modulo the shard count (repeatable in SQL); the library default is hash_shard
+    return prep.pack(d, "doc_id", "tokens", PACK_SEQ, F.pmod(F.col("doc_id"), F.lit(shards)))
 
 
 @register("win_pack", sql="WITH " + D_PACK + " SELECT * FROM pieces")
 def win_pack(spark, sf):
-    """Documents (+1 end-of-text token each) packed into 2048-token sequences inside 4 shards."""
+    """Documents (+1 end-of-text token each) packed into 2048-token sequences; the shard count
+    grows with the corpus (one shard per ~134M tokens)."""
     return _pieces(spark, sf)
 
 
@@ -239,8 +248,8 @@ def win_pack_segments(spark, sf):
                           s["piece_len"].cast("string"))), ";").alias("segments"))
 
 
-@register("win_pack_gain", sql=f"""
-WITH t AS (SELECT source AS slice, doc_id % {PACK_SHARDS} AS s, {d_tokens_v('text')} AS tok FROM documents),
+@register("win_pack_gain", sql="WITH " + D_SHARDS + f""",
+t AS (SELECT source AS slice, doc_id % nsh.shards AS s, {d_tokens_v('text')} AS tok FROM documents, nsh),
 ps AS (SELECT slice, s, count(*) AS n, sum(tok) AS tok, ceil((sum(tok) + count(*)) / {PACK_SEQ}) AS packs FROM t GROUP BY 1, 2),
 g AS (SELECT slice, CAST(sum(n) AS BIGINT) AS n, CAST(sum(tok) AS BIGINT) AS total_tokens, CAST(sum(packs) AS BIGINT) AS n_packs
       FROM ps GROUP BY slice)
@@ -255,7 +264,8 @@ def win_pack_gain(spark, sf):
     """Padded vs packed fill rate and packing suitability per source."""
     d = fx.table(spark, sf, "documents").select(F.col("source").alias("slice"), "doc_id",
                                                 tx.tokens_v("text").alias("tokens"))
-    g = prep.pack_gain(d, ["slice"], "tokens", PACK_SEQ, F.pmod(F.col("doc_id"), F.lit(PACK_SHARDS)))
+    shards = prep.pack_shard_count(d, "tokens")
+    g = prep.pack_gain(d, ["slice"], "tokens", PACK_SEQ, F.pmod(F.col("doc_id"), F.lit(shards)))
     return g.select("slice", "n", "total_tokens", F.col("n_packs").cast("bigint").alias("n_packs"), "mean_tokens",
                     "fill_padded", "fill_packed", "speedup", "suitable")
 

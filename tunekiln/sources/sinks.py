@@ -45,8 +45,10 @@ def read_eval(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_jsonl_lines(lines: DataFrame, path: str) -> None:
-    """Lines as text files, one directory per slice, lines in sample order inside each file."""
-    (lines.repartition("slice").sortWithinPartitions("slice", "sample_id")
+    """Lines as text files, one directory per slice, lines in sample order inside each file.
+    Range partitioning on (slice, sample_id) splits a large slice over many tasks and files."""
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (lines.repartitionByRange(n, "slice", "sample_id").sortWithinPartitions("slice", "sample_id")
      .select("slice", "raw").write.mode("overwrite").partitionBy("slice").text(path))
 
 
