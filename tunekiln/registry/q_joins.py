@@ -24,10 +24,14 @@ def jn_eval_side_by_side(spark, sf):
 
 
 @register("jn_holdout_anti", sql=f"""
-WITH h AS (SELECT DISTINCT {d_fp('text')} AS fp FROM documents WHERE doc_id % 20 = 0)
+WITH r AS (SELECT doc_id, source, text,
+                  row_number() OVER (PARTITION BY source ORDER BY md5('42|' || CAST(doc_id AS VARCHAR))) AS rk,
+                  count(*) OVER (PARTITION BY source) AS n FROM documents),
+h AS (SELECT DISTINCT {d_fp('text')} AS fp FROM r WHERE rk <= ceil(0.1::DOUBLE * n))
 SELECT doc_id, source FROM documents WHERE {d_fp('text')} NOT IN (SELECT fp FROM h)""")
 def jn_holdout_anti(spark, sf):
-    """Training documents whose fingerprint is absent from the held-out set (left anti join)."""
+    """Documents whose fingerprint is absent from the held-out test split (left anti join):
+    keeps eval cases and their near copies out of training."""
     d = fx.table(spark, sf, "documents").select("doc_id", "source", "text")
     h = fx.holdout(spark, sf).select("text")
     return prep.exclude_holdout(d, h).select("doc_id", "source")

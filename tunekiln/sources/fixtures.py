@@ -187,7 +187,10 @@ def near_dup_docs(spark, sf_dir) -> DataFrame:
 
 
 def holdout(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter(F.pmod(F.col("doc_id"), F.lit(20)) == 0)
+    """The held-out eval set: the exact 10 % test part of each source (md5 split)."""
+    from ..operators import prep
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("slice"), "doc_id", "text")
+    return prep.split(d, "doc_id", ["slice"]).filter(F.col("split") == "test")
 
 
 def eval_outputs(spark, sf_dir) -> DataFrame:
