@@ -40,12 +40,22 @@ def test_entry_runs(spark):
     assert df.count() > 0 and "score" in df.columns
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+         "timestamp_ntz": "TIMESTAMP", "binary": "BLOB"}
+
+
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_matches_oracle(spark, con, name):
-    got = E.queries()[name](spark, SF001).toPandas()
+    sdf = E.queries()[name](spark, SF001)
+    got = sdf.toPandas()
     sql = E.oracle_sql().get(name)
     if sql is None:
         assert len(got) >= 0
         return
-    exp = con.sql(sql).df()
+    rel = con.sql(sql)
+    types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for f in sdf.schema.fields:
+        st = f.dataType.simpleString()
+        assert TYPES.get(st, st) == types.get(f.name), (f.name, st, types.get(f.name))
+    exp = rel.df()
     assert _rows(got) == _rows(exp)

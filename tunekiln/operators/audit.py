@@ -379,8 +379,8 @@ def length_stats(samples: DataFrame, by=("slice",)) -> DataFrame:
     parts = grouped_counts(r, by, ["chars", "tokens_f"],
                            [F.min("chars").alias("_min"), F.max("chars").alias("_max"),
                             F.sum("chars").alias("_sum")])
-    base = parts[None].select(*by, F.col("_c").alias("total_samples"), F.col("_min").alias("min_chars"),
-                              F.col("_max").alias("max_chars"),
+    base = parts[None].select(*by, F.col("_c").alias("total_samples"), F.col("_min").cast("bigint").alias("min_chars"),
+                              F.col("_max").cast("bigint").alias("max_chars"),
                               numpy_round(F.col("_sum") / F.col("_c"), 1).alias("mean_chars"))
     qc = numpy_quantiles(None, by, "chars", {"_p80": 0.8, "_p95": 0.95}, median="_med", hist=parts["chars"])
     qt = numpy_quantiles(None, by, "tokens_f", {"_tp95": 0.95}, median="_tmed", hist=parts["tokens_f"])

@@ -59,7 +59,7 @@ vstat AS (
   SELECT t.slice, t.n AS valid_lines, t.total_tokens, t.avg_tokens, t.empty_count,
          {d_rank('s', 'n', None)} AS p50_tokens, {d_rank('s', 'n', 0.95)} AS p95_tokens,
          {d_rank('s', 'n', 0.99)} AS p99_tokens, d.dup_count, d.total_duplicates,
-         0 AS invalid_lines
+         CAST(0 AS BIGINT) AS invalid_lines
   FROM vtok t JOIN vdup d USING (slice)),
 vscore AS (
   SELECT *, greatest(0.0, least(100.0,
@@ -393,5 +393,5 @@ def agg_slices_rollup(spark, sf):
                                                 tx.char_len("text").alias("chars"))
     return d.rollup("source", "lang").agg(
         F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("total_tokens"),
-        tx.round_even(F.avg("tokens"), 6).alias("avg_tokens"), F.max("chars").alias("max_chars"),
+        tx.round_even(F.avg("tokens"), 6).alias("avg_tokens"), F.max("chars").cast("bigint").alias("max_chars"),
         F.grouping_id("source", "lang").cast("int").alias("level"))

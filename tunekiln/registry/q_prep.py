@@ -242,7 +242,7 @@ FROM pieces GROUP BY shard, pack""")
 def win_pack_segments(spark, sf):
     """Per pack: ordered segments (sample:offset:length) — position ids restart at each offset."""
     seg = prep.pack_segments(_pieces(spark, sf))
-    return seg.select("shard", "pack", F.size("segments").alias("n_segments"), "used", "is_full",
+    return seg.select("shard", "pack", F.size("segments").cast("bigint").alias("n_segments"), "used", "is_full",
                       F.array_join(F.transform("segments", lambda s: F.concat_ws(
                           ":", s["sample_id"].cast("string"), s["pack_offset"].cast("string"),
                           s["piece_len"].cast("string"))), ";").alias("segments"))
@@ -345,7 +345,8 @@ SELECT slice, doc_id, rank FROM (SELECT source AS slice, doc_id,
 def top_samples(spark, sf):
     """First 3 records of each slice (partial top-k before the shuffle)."""
     d = fx.table(spark, sf, "documents").select(F.col("source").alias("slice"), "doc_id")
-    return prep.top_k_per_group(d, ["slice"], [F.col("doc_id")], 3).select("slice", "doc_id", "rank")
+    return prep.top_k_per_group(d, ["slice"], [F.col("doc_id")], 3).select(
+        "slice", "doc_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 # ---- scalar rules -------------------------------------------------------------
