@@ -113,20 +113,37 @@ def parse_counts(samples: DataFrame, by=("slice",)) -> DataFrame:
     )
 
 
-def first_records(samples: DataFrame, by=("slice",), order: str = "line_no") -> DataFrame:
-    """Per slice: V/A/T format and key list of the first valid record (``min_by`` on the order key)."""
-    by = _by(by)
-    valid = samples.filter(F.col("status") != "bad_json")
-    keys = F.json_object_keys(F.col("raw")) if "raw" in samples.columns else F.map_keys(F.col("fields"))
-    obj = F.col("status") == "ok"
-    info = F.struct(
+def _first_info(status: Column, raw_present: bool) -> Column:
+    keys = F.json_object_keys(F.col("raw")) if raw_present else F.map_keys(F.col("fields"))
+    obj = status == "ok"
+    return F.struct(
         F.when(obj, fm.fmt_v()).otherwise(F.lit(fm.FMT_UNKNOWN)).alias("fmt_v"),
         F.when(obj, fm.fmt_a()).otherwise(F.lit(fm.FMT_UNKNOWN)).alias("fmt_a"),
         F.when(obj, fm.fmt_t()).otherwise(F.lit(fm.FMT_UNKNOWN)).alias("fmt_t"),
         F.coalesce(F.when(obj, keys), F.array().cast("array<string>")).alias("keys"),
     )
-    first = valid.groupBy(*by).agg(F.min_by(info, F.col(order)).alias("_f"))
-    return first.select(*by, "_f.fmt_v", "_f.fmt_a", "_f.fmt_t", F.col("_f.keys").alias("first_keys"))
+
+
+def slice_info(samples: DataFrame, by=("slice",), order: str = "line_no") -> DataFrame:
+    """One aggregation per slice: line counts and the first valid record's formats and keys
+    (``min_by`` on the order key; invalid lines carry a null order and are skipped)."""
+    by = _by(by)
+    bad = F.col("status") == "bad_json"
+    info = _first_info(F.col("status"), "raw" in samples.columns)
+    g = samples.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total_lines"),
+        F.count_if(~bad).alias("valid_lines"),
+        F.count_if(bad).alias("invalid_lines"),
+        F.min_by(F.when(~bad, info), F.when(~bad, F.col(order))).alias("_f"))
+    return g.select(*by, "total_lines", "valid_lines", "invalid_lines", "_f.fmt_v", "_f.fmt_a", "_f.fmt_t",
+                    F.col("_f.keys").alias("first_keys"))
+
+
+def first_records(samples: DataFrame, by=("slice",), order: str = "line_no") -> DataFrame:
+    """Per slice: V/A/T format and key list of the first valid record."""
+    by = _by(by)
+    return slice_info(samples, by, order).filter(F.col("valid_lines") > 0).select(
+        *by, "fmt_v", "fmt_a", "fmt_t", "first_keys")
 
 
 def format_mix(samples: DataFrame, by=("slice",), order: str = "line_no") -> DataFrame:
@@ -232,17 +249,17 @@ def v_audit(samples: DataFrame, by=("slice",), order: str = "line_no") -> DataFr
     slice (key presence only), once for the text rules, whose three groupings (fingerprint,
     tokens, slice) share one GROUPING SETS aggregation."""
     by = _by(by)
-    counts = parse_counts(samples, by)
-    first = first_records(samples, by, order)
+    sinfo = slice_info(samples, by, order)
+    first = sinfo.filter(F.col("valid_lines") > 0).select(*by, "fmt_v", "fmt_a", "fmt_t", "first_keys")
     rows = _v_rows(samples, by, order, first)
     parts = grouped_counts(rows.withColumn("fp", F.unhex(F.md5("fp"))), by, ["fp", "tokens"],
                            [F.sum("n_empty").alias("_e")])
     dups = near_dups(None, by, "fp", parts["fp"])
     toks = token_stats(None, by, "tokens", hist=parts["tokens"])
     basic = parts[None].select(*by, F.col("_e").cast("bigint").alias("empty_count"))
-    info = first.select(*by, F.col("fmt_v").alias("detected_format"), F.col("first_keys").alias("key_fields"))
-    s = (counts.join(info, by, "left").join(basic, by, "left").join(dups, by, "left")
-         .join(toks.drop("n"), by, "left"))
+    counts = sinfo.select(*by, "total_lines", "valid_lines", "invalid_lines",
+                          F.col("fmt_v").alias("detected_format"), F.col("first_keys").alias("key_fields"))
+    s = counts.join(basic, by, "left").join(dups, by, "left").join(toks.drop("n"), by, "left")
     return score_v(s)
 
 
