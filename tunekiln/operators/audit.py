@@ -36,7 +36,7 @@ V_ISSUE_VERY_SMALL = "Very small dataset (%d samples, recommend  500)"
 V_ISSUE_SMALL = "Small dataset (%d samples, 1000+ recommended)"
 V_ISSUE_P95 = "P95 token length (%d) exceeds typical max_seq_length (4096)"
 V_ISSUE_MEAN = "Average token length too short (%.0f), may lack sufficient training signal"
-V_ADVICE_EXCELLENT = ["[OK] Data quality looks great! Ready for fine-tuning.", "Suggested: /lora:cook %s <model> chat"]
+V_ADVICE_EXCELLENT = ["[OK] Data quality looks great! Ready for fine-tuning.", "Suggested: build a training plan for %s (plan_full)"]
 V_ADVICE_GOOD = "[OK] Good enough for fine-tuning. Minor issues won't hurt much."
 V_ADVICE_GOOD_PARSE_TIP = "Tip: Fix %d parse errors for cleaner training."
 V_ADVICE_GOOD_DUP_TIP = "Tip: %d duplicates found. Some duplication is fine for SFT."

@@ -159,7 +159,7 @@ def agg_issues_v(spark, sf):
 
 @register("agg_advice_v", sql="WITH " + D_CORPUS_V + """
 SELECT slice, CASE
-  WHEN score >= 90 THEN '[OK] Data quality looks great! Ready for fine-tuning.' || chr(10) || 'Suggested: /lora:cook ' || slice || ' <model> chat'
+  WHEN score >= 90 THEN '[OK] Data quality looks great! Ready for fine-tuning.' || chr(10) || 'Suggested: build a training plan for ' || slice || ' (plan_full)'
   WHEN score >= 75 THEN '[OK] Good enough for fine-tuning. Minor issues won''t hurt much.'
        || CASE WHEN invalid_lines > 0 THEN chr(10) || printf('Tip: Fix %d parse errors for cleaner training.', invalid_lines) ELSE '' END
        || CASE WHEN dup_count > 0 THEN chr(10) || printf('Tip: %d duplicates found. Some duplication is fine for SFT.', total_duplicates) ELSE '' END
