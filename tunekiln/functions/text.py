@@ -128,5 +128,10 @@ def seq_len_from_p95(p95) -> Column:
 
 
 def round_even(x, scale: int) -> Column:
-    """Python/numpy rounding (half to even) on a double."""
-    return F.bround(_c(x).cast("double"), scale).cast("double")
+    """Half-to-even rounding as numpy does it: rint(x · 10^d) / 10^d on doubles.
+
+    This is also DuckDB's ``round_even``. Python's built-in ``round`` decides ties on the exact
+    binary value instead, so for a double whose decimal form ends in a 5 at digit d+1 (e.g.
+    0.12355 at 4 digits) the two can differ in the last digit."""
+    f = float(10 ** scale)
+    return F.rint(_c(x).cast("double") * F.lit(f)) / F.lit(f)

@@ -298,12 +298,12 @@ def score_v(s: DataFrame) -> DataFrame:
     s = s.withColumn("score_int", sc.cast("bigint"))
     issues = F.array_compact(F.array(
         F.when(inv > 0, F.format_string(V_ISSUE_PARSE, inv)),
-        F.when(empty > 0, F.format_string(V_ISSUE_EMPTY, empty, F.bround(empty_pct, 1))),
+        F.when(empty > 0, F.format_string(V_ISSUE_EMPTY, empty, tx.round_even(empty_pct, 1))),
         F.when(dupc > 0, F.format_string(V_ISSUE_DUPS, dupc, dupt)),
         F.when(valid < V_VERY_SMALL_N, F.format_string(V_ISSUE_VERY_SMALL, valid))
          .when(valid < V_SMALL_N, F.format_string(V_ISSUE_SMALL, valid)),
         F.when(p95 > V_P95_LIMIT, F.format_string(V_ISSUE_P95, p95)),
-        F.when(avg < V_MEAN_MIN, F.format_string(V_ISSUE_MEAN, F.bround(avg, 0))),
+        F.when(avg < V_MEAN_MIN, F.format_string(V_ISSUE_MEAN, tx.round_even(avg, 0))),
     ))
     s = s.withColumn("issues", issues)
     return s.withColumn("advice", advice_v(sc, inv, dupc, dupt, F.col(s.columns[0])))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 # ---------------------------------------------------------------------------
 # Fixed values of the rules (thresholds, choices and reason texts).
 # ---------------------------------------------------------------------------
@@ -142,7 +144,7 @@ def learning_rate(r: Column, n: Column, task: Column) -> Column:
           .when(task == "roleplay", lr * F.lit(LR_ROLEPLAY))
           .when(task == "math", lr * F.lit(LR_MATH)).otherwise(lr))
     lr = F.when(n > LR_LARGE_N, lr * F.lit(LR_LARGE_DATA)).otherwise(lr)
-    return F.bround(lr, 6).cast("double")
+    return tx.round_even(lr, 6).cast("double")
 
 
 def epochs(n: Column, task: Column) -> Column:
@@ -195,9 +197,9 @@ def train_time(df: DataFrame, n="n", avg="avg_tokens", ep="epochs", eff="eff_bat
     """Minutes = lines × mean tokens × epochs / (2000 × effective batch), ×0.7 and ×1.3 band."""
     m = F.col(n) * F.col(avg) * F.col(ep) / (F.lit(THROUGHPUT_TOKENS_PER_S) * F.col(eff))
     return (df.withColumn("_m", m)
-            .withColumn("minutes", F.bround("_m", 4))
-            .withColumn("minutes_low", F.bround(F.col("_m") * F.lit(TIME_BAND[0]), 4))
-            .withColumn("minutes_high", F.bround(F.col("_m") * F.lit(TIME_BAND[1]), 4)).drop("_m"))
+            .withColumn("minutes", tx.round_even("_m", 4))
+            .withColumn("minutes_low", tx.round_even(F.col("_m") * F.lit(TIME_BAND[0]), 4))
+            .withColumn("minutes_high", tx.round_even(F.col("_m") * F.lit(TIME_BAND[1]), 4)).drop("_m"))
 
 
 def memory(params: Column, hidden: Column, layers: Column, seq: Column, batch: Column, r: Column,
@@ -216,9 +218,9 @@ def memory(params: Column, hidden: Column, layers: Column, seq: Column, batch: C
         optim = params * 2 * 2 / F.lit(1e9)
     overhead = (weight + act + optim) * F.lit(OVERHEAD_SHARE)
     total = weight + act + optim + overhead
-    return F.struct(F.bround(weight, 2).alias("model_weight"), F.bround(act, 2).alias("activation"),
-                    F.bround(optim, 2).alias("optimizer"), F.bround(overhead, 2).alias("overhead"),
-                    F.bround(total, 2).alias("total"))
+    return F.struct(tx.round_even(weight, 2).alias("model_weight"), tx.round_even(act, 2).alias("activation"),
+                    tx.round_even(optim, 2).alias("optimizer"), tx.round_even(overhead, 2).alias("overhead"),
+                    tx.round_even(total, 2).alias("total"))
 
 
 def card_verdict(total: Column, quantized: bool = True) -> Column:
@@ -238,4 +240,4 @@ def headroom_verdict(total: Column, gpu_gb: Column) -> Column:
     fits = F.when(room >= HEADROOM_YES_GB, F.lit("Yes")).when(room >= 0, F.lit("Tight")).otherwise(F.lit("No"))
     band = (F.when(share > 0.30, F.lit("safe")).when(share >= 0.10, F.lit("possible"))
             .when(share >= 0, F.lit("risky")).otherwise(F.lit("over")))
-    return F.struct(F.bround(room, 2).alias("headroom_gb"), fits.alias("fits"), band.alias("headroom_band"))
+    return F.struct(tx.round_even(room, 2).alias("headroom_gb"), fits.alias("fits"), band.alias("headroom_band"))
