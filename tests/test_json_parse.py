@@ -45,3 +45,24 @@ def test_formats_and_texts(spark):
     assert rows[12].tpl == "<|user|>\nhi"  # role defaults to user
     assert rows[17].oa == "ans" and rows[17].a == "conversations"
     assert rows[16].tpl is None  # unsupported for the auto template
+
+
+def test_eval_prompt_for_chat_data(spark):
+    from tunekiln.operators.evalset import prompt_text
+    lines = ['{"messages": [{"role": "user", "content": "first"}, {"role": "assistant", "content": "a"},'
+             ' {"role": "user", "content": "second"}]}']
+    df = spark.createDataFrame([(0, l) for l in lines], "i int, raw string")
+    s = to_samples(parse_lines(df), keep=["i"])
+    r = s.select(prompt_text("messages").alias("p"), prompt_text("messages", compat=True).alias("c"),
+                 fm.prompt(F.lit("messages"), prompt_text("messages")).alias("full")).collect()[0]
+    assert r.p == "second" and r.c == "" and r.full == "<|user|>\nsecond\n<|assistant|>\n"
+
+
+def test_split_keeps_existing_part(spark):
+    from tunekiln.operators.prep import split
+    rows = [("a", i, "eval" if i < 3 else "train") for i in range(20)] + [("b", i, "train") for i in range(20)]
+    df = spark.createDataFrame(rows, "slice string, id long, part string")
+    got = {(r.slice, r.id): r.split for r in split(df, "id", ["slice"], existing="part").collect()}
+    assert sum(1 for (s, i), v in got.items() if s == "a" and v == "test") == 3
+    assert all(got[("a", i)] == "test" for i in range(3))
+    assert sum(1 for (s, i), v in got.items() if s == "b" and v == "test") == 2  # ceil(0.1 * 20)

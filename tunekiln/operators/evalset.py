@@ -14,6 +14,18 @@ COMPARE_MAX_CASES = 50
 QA_BLOCK = "Q%d: %s\nA%d: %s\n\n"
 
 
+def prompt_text(fmt: str, compat: bool = False):
+    """Text placed in an eval prompt. Instruction data: ``instruction``. Chat data: the last user
+    turn; with ``compat=True`` the original behaviour, which reads ``instruction`` from chat
+    records and so leaves the prompt body empty."""
+    if fmt in ("messages", "conversations") and not compat:
+        col = "messages" if fmt == "messages" else "conversations"
+        last_user = F.try_element_at(F.filter(col, lambda m: F.coalesce(m["role"], m["from"]).isin("user", "human")),
+                                     F.lit(-1))
+        return F.coalesce(last_user["content"], last_user["value"], F.lit(""))
+    return F.coalesce(F.col("instruction"), F.lit(""))
+
+
 def eval_cases(cases: DataFrame, order: str, fmt: str, limit: int = EVAL_MAX_CASES,
                prompt_col: str = "instruction") -> DataFrame:
     """First ``limit`` cases by line order with their formatted prompts (TakeOrderedAndProject)."""

@@ -321,19 +321,19 @@ D_JSONL_V = D_JSONL_V.replace("{blank_i}", _db("instruction")).replace("{blank_o
 
 @register("snk_audit_report", sql="WITH " + D_JSONL_V + """
 SELECT slice, total_lines, valid_lines, invalid_lines, detected_format, empty_count, dup_count, total_duplicates,
-       p95_tokens, round_even(score, 6) AS score,
+       p95_tokens, round_even(score, 1) AS score, round_even(avg_tokens, 1) AS avg_tokens,
        CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 60 THEN 'Fair'
             WHEN score >= 40 THEN 'Poor' ELSE 'Unusable' END AS grade, score >= 60 AS passed
 FROM jsc""")
 def snk_audit_report(spark, sf):
-    """V audit of the JSON-lines fixture written as one JSON report per slice, read back."""
+    """V audit of the JSON-lines fixture written as one JSON report per slice (floats to 1
+    decimal), read back."""
     rep = au.v_audit(_jsonl(spark, sf), ["slice"], ORDER)
     path = scratch_path(spark, "report")
     sinks.write_report(rep, path, ["slice"])
     back = sinks.read_report(spark, path)
     return back.select("slice", "total_lines", "valid_lines", "invalid_lines", "detected_format", "empty_count",
-                       "dup_count", "total_duplicates", "p95_tokens", tx.round_even("score", 6).alias("score"),
-                       "grade", "passed")
+                       "dup_count", "total_duplicates", "p95_tokens", "score", "avg_tokens", "grade", "passed")
 
 
 @register("snk_train_text", sql="""

@@ -17,9 +17,13 @@ EVAL_SCHEMA = ("item_id bigint, instruction string, formatted_prompt string, exp
 
 
 def write_report(audit: DataFrame, path: str, by: list[str]) -> None:
-    """One JSON document per slice: stats, score, grade, passed, issues, advice (V values)."""
+    """One JSON document per slice: stats, score, grade, passed, issues, advice (V values).
+    Float statistics are written to 1 decimal, as the validator's JSON output does."""
+    from ..functions.text import round_even
     cols = [c for c in REPORT_SCHEMA_COLUMNS() if c in audit.columns]
-    audit.select(*cols).write.mode("overwrite").json(path)
+    floats = {"avg_tokens", "score"}
+    audit.select(*[round_even(c, 1).alias(c) if c in floats else F.col(c) for c in cols]) \
+         .write.mode("overwrite").json(path)
 
 
 def REPORT_SCHEMA_COLUMNS() -> list[str]:
