@@ -7,13 +7,11 @@ table with one row per file split.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, py_strip
 
-_POS_BITS = 33  # monotonically_increasing_id = partition id << 33 | row position
 
 
 def read_lines(spark: SparkSession, path: str | list[str], slice_col: str = "slice",
@@ -71,33 +69,37 @@ def read_questions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+ROWS_PER_BUCKET = 1 << 20
+
+
 def number_rows(df: DataFrame, order_col: str, by: list[str] | None = None, out: str = "row_no",
-                partitions: int | None = None) -> DataFrame:
+                bucket_key: Column | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """1-based position of each row by ``order_col`` inside each group of ``by``.
 
-    Range-partitions on (by, order), so a hot group is spread over many tasks; per-task
-    counts (one row per task and group) are summed into offsets and broadcast back.
-    ``order_col`` must be unique within a group.
+    Deterministic and skew-safe without a global sort: the numeric ``bucket_key`` (default: the
+    order column) is cut into equal-width buckets of about ``rows_per_bucket`` rows; rows are
+    ranked inside (group, bucket) and shifted by the counts of the group's earlier buckets. A hot
+    group spreads over its buckets; no partition id or sampled bound enters the result, so a
+    recomputed task gives the same numbers. ``order_col`` must be unique within a group and
+    ordered consistently with ``bucket_key``.
     """
     by = by or []
-    keys = [F.col(c) for c in by] + [F.col(order_col)]
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    ranged = ranged.withColumn("_mid", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_pid", F.shiftright(F.col("_mid"), _POS_BITS))
-    # Both branches below must see the same range partitioning: a second evaluation of the
-    # exchange would sample new bounds. Persisting pins one evaluation (a lost block is
-    # recomputed through the same partitioner, so positions stay stable).
-    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
-    counts = ranged.groupBy(*by, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_min_mid"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_pid").rowsBetween(
+    key = bucket_key if bucket_key is not None else F.col(order_col)
+    st = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    lo, hi, n = st["lo"], st["hi"], st["n"]
+    if lo is None:
+        return df.withColumn(out, F.lit(None).cast("bigint"))
+    span = int(hi) - int(lo) + 1
+    width = max(1, -(-span * rows_per_bucket // max(1, n)))
+    d = df.withColumn("_b", F.floor((key.cast("long") - F.lit(int(lo))) / F.lit(width)).cast("long"))
+    counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_b").rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_pid", "_min_mid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    # one row per (task, group). The join key includes the task id, so a hot group is spread
-    # over many keys; AQE broadcasts the offsets when their measured size is small.
-    j = ranged.join(offsets, by + ["_pid"])
-    return j.withColumn(out, F.col("_off") + F.col("_mid") - F.col("_min_mid") + 1).drop(
-        "_mid", "_pid", "_min_mid", "_off")
+    offsets = counts.select(*by, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    ranked = d.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(order_col)))
+    # one row per (group, bucket); AQE broadcasts it when its measured size is small
+    j = ranked.join(offsets, by + ["_b"])
+    return j.withColumn(out, (F.col("_off") + F.col("_r")).cast("bigint")).drop("_b", "_r", "_off")
 
 
 def first_k_sorted(df: DataFrame, order: list[Column | str], k: int) -> DataFrame:
