@@ -77,14 +77,16 @@ def conversations_records(spark, sf_dir, slice_value: str = "conversations") ->
 
 
 def pair_turns(turns: DataFrame, id_col="conv_id", turn_col="turn", role_col="role", text_col="text") -> DataFrame:
-    """Each assistant turn whose previous turn is a user turn → (instruction, output)."""
-    w = Window.partitionBy(id_col).orderBy(turn_col)
-    return (
-        turns.select(id_col, turn_col, role_col, text_col,
-                     F.lag(role_col).over(w).alias("_prev_role"), F.lag(text_col).over(w).alias("_prev_text"))
-        .filter((F.col(role_col) == "assistant") & (F.col("_prev_role") == "user"))
-        .select(id_col, turn_col, F.col("_prev_text").alias("instruction"), F.col(text_col).alias("output"))
-    )
+    """Each assistant turn whose previous turn is a user turn → (instruction, output).
+
+    Turns are numbered per conversation (skew-safe numbering), then each turn meets its
+    predecessor by an equi-join on (conversation, position − 1): unique keys, so no task holds
+    a whole conversation however long it is."""
+    t = number_rows(turns.select(id_col, turn_col, role_col, text_col), turn_col, by=[id_col], out="_idx")
+    prev = t.filter(F.col(role_col) == "user").select(
+        id_col, (F.col("_idx") + 1).alias("_idx"), F.col(text_col).alias("instruction"))
+    cur = t.filter(F.col(role_col) == "assistant")
+    return cur.join(prev, [id_col, "_idx"]).select(id_col, turn_col, "instruction", F.col(text_col).alias("output"))
 
 
 def pairs(spark, sf_dir) -> DataFrame:
