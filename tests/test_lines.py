@@ -36,7 +36,7 @@ def test_read_lines_numbering(spark):
 def test_number_rows_hot_group(spark):
     # one group holds most rows; numbering must still be 1..n per group
     df = spark.range(0, 20000).selectExpr("id", "CASE WHEN id % 10 < 8 THEN 'hot' ELSE CAST(id % 10 AS STRING) END AS g")
-    out = number_rows(df, "id", by=["g"], out="rn", rows_per_bucket=700)
+    out = number_rows(df, "id", by=["g"], out="rn", bucket_shift=9)
     got = {(r.g, r.id): r.rn for r in out.collect()}
     exp = {}
     for g in {v[0] for v in got}:

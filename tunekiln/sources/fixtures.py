@@ -219,4 +219,4 @@ def log_lines(spark, sf_dir) -> DataFrame:
     # rank by (ts, event_id) inside a run; a run may be hot, so no single-group window
     pts = pts.withColumn("_ord", F.struct("ts", "event_id"))
     return number_rows(pts, "_ord", by=["run_id"], out="step",
-                       bucket_key=F.unix_micros(F.col("ts").cast("timestamp"))).drop("_ord")
+                       bucket_key=F.unix_micros(F.col("ts").cast("timestamp")), bucket_shift=32).drop("_ord")

@@ -69,29 +69,20 @@ def read_questions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-ROWS_PER_BUCKET = 1 << 20
-
-
 def number_rows(df: DataFrame, order_col: str, by: list[str] | None = None, out: str = "row_no",
-                bucket_key: Column | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                bucket_key: Column | None = None, bucket_shift: int = 20) -> DataFrame:
     """1-based position of each row by ``order_col`` inside each group of ``by``.
 
-    Deterministic and skew-safe without a global sort: the numeric ``bucket_key`` (default: the
-    order column) is cut into equal-width buckets of about ``rows_per_bucket`` rows; rows are
-    ranked inside (group, bucket) and shifted by the counts of the group's earlier buckets. A hot
-    group spreads over its buckets; no partition id or sampled bound enters the result, so a
-    recomputed task gives the same numbers. ``order_col`` must be unique within a group and
-    ordered consistently with ``bucket_key``.
+    Deterministic and skew-safe without a global sort: rows are ranked inside (group, bucket),
+    bucket = ``bucket_key >> bucket_shift`` (default key: the order column, 2^20 key values per
+    bucket), and shifted by the counts of the group's earlier buckets. A hot group spreads over
+    its buckets; no partition id or sampled bound enters the result, so a recomputed task gives
+    the same numbers, and no statistics pass is needed. ``order_col`` must be unique within a
+    group and ordered consistently with ``bucket_key``.
     """
     by = by or []
     key = bucket_key if bucket_key is not None else F.col(order_col)
-    st = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi, n = st["lo"], st["hi"], st["n"]
-    if lo is None:
-        return df.withColumn(out, F.lit(None).cast("bigint"))
-    span = int(hi) - int(lo) + 1
-    width = max(1, -(-span * rows_per_bucket // max(1, n)))
-    d = df.withColumn("_b", F.floor((key.cast("long") - F.lit(int(lo))) / F.lit(width)).cast("long"))
+    d = df.withColumn("_b", F.shiftright(key.cast("long"), bucket_shift))
     counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_b").rowsBetween(
         Window.unboundedPreceding, -1)
