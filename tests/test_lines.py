@@ -44,3 +44,12 @@ def test_number_rows_hot_group(spark):
         for k, i in enumerate(ids, 1):
             exp[(g, i)] = k
     assert got == exp
+
+
+def test_pair_turns_with_gaps(spark):
+    from tunekiln.sources.fixtures import pair_turns
+    rows = [(1, 0, "system", "s"), (1, 5, "user", "u1"), (1, 9, "assistant", "a1"), (1, 10, "assistant", "a2"),
+            (1, 40, "user", "u2"), (1, 41, "assistant", "a3"), (2, 3, "assistant", "x"), (2, 7, "user", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((r.conv_id, r.turn, r.instruction, r.output) for r in pair_turns(df).collect())
+    assert got == [(1, 9, "u1", "a1"), (1, 41, "u2", "a3")]

@@ -99,11 +99,6 @@ def fingerprint(t) -> Column:
     return F.substring(F.lower(F.substring(no_ws, 1, FINGERPRINT_CHARS)), 1, FINGERPRINT_CHARS)
 
 
-def text_digest(t) -> Column:
-    """Fixed-width digest of a text; shuffle keys carry this instead of long strings."""
-    return F.xxhash64(F.coalesce(_c(t), F.lit("")))
-
-
 def is_short_output(t) -> Column:
     return char_len(py_strip(F.coalesce(_c(t), F.lit("")))) < F.lit(SHORT_OUTPUT_CHARS)
 

@@ -13,6 +13,7 @@ from ..operators import audit as au
 from ..plans import catalog as cat
 from ..plans import planner as pl
 from ..plans import rules as ru
+from ..session import land
 from ..sources import fixtures as fx
 from .common import D_PAIRS, d_np_quantile, d_tokens_f, register
 
@@ -22,7 +23,7 @@ TASKS = ["chat", "code", "math", "roleplay", "cpt"]
 def plan_corpus(spark, sf) -> DataFrame:
     parts = [fx.text_records(spark, sf).drop("lang"), fx.messages_records(spark, sf),
              fx.pair_records(spark, sf).drop("conv_id", "turn")]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return land(reduce(lambda a, b: a.unionByName(b), parts), "plan-corpus")
 
 
 # DuckDB: A's per-row token estimate for the same slices.

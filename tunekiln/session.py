@@ -82,3 +82,15 @@ def is_local_path(path: str) -> bool:
 def ensure_parent(path: str) -> None:
     if is_local_path(path):
         os.makedirs(os.path.dirname(path.replace("file:", "")), exist_ok=True)
+
+
+def land(df, name: str):
+    """Write ``df`` once as Parquet under the checkpoint folder and return the re-read frame.
+
+    Used where several passes read the same derived rows (e.g. canonical samples): later passes
+    read columnar files with column pruning instead of re-deriving the rows, and the lineage is
+    cut (a lost executor does not send the work back to the sources)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -91,8 +91,3 @@ def number_rows(df: DataFrame, order_col: str, by: list[str] | None = None, out:
     # one row per (group, bucket); AQE broadcasts it when its measured size is small
     j = ranked.join(offsets, by + ["_b"])
     return j.withColumn(out, (F.col("_off") + F.col("_r")).cast("bigint")).drop("_b", "_r", "_off")
-
-
-def first_k_sorted(df: DataFrame, order: list[Column | str], k: int) -> DataFrame:
-    """First ``k`` rows by ``order`` (TakeOrderedAndProject: per-task top-k, then merge)."""
-    return df.orderBy(*order).limit(k)

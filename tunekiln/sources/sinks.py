@@ -12,6 +12,7 @@ REPORT_SCHEMA = (
     "avg_tokens double, p50_tokens bigint, p95_tokens bigint, p99_tokens bigint, score double, "
     "score_int bigint, grade string, passed boolean, issues array<string>, advice string"
 )
+REPORT_COLUMNS = [part.strip().split(" ")[0] for part in REPORT_SCHEMA.split(", ")]
 EVAL_SCHEMA = ("item_id bigint, instruction string, formatted_prompt string, expected string, "
                "base_model_output string, lora_model_output string")
 
@@ -20,17 +21,12 @@ def write_report(audit: DataFrame, path: str, by: list[str]) -> None:
     """One JSON document per slice: stats, score, grade, passed, issues, advice (V values).
     Float statistics are written to 1 decimal, as the validator's JSON output does."""
     from ..functions.text import round_even
-    cols = [c for c in REPORT_SCHEMA_COLUMNS() if c in audit.columns]
+    cols = [c for c in REPORT_COLUMNS if c in audit.columns]
     floats = {"avg_tokens", "score"}
     audit.select(*[round_even(c, 1).alias(c) if c in floats else F.col(c) for c in cols]) \
          .write.mode("overwrite").json(path)
 
 
-def REPORT_SCHEMA_COLUMNS() -> list[str]:
-    return [part.strip().split(" ")[0] for part in REPORT_SCHEMA.split(", ") if part.strip() and " " in part.strip()
-            and not part.strip().startswith("string")]
-
-
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REPORT_SCHEMA).json(path)
 
