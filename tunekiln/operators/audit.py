@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats as fm
 from ..functions import text as tx
+from ..session import checkpoint_dir
 
 # ---------------------------------------------------------------------------
 # Thresholds, issue texts and advice texts of the reference rules.
@@ -89,6 +90,7 @@ def grouped_counts(rows: DataFrame, by: list[str], keys: list[str], aggs: list[C
     # The grouped table (at most one narrow row per distinct key) feeds several consumers whose
     # pruned plans differ, so Spark would not reuse the exchange: write it once to the
     # checkpoint folder (reliable; also cuts the lineage of the text pass).
+    checkpoint_dir(rows.sparkSession)
     g = g.checkpoint(eager=True)
 
     def gid(members):
