@@ -52,7 +52,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the setting points at shared storage and is only read here. Where it is
     unset (tests, local runs) a fresh local folder is created and registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        return spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
     current = sc.getCheckpointDir()
     if current:
         return current
