@@ -54,8 +54,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     try:
         sc = spark.sparkContext
-    except Exception:  # Spark Connect: the server owns the checkpoint folder
-        return spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
+    except Exception:  # Spark Connect: only the configured shared folder can be used
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder for scratch tables")
+        return d
     current = sc.getCheckpointDir()
     if current:
         return current
