@@ -116,13 +116,16 @@ def parse_counts(samples: DataFrame, by=("slice",)) -> DataFrame:
 
 
 def _first_info(status: Column, raw_present: bool) -> Column:
-    keys = F.json_object_keys(F.col("raw")) if raw_present else F.map_keys(F.col("fields"))
+    """Per-row candidate for the slice's first record; the key list is parsed later, only for
+    the row that wins (the raw line or the field map rides along)."""
     obj = status == "ok"
+    src = F.col("raw") if raw_present else F.col("fields")
     return F.struct(
         F.when(obj, fm.fmt_v()).otherwise(F.lit(fm.FMT_UNKNOWN)).alias("fmt_v"),
         F.when(obj, fm.fmt_a()).otherwise(F.lit(fm.FMT_UNKNOWN)).alias("fmt_a"),
         F.when(obj, fm.fmt_t()).otherwise(F.lit(fm.FMT_UNKNOWN)).alias("fmt_t"),
-        F.coalesce(F.when(obj, keys), F.array().cast("array<string>")).alias("keys"),
+        obj.alias("obj"),
+        src.alias("src"),
     )
 
 
@@ -137,8 +140,10 @@ def slice_info(samples: DataFrame, by=("slice",), order: str = "line_no") -> Dat
         F.count_if(~bad).alias("valid_lines"),
         F.count_if(bad).alias("invalid_lines"),
         F.min_by(F.when(~bad, info), F.when(~bad, F.col(order))).alias("_f"))
+    parse = F.json_object_keys if "raw" in samples.columns else F.map_keys
+    keys = F.coalesce(F.when(F.col("_f.obj"), parse(F.col("_f.src"))), F.array().cast("array<string>"))
     return g.select(*by, "total_lines", "valid_lines", "invalid_lines", "_f.fmt_v", "_f.fmt_a", "_f.fmt_t",
-                    F.col("_f.keys").alias("first_keys"))
+                    keys.alias("first_keys"))
 
 
 def first_records(samples: DataFrame, by=("slice",), order: str = "line_no") -> DataFrame:
