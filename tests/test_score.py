@@ -108,3 +108,14 @@ def test_empty_share_can_exceed_100(spark):
     lines = [json.dumps({"instruction": "", "output": " "}) for _ in range(3)]
     got = run_v(spark, lines)
     assert got.empty_count == 6 and got.valid_lines == 3  # 200 % of the records
+
+
+def test_unknown_format_uses_first_record_keys(spark):
+    lines = [json.dumps({"prompt": "Hello there", "instruction": "Do it"}),
+             json.dumps({"prompt": "", "instruction": "x" * 300}),
+             json.dumps({"instruction": "only"})]
+    got = run_v(spark, lines)
+    exp = py_validate(lines)
+    assert got.detected_format == "unknown" and list(got.key_fields) == ["prompt", "instruction"]
+    assert (got.empty_count, got.p95_tokens) == (exp["empty"], exp["p95"])
+    assert abs(got.score - exp["score"]) < 1e-9

@@ -111,12 +111,19 @@ def _list_text_v(arr: Column) -> Column:
         m["is_obj"], F.coalesce(m["content"], m["value"], _E())).otherwise(F.coalesce(m["as_str"], _E()))), ""), _E())
 
 
+def field_value(k: Column) -> Column:
+    """String value of top-level key ``k``: typed column for the known keys, else ``fields``."""
+    return (F.when(k == "instruction", F.col("instruction")).when(k == "output", F.col("output"))
+            .when(k == "input", F.col("input")).when(k == "text", F.col("text"))
+            .otherwise(F.col("fields")[k]))
+
+
 def full_text_v(key_fmt, first_keys: Column | None = None) -> Column:
     """V: key fields concatenated with nothing; list items give content, else value."""
     c = _c(key_fmt)
     unknown = _E()
     if first_keys is not None:
-        unknown = F.array_join(F.transform(first_keys, lambda k: F.coalesce(F.col("fields")[k], _E())), "")
+        unknown = F.array_join(F.transform(first_keys, lambda k: F.coalesce(field_value(k), _E())), "")
     return (
         F.when(c == FMT_MESSAGES, _list_text_v(F.col("messages")))
         .when(c == FMT_IO, F.concat(F.coalesce(F.col("instruction"), _E()), F.coalesce(F.col("output"), _E())))

@@ -202,7 +202,7 @@ def empty_reason(k: str, kind: str) -> Column:
 def _empty_fields_count(kf: Column, first_keys: Column) -> Column:
     i = lambda c: c.cast("int")
     unknown = F.aggregate(first_keys, F.lit(0), lambda acc, k: acc + i(
-        F.coalesce(tx.is_blank(F.col("fields")[k]), F.lit(True))))
+        F.coalesce(tx.is_blank(fm.field_value(k)), F.lit(True))))
     return (
         F.when(kf == fm.FMT_MESSAGES, i(_empty_flag_list("messages")))
         .when(kf == fm.FMT_IO, i(_empty_flag_str("instruction")) + i(_empty_flag_str("output")))

@@ -6,7 +6,7 @@ Canonical sample columns (all operators read these):
     k_messages, k_instruction, k_output, k_conversations, k_text, k_input   -- key present
     instruction, input, output, text                       -- STRING or null
     messages, conversations                                -- ARRAY<TURN> when the value is a list
-    fields                                                 -- MAP<STRING,STRING> of top-level values
+    fields                                                 -- MAP<STRING,STRING>: other top-level string values
 
 TURN = STRUCT<role, content, from, value, is_obj, as_str>.
 """
@@ -79,7 +79,10 @@ def to_samples(parsed: DataFrame, keep: list[str] | None = None) -> DataFrame:
         cols.append(F.try_variant_get(rec, "$." + k, "string").alias(k))
     for k in ("messages", "conversations"):
         cols.append(_turns_from_variant(F.variant_get(rec, "$." + k, "variant")).alias(k))
-    cols.append(F.try_variant_get(rec, "$", "map<string,string>").alias("fields"))
+    # only keys without a typed column, so long values are not stored twice
+    known = F.array(*[F.lit(k) for k in FORMAT_KEYS])
+    extra = F.map_filter(F.try_variant_get(rec, "$", "map<string,string>"), lambda k, v: ~F.array_contains(known, k))
+    cols.append(extra.alias("fields"))
     return parsed.select(*cols)
 
 
@@ -108,12 +111,7 @@ def samples_from_columns(df: DataFrame, instruction=None, input=None, output=Non
         cols.append(F.lit(given[k]).alias("k_" + k))
     for k in ("instruction", "input", "output", "text", "messages", "conversations"):
         cols.append(parts[k].alias(k))
-    str_keys = [k for k in ("instruction", "input", "output", "text") if given[k]]
-    if str_keys:
-        fields = F.create_map(*[x for k in str_keys for x in (F.lit(k), parts[k])])
-    else:
-        fields = F.create_map().cast("map<string,string>")
-    cols.append(fields.alias("fields"))
+    cols.append(F.create_map().cast("map<string,string>").alias("fields"))
     return df.select(*cols)
 
 
