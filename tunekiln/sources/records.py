@@ -37,10 +37,14 @@ def strict_json_ok(raw: Column) -> Column:
 
 
 def parse_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add ``rec`` (VARIANT) and ``status`` to a frame of JSON lines (A strips the line first)."""
+    """Add ``rec`` (VARIANT) and ``status`` to a frame of JSON lines (A strips the line first).
+
+    Two parses per line: the array-wrapped parse both checks the line and yields the record
+    (its first element); the object-wrapped parse catches a stray ``]`` that would end the
+    array early."""
     body = py_strip(F.col(raw))
     ok = strict_json_ok(body)
-    rec = F.when(ok, F.try_parse_json(body))
+    rec = F.when(ok, F.variant_get(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), "$[0]", "variant"))
     status = (
         F.when(~ok, F.lit("bad_json"))
         .when(body.startswith("{"), F.lit("ok"))
