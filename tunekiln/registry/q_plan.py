@@ -124,9 +124,37 @@ def plan_hyperparams(spark, sf):
                      "warmup_steps", "save_steps", "scheduler", "neftune_alpha")
 
 
-@register("plan_hyper_reasons")
+D_REASONS = D_PLAN_ROWS + """,
+rq AS (SELECT ps.slice, ps.n, t.task FROM ps,
+       (VALUES ('chat'), ('code'), ('math'), ('roleplay'), ('cpt')) AS t(task)),
+""" + _d_hyper_select("(SELECT *, 'qwen2-7b' AS model, 24.0::DOUBLE AS gpu_gb FROM rq)") + """,
+rr AS (SELECT *,
+  CASE WHEN n < 500 THEN '极小数据集（<500），使用 r=4 防止严重过拟合' WHEN n < 1000 THEN '小数据集（<1k），使用 r=4 防止过拟合'
+       WHEN n < 5000 THEN '中等数据集（1k-5k），r=8 平衡学习能力与泛化' WHEN n < 20000 THEN '大数据集（5k-20k），r=16 充分学习新知识'
+       ELSE '超大数据集（>20k），r=32 捕获复杂模式' END AS base_reason,
+  CASE WHEN n < 500 THEN 4 WHEN n < 1000 THEN 8 WHEN n < 5000 THEN 16 WHEN n < 20000 THEN 32 ELSE 999 END AS ceil_r,
+  CASE WHEN n < 500 THEN 8 WHEN n < 1000 THEN 16 WHEN n < 5000 THEN 32 ELSE 64 END AS cpt_r,
+  CASE WHEN n < 1000 THEN 4 WHEN n < 5000 THEN 8 WHEN n < 20000 THEN 16 ELSE 32 END AS base_r FROM hp)
+"""
+
+
+@register("plan_hyper_reasons", sql="WITH " + D_REASONS + """
+SELECT slice, task, base_reason || CASE
+    WHEN task = 'cpt' THEN CASE WHEN cpt_r > ceil_r THEN printf('；CPT 需要更强 rank 注入领域知识，r=%d', cpt_r)
+                                ELSE printf('；CPT 模式，r=%d', least(ceil_r, 64)) END
+    WHEN task = 'code' THEN CASE WHEN 16 > ceil_r THEN printf('；代码任务建议 r=16，但数据仅 %d 条，降为 r=%d 防止过拟合', n, ceil_r)
+                                 WHEN base_r < 16 THEN '；代码任务需要更高 rank 学习语法结构' ELSE '' END
+    WHEN task = 'math' THEN CASE WHEN 16 > ceil_r THEN printf('；数学推理建议 r=16，但数据仅 %d 条，降为 r=%d 防止过拟合', n, ceil_r)
+                                 WHEN base_r < 16 THEN '；数学推理需要更高 rank 学习推理链' ELSE '' END
+    WHEN task = 'roleplay' THEN '；角色扮演用较小 rank 保留更多基础语言能力' ELSE '' END AS rank_reason,
+  CASE task WHEN 'cpt' THEN printf('CPT：alpha=%d（2×rank），标准比例', alpha)
+            WHEN 'roleplay' THEN printf('角色扮演：alpha=%d（4×rank），增强风格学习强度', alpha)
+            WHEN 'code' THEN printf('代码任务：alpha=%d（2×rank），标准比例', alpha)
+            WHEN 'math' THEN printf('数学推理：alpha=%d（1×rank），保守更新，保留推理链', alpha)
+            ELSE printf('通用对话：alpha=%d（2×rank），标准比例', alpha) END AS alpha_reason
+FROM rr""")
 def plan_hyper_reasons(spark, sf):
-    """Reason strings of rank and alpha per slice and task (compared as rows only)."""
+    """Reason strings of rank and alpha per slice and task."""
     stats = pl.slice_stats(plan_corpus(spark, sf), ["slice"])
     req = stats.select("slice", "n", F.explode(F.array(*[F.lit(t) for t in TASKS])).alias("task"),
                        F.lit("qwen2-7b").alias("model"), F.lit(ru.DEFAULT_GPU_GB).alias("gpu_gb"))
