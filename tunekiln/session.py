@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -76,20 +75,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + "/tunekiln-" + name + "-" + uuid.uuid4().hex[:12]
 
 
-def cut_lineage(df, spark: SparkSession | None = None):
-    """Materialise ``df`` reliably (survives executor loss) and return the re-read frame."""
-    return df.checkpoint(eager=True)
-
-
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
-def ensure_parent(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(os.path.dirname(path.replace("file:", "")), exist_ok=True)
-
-
 def land(df, name: str):
     """Write ``df`` once as Parquet under the checkpoint folder and return the re-read frame.
 
