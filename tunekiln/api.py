@@ -58,3 +58,13 @@ def plan(samples: DataFrame, by=("slice",), task: str = "chat", model: str = "qw
     """Training plan per slice (sequence length, rule columns, memory of the matched model)."""
     s = samples if "sample_id" in samples.columns else samples.withColumnRenamed("line_no", "sample_id")
     return planner.full_plan(s, list(by), task, model, gpu_gb)
+
+
+def report(samples: DataFrame, path: str | None = None, by=("slice",)) -> DataFrame:
+    """Both reports per slice as one document (analyzer: length, quality, format; validator:
+    passed, stats, issues, advice); written as JSON when ``path`` is given."""
+    from .sources.sinks import write_report
+    rep = au.audit_report(samples, list(by), "line_no")
+    if path:
+        write_report(rep, path)
+    return rep

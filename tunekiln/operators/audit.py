@@ -472,3 +472,29 @@ def truncation(samples: DataFrame, max_len: int = 2048, by=("slice",), order: st
     st = token_stats(r, by, "tokens", p99=False)
     return st.join(over, by).withColumn("p95_over", F.col("p95_tokens") > max_len).withColumn(
         "max_len", F.lit(max_len))
+
+
+def audit_report(samples: DataFrame, by=("slice",), order: str = "line_no") -> DataFrame:
+    """One row per slice holding both reports: the analyzer part (``length``, ``quality``,
+    ``format``) and the validator part (``passed``, ``stats``, ``issues``, ``advice``)."""
+    by = _by(by)
+    v = v_audit(samples, by, order)
+    ln = length_stats(samples, by)
+    q = quality_a(samples, by)
+    first = first_records(samples, by, order)
+    length = F.struct(F.col("min_chars").alias("min"), F.col("max_chars").alias("max"),
+                      F.col("mean_chars").alias("mean"), F.col("median_chars").alias("median"),
+                      F.col("p80_chars").alias("percentile_80"), F.col("p95_chars").alias("percentile_95"),
+                      F.col("total_samples"), F.col("p95_tokens_est").alias("estimated_p95_tokens"),
+                      F.col("median_tokens_est").alias("estimated_median_tokens"))
+    quality = F.struct("has_issues", F.col("issues").alias("issues"), "empty_output_ratio", "duplicate_ratio",
+                       "bilingual_ratio")
+    a = (ln.join(q.select(*by, "has_issues", "issues", "empty_output_ratio", "duplicate_ratio", "bilingual_ratio"), by)
+         .join(first.select(*by, "fmt_a", "first_keys"), by, "left")
+         .select(*by, length.alias("length"), quality.alias("quality"),
+                 F.struct(F.col("fmt_a").alias("format"), F.col("first_keys").alias("fields")).alias("format")))
+    stats = F.struct("total_lines", "valid_lines", "invalid_lines", "detected_format", "key_fields", "empty_count",
+                     "dup_count", "total_duplicates", tx.round_even("avg_tokens", 1).alias("avg_tokens"),
+                     "p50_tokens", "p95_tokens", "p99_tokens", tx.round_even("score", 1).alias("score"), "grade")
+    vv = v.select(*by, "passed", stats.alias("stats"), "issues", "advice")
+    return vv.join(a, by, "left")

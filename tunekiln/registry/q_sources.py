@@ -14,7 +14,8 @@ from ..sources import fixtures as fx
 from ..sources import sinks
 from ..sources.lines import read_lines, read_questions
 from ..sources.records import map_aliases, parse_lines
-from .common import D_JSONL, D_PAIRS, d_fp, d_rank, d_strip, d_tokens_v, register
+from .common import (D_JSONL, D_PAIRS, d_fp, d_np_quantile, d_np_round, d_rank, d_short, d_strip, d_tokens_f,
+                     d_tokens_v, register)
 
 ORDER = "line_no"
 
@@ -319,21 +320,45 @@ D_JSONL_V = D_JSONL_V.replace("{blank_i}", _db("instruction")).replace("{blank_o
     "{blank_t}", _db("text"))
 
 
-@register("snk_audit_report", sql="WITH " + D_JSONL_V + """
-SELECT slice, total_lines, valid_lines, invalid_lines, detected_format, empty_count, dup_count, total_duplicates,
+@register("snk_audit_report", sql="WITH " + D_JSONL_V + f""",
+ja0 AS (
+  SELECT slice,
+         CASE WHEN messages IS NOT NULL
+              THEN array_to_string(list_transform(messages, lambda m: coalesce(json_extract_string(m, '$.content'), '')), ' ')
+              ELSE coalesce(instruction, '') || ' ' || coalesce(output, '') END AS t,
+         CASE WHEN messages IS NOT NULL THEN coalesce(json_extract_string(list_filter(messages, lambda m:
+                   json_extract_string(m, '$.role') = 'assistant')[-1], '$.content'), '')
+              ELSE coalesce(output, '') END AS o
+  FROM js WHERE status = 'ok'),
+ja1 AS (SELECT slice, length(t) AS chars, {d_tokens_f('t')} AS tf, md5(t) AS k, {d_short('o')} AS short FROM ja0),
+ja2 AS (SELECT slice, count(*) AS n, avg(chars) AS mc, list_sort(list(chars)) AS sc, list_sort(list(tf)) AS st,
+               count(*) FILTER (WHERE short) AS short_n, count(*) - count(DISTINCT k) AS dup_n FROM ja1 GROUP BY slice)
+SELECT jsc.slice, total_lines, valid_lines, invalid_lines, detected_format, empty_count, dup_count, total_duplicates,
        p95_tokens, round_even(score, 1) AS score, round_even(avg_tokens, 1) AS avg_tokens,
        CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 60 THEN 'Fair'
-            WHEN score >= 40 THEN 'Poor' ELSE 'Unusable' END AS grade, score >= 60 AS passed
-FROM jsc""")
+            WHEN score >= 40 THEN 'Poor' ELSE 'Unusable' END AS grade, score >= 60 AS passed,
+       ja2.n AS a_samples, {d_np_round('ja2.mc', 1)} AS a_mean_chars,
+       CAST(trunc({d_np_quantile('ja2.sc', 'ja2.n', 0.95)}) AS BIGINT) AS a_p95_chars,
+       CAST(trunc({d_np_quantile('ja2.st', 'ja2.n', 0.95)}) AS BIGINT) AS a_p95_tokens,
+       round_even(ja2.short_n / ja2.n, 4) AS a_empty_output_ratio, round_even(ja2.dup_n / ja2.n, 4) AS a_duplicate_ratio,
+       ff.first_fmt_a AS a_format
+FROM jsc LEFT JOIN ja2 USING (slice) LEFT JOIN ff USING (slice)""")
 def snk_audit_report(spark, sf):
-    """V audit of the JSON-lines fixture written as one JSON report per slice (floats to 1
-    decimal), read back."""
-    rep = au.v_audit(_jsonl(spark, sf), ["slice"], ORDER)
+    """Analyzer + validator report of the JSON-lines fixture, one JSON document per slice
+    (length, quality, format, passed, stats with floats to 1 decimal, issues, advice), read back."""
+    rep = au.audit_report(_jsonl(spark, sf), ["slice"], ORDER)
     path = scratch_path(spark, "report")
-    sinks.write_report(rep, path, ["slice"])
+    sinks.write_report(rep, path)
     back = sinks.read_report(spark, path)
-    return back.select("slice", "total_lines", "valid_lines", "invalid_lines", "detected_format", "empty_count",
-                       "dup_count", "total_duplicates", "p95_tokens", "score", "avg_tokens", "grade", "passed")
+    return back.select("slice", "stats.total_lines", "stats.valid_lines", "stats.invalid_lines",
+                       "stats.detected_format", "stats.empty_count", "stats.dup_count", "stats.total_duplicates",
+                       "stats.p95_tokens", "stats.score", "stats.avg_tokens", "stats.grade", "passed",
+                       F.col("length.total_samples").alias("a_samples"), F.col("length.mean").alias("a_mean_chars"),
+                       F.col("length.percentile_95").alias("a_p95_chars"),
+                       F.col("length.estimated_p95_tokens").alias("a_p95_tokens"),
+                       F.col("quality.empty_output_ratio").alias("a_empty_output_ratio"),
+                       F.col("quality.duplicate_ratio").alias("a_duplicate_ratio"),
+                       F.col("format.format").alias("a_format"))
 
 
 @register("snk_train_text", sql="""

@@ -7,24 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPORT_SCHEMA = (
-    "slice string, total_lines bigint, valid_lines bigint, invalid_lines bigint, detected_format string, "
-    "key_fields array<string>, empty_count bigint, dup_count bigint, total_duplicates bigint, "
-    "avg_tokens double, p50_tokens bigint, p95_tokens bigint, p99_tokens bigint, score double, "
-    "score_int bigint, grade string, passed boolean, issues array<string>, advice string"
+    "slice string, passed boolean, "
+    "stats struct<total_lines:bigint, valid_lines:bigint, invalid_lines:bigint, detected_format:string, "
+    "key_fields:array<string>, empty_count:bigint, dup_count:bigint, total_duplicates:bigint, avg_tokens:double, "
+    "p50_tokens:bigint, p95_tokens:bigint, p99_tokens:bigint, score:double, grade:string>, "
+    "issues array<string>, advice string, "
+    "length struct<min:bigint, max:bigint, mean:double, median:double, percentile_80:bigint, percentile_95:bigint, "
+    "total_samples:bigint, estimated_p95_tokens:bigint, estimated_median_tokens:double>, "
+    "quality struct<has_issues:boolean, issues:array<string>, empty_output_ratio:double, duplicate_ratio:double, "
+    "bilingual_ratio:double>, "
+    "format struct<format:string, fields:array<string>>"
 )
-REPORT_COLUMNS = [part.strip().split(" ")[0] for part in REPORT_SCHEMA.split(", ")]
 EVAL_SCHEMA = ("item_id bigint, instruction string, formatted_prompt string, expected string, "
                "base_model_output string, lora_model_output string")
 
 
-def write_report(audit: DataFrame, path: str, by: list[str]) -> None:
-    """One JSON document per slice: stats, score, grade, passed, issues, advice (V values).
-    Float statistics are written to 1 decimal, as the validator's JSON output does."""
-    from ..functions.text import round_even
-    cols = [c for c in REPORT_COLUMNS if c in audit.columns]
-    floats = {"avg_tokens", "score"}
-    audit.select(*[round_even(c, 1).alias(c) if c in floats else F.col(c) for c in cols]) \
-         .write.mode("overwrite").json(path)
+def write_report(report: DataFrame, path: str) -> None:
+    """One JSON document per slice (``operators.audit.audit_report``): length, quality, format,
+    passed, stats (floats to 1 decimal), issues, advice. One file per task."""
+    report.write.mode("overwrite").json(path)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
