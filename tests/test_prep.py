@@ -29,8 +29,8 @@ def test_pack_invariants(spark):
     rows = [(i, (i * 37) % 900 + (5000 if i % 97 == 0 else 0)) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, tokens long")
     seq = 1024
-    shards = prep.pack_shard_count(df, "tokens", tokens_per_shard=200_000)
-    assert shards == math.ceil(sum(t + 1 for _, t in rows) / 200_000)
+    shards = prep.pack_shard_count(df, samples_per_shard=700)
+    assert shards == math.ceil(3000 / 700)
     pieces = prep.pack(df, "id", "tokens", seq, prep.hash_shard("id", shards)).collect()
     by_sample = {}
     for p in pieces:

@@ -201,10 +201,9 @@ def win_split(spark, sf):
 
 
 PACK_SEQ = 2048
-# shard count from the data: ceil(Σ(tokens + 1) / 2^27); samples go to shard doc_id % shards
+# shard count from the data: ceil(rows / 2^20); samples go to shard doc_id % shards
 D_SHARDS = f"""
-nsh AS (SELECT CAST(greatest(1, ceil(sum({d_tokens_v('text')} + 1) / {prep.PACK_TOKENS_PER_SHARD})) AS BIGINT) AS shards
-        FROM documents)
+nsh AS (SELECT CAST(greatest(1, ceil(count(*) / {prep.PACK_SAMPLES_PER_SHARD})) AS BIGINT) AS shards FROM documents)
 """
 D_PACK = D_SHARDS + f""",
 pt AS (SELECT doc_id % nsh.shards AS shard, doc_id AS sample_id, {d_tokens_v('text')} + 1 AS sample_len
@@ -222,7 +221,7 @@ pieces AS (SELECT shard, pack, sample_id, greatest(s, pack * {PACK_SEQ}) - s AS
 
 def _pieces(spark, sf):
     d = fx.table(spark, sf, "documents").select("doc_id", tx.tokens_v("text").alias("tokens"))
-    shards = prep.pack_shard_count(d, "tokens")
+    shards = prep.pack_shard_count(d)
     # doc_id modulo the shard count (repeatable in SQL); the library default is hash_shard
     return prep.pack(d, "doc_id", "tokens", PACK_SEQ, F.pmod(F.col("doc_id"), F.lit(shards)))
 
@@ -230,7 +229,7 @@ def _pieces(spark, sf):
 @register("win_pack", sql="WITH " + D_PACK + " SELECT * FROM pieces")
 def win_pack(spark, sf):
     """Documents (+1 end-of-text token each) packed into 2048-token sequences; the shard count
-    grows with the corpus (one shard per ~134M tokens)."""
+    grows with the corpus (one shard per ~1M samples)."""
     return _pieces(spark, sf)
 
 
@@ -264,7 +263,7 @@ def win_pack_gain(spark, sf):
     """Padded vs packed fill rate and packing suitability per source."""
     d = fx.table(spark, sf, "documents").select(F.col("source").alias("slice"), "doc_id",
                                                 tx.tokens_v("text").alias("tokens"))
-    shards = prep.pack_shard_count(d, "tokens")
+    shards = prep.pack_shard_count(d)
     g = prep.pack_gain(d, ["slice"], "tokens", PACK_SEQ, F.pmod(F.col("doc_id"), F.lit(shards)))
     return g.select("slice", "n", "total_tokens", F.col("n_packs").cast("bigint").alias("n_packs"), "mean_tokens",
                     "fill_padded", "fill_packed", "speedup", "suitable")
