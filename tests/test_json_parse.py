@@ -66,3 +66,17 @@ def test_split_keeps_existing_part(spark):
     assert sum(1 for (s, i), v in got.items() if s == "a" and v == "test") == 3
     assert all(got[("a", i)] == "test" for i in range(3))
     assert sum(1 for (s, i), v in got.items() if s == "b" and v == "test") == 2  # ceil(0.1 * 20)
+
+
+def test_fuzz_against_python(spark):
+    """Random near-JSON strings: the only declared difference is bare NaN / Infinity."""
+    import random
+    r = random.Random(3)
+    atoms = ['{', '}', '[', ']', ':', ',', '"a"', '"b\\n"', '1', '-0', '1e5', '1.5E-3', 'true', 'false', 'null',
+             ' ', '\t', '"\\u00e9"', '"\\ud800"', '"x\\"y"', '01', '.5', '1.', '+1', 'NaN', 'Infinity', "'a'",
+             '"\x01"', '"é"', '/*c*/', '"a"}', '12345678901234567890123']
+    cases = sorted({"".join(r.choice(atoms) for _ in range(r.randint(1, 8))) for _ in range(3000)})
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(cases)], "i int, raw string")
+    got = {row.i: row.status for row in parse_lines(df).select("i", "status").collect()}
+    diff = [c for i, c in enumerate(cases) if got[i] != py_status(c)]
+    assert all(("NaN" in c or "Infinity" in c) for c in diff), diff[:5]
