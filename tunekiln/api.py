@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import formats as fm
 from .operators import audit as au
 from .operators import prep
-from .plans import planner
+from .plans import corpus_plan
 from .session import land, prepare
 from .sources.lines import read_lines
 from .sources.records import parse_lines, to_samples
@@ -57,7 +57,7 @@ def plan(samples: DataFrame, by=("slice",), task: str = "chat", model: str = "qw
          gpu_gb: float = 24.0) -> DataFrame:
     """Training plan per slice (sequence length, rule columns, memory of the matched model)."""
     s = samples if "sample_id" in samples.columns else samples.withColumnRenamed("line_no", "sample_id")
-    return planner.full_plan(s, list(by), task, model, gpu_gb)
+    return corpus_plan.full_plan(s, list(by), task, model, gpu_gb)
 
 
 def report(samples: DataFrame, path: str | None = None, by=("slice",)) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import formats as fm
 from ..functions import text as tx
 from ..operators import audit as au
 from ..plans import catalog as cat
-from ..plans import planner as pl
+from ..plans import corpus_plan as pl
 from ..plans import rules as ru
 from ..session import land
 from ..sources import fixtures as fx
