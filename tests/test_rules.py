@@ -74,3 +74,10 @@ def test_memory_check_value(spark):
     ov = (w + a + o) * 0.15
     assert x.total == round(w + a + o + ov, 2) == 4.63
     assert x.model_weight == round(w, 2) and x.activation == round(a, 2)
+
+
+def test_target_modules_strict_doc(spark):
+    df = spark.createDataFrame([("32b",), ("13b",), ("7b",), ("qwen2-72b",)], "model string")
+    coded = [len(r[0]) for r in df.select(ru.target_modules(F.lit("chat"), F.col("model"))).collect()]
+    prose = [len(r[0]) for r in df.select(ru.target_modules(F.lit("chat"), F.col("model"), strict_doc=True)).collect()]
+    assert coded == [2, 3, 2, 2] and prose == [3, 3, 2, 2]

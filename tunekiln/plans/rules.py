@@ -124,11 +124,14 @@ def model_size_b(model: Column) -> Column:
     return F.when(s.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(s).cast("int")).otherwise(F.lit(DEFAULT_SIZE_B))
 
 
-def target_modules(task: Column, model: Column) -> Column:
+def target_modules(task: Column, model: Column, strict_doc: bool = False) -> Column:
+    """Modules by task; ``o_proj`` is added for large models: the listed sizes (the rule as coded)
+    or, with ``strict_doc``, any size of at least 13B (the rule as documented)."""
     mods = F.array(*[F.lit(m) for m in MODULES["chat"]])
     for t in ("cpt", "code", "math", "roleplay"):
         mods = F.when(task == t, F.array(*[F.lit(m) for m in MODULES[t]])).otherwise(mods)
-    large = model_size_b(model).isin(*LARGE_SIZES)
+    size = model_size_b(model)
+    large = (size >= 13) if strict_doc else size.isin(*LARGE_SIZES)
     return F.when(large & ~F.array_contains(mods, "o_proj"), F.array_append(mods, F.lit("o_proj"))).otherwise(mods)
 
 
