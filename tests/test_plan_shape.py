@@ -29,5 +29,5 @@ def test_score_plan_broadcasts_slice_table(spark):
     p = _plan(df)
     assert "isFinalPlan=true" in p
     assert "BroadcastHashJoin" in p
-    # the text rules ran once, in the checkpointed GROUPING SETS table; the final plan reads it
-    assert "ExistingRDD" in p and "regexp_count" not in p
+    # the text rules ran once, into the landed GROUPING SETS table; the final plan reads it
+    assert "FileScan parquet" in p and "regexp_count" not in p

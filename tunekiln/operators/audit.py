@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats as fm
 from ..functions import text as tx
-from ..session import checkpoint_dir
+from ..session import land
 
 # ---------------------------------------------------------------------------
 # Thresholds, issue texts and advice texts of the reference rules.
@@ -88,10 +88,9 @@ def grouped_counts(rows: DataFrame, by: list[str], keys: list[str], aggs: list[C
     extra = aggs or []
     g = rows.groupingSets(sets, *cols).agg(F.count(F.lit(1)).alias("_c"), *extra, F.grouping_id().alias("_gid"))
     # The grouped table (at most one narrow row per distinct key) feeds several consumers whose
-    # pruned plans differ, so Spark would not reuse the exchange: write it once to the
-    # checkpoint folder (reliable; also cuts the lineage of the text pass).
-    checkpoint_dir(rows.sparkSession)
-    g = g.checkpoint(eager=True)
+    # pruned plans differ, so Spark would not reuse the exchange: write it once as Parquet in the
+    # checkpoint folder (reliable, columnar; also cuts the lineage of the text pass).
+    g = land(g, "grouped")
 
     def gid(members):
         return sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in members)
