@@ -62,26 +62,12 @@ def fit(seq: DataFrame) -> DataFrame:
     mem = ru.memory(F.col("params"), F.col("hidden"), F.col("layers"), F.col("seq_len"), F.col("batch_size"),
                     F.col("rank"), F.col("modules"))
     x = x.withColumn("mem", mem)
-    x = x.withColumn("_tot", F.col("mem.total"))
-    # verdicts use the unrounded total, as the reference compares before rounding for display
-    raw_total = _raw_total(x)
-    x = x.withColumn("_raw", raw_total)
-    x = x.withColumn("hv", ru.headroom_verdict(F.col("_raw"), F.col("gpu_gb")))
-    x = x.withColumn("cv", ru.card_verdict(F.col("_raw")))
+    # the verdicts read the rounded total, as the reported memory figure is rounded first
+    x = x.withColumn("hv", ru.headroom_verdict(F.col("mem.total"), F.col("gpu_gb")))
+    x = x.withColumn("cv", ru.card_verdict(F.col("mem.total")))
     return x.select("slice", "model", "gpu", "seq_len", "rank", "batch_size", "modules",
                     "mem.model_weight", "mem.activation", "mem.optimizer", "mem.overhead", "mem.total",
-                    "hv.headroom_gb", "hv.fits", "hv.headroom_band", "cv.card_gb", "cv.status")
-
-
-def _raw_total(x: DataFrame):
-    h = F.col("hidden").cast("bigint")
-    r = F.col("rank").cast("bigint")
-    m = F.col("modules").cast("bigint")
-    L = F.col("layers").cast("bigint")
-    w = F.col("params") * F.lit(0.5) / F.lit(1e9) + (L * (F.lit(2) * r * h * m) * 2) / F.lit(1e9)
-    a = (F.col("batch_size").cast("bigint") * F.col("seq_len").cast("bigint") * h * 2) / F.lit(1e9) * L.cast("double") * F.lit(0.3)
-    o = (L * m * (F.lit(2) * r * h)) * 8 / F.lit(1e9)
-    return w + a + o + (w + a + o) * F.lit(0.15)
+                    "hv.headroom_gb", "hv.fits", "hv.headroom_band", "cv.card_gb", "cv.status", "cv.advice")
 
 
 def apply_overrides(plan: DataFrame, ov: DataFrame, cols: list[str], on: str = "slice") -> DataFrame:

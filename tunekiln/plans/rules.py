@@ -72,6 +72,18 @@ CHECKPOINT_ACTIVATION_SHARE = 0.3
 OVERHEAD_SHARE = 0.15
 CARD_STEPS = [6, 8, 12, 16, 24, 48]
 HEADROOM_YES_GB = 4.0
+MODE_4BIT, MODE_FP16 = "QLoRA 4-bit", "LoRA FP16"
+CARD_ADVICE = [
+    (6, "[OK] 可在 6GB 显卡上运行（%s，如 RTX 3060/4060 笔记本）"),
+    (8, "[OK] 可在 8GB 显卡上运行（%s，如 RTX 3070/4060Ti）"),
+    (12, "[OK] 可在 12GB 显卡上运行（%s，如 RTX 3080/4070）"),
+    (16, "[OK] 可在 16GB 显卡上运行（%s，如 RTX 4080）"),
+]
+CARD_ADVICE_24_4BIT = "[OK] 可在 24GB 显卡上运行（%s，如 RTX 3090/4090）"
+CARD_ADVICE_24_FP16 = "[WARN] 需要 24GB 显存（%s，如 RTX 3090/4090）建议开启 QLoRA"
+CARD_ADVICE_48 = "[WARN] 需要 48GB 显存（%s，如 A6000）建议减小 batch size 或序列长度"
+CARD_ADVICE_FAIL_FP16 = "[FAIL] 显存不足！请：1) 开启 QLoRA 4-bit 量化  2) 降低 seq_length  3) 减小 batch_size  4) 换更小的模型"
+CARD_ADVICE_FAIL_4BIT = "[FAIL] 显存不足！请：1) 降低 seq_length  2) 减小 batch_size  3) 换更小的模型"
 # ---------------------------------------------------------------------------
 
 
@@ -227,14 +239,20 @@ def memory(params: Column, hidden: Column, layers: Column, seq: Column, batch: C
 
 
 def card_verdict(total: Column, quantized: bool = True) -> Column:
-    """A's advice band: smallest card step above the total, OK/WARN/FAIL."""
+    """Advice band on the (rounded) total: smallest card step above it, OK/WARN/FAIL, advice text."""
     step = F.lit(None).cast("int")
     for s in reversed(CARD_STEPS):
         step = F.when(total < s, F.lit(s)).otherwise(step)
     status = (F.when(total < 16, F.lit("OK"))
               .when(total < 24, F.lit("OK" if quantized else "WARN"))
               .when(total < 48, F.lit("WARN")).otherwise(F.lit("FAIL")))
-    return F.struct(step.alias("card_gb"), status.alias("status"))
+    mode = MODE_4BIT if quantized else MODE_FP16
+    advice = F.lit(CARD_ADVICE_FAIL_4BIT if quantized else CARD_ADVICE_FAIL_FP16)
+    advice = F.when(total < 48, F.lit(CARD_ADVICE_48 % mode)).otherwise(advice)
+    advice = F.when(total < 24, F.lit((CARD_ADVICE_24_4BIT if quantized else CARD_ADVICE_24_FP16) % mode)).otherwise(advice)
+    for lim, text in reversed(CARD_ADVICE):
+        advice = F.when(total < lim, F.lit(text % mode)).otherwise(advice)
+    return F.struct(step.alias("card_gb"), status.alias("status"), advice.alias("advice"))
 
 
 def headroom_verdict(total: Column, gpu_gb: Column) -> Column:

@@ -216,21 +216,28 @@ fit1 AS (
          (batch_size * seq_len * hidden * 2) / 1e9::DOUBLE * layers * 0.3::DOUBLE AS a,
          (layers * modules * (2 * rank * hidden)) * 8 / 1e9::DOUBLE AS o FROM fit0),
 fit2 AS (SELECT *, (w + a + o) * 0.15::DOUBLE AS ov FROM fit1),
-fit AS (SELECT *, w + a + o + ov AS tot FROM fit2)
+fit AS (SELECT *, w + a + o + ov AS tot0, round_even(w + a + o + ov, 2) AS tot FROM fit2)
 """
 
 
 @register("plan_fit", sql="WITH " + D_FIT + """
 SELECT slice, model, gpu, seq_len, rank, batch_size, modules,
        round_even(w, 2) AS model_weight, round_even(a, 2) AS activation, round_even(o, 2) AS optimizer,
-       round_even(ov, 2) AS overhead, round_even(tot, 2) AS total,
+       round_even(ov, 2) AS overhead, tot AS total,
        round_even(gpu_gb - tot, 2) AS headroom_gb,
        CASE WHEN gpu_gb - tot >= 4 THEN 'Yes' WHEN gpu_gb - tot >= 0 THEN 'Tight' ELSE 'No' END AS fits,
        CASE WHEN (gpu_gb - tot) / gpu_gb > 0.30 THEN 'safe' WHEN (gpu_gb - tot) / gpu_gb >= 0.10 THEN 'possible'
             WHEN (gpu_gb - tot) / gpu_gb >= 0 THEN 'risky' ELSE 'over' END AS headroom_band,
        CASE WHEN tot < 6 THEN 6 WHEN tot < 8 THEN 8 WHEN tot < 12 THEN 12 WHEN tot < 16 THEN 16
             WHEN tot < 24 THEN 24 WHEN tot < 48 THEN 48 END AS card_gb,
-       CASE WHEN tot < 24 THEN 'OK' WHEN tot < 48 THEN 'WARN' ELSE 'FAIL' END AS status
+       CASE WHEN tot < 24 THEN 'OK' WHEN tot < 48 THEN 'WARN' ELSE 'FAIL' END AS status,
+       CASE WHEN tot < 6 THEN '[OK] 可在 6GB 显卡上运行（QLoRA 4-bit，如 RTX 3060/4060 笔记本）'
+            WHEN tot < 8 THEN '[OK] 可在 8GB 显卡上运行（QLoRA 4-bit，如 RTX 3070/4060Ti）'
+            WHEN tot < 12 THEN '[OK] 可在 12GB 显卡上运行（QLoRA 4-bit，如 RTX 3080/4070）'
+            WHEN tot < 16 THEN '[OK] 可在 16GB 显卡上运行（QLoRA 4-bit，如 RTX 4080）'
+            WHEN tot < 24 THEN '[OK] 可在 24GB 显卡上运行（QLoRA 4-bit，如 RTX 3090/4090）'
+            WHEN tot < 48 THEN '[WARN] 需要 48GB 显存（QLoRA 4-bit，如 A6000）建议减小 batch size 或序列长度'
+            ELSE '[FAIL] 显存不足！请：1) 降低 seq_length  2) 减小 batch_size  3) 换更小的模型' END AS advice
 FROM fit""")
 def plan_fit(spark, sf):
     """Slice × catalogue model × card: QLoRA memory parts (R10), headroom and verdicts (R11)."""
