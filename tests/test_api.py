@@ -35,3 +35,18 @@ def test_validate_files_equals_frame_path(spark):
     assert counts["test"] > 0 and counts["train"] > counts["test"]
     p = api.plan(samples).collect()
     assert len(p) == len(exp) and all(r.seq_len >= 512 for r in p)
+
+
+def test_command_line_validate(spark, capsys):
+    import json
+    import os
+    from tunekiln.__main__ import main
+    d = tempfile.mkdtemp(prefix="run-cli-", dir="/tmp")
+    with open(os.path.join(d, "a.jsonl"), "w") as fh:
+        for i in range(120):
+            fh.write(json.dumps({"instruction": f"question {i}", "output": "answer " * (i % 9 + 1)}) + "\n")
+        fh.write("{broken\n")
+    assert main(["validate", d]) == 0
+    rows = [json.loads(l) for l in capsys.readouterr().out.strip().splitlines()]
+    assert len(rows) == 1 and rows[0]["valid_lines"] == 120 and rows[0]["invalid_lines"] == 1
+    assert rows[0]["detected_format"] == "instruction-output"
