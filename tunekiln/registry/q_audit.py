@@ -22,8 +22,9 @@ def corpus(spark, sf) -> DataFrame:
     """Four slice families as canonical samples: documents (text, one slice per source),
     conversations (messages), user→assistant pairs, and defect-injected pairs."""
     docs = fx.text_records(spark, sf).drop("lang")
-    parts = [docs, fx.messages_records(spark, sf), fx.pair_records(spark, sf).drop("conv_id", "turn"),
-             fx.defects(spark, sf).drop("conv_id", "turn")]
+    p = fx.pairs(spark, sf)  # one pairing plan feeds both the clean and the defect slice
+    parts = [docs, fx.messages_records(spark, sf), fx.pair_records(spark, sf, pairs_df=p).drop("conv_id", "turn"),
+             fx.defects(spark, sf, pairs_df=p).drop("conv_id", "turn")]
     # landed once as Parquet: the audit's passes read it instead of re-deriving the fixtures
     return land(reduce(lambda a, b: a.unionByName(b), parts), "corpus")
 

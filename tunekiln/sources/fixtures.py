@@ -93,8 +93,8 @@ def pairs(spark, sf_dir) -> DataFrame:
     return pair_turns(table(spark, sf_dir, "conversations"))
 
 
-def pair_records(spark, sf_dir, slice_value: str = "pairs") -> DataFrame:
-    p = pairs(spark, sf_dir).select(F.lit(slice_value).alias("slice"),
+def pair_records(spark, sf_dir, slice_value: str = "pairs", pairs_df: DataFrame | None = None) -> DataFrame:
+    p = (pairs_df if pairs_df is not None else pairs(spark, sf_dir)).select(F.lit(slice_value).alias("slice"),
                                     (F.col("conv_id") * 1000 + F.col("turn")).alias("sample_id"),
                                     "conv_id", "turn", "instruction", "output")
     return samples_from_columns(p, instruction="instruction", output="output",
@@ -153,10 +153,10 @@ def alias_lines(spark, sf_dir) -> DataFrame:
     return d.select(F.col("doc_id").alias("sample_id"), raw.alias("raw"))
 
 
-def defects(spark, sf_dir) -> DataFrame:
+def defects(spark, sf_dir, pairs_df: DataFrame | None = None) -> DataFrame:
     """pairs with output '' (conv_id % 7 = 0), 'ok' (% 11), null (% 13); '\\t' added to the
     instruction when % 5 = 0."""
-    p = pairs(spark, sf_dir)
+    p = pairs_df if pairs_df is not None else pairs(spark, sf_dir)
     c = F.col("conv_id")
     out = (F.when(F.pmod(c, F.lit(7)) == 0, F.lit("")).when(F.pmod(c, F.lit(11)) == 0, F.lit("ok"))
            .when(F.pmod(c, F.lit(13)) == 0, F.lit(None).cast("string")).otherwise(F.col("output")))
