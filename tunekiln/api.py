@@ -17,13 +17,16 @@ from .sources.lines import read_lines
 from .sources.records import parse_lines, to_samples
 
 
-def load_jsonl(spark: SparkSession, path: str | list[str], materialize: bool = True) -> DataFrame:
+def load_jsonl(spark: SparkSession, path: str | list[str], materialize: bool = True,
+               nonblank_numbers: bool = False) -> DataFrame:
     """Canonical samples of JSON-lines files: slice (file), line_no, nb_no, raw, status, fields.
 
     With ``materialize`` the parsed rows are landed once as Parquet under the checkpoint folder,
-    so the audits that follow read columns instead of parsing JSON again."""
+    so the audits that follow read columns instead of parsing JSON again. Physical line numbers
+    need no shuffle; ``nonblank_numbers`` adds the non-blank numbering (a shuffle of the lines
+    by file split), which only the non-blank bad-line report needs."""
     prepare(spark)
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, path, nonblank_numbers=nonblank_numbers)
     samples = to_samples(parse_lines(lines), keep=["slice", "line_no", "nb_no", "raw"])
     return land(samples, "samples") if materialize else samples
 
