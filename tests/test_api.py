@@ -50,3 +50,34 @@ def test_command_line_validate(spark, capsys):
     rows = [json.loads(l) for l in capsys.readouterr().out.strip().splitlines()]
     assert len(rows) == 1 and rows[0]["valid_lines"] == 120 and rows[0]["invalid_lines"] == 1
     assert rows[0]["detected_format"] == "instruction-output"
+
+
+def test_parse_errors_without_line_shuffle(spark):
+    import json
+    import os
+    d = tempfile.mkdtemp(prefix="run-perr-", dir="/tmp")
+    expect = {}
+    for f in range(2):
+        lines = []
+        for i in range(400):
+            if i % 9 == 4:
+                lines.append("   ")
+            elif i % 13 == 6:
+                lines.append('{"instruction": "x", "output": "y"')
+            else:
+                lines.append(json.dumps({"instruction": f"q{i}", "output": "a"}))
+        with open(os.path.join(d, f"f{f}.jsonl"), "w") as fh:
+            fh.write("\n".join(lines) + "\n")
+        nb, phys, nbs = 0, [], []
+        for ln, l in enumerate(lines, 1):
+            if l.strip():
+                nb += 1
+                if l.endswith('"y"'):
+                    phys.append(ln)
+                    nbs.append(nb)
+        expect[f"f{f}.jsonl"] = (len(phys), ",".join(map(str, phys[:3])), ",".join(map(str, nbs[:5])),
+                                 ",".join(map(str, nbs[:10])))
+    samples = api.load_jsonl(spark, d)
+    got = {r.slice.rsplit("/", 1)[1]: (r.n_bad, r.first3_lines, r.first5_nonblank, r.first10_nonblank)
+           for r in api.parse_errors(spark, d, samples).collect()}
+    assert got == expect

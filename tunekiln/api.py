@@ -71,3 +71,22 @@ def report(samples: DataFrame, path: str | None = None, by=("slice",)) -> DataFr
     if path:
         write_report(rep, path)
     return rep
+
+
+def parse_errors(spark: SparkSession, path: str | list[str], samples: DataFrame, k: int = 10) -> DataFrame:
+    """Per file: bad-line count, the first 3 physical line numbers (A) and the first 5 / 10
+    non-blank line numbers (V / T). Only the reported lines get a non-blank number, from the
+    blank-line positions of their file; the lines themselves are never shuffled."""
+    from .operators.prep import top_k_per_group
+    from .sources.lines import blank_lines, nonblank_numbers_of
+    bad = samples.filter(F.col("status") == "bad_json").select("slice", "line_no")
+    n = bad.groupBy("slice").agg(F.count(F.lit(1)).alias("n_bad"))
+    top = top_k_per_group(bad, ["slice"], [F.col("line_no")], k).drop("rank")
+    top = nonblank_numbers_of(top, blank_lines(spark, path))
+    lst = top.groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("line_no", "nb_no"))).alias("_l"))
+
+    def first(m, field):
+        return F.array_join(F.transform(F.slice("_l", 1, m), lambda x: x[field].cast("string")), ",")
+    return n.join(lst.select("slice", first(3, "line_no").alias("first3_lines"),
+                             first(5, "nb_no").alias("first5_nonblank"),
+                             first(k, "nb_no").alias("first10_nonblank")), "slice")

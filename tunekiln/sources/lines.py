@@ -14,15 +14,12 @@ from ..functions.text import is_blank, py_strip
 
 
 
-def read_lines(spark: SparkSession, path: str | list[str], slice_col: str = "slice",
-               nonblank_numbers: bool = True) -> DataFrame:
-    """UTF-8 lines of text files as ``(slice, line_no, nb_no, raw)``; blank lines dropped.
+def _scan_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines with their split, position and the split's offsets (lines / non-blank lines before it).
 
-    ``line_no`` counts physical lines (blank ones too) from 1 per file; it needs no shuffle
-    of the lines. ``nb_no`` counts non-blank lines only; it needs the lines of a split in one
-    task (a shuffle on the split key, bounded by the split size), so it can be switched off.
-    ``slice`` is the file path.
-    """
+    The offsets table has one row per file split; AQE turns its join into a broadcast when the
+    measured table is under spark.sql.adaptive.autoBroadcastJoinThreshold, else it stays a
+    shuffle join of that small table."""
     df = (
         spark.read.text(path)
         .select(
@@ -42,23 +39,27 @@ def read_lines(spark: SparkSession, path: str | list[str], slice_col: str = "sli
         F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
         F.coalesce(F.sum("_n_nb").over(w), F.lit(0)).alias("_off_nb"),
     )
-    # one row per file split; AQE turns this into a broadcast join when the measured table
-    # is under spark.sql.adaptive.autoBroadcastJoinThreshold, else it stays a shuffle join
     j = df.join(splits, ["_file", "_block"])
-    pos = F.col("_mid") - F.col("_min_mid")
+    return j.withColumn("line_no", F.col("_off") + F.col("_mid") - F.col("_min_mid") + 1)
+
+
+def read_lines(spark: SparkSession, path: str | list[str], slice_col: str = "slice",
+               nonblank_numbers: bool = True) -> DataFrame:
+    """UTF-8 lines of text files as ``(slice, line_no, nb_no, raw)``; blank lines dropped.
+
+    ``line_no`` counts physical lines (blank ones too) from 1 per file; it needs no shuffle
+    of the lines. ``nb_no`` counts non-blank lines only; it needs the lines of a split in one
+    task (a shuffle on the split key, bounded by the split size), so it can be switched off
+    (``nonblank_numbers_of`` numbers a few chosen lines without it). ``slice`` is the file path.
+    """
+    j = _scan_lines(spark, path)
     if nonblank_numbers:
         # running count of non-blank lines within the split (groups are one split each)
         w_in = Window.partitionBy("_file", "_block").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
         nb_no = F.col("_off_nb") + F.sum("_nb").over(w_in)
     else:
         nb_no = F.lit(None).cast("bigint")
-    out = j.select(
-        F.col("_file").alias(slice_col),
-        (F.col("_off") + pos + 1).alias("line_no"),
-        nb_no.alias("nb_no"),
-        "raw",
-        "_nb",
-    )
+    out = j.select(F.col("_file").alias(slice_col), "line_no", nb_no.alias("nb_no"), "raw", "_nb")
     return out.filter(F.col("_nb") == 1).drop("_nb")
 
 
@@ -91,3 +92,20 @@ def number_rows(df: DataFrame, order_col: str, by: list[str] | None = None, out:
     # one row per (group, bucket); AQE broadcasts it when its measured size is small
     j = ranked.join(offsets, by + ["_b"])
     return j.withColumn(out, (F.col("_off") + F.col("_r")).cast("bigint")).drop("_b", "_r", "_off")
+
+
+def blank_lines(spark: SparkSession, path: str | list[str], slice_col: str = "slice") -> DataFrame:
+    """(slice, line_no) of the blank lines of text files: a narrow table, no line text kept."""
+    j = _scan_lines(spark, path)
+    return j.filter(F.col("_nb") == 0).select(F.col("_file").alias(slice_col), "line_no")
+
+
+def nonblank_numbers_of(targets: DataFrame, blanks: DataFrame, slice_col: str = "slice") -> DataFrame:
+    """Non-blank line numbers for a few target lines: line_no minus the blank lines before it in
+    the same file. Each blank line meets only its own file's targets (a handful per file)."""
+    t = targets.select(slice_col, "line_no")
+    b = blanks.select(slice_col, F.col("line_no").alias("_blank"))
+    before = (t.join(b, slice_col).filter(F.col("_blank") < F.col("line_no"))
+              .groupBy(slice_col, "line_no").agg(F.count(F.lit(1)).alias("_before")))
+    return (targets.join(before, [slice_col, "line_no"], "left")
+            .withColumn("nb_no", F.col("line_no") - F.coalesce(F.col("_before"), F.lit(0))).drop("_before"))
