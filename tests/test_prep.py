@@ -1,6 +1,7 @@
 """Invariants of split, pack and dedupe, and traps 3 and 7."""
 import json
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -78,3 +79,31 @@ def test_trap7_input_detected_and_ignored(spark):
     kf = s.select(fm.key_fields_v(F.lit("instruction-output")).alias("k"),
                   fm.full_text_v(F.lit("instruction-output")).alias("t"), F.col("k_input")).collect()[0]
     assert kf.k == ["instruction", "output"] and kf.t == "abcdef" and kf.k_input
+
+
+def test_length_stats_match_numpy(spark):
+    import numpy as np
+    import random
+    from tunekiln.sources.records import samples_from_columns
+    r = random.Random(11)
+    rows = []
+    for s in range(6):
+        n = r.choice([1, 2, 3, 7, 50, 101, 640])
+        for i in range(n):
+            body = "".join(r.choice("ab 中가ア") for _ in range(r.randint(0, 300)))
+            rows.append((f"s{s}", i, body, "x" * r.randint(0, 9)))
+    df = spark.createDataFrame(rows, "slice string, sample_id long, instruction string, output string")
+    samples = samples_from_columns(df, instruction="instruction", output="output", keep=["slice", "sample_id"])
+    got = {row.slice: row for row in au.length_stats(samples, ["slice"]).collect()}
+    cjk = re.compile(r"[一-鿿㐀-䶿぀-ヿ가-힯\U00020000-\U0002a6df]")
+    for s in {x[0] for x in rows}:
+        texts = [a + " " + b for (sl, _, a, b) in rows if sl == s]
+        chars = np.array([len(t) for t in texts])
+        toks = np.array([len(cjk.findall(t)) * 2.0 + (len(t) - len(cjk.findall(t))) * 0.3 for t in texts])
+        g = got[s]
+        assert (g.min_chars, g.max_chars) == (int(chars.min()), int(chars.max()))
+        assert g.mean_chars == float(round(np.mean(chars), 1))
+        assert g.median_chars == float(round(np.median(chars), 1))
+        assert (g.p80_chars, g.p95_chars) == (int(np.percentile(chars, 80)), int(np.percentile(chars, 95)))
+        assert g.p95_tokens_est == int(np.percentile(toks, 95))
+        assert g.median_tokens_est == float(round(np.median(toks), 1))
