@@ -48,8 +48,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting points at shared storage and is only read here. Where it is
-    unset (tests, local runs) a fresh local folder is created and registered.
+    On a cluster the setting points at shared storage and is only read here (an unset setting
+    is an error there). Where it is unset in local mode (tests) a fresh local folder is used.
     """
     try:
         sc = spark.sparkContext
@@ -64,8 +64,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
-    else:
+    elif sc.master.startswith("local"):
+        # tests and single-machine runs only: a fresh local folder
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     return sc.getCheckpointDir()
 
 
