@@ -18,10 +18,11 @@ from .common import (D_PAIRS, d_blank, d_fp, d_np_median, d_np_quantile, d_np_ro
 ORDER = "sample_id"
 
 
-def corpus(spark, sf, materialize: bool = True) -> DataFrame:
+def corpus(spark, sf, materialize: bool = False) -> DataFrame:
     """Four slice families as canonical samples: documents (text, one slice per source),
-    conversations (messages), user→assistant pairs, and defect-injected pairs. Landed once as
-    Parquet when the audit reads it more than once (the V audit); single-pass audits skip it."""
+    conversations (messages), user→assistant pairs, and defect-injected pairs. Deriving them
+    from the tables is cheap, so they are not landed (``materialize`` lands them as Parquet);
+    JSON-lines inputs are landed once by ``api.load_jsonl`` because parsing is not cheap."""
     docs = fx.text_records(spark, sf).drop("lang")
     p = fx.pairs(spark, sf)  # one pairing plan feeds both the clean and the defect slice
     parts = [docs, fx.messages_records(spark, sf), fx.pair_records(spark, sf, pairs_df=p).drop("conv_id", "turn"),
@@ -236,8 +237,7 @@ ar AS (
 
 
 def a_corpus(spark, sf) -> DataFrame:
-    # length stats and quality read the corpus in one pass each: no landing
-    return corpus(spark, sf, materialize=False)
+    return corpus(spark, sf)
 
 
 @register("agg_length_stats", sql="WITH " + D_CORPUS_A + f"""
