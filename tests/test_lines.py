@@ -53,3 +53,21 @@ def test_pair_turns_with_gaps(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = sorted((r.conv_id, r.turn, r.instruction, r.output) for r in pair_turns(df).collect())
     assert got == [(1, 9, "u1", "a1"), (1, 41, "u2", "a3")]
+
+
+def test_number_rows_property(spark):
+    from hypothesis import given, settings, strategies as st
+    from pyspark.sql import functions as F
+
+    @settings(max_examples=12, deadline=None)
+    @given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(0, 5000)), min_size=1, max_size=300,
+                    unique_by=lambda t: t), st.integers(0, 6))
+    def check(rows, shift):
+        df = spark.createDataFrame(rows, "g string, k long")
+        got = {(r.g, r.k): r.n for r in number_rows(df, "k", by=["g"], out="n", bucket_shift=shift).collect()}
+        exp = {}
+        for g in {x[0] for x in rows}:
+            for i, k in enumerate(sorted(k for gg, k in rows if gg == g), 1):
+                exp[(g, k)] = i
+        assert got == exp
+    check()
