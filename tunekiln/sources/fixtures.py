@@ -38,7 +38,22 @@ ERROR_LINES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table. A table stored as fewer splits than the cluster has cores (e.g. one
+    Parquet row group) is spread round-robin first, so the per-row text rules use every core;
+    a large table has far more splits than cores and is read as it is."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_small_input(df)
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Round-robin repartition only when the scan has fewer splits than default parallelism
+    (decided at planning time, no job)."""
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # sessions without a local SparkContext: read as it is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def text_records(spark, sf_dir) -> DataFrame:
