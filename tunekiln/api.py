@@ -13,7 +13,7 @@ from .operators import audit as au
 from .operators import prep
 from .plans import corpus_plan
 from .session import land, prepare
-from .sources.lines import read_lines
+from .sources.lines import read_lines, spread_small_input
 from .sources.records import parse_lines, to_samples
 
 
@@ -26,7 +26,7 @@ def load_jsonl(spark: SparkSession, path: str | list[str], materialize: bool = T
     need no shuffle; ``nonblank_numbers`` adds the non-blank numbering (a shuffle of the lines
     by file split), which only the non-blank bad-line report needs."""
     prepare(spark)
-    lines = read_lines(spark, path, nonblank_numbers=nonblank_numbers)
+    lines = spread_small_input(read_lines(spark, path, nonblank_numbers=nonblank_numbers))
     samples = to_samples(parse_lines(lines), keep=["slice", "line_no", "nb_no", "raw"])
     return land(samples, "samples") if materialize else samples
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lines import number_rows
+from .lines import number_rows, spread_small_input
 from .records import conversation_turn, message_turn, parse_lines, samples_from_columns, to_samples
 
 # ---------------------------------------------------------------------------
@@ -45,17 +45,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread_small_input(df)
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Round-robin repartition only when the scan has fewer splits than default parallelism
-    (decided at planning time, no job)."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # sessions without a local SparkContext: read as it is
-        return df
-    return df.repartition(cores) if splits < cores else df
-
-
 def text_records(spark, sf_dir) -> DataFrame:
     """documents as CPT ``text`` records; slice = source."""
     d = table(spark, sf_dir, "documents").select(
