@@ -467,8 +467,9 @@ def truncation(samples: DataFrame, max_len: int = 2048, by=("slice",), order: st
     """T: rows above the max length, nearest-rank P95 (sorted[int(n*0.95)]) and whether it exceeds."""
     by = _by(by)
     r = t_rows(samples, by, order)
-    over = r.groupBy(*by).agg(F.count_if(F.col("tokens") > max_len).alias("over_count"))
-    st = token_stats(r, by, "tokens", p99=False)
+    hist = grouped_counts(r, by, ["tokens"])["tokens"]  # one text pass, landed; both results read it
+    over = hist.groupBy(*by).agg(F.sum(F.when(F.col("tokens") > max_len, F.col("_c")).otherwise(0)).alias("over_count"))
+    st = token_stats(None, by, "tokens", p99=False, hist=hist)
     return st.join(over, by).withColumn("p95_over", F.col("p95_tokens") > max_len).withColumn(
         "max_len", F.lit(max_len))
 
