@@ -15,21 +15,27 @@ from . import rules as ru
 PLAN_MODELS = ["qwen2-7b", "Qwen/Qwen2-7B-Instruct", "7b", "llama3_8b", "13b", "72B"]
 
 
-def slice_stats(samples: DataFrame, by: list[str]) -> DataFrame:
+def token_hist(samples: DataFrame, by: list[str]) -> DataFrame:
+    """(slice, A token estimate, count): one text pass, landed, for every plan statistic."""
+    return au.grouped_counts(au.a_rows(samples, by), by, ["tokens_f"])["tokens_f"]
+
+
+def slice_stats(samples: DataFrame, by: list[str], hist: DataFrame | None = None) -> DataFrame:
     """A's sample count and integer token P95 per slice (what the plan is derived from)."""
-    r = au.a_rows(samples, by)
-    n = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    q = au.numpy_quantiles(r, by, "tokens_f", {"_p95": 0.95})
+    hist = hist if hist is not None else token_hist(samples, by)
+    n = hist.groupBy(*by).agg(F.sum("_c").alias("n"))
+    q = au.numpy_quantiles(None, by, "tokens_f", {"_p95": 0.95}, hist=hist)
     return n.join(q, by).select(*by, "n", F.col("_p95").cast("bigint").alias("p95_tokens")) \
             .withColumn("seq_len", tx.seq_len_from_p95(F.col("p95_tokens")))
 
 
 def seq_len_plan(samples: DataFrame, by: list[str]) -> DataFrame:
-    """Sequence length per slice and the rows (A token estimate) above it."""
-    r = au.a_rows(samples, by)
-    st = slice_stats(samples, by)
-    j = au.attach_small(r.select(*by, "tokens_f"), st.select(*by, "seq_len"), by)
-    over = j.groupBy(*by).agg(F.count_if(F.col("tokens_f") > F.col("seq_len")).alias("over_count"))
+    """Sequence length per slice and the rows (A token estimate) above it, from one histogram."""
+    hist = token_hist(samples, by)
+    st = slice_stats(samples, by, hist)
+    over = (hist.join(st.select(*by, "seq_len"), by)
+            .groupBy(*by).agg(F.sum(F.when(F.col("tokens_f") > F.col("seq_len"), F.col("_c")).otherwise(0))
+                              .alias("over_count")))
     out = st.join(over, by)
     return out.select(*by, "n", "p95_tokens", "seq_len", "over_count",
                       tx.round_even(F.col("over_count") / F.col("n"), 4).alias("over_share"))

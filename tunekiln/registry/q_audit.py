@@ -130,8 +130,9 @@ def agg_near_dups(spark, sf):
     """Groups sharing the 200-character fingerprint, per source, on documents plus
     white-space-altered copies."""
     d = fx.near_dup_docs(spark, sf).select(F.col("source").alias("slice"), tx.fingerprint("text").alias("fp"))
-    nd = au.near_dups(d, ["slice"], "fp")
-    n = d.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+    parts = au.grouped_counts(d, ["slice"], ["fp"])  # one fingerprint pass, landed
+    nd = au.near_dups(None, ["slice"], "fp", parts["fp"])
+    n = parts[None].select("slice", F.col("_c").alias("n"))
     return nd.join(n, "slice").select("slice", "dup_count", "total_duplicates", "n")
 
 
