@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import logs as lg
 from ..operators import prep
+from ..session import land
 from ..sources import fixtures as fx
 from .common import d_fp, d_strip, register
 from .q_logs import D_LOG, D_SIGS
@@ -45,6 +46,7 @@ def jn_dup_members(spark, sf):
     """Near-duplicate groups joined back to their member rows."""
     d = fx.table(spark, sf, "documents").select(F.col("source").alias("slice"), "doc_id",
                                                 tx.fingerprint("text").alias("fp"))
+    d = land(d, "fingerprints")  # narrow rows; the fingerprint pass runs once for both sides
     groups = d.groupBy("slice", "fp").agg(F.count(F.lit(1)).alias("group_size")).filter(F.col("group_size") > 1)
     return d.join(groups, ["slice", "fp"]).select("slice", "doc_id", "group_size", F.md5("fp").alias("group_key"))
 
