@@ -81,3 +81,26 @@ def test_parse_errors_without_line_shuffle(spark):
     got = {r.slice.rsplit("/", 1)[1]: (r.n_bad, r.first3_lines, r.first5_nonblank, r.first10_nonblank)
            for r in api.parse_errors(spark, d, samples).collect()}
     assert got == expect
+
+
+def test_clean_dedupe_pack(spark):
+    import json
+    import os
+    d = tempfile.mkdtemp(prefix="run-prep-", dir="/tmp")
+    with open(os.path.join(d, "a.jsonl"), "w") as fh:
+        for i in range(300):
+            out = "" if i % 50 == 0 else ("Same answer  text" if i % 3 == 0 else f"answer number {i} " * (i % 20 + 1))
+            fh.write(json.dumps({"instruction": "q" if i % 3 == 0 else f"q{i}", "output": out}) + "\n")
+    samples = api.load_jsonl(spark, d)
+    kept = api.clean(samples).count()
+    assert kept == 300 - 6
+    dd = api.dedupe(samples).collect()
+    groups = {r.group_size for r in dd}
+    assert len(dd) < 300 and max(groups) > 1 and sum(r.group_size for r in dd) == 300
+    rows = api.training_text(samples)
+    pieces = api.pack(rows, seq_len=256).collect()
+    assert all(0 < p.piece_len <= 256 for p in pieces)
+    total = sum(p.piece_len for p in pieces)
+    from tunekiln.functions import text as tx
+    exp = rows.filter("text IS NOT NULL").select(F.sum(tx.tokens_v("text") + 1)).first()[0]
+    assert total == exp

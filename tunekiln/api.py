@@ -90,3 +90,34 @@ def parse_errors(spark: SparkSession, path: str | list[str], samples: DataFrame,
     return n.join(lst.select("slice", first(3, "line_no").alias("first3_lines"),
                              first(5, "nb_no").alias("first5_nonblank"),
                              first(k, "nb_no").alias("first10_nonblank")), "slice")
+
+
+def clean(samples: DataFrame, max_tokens: int = 2048) -> DataFrame:
+    """Instruction/output rows kept after dropping bad JSON, empty fields, short outputs and
+    over-long text."""
+    return prep.clean(samples, max_tokens)
+
+
+def dedupe(samples: DataFrame, by=("slice",), order: str = "line_no") -> DataFrame:
+    """First record of each near-duplicate group (V's fingerprint of the record's own text);
+    ``group_size`` tells how many records the group had."""
+    from .functions import text as tx
+    by = list(by)
+    valid = samples.filter(F.col("status") == "ok")
+    keyed = valid.withColumn("_fp", F.unhex(F.md5(tx.fingerprint(fm.full_text_v(fm.fmt_v())))))
+    return prep.keep_first(keyed, "_fp", order, by).drop("_fp")
+
+
+def pack(rows: DataFrame, seq_len: int = 4096, id_col: str = "line_no", text_col: str = "text",
+         by=("slice",)) -> DataFrame:
+    """Training rows (e.g. ``training_text``) packed into ``seq_len``-token sequences per slice;
+    one row per piece, shards sized from the row count and assigned by a hash of the id."""
+    from .functions import text as tx
+    by = list(by)
+    shards = prep.pack_shard_count(rows)
+    t = rows.filter(F.col(text_col).isNotNull()).select(
+        F.concat_ws("|", *[F.col(c).cast("string") for c in by], F.col(id_col).cast("string")).alias("_id"),
+        *by, id_col, tx.tokens_v(F.col(text_col)).alias("_tokens"))
+    shard = F.pmod(F.xxhash64(F.col("_id")), F.lit(shards))
+    pieces = prep.pack(t.withColumn("_sid", F.xxhash64("_id")), "_sid", "_tokens", seq_len, shard)
+    return pieces
