@@ -31,3 +31,10 @@ def test_score_plan_broadcasts_slice_table(spark):
     assert "BroadcastHashJoin" in p
     # the text rules ran once, into the landed GROUPING SETS table; the final plan reads it
     assert "FileScan parquet" in p and "regexp_count" not in p
+
+
+def test_scans_read_only_needed_columns(spark):
+    p = _plan(E.queries()["flt_over_length"](spark, SF001))
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in p
+    p = _plan(E.queries()["log_run_summary"](spark, SF001))
+    assert "props" not in p  # the events scan skips the unused text column
