@@ -119,3 +119,11 @@ def test_unknown_format_uses_first_record_keys(spark):
     assert got.detected_format == "unknown" and list(got.key_fields) == ["prompt", "instruction"]
     assert (got.empty_count, got.p95_tokens) == (exp["empty"], exp["p95"])
     assert abs(got.score - exp["score"]) < 1e-9
+
+
+def test_slice_without_valid_lines(spark):
+    df = spark.createDataFrame([(1, '{"a": 1'), (2, "{'x': 2}")], "line_no long, raw string")
+    s = to_samples(parse_lines(df.withColumn("slice", F.lit("bad"))), keep=["slice", "line_no", "raw"])
+    r = au.v_audit(s, ["slice"], "line_no").collect()[0]
+    assert (r.total_lines, r.valid_lines, r.invalid_lines) == (2, 0, 2)
+    assert r.score == 0.0 and r.grade == "Unusable" and r.passed is False
