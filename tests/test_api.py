@@ -104,3 +104,21 @@ def test_clean_dedupe_pack(spark):
     from tunekiln.functions import text as tx
     exp = rows.filter("text IS NOT NULL").select(F.sum(tx.tokens_v("text") + 1)).first()[0]
     assert total == exp
+
+
+def test_command_line_plan_and_prepare(spark, capsys):
+    import json
+    import os
+    from tunekiln.__main__ import main
+    d = tempfile.mkdtemp(prefix="run-cli2-", dir="/tmp")
+    with open(os.path.join(d, "a.jsonl"), "w") as fh:
+        for i in range(600):
+            fh.write(json.dumps({"instruction": f"q{i}", "output": "answer " * (i % 30 + 1)}) + "\n")
+    assert main(["plan", d, "--task", "code", "--gpu", "16"]) == 0
+    plan = [json.loads(l) for l in capsys.readouterr().out.strip().splitlines()]
+    assert len(plan) == 1 and plan[0]["rank"] == 8 and plan[0]["batch_size"] == 4 and plan[0]["n"] == 600
+    out = tempfile.mkdtemp(prefix="run-cli3-", dir="/tmp") + "/train"
+    assert main(["prepare", d, "--out", out]) == 0
+    counts = {r["split"]: r["count"] for r in map(json.loads, capsys.readouterr().out.strip().splitlines())}
+    assert counts == {"test": 60, "train": 540}
+    assert spark.read.parquet(out).count() == 600
