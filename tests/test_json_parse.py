@@ -80,3 +80,17 @@ def test_fuzz_against_python(spark):
     got = {row.i: row.status for row in parse_lines(df).select("i", "status").collect()}
     diff = [c for i, c in enumerate(cases) if got[i] != py_status(c)]
     assert all(("NaN" in c or "Infinity" in c) for c in diff), diff[:5]
+
+
+def test_strip_prompt_quirk_and_alias_precedence(spark):
+    df = spark.createDataFrame([("P:abc  answer ", "P:abc"), ("xxP:abc tail", "P:abc"), ("no prompt", "P:abc")],
+                               "resp string, prompt string")
+    got = [r[0] for r in df.select(fm.strip_prompt("resp", "prompt")).collect()]
+    # contained anywhere → the first len(prompt) characters are dropped, then stripped
+    assert got == ["answer", "bc tail", "no prompt"]
+    from tunekiln.sources.records import map_aliases
+    lines = ['{"instruction": "I", "prompt": "P", "completion": "C"}', '{"question": "Q", "answer": "A"}',
+             '{"text": "T", "summary": "S"}', '{"input": "N", "target": "G"}']
+    d = spark.createDataFrame([(i, l) for i, l in enumerate(lines)], "i int, raw string")
+    rows = {r.i: (r.instruction, r.output) for r in map_aliases(parse_lines(d), keep=["i"]).collect()}
+    assert rows == {0: ("I", "C"), 1: ("Q", "A"), 2: ("T", "S"), 3: ("N", "G")}
