@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import mixing
+from . import line_rules, mixing, ranking, secrets
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,24 @@ def _register(fn):
     return run
 
 
+@_register
+def op4_token_efficiency_secrets(spark, sf_dir):
+    """Secret spans of every whole text: the base kinds and strings that a token vocabulary splits badly."""
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
+
+
+@_register
+def op7_bradley_terry(spark, sf_dir):
+    """Quality score of every whole text, learnt from preference pairs outside the held-out fold."""
+    return ranking.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@_register
+def op8_line_crf(spark, sf_dir):
+    """Base quality rules and the content share of lines labelled by a conditional random field."""
+    return line_rules.judge(read(spark, sf_dir, "documents"))
+
+
 @_register
 def op10_subset_sum_mix(spark, sf_dir):
     """Words that the mix takes of every document, repeats counted."""
