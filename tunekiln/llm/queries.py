@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import line_rules, mixing, ranking, secrets
+from . import line_rules, mixing, ranking, records, secrets
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def op4_token_efficiency_secrets(spark, sf_dir):
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+@_register
+def op6_length_delimited_records(spark, sf_dir):
+    """Token ids of all documents in framed binary records, read back and checked."""
+    return records.write_and_describe(read(spark, sf_dir, "documents"), spark).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @_register
 def op7_bradley_terry(spark, sf_dir):
     """Quality score of every whole text, learnt from preference pairs outside the held-out fold."""
