@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import line_rules, mixing, ranking, records, secrets
+from . import language, line_rules, mixing, ranking, records, secrets
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def _register(fn):
     return run
 
 
+@_register
+def op1_viterbi_language(spark, sf_dir):
+    """Language of every whole text, learnt outside the held-out fold."""
+    return language.held_out_predictions(read(spark, sf_dir, "documents")).drop("spans")
+
+
 @_register
 def op4_token_efficiency_secrets(spark, sf_dir):
     """Secret spans of every whole text: the base kinds and strings that a token vocabulary splits badly."""
