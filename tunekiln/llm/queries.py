@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import language, line_rules, mixing, ranking, records, secrets
+from . import decontaminate, language, line_rules, mixing, ranking, records, secrets
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,15 @@ def op4_token_efficiency_secrets(spark, sf_dir):
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+@_register
+def op5_positional_index(spark, sf_dir):
+    """Benchmark words in every whole text, by windows found through a positional inverted index."""
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+SQL["op5_positional_index"] = decontaminate.ORACLE
+
+
 @_register
 def op6_length_delimited_records(spark, sf_dir):
     """Token ids of all documents in framed binary records, read back and checked."""
