@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, language, line_rules, mixing, ranking, records, secrets
+from . import decontaminate, language, line_rules, mixing, near_join, ranking, records, secrets
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,12 @@ def op8_line_crf(spark, sf_dir):
     return line_rules.judge(read(spark, sf_dir, "documents"))
 
 
+@_register
+def op9_parity_sketch_join(spark, sf_dir):
+    """Component of every document under 3-word shingle similarity of 0.9 or more."""
+    return near_join.join(read(spark, sf_dir, "documents"))
+
+
 @_register
 def op10_subset_sum_mix(spark, sf_dir):
     """Words that the mix takes of every document, repeats counted."""
