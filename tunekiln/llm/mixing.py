@@ -66,7 +66,8 @@ def fit_counts(sizes: list[int], counts: list[int], budget: int, gap: int = GAP)
     total = sum(s * n for s, n in zip(sizes, counts))
     if budget >= total:
         return list(counts)
-    take = [n * budget // total for n in counts]
+    # in proportion up to half a gap below the budget, so that the program has documents to choose from
+    take = [n * max(0, budget - gap // 2) // total for n in counts]
     rest = budget - sum(s * k for s, k in zip(sizes, take))
     by_size = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     for i in by_size:
