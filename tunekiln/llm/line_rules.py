@@ -30,8 +30,7 @@ UPPERS, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 ENDS = (b".", b"!", b"?", b":", b'"')
 PUNCT = b"!\"'(),-./:;?[]_{}~=+\\@^`"
 FEATURES = ("bias", "few words", "many words", "symbols", "capitals", "digits", "punctuation", "ends a sentence",
-            "equals an earlier line", "one word repeated", "first", "last", "blank", "notice")
-NOTICE = (b"copyright", b"license", b"licence", b"all rights", b"cookie", b"privacy", b"terms of", b"subscribe", b"http")
+            "equals an earlier line", "one word repeated", "first", "last", "blank")
 
 
 def line_features(lines: list[bytes]) -> np.ndarray:
@@ -41,13 +40,11 @@ def line_features(lines: list[bytes]) -> np.ndarray:
     for i, line in enumerate(lines):
         words = line.split()
         n, size = len(words), max(1, without(line, BLANKS))
-        low = line.lower()
         rows.append((
             1.0, n < 4, n >= 8, min(1.0, 4.0 * (len(line) - without(line, SYMBOLS)) / size),
             (len(line) - without(line, UPPERS)) / size, (len(line) - without(line, DIGITS)) / size,
             min(1.0, 4.0 * (len(line) - without(line, PUNCT)) / size), line.rstrip(BLANKS).endswith(ENDS),
-            dup[i], 1.0 - len(set(words)) / n if n > 4 else 0.0, i == 0, i == last, n == 0,
-            any(x in low for x in NOTICE)))
+            dup[i], 1.0 - len(set(words)) / n if n > 4 else 0.0, i == 0, i == last, n == 0))
     return np.array(rows, dtype=np.float64)
 
 
@@ -55,7 +52,7 @@ def seed_labels(x: np.ndarray) -> np.ndarray:
     """1 content, 0 boilerplate, -1 open (left to the chain): the plain rules behind the training labels."""
     f = {name: x[:, i] for i, name in enumerate(FEATURES)}
     bad = ((f["symbols"] >= 0.4) | (f["capitals"] > 0.6) | (f["equals an earlier line"] > 0) | (f["one word repeated"] > 0.6)
-           | (f["notice"] > 0) | (f["digits"] > 0.5))
+           | (f["digits"] > 0.5))
     good = (f["many words"] > 0) & (f["symbols"] < 0.1) & (f["capitals"] < 0.3) & (f["one word repeated"] < 0.5)
     return np.where(bad, 0, np.where(good, 1, -1))
 
