@@ -221,7 +221,9 @@ class Join:
                 return roots
         return self.add(self.verify(self._tiles(todo, sketches, roots)))
 
-    def _root(self, df: DataFrame, column: str, roots: DataFrame, out: str) -> DataFrame:
+    def _root(self, df: DataFrame, column: str, roots: DataFrame | None, out: str) -> DataFrame:
+        if roots is None:
+            return df.withColumn(out, F.col(column))
         r = roots.select(F.col("node").alias(column), F.col("root").alias(out))
         return df.join(r, column, "left").withColumn(out, F.coalesce(out, column))
 
@@ -235,7 +237,7 @@ class Join:
         spread = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
         return land(rows.select("key", "node").join(spread, "key"), "near-open")
 
-    def _tiles(self, buckets: DataFrame, sketches: DataFrame, roots: DataFrame) -> DataFrame:
+    def _tiles(self, buckets: DataFrame, sketches: DataFrame, roots: DataFrame | None) -> DataFrame:
         """Pairs of the remaining buckets that lie in different components and within sketch distance."""
         percent = self.percent
         rows = self._root(buckets, "node", roots, "root")
