@@ -30,9 +30,12 @@ def test_pack_invariants(spark):
     rows = [(i, (i * 37) % 900 + (5000 if i % 97 == 0 else 0)) for i in range(3000)]
     df = spark.createDataFrame(rows, "id long, tokens long")
     seq = 1024
-    shards = prep.pack_shard_count(df, samples_per_shard=700)
-    assert shards == math.ceil(3000 / 700)
-    pieces = prep.pack(df, "id", "tokens", seq, prep.hash_shard("id", shards)).collect()
+    pieces = prep.pack(df, "id", "tokens", seq, prep.range_shard("id", 700)).collect()
+    assert {p.shard for p in pieces} == set(range(math.ceil(3000 / 700)))
+    # more rows leave the packs of the other ranges as they are
+    more = df.unionByName(spark.createDataFrame([(9000, 5)], "id long, tokens long"))
+    again = prep.pack(more, "id", "tokens", seq, prep.range_shard("id", 700)).filter("sample_id <> 9000").collect()
+    assert sorted(again) == sorted(pieces)
     by_sample = {}
     for p in pieces:
         assert 0 < p.piece_len <= seq and 0 <= p.pack_offset and p.pack_offset + p.piece_len <= seq

@@ -13,7 +13,7 @@ from .operators import audit as au
 from .operators import prep
 from .plans import corpus_plan
 from .session import land, prepare
-from .sources.lines import read_lines, spread_small_input
+from .sources.lines import read_lines
 from .sources.records import parse_lines, to_samples
 
 
@@ -26,7 +26,7 @@ def load_jsonl(spark: SparkSession, path: str | list[str], materialize: bool = T
     need no shuffle; ``nonblank_numbers`` adds the non-blank numbering (a shuffle of the lines
     by file split), which only the non-blank bad-line report needs."""
     prepare(spark)
-    lines = spread_small_input(read_lines(spark, path, nonblank_numbers=nonblank_numbers))
+    lines = read_lines(spark, path, nonblank_numbers=nonblank_numbers)
     samples = to_samples(parse_lines(lines), keep=["slice", "line_no", "nb_no", "raw"])
     return land(samples, "samples") if materialize else samples
 
@@ -92,32 +92,30 @@ def parse_errors(spark: SparkSession, path: str | list[str], samples: DataFrame,
                              first(k, "nb_no").alias("first10_nonblank")), "slice")
 
 
-def clean(samples: DataFrame, max_tokens: int = 2048) -> DataFrame:
-    """Instruction/output rows kept after dropping bad JSON, empty fields, short outputs and
-    over-long text."""
+def clean(samples: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    """Rows of every format kept after dropping bad JSON, empty key fields and short replies; with
+    ``max_tokens`` also over-long text."""
     return prep.clean(samples, max_tokens)
 
 
 def dedupe(samples: DataFrame, by=("slice",), order: str = "line_no") -> DataFrame:
-    """First record of each near-duplicate group (V's fingerprint of the record's own text);
-    ``group_size`` tells how many records the group had."""
+    """First record of each group with the same whole normalised text; ``group_size`` tells how many
+    records the group had. Lines that are valid JSON but no object, records of unknown formats and
+    records without text are compared by their whole line."""
     from .functions import text as tx
     by = list(by)
-    valid = samples.filter(F.col("status") == "ok")
-    keyed = valid.withColumn("_fp", F.unhex(F.md5(tx.fingerprint(fm.full_text_v(fm.fmt_v())))))
-    return prep.keep_first(keyed, "_fp", order, by).drop("_fp")
+    valid = samples.filter(F.col("status") != "bad_json")
+    text = F.when((F.col("status") == "ok") & (fm.fmt_v() != fm.FMT_UNKNOWN), fm.full_text_v(fm.fmt_v()))
+    own = F.coalesce(~tx.is_blank(text), F.lit(False))
+    key = F.concat(F.when(own, F.lit("t")).otherwise(F.lit("r")), F.hex(tx.text_key(F.when(own, text).otherwise(F.col("raw")))))
+    return prep.keep_first(valid, key, order, by)
 
 
 def pack(rows: DataFrame, seq_len: int = 4096, id_col: str = "line_no", text_col: str = "text",
-         by=("slice",)) -> DataFrame:
-    """Training rows (e.g. ``training_text``) packed into ``seq_len``-token sequences per slice;
-    one row per piece, shards sized from the row count and assigned by a hash of the id."""
+         by=("slice",), ids_per_shard: int = prep.PACK_IDS_PER_SHARD) -> DataFrame:
+    """Training rows (e.g. ``training_text``) packed into ``seq_len``-token sequences per slice, in id
+    order; one row per piece with the slice and the row's id. Shards are fixed ranges of ids."""
     from .functions import text as tx
     by = list(by)
-    shards = prep.pack_shard_count(rows)
-    t = rows.filter(F.col(text_col).isNotNull()).select(
-        F.concat_ws("|", *[F.col(c).cast("string") for c in by], F.col(id_col).cast("string")).alias("_id"),
-        *by, id_col, tx.tokens_v(F.col(text_col)).alias("_tokens"))
-    shard = F.pmod(F.xxhash64(F.col("_id")), F.lit(shards))
-    pieces = prep.pack(t.withColumn("_sid", F.xxhash64("_id")), "_sid", "_tokens", seq_len, shard)
-    return pieces
+    t = rows.filter(F.col(text_col).isNotNull()).select(*by, id_col, tx.tokens_v(F.col(text_col)).alias("_tokens"))
+    return prep.pack(t, id_col, "_tokens", seq_len, prep.range_shard(id_col, ids_per_shard), by).withColumnRenamed("sample_id", id_col)

@@ -92,11 +92,18 @@ def is_blank(t) -> Column:
 def fingerprint(t) -> Column:
     """V's near-duplicate key: lower case, all white space removed, first 200 characters.
 
-    White space is deleted from the whole text with ``translate``; lower-casing the 200 kept
-    characters gives the same key as lower-casing first (lower never removes characters and
-    never turns a character into white space)."""
-    no_ws = F.translate(F.coalesce(_c(t), F.lit("")), WS_CHARS, "")
-    return F.substring(F.lower(F.substring(no_ws, 1, FINGERPRINT_CHARS)), 1, FINGERPRINT_CHARS)
+    It counts near duplicates; rows are removed by ``text_key`` only. Lower-casing comes first, as
+    it can depend on the neighbours of a letter (a Greek final sigma)."""
+    return F.substring(_normalised(t), 1, FINGERPRINT_CHARS)
+
+
+def _normalised(t) -> Column:
+    return F.translate(F.lower(F.coalesce(_c(t), F.lit(""))), WS_CHARS, "")
+
+
+def text_key(t) -> Column:
+    """Digest of the whole normalised text (lower case, no white space): the key of removal."""
+    return F.unhex(F.md5(_normalised(t)))
 
 
 def is_short_output(t) -> Column:

@@ -57,6 +57,11 @@ def d_fp(t: str) -> str:
     return f"substring(regexp_replace(lower(coalesce({t}, '')), '{tx.WS_CLASS}', '', 'g'), 1, 200)"
 
 
+def d_key(t: str) -> str:
+    """Digest of the whole normalised text."""
+    return f"md5(regexp_replace(lower(coalesce({t}, '')), '{tx.WS_CLASS}', '', 'g'))"
+
+
 def d_short(t: str) -> str:
     return f"(length({d_strip('coalesce(' + t + ', \'\')')}) < 5)"
 

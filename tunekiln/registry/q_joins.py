@@ -9,7 +9,7 @@ from ..operators import logs as lg
 from ..operators import prep
 from ..session import land
 from ..sources import fixtures as fx
-from .common import d_fp, d_strip, register
+from .common import d_fp, d_key, d_strip, register
 from .q_logs import D_LOG, D_SIGS
 
 
@@ -28,11 +28,11 @@ def jn_eval_side_by_side(spark, sf):
 WITH r AS (SELECT doc_id, source, text,
                   row_number() OVER (PARTITION BY source ORDER BY md5('42|' || CAST(doc_id AS VARCHAR))) AS rk,
                   count(*) OVER (PARTITION BY source) AS n FROM documents),
-h AS (SELECT DISTINCT {d_fp('text')} AS fp FROM r WHERE rk <= ceil(0.1::DOUBLE * n))
-SELECT doc_id, source FROM documents WHERE {d_fp('text')} NOT IN (SELECT fp FROM h)""")
+h AS (SELECT DISTINCT {d_key('text')} AS k FROM r WHERE rk <= ceil(0.1::DOUBLE * n))
+SELECT doc_id, source FROM documents WHERE {d_key('text')} NOT IN (SELECT k FROM h)""")
 def jn_holdout_anti(spark, sf):
-    """Documents whose fingerprint is absent from the held-out test split (left anti join):
-    keeps eval cases and their near copies out of training."""
+    """Documents whose whole normalised text is absent from the held-out test split (left anti join):
+    keeps eval cases and their copies out of training."""
     d = fx.table(spark, sf, "documents").select("doc_id", "source", "text")
     h = fx.holdout(spark, sf).select("text")
     return prep.exclude_holdout(d, h).select("doc_id", "source")

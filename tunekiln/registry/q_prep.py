@@ -11,7 +11,7 @@ from ..operators import evalset as ev
 from ..operators import prep
 from ..sources import fixtures as fx
 from ..sources.lines import number_rows
-from .common import (D_JSONL, D_PAIRS, d_blank, d_cjk, d_fp, d_short, d_strip, d_tokens_f, d_tokens_t,
+from .common import (D_JSONL, D_PAIRS, d_blank, d_cjk, d_fp, d_key, d_short, d_strip, d_tokens_f, d_tokens_t,
                      d_tokens_v, register)
 from ..functions.text import CJK_CLASS_T
 
@@ -168,24 +168,30 @@ def flt_over_length(spark, sf):
     return d.filter(tx.is_over_length("tokens", 2048))
 
 
-@register("flt_clean", sql="WITH " + D_DEFECTS + f"""
-SELECT conv_id, turn FROM defects
+@register("flt_clean", sql="WITH " + D_DEFECTS + f""",
+turns AS (SELECT conv_id, count(*) AS n, coalesce(max_by(text, turn) FILTER (WHERE role = 'assistant'), '') AS reply
+          FROM conversations GROUP BY conv_id)
+SELECT 'defects' AS slice, conv_id * 1000 + turn AS sample_id FROM defects
 WHERE NOT {d_blank('instruction')} AND NOT {d_blank('output')} AND NOT {d_short('output')}
-  AND {d_tokens_v("coalesce(instruction, '') || coalesce(output, '')")} <= 2048""")
+UNION ALL SELECT 'messages', conv_id FROM turns WHERE n > 0 AND NOT {d_short('reply')}
+UNION ALL SELECT 'conversations', conv_id FROM turns WHERE n > 0 AND NOT {d_short('reply')}
+UNION ALL SELECT source, doc_id FROM documents WHERE NOT {d_blank('text')}""")
 def flt_clean(spark, sf):
-    """Rows kept after dropping bad JSON, empty fields, short outputs and over-long text."""
-    return prep.clean(fx.defects(spark, sf), 2048).select("conv_id", "turn")
+    """Rows of every format kept after dropping bad JSON, empty key fields and short replies."""
+    records = [fx.defects(spark, sf), fx.messages_records(spark, sf, "messages"), fx.conversations_records(spark, sf), fx.text_records(spark, sf)]
+    kept = [prep.clean(r).select("slice", "sample_id") for r in records]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2]).unionByName(kept[3])
 
 
 # ---- windows ------------------------------------------------------------------
 
 @register("win_keep_first", sql=f"""
-WITH g AS (SELECT source AS slice, {d_fp('text')} AS fp, doc_id FROM documents)
-SELECT slice, min(doc_id) AS doc_id, count(*) AS group_size FROM g GROUP BY slice, fp""")
+WITH g AS (SELECT source AS slice, {d_key('text')} AS k, doc_id FROM documents)
+SELECT slice, min(doc_id) AS doc_id, count(*) AS group_size FROM g GROUP BY slice, k""")
 def win_keep_first(spark, sf):
-    """First document (smallest id) of each fingerprint group per source: the advised dedupe."""
+    """First document (smallest id) of each group with the same whole normalised text per source."""
     d = fx.table(spark, sf, "documents").select(F.col("source").alias("slice"), "doc_id", "text")
-    k = prep.keep_first(d.select("slice", "doc_id", tx.fingerprint("text").alias("fp")), "fp", "doc_id", ["slice"])
+    k = prep.keep_first(d.select("slice", "doc_id", tx.text_key("text").alias("key")), "key", "doc_id", ["slice"])
     return k.select("slice", "doc_id", "group_size")
 
 
@@ -201,13 +207,9 @@ def win_split(spark, sf):
 
 
 PACK_SEQ = 2048
-# shard count from the data: ceil(rows / 2^20); samples go to shard doc_id % shards
-D_SHARDS = f"""
-nsh AS (SELECT CAST(greatest(1, ceil(count(*) / {prep.PACK_SAMPLES_PER_SHARD})) AS BIGINT) AS shards FROM documents)
-"""
-D_PACK = D_SHARDS + f""",
-pt AS (SELECT doc_id % nsh.shards AS shard, doc_id AS sample_id, {d_tokens_v('text')} + 1 AS sample_len
-       FROM documents, nsh),
+PACK_IDS = 300  # ids of a shard here: several shards at every scale
+D_PACK = f"""
+pt AS (SELECT doc_id // {PACK_IDS} AS shard, doc_id AS sample_id, {d_tokens_v('text')} + 1 AS sample_len FROM documents),
 pc AS (SELECT *, CAST(sum(sample_len) OVER (PARTITION BY shard ORDER BY sample_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e,
               CAST(sum(sample_len) OVER (PARTITION BY shard) AS BIGINT) AS shard_total FROM pt),
 pp AS (SELECT shard, sample_id, sample_len, e - sample_len AS s, e, shard_total,
@@ -221,15 +223,13 @@ pieces AS (SELECT shard, pack, sample_id, greatest(s, pack * {PACK_SEQ}) - s AS
 
 def _pieces(spark, sf):
     d = fx.table(spark, sf, "documents").select("doc_id", tx.tokens_v("text").alias("tokens"))
-    shards = prep.pack_shard_count(d)
-    # doc_id modulo the shard count (repeatable in SQL); the library default is hash_shard
-    return prep.pack(d, "doc_id", "tokens", PACK_SEQ, F.pmod(F.col("doc_id"), F.lit(shards)))
+    return prep.pack(d, "doc_id", "tokens", PACK_SEQ, prep.range_shard("doc_id", PACK_IDS))
 
 
 @register("win_pack", sql="WITH " + D_PACK + " SELECT * FROM pieces")
 def win_pack(spark, sf):
-    """Documents (+1 end-of-text token each) packed into 2048-token sequences; the shard count
-    grows with the corpus (one shard per ~1M samples)."""
+    """Documents (+1 end-of-text token each) packed into 2048-token sequences; a shard is a fixed range
+    of ids."""
     return _pieces(spark, sf)
 
 
@@ -247,8 +247,8 @@ def win_pack_segments(spark, sf):
                           s["piece_len"].cast("string"))), ";").alias("segments"))
 
 
-@register("win_pack_gain", sql="WITH " + D_SHARDS + f""",
-t AS (SELECT source AS slice, doc_id % nsh.shards AS s, {d_tokens_v('text')} AS tok FROM documents, nsh),
+@register("win_pack_gain", sql=f"""
+WITH t AS (SELECT source AS slice, doc_id // {PACK_IDS} AS s, {d_tokens_v('text')} AS tok FROM documents),
 ps AS (SELECT slice, s, count(*) AS n, sum(tok) AS tok, ceil((sum(tok) + count(*)) / {PACK_SEQ}) AS packs FROM t GROUP BY 1, 2),
 g AS (SELECT slice, CAST(sum(n) AS BIGINT) AS n, CAST(sum(tok) AS BIGINT) AS total_tokens, CAST(sum(packs) AS BIGINT) AS n_packs
       FROM ps GROUP BY slice)
@@ -263,8 +263,7 @@ def win_pack_gain(spark, sf):
     """Padded vs packed fill rate and packing suitability per source."""
     d = fx.table(spark, sf, "documents").select(F.col("source").alias("slice"), "doc_id",
                                                 tx.tokens_v("text").alias("tokens"))
-    shards = prep.pack_shard_count(d)
-    g = prep.pack_gain(d, ["slice"], "tokens", PACK_SEQ, F.pmod(F.col("doc_id"), F.lit(shards)))
+    g = prep.pack_gain(d, ["slice"], "tokens", PACK_SEQ, prep.range_shard("doc_id", PACK_IDS))
     return g.select("slice", "n", "total_tokens", F.col("n_packs").cast("bigint").alias("n_packs"), "mean_tokens",
                     "fill_padded", "fill_packed", "speedup", "suitable")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lines import number_rows, spread_small_input
+from .lines import number_rows
 from .records import conversation_turn, message_turn, parse_lines, samples_from_columns, to_samples
 
 # ---------------------------------------------------------------------------
@@ -38,11 +38,8 @@ ERROR_LINES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. A table stored as fewer splits than the cluster has cores (e.g. one
-    Parquet row group) is spread round-robin first, so the per-row text rules use every core;
-    a large table has far more splits than cores and is read as it is."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_small_input(df)
+    """A driver table, read as it is."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def text_records(spark, sf_dir) -> DataFrame:

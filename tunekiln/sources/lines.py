@@ -109,14 +109,3 @@ def nonblank_numbers_of(targets: DataFrame, blanks: DataFrame, slice_col: str =
               .groupBy(slice_col, "line_no").agg(F.count(F.lit(1)).alias("_before")))
     return (targets.join(before, [slice_col, "line_no"], "left")
             .withColumn("nb_no", F.col("line_no") - F.coalesce(F.col("_before"), F.lit(0))).drop("_before"))
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Round-robin repartition only when the scan has fewer splits than default parallelism
-    (decided at planning time, no job)."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # sessions without a local SparkContext: read as it is
-        return df
-    return df.repartition(cores) if splits < cores else df
