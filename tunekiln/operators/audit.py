@@ -59,6 +59,8 @@ A_ISSUE_EMPTY_SET = "数据集为空！"
 ALERT_SHORT_SHARE = 0.05
 ALERT_DUP_SHARE = 0.10
 VALID_SHARE_MIN = 0.90
+SLICE_BROADCAST_ROWS = 100_000
+SALTS = 32
 # ---------------------------------------------------------------------------
 
 
@@ -67,15 +69,16 @@ def _by(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def attach_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join a per-slice table (one row per slice) back to the rows.
+def attach_small(big: DataFrame, small: DataFrame, on: list[str], salt: str | None = None) -> DataFrame:
+    """Join a written per-slice table (one row per slice) to the rows without moving the rows.
 
-    No static hint: the per-slice side is the output of an aggregation stage, so AQE knows its
-    measured size and turns the join into a broadcast below
-    ``spark.sql.adaptive.autoBroadcastJoinThreshold``; above it the join stays a shuffle join
-    and AQE's skew-join handling splits a hot slice.
-    """
-    return big.join(small, on, how)
+    The table is broadcast where it has at most SLICE_BROADCAST_ROWS rows (counted). With more slices
+    the rows are joined on (slice, salt), so that a hot slice is spread over SALTS tasks."""
+    if small.count() <= SLICE_BROADCAST_ROWS:
+        return big.join(F.broadcast(small), on)
+    salts = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    key = F.pmod(F.xxhash64(salt) if salt else F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    return big.withColumn("_salt", key).join(salts, [*on, "_salt"]).drop("_salt")
 
 
 def grouped_counts(rows: DataFrame, by: list[str], keys: list[str], aggs: list[Column] | None = None) -> dict:
@@ -114,35 +117,27 @@ def parse_counts(samples: DataFrame, by=("slice",)) -> DataFrame:
     )
 
 
-def _first_info(status: Column, raw_present: bool) -> Column:
-    """Per-row candidate for the slice's first record; the key list is parsed later, only for
-    the row that wins (the raw line or the field map rides along)."""
-    obj = status == "ok"
-    src = F.col("raw") if raw_present else F.col("fields")
-    return F.struct(
-        F.when(obj, fm.fmt_v()).otherwise(F.lit(fm.FMT_UNKNOWN)).alias("fmt_v"),
-        F.when(obj, fm.fmt_a()).otherwise(F.lit(fm.FMT_UNKNOWN)).alias("fmt_a"),
-        F.when(obj, fm.fmt_t()).otherwise(F.lit(fm.FMT_UNKNOWN)).alias("fmt_t"),
-        obj.alias("obj"),
-        src.alias("src"),
-    )
-
-
 def slice_info(samples: DataFrame, by=("slice",), order: str = "line_no") -> DataFrame:
-    """One aggregation per slice: line counts and the first valid record's formats and keys
-    (``min_by`` on the order key; invalid lines carry a null order and are skipped)."""
+    """Line counts per slice and the first valid record's formats and keys, as a written table.
+
+    The least order of the valid lines is a plain hash aggregate; the few rows that have it are then
+    read by a join with that table, so no line is sorted or shuffled. Runs when it is called."""
     by = _by(by)
     bad = F.col("status") == "bad_json"
-    info = _first_info(F.col("status"), "raw" in samples.columns)
-    g = samples.groupBy(*by).agg(
+    counts = land(samples.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_lines"),
         F.count_if(~bad).alias("valid_lines"),
         F.count_if(bad).alias("invalid_lines"),
-        F.min_by(F.when(~bad, info), F.when(~bad, F.col(order))).alias("_f"))
-    parse = F.json_object_keys if "raw" in samples.columns else F.map_keys
-    keys = F.coalesce(F.when(F.col("_f.obj"), parse(F.col("_f.src"))), F.array().cast("array<string>"))
-    return g.select(*by, "total_lines", "valid_lines", "invalid_lines", "_f.fmt_v", "_f.fmt_a", "_f.fmt_t",
-                    keys.alias("first_keys"))
+        F.min(F.when(~bad, F.col(order))).alias("_first")), "slice-counts")
+    ok = F.col("status") == "ok"
+    fmt = lambda f: F.when(ok, f()).otherwise(F.lit(fm.FMT_UNKNOWN))
+    keys = F.json_object_keys("raw") if "raw" in samples.columns else F.map_keys("fields")
+    starts = counts.filter("_first is not null").select(*by, F.col("_first").alias(order))
+    first = attach_small(samples.filter(~bad), starts, [*by, order], order).select(
+        *by, fmt(fm.fmt_v).alias("fmt_v"), fmt(fm.fmt_a).alias("fmt_a"), fmt(fm.fmt_t).alias("fmt_t"),
+        F.coalesce(F.when(ok, keys), F.array().cast("array<string>")).alias("first_keys")).dropDuplicates(by)
+    out = counts.drop("_first").join(first, by, "left")
+    return land(out.withColumn("first_keys", F.coalesce("first_keys", F.array().cast("array<string>"))), "slice-info")
 
 
 def first_records(samples: DataFrame, by=("slice",), order: str = "line_no") -> DataFrame:
@@ -169,7 +164,7 @@ def _v_rows(samples: DataFrame, by: list[str], order: str, first: DataFrame | No
     """Valid rows with the slice's key format attached and V's per-row values computed once."""
     first = first if first is not None else first_records(samples, by, order)
     valid = samples.filter(F.col("status") != "bad_json")
-    j = attach_small(valid, first, by)
+    j = attach_small(valid, first, by, order)
     kf = F.col("fmt_v")
     txt = fm.full_text_v(kf, F.col("first_keys"))
     j = j.withColumn("_tv", txt)
@@ -251,9 +246,10 @@ def near_dups(rows: DataFrame, by: list[str], key: str = "fp", counts: DataFrame
 def v_audit(samples: DataFrame, by=("slice",), order: str = "line_no") -> DataFrame:
     """V statistics per slice: lines, format, empties, near-dups, token stats, score, grade, passed.
 
-    Rows are scanned twice in total: once for the parse counts and the first record of each
-    slice (key presence only), once for the text rules, whose three groupings (fingerprint,
-    tokens, slice) share one GROUPING SETS aggregation."""
+    Two scans read line counts and the first record of each slice (no text but the first
+    records'), one pass reads the texts; its three groupings (fingerprint, tokens, slice) share one
+    GROUPING SETS aggregation. These run when the function is called; what is returned reads their
+    small written results."""
     by = _by(by)
     sinfo = slice_info(samples, by, order)
     first = sinfo.filter(F.col("valid_lines") > 0).select(*by, "fmt_v", "fmt_a", "fmt_t", "first_keys")
@@ -458,7 +454,7 @@ def alerts(quality: DataFrame) -> DataFrame:
 def t_rows(samples: DataFrame, by: list[str], order: str = "line_no") -> DataFrame:
     first = first_records(samples, by, order)
     valid = samples.filter(F.col("status") != "bad_json")
-    j = attach_small(valid, first, by)
+    j = attach_small(valid, first, by, order)
     return j.withColumn("_tt", fm.full_text_t(F.col("fmt_t"))).select(
         *by, "fmt_t", tx.tokens_t(F.col("_tt")).alias("tokens"))
 

@@ -24,13 +24,26 @@ def _jsonl(spark, sf, with_nb=False):
     return fx.jsonl_samples(spark, sf, with_nb=with_nb)
 
 
-@register("src_jsonl_lines")
+@register("src_jsonl_lines", sql="WITH " + D_JSONL + """
+SELECT slice, count(*) AS n_lines, count(DISTINCT raw) AS n_distinct, CAST(sum(length(raw)) AS BIGINT) AS chars,
+       md5(string_agg(md5(raw), '' ORDER BY md5(raw))) AS lines_md5
+FROM jl1 WHERE raw <> '' GROUP BY slice""")
 def src_jsonl_lines(spark, sf):
-    """The JSON-lines fixture written as text files (one per slice) and read back as numbered
-    lines: (slice, line_no, nb_no, raw). Rows-only check: file layout decides the numbers."""
+    """The JSON-lines fixture written as text files (a folder per slice) and read back as numbered lines.
+
+    Line numbers follow the files, whose borders depend on the writer; the result has what does not: the
+    lines of each slice, named by its folder, after a check that every file is numbered without a gap."""
     path = scratch_path(spark, "jsonl")
     sinks.write_jsonl_lines(fx.jsonl_lines(spark, sf), path)
-    return read_lines(spark, path + "/*/*.txt")
+    lines = read_lines(spark, path + "/*/*.txt")
+    files = lines.groupBy("slice").agg(F.max("nb_no").alias("last"), F.count(F.lit(1)).alias("n"), F.countDistinct("nb_no").alias("d"),
+                                       F.count_if(F.col("line_no") < F.col("nb_no")).alias("odd"))
+    folder = F.regexp_extract("slice", "/slice=([^/]+)/[^/]*$", 1)
+    sound = files.groupBy(folder.alias("slice")).agg(F.bool_and((F.col("last") == F.col("n")) & (F.col("d") == F.col("n")) & (F.col("odd") == 0)).alias("sound"))
+    per = lines.groupBy(folder.alias("slice")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.countDistinct("raw").alias("n_distinct"), F.sum(F.length("raw")).cast("bigint").alias("chars"),
+        F.md5(F.array_join(F.array_sort(F.collect_list(F.md5("raw"))), "")).alias("lines_md5"))
+    return per.join(sound.filter("sound"), "slice").drop("sound")
 
 
 @register("src_json_parse", sql="WITH " + D_JSONL + "SELECT slice, sample_id, line_no, status FROM js")
@@ -122,12 +135,16 @@ def src_pair_turns(spark, sf):
     return fx.pairs(spark, sf)
 
 
-@register("src_question_lines")
+@register("src_question_lines", sql=f"""
+SELECT row_number() OVER (ORDER BY item_id) AS q_no, {d_strip("replace(replace(text, chr(13), ' '), chr(10), ' ')")} AS question
+FROM benchmark""")
 def src_question_lines(spark, sf):
-    """benchmark texts written as a question file and read back: non-blank lines numbered from 1."""
+    """benchmark texts written as one question file, line breaks as blanks, and read back: one question a
+    line, numbered from 1."""
     path = scratch_path(spark, "questions")
-    fx.table(spark, sf, "benchmark").orderBy("item_id").select("text").write.text(path)
-    return read_questions(spark, path)
+    line = F.translate("text", "\r\n", "  ")
+    fx.table(spark, sf, "benchmark").select("item_id", line.alias("text")).coalesce(1).sortWithinPartitions("item_id").select("text").write.text(path)
+    return read_questions(spark, path).select("q_no", "question")
 
 
 # ---- parse-level aggregates -------------------------------------------------
