@@ -18,12 +18,13 @@ from .common import (D_PAIRS, d_blank, d_fp, d_np_median, d_np_quantile, d_np_ro
 ORDER = "sample_id"
 
 
-def corpus(spark, sf, materialize: bool = False) -> DataFrame:
-    """Four slice families as canonical samples: documents (text, one slice per source),
+def corpus(spark, sf, materialize: bool = False, replies: bool = False) -> DataFrame:
+    """Four slice families as canonical samples: documents (text records, or with ``replies``
+    instruction/output records, whose text the analyzer reads; one slice per source),
     conversations (messages), user→assistant pairs, and defect-injected pairs. Deriving them
     from the tables is cheap, so they are not landed (``materialize`` lands them as Parquet);
     JSON-lines inputs are landed once by ``api.load_jsonl`` because parsing is not cheap."""
-    docs = fx.text_records(spark, sf).drop("lang")
+    docs = fx.reply_records(spark, sf) if replies else fx.text_records(spark, sf).drop("lang")
     p = fx.pairs(spark, sf)  # one pairing plan feeds both the clean and the defect slice
     parts = [docs, fx.messages_records(spark, sf), fx.pair_records(spark, sf, pairs_df=p).drop("conv_id", "turn"),
              fx.defects(spark, sf, pairs_df=p).drop("conv_id", "turn")]
@@ -172,56 +173,22 @@ SELECT slice, CASE
        || CASE WHEN dup_count > 0 THEN chr(10) || printf('Tip: %d duplicates found. Some duplication is fine for SFT.', total_duplicates) ELSE '' END
   WHEN score >= 60 THEN '[WARN] Trainable but quality could be better.' || chr(10) || 'Fix: Check and fix the issues listed above, then re-run validation.'
   WHEN score >= 40 THEN '[WARN] Significant quality issues. Training may produce poor results.' || chr(10) || 'Fix: Review your data preparation pipeline.' || chr(10) || 'Re-run with --show-issues for detailed diagnostics.'
-  ELSE '[FAIL] Data quality is too poor for meaningful training.' END AS advice_head
+  ELSE '[FAIL] Data quality is too poor for meaningful training.' || chr(10)
+       || 'Fix: Re-check your data source. Ensure proper JSONL format:' || chr(10)
+       || '  {"instruction": "...", "output": "..."}' || chr(10)
+       || '  {"messages": [{"role": "user", "content": "..."}, ...]}' || chr(10)
+       || '  {"text": "..."}  (for CPT/pretraining)' END AS advice
 FROM vscore""")
 def agg_advice_v(spark, sf):
-    """Advice lines by score band (the last band's format hints are cut from the compared head)."""
-    s = _v_audit(spark, sf)
-    head = F.when(F.col("score") < 40, F.lit(au.V_ADVICE_UNUSABLE[0])).otherwise(F.col("advice"))
-    return s.select("slice", head.alias("advice_head"))
-
-
-@register("agg_alerts", sql="WITH " + D_PAIRS + f""",
-a AS (
-  SELECT 'pairs' AS slice, {d_short('output')} AS short, md5(coalesce(instruction, '') || ' ' || coalesce(output, '')) AS k
-  FROM pairs),
-q AS (SELECT slice, count(*) AS n, count(*) FILTER (WHERE short) AS short_count,
-             count(*) - count(DISTINCT k) AS duplicate_count FROM a GROUP BY slice)
-SELECT slice, n, short_count, duplicate_count, short_count / n > 0.05 AS alert_short,
-       duplicate_count / n > 0.10 AS alert_dups FROM q""")
-def agg_alerts(spark, sf):
-    """Red flags per slice: short outputs above 5 %, exact duplicates above 10 %."""
-    q = au.alerts(au.quality_a(fx.pair_records(spark, sf), ["slice"]))
-    return q.select("slice", "n", "short_count", "duplicate_count", "alert_short", "alert_dups")
-
-
-@register("agg_quality_level", sql="WITH " + D_CORPUS_V + """,
-lvl AS (SELECT slice, score, valid_lines, dup_count, empty_count, p95_tokens, avg_tokens FROM vscore)
-SELECT slice, CASE WHEN score < 60 THEN 'fail'
-                   WHEN dup_count > 0 OR empty_count > 0 OR valid_lines < 500 OR p95_tokens > 4096 OR avg_tokens < 50
-                   THEN 'warn' ELSE 'good' END AS quality_level
-FROM lvl""")
-def agg_quality_level(spark, sf):
-    """good / warn / fail per slice: fail if the V score < 60 or the valid share < 0.90, warn if any
-    V issue, else good."""
-    s = _v_audit(spark, sf)
-    valid_share = F.col("valid_lines") / (F.col("valid_lines") + F.col("invalid_lines"))
-    lvl = (F.when((F.col("score") < au.V_PASS_SCORE) | (valid_share < au.VALID_SHARE_MIN), F.lit("fail"))
-           .when(F.size("issues") > 0, F.lit("warn")).otherwise(F.lit("good")))
-    return s.select("slice", lvl.alias("quality_level"))
+    """Advice lines by score band."""
+    return _v_audit(spark, sf).select("slice", "advice")
 
 
 # ---- A analyzer -------------------------------------------------------------
 
-D_CORPUS_A = D_PAIRS + f""",
-defects AS (
-  SELECT conv_id, turn,
-         CASE WHEN conv_id % 5 = 0 THEN instruction || chr(9) ELSE instruction END AS instruction,
-         CASE WHEN conv_id % 7 = 0 THEN '' WHEN conv_id % 11 = 0 THEN 'ok'
-              WHEN conv_id % 13 = 0 THEN NULL ELSE output END AS output
-  FROM pairs),
+D_A_ROWS = f"""
 atext AS (
-  SELECT source AS slice, ' ' AS t, '' AS o, NULL AS ins FROM documents
+  SELECT source AS slice, coalesce(lang, '') || ' ' || coalesce(text, '') AS t, coalesce(text, '') AS o, lang AS ins FROM documents
   UNION ALL
   SELECT 'conversations', string_agg(coalesce(text, ''), ' ' ORDER BY turn),
          coalesce(max_by(text, turn) FILTER (WHERE role = 'assistant'), ''), NULL
@@ -236,10 +203,17 @@ ar AS (
          coalesce(regexp_matches(t, '[\\x{{4E00}}-\\x{{9FFF}}]') AND regexp_matches(t, '[A-Za-z]'), false) AS bilingual
   FROM atext)
 """
+D_CORPUS_A = D_PAIRS + """,
+defects AS (
+  SELECT conv_id, turn,
+         CASE WHEN conv_id % 5 = 0 THEN instruction || chr(9) ELSE instruction END AS instruction,
+         CASE WHEN conv_id % 7 = 0 THEN '' WHEN conv_id % 11 = 0 THEN 'ok'
+              WHEN conv_id % 13 = 0 THEN NULL ELSE output END AS output
+  FROM pairs),""" + D_A_ROWS
 
 
 def a_corpus(spark, sf) -> DataFrame:
-    return corpus(spark, sf)
+    return corpus(spark, sf, replies=True)
 
 
 @register("agg_length_stats", sql="WITH " + D_CORPUS_A + f"""
@@ -280,17 +254,49 @@ def agg_quality_a(spark, sf):
                     F.array_join("issues", " | ").alias("issues"))
 
 
+D_ALERTS = """,
+alert AS (SELECT slice, count(*) AS n, count(*) FILTER (WHERE short) AS short_count,
+                 count(*) - count(DISTINCT k) AS duplicate_count FROM ar GROUP BY slice)
+"""
+
+
+@register("agg_alerts", sql="WITH " + D_CORPUS_A + D_ALERTS + """
+SELECT slice, n, short_count, duplicate_count, short_count / n > 0.05 AS alert_short,
+       duplicate_count / n > 0.10 AS alert_dups FROM alert""")
+def agg_alerts(spark, sf):
+    """Red flags per slice: short outputs above 5 %, exact duplicates above 10 %."""
+    q = au.alerts(au.quality_a(a_corpus(spark, sf), ["slice"]))
+    return q.select("slice", "n", "short_count", "duplicate_count", "alert_short", "alert_dups")
+
+
+@register("agg_quality_level", sql="WITH " + D_CORPUS_V + "," + D_A_ROWS + D_ALERTS + """
+SELECT slice, CASE WHEN score < 60 THEN 'fail'
+                   WHEN dup_count > 0 OR empty_count > 0 OR valid_lines < 500 OR p95_tokens > 4096 OR avg_tokens < 50
+                        OR short_count / n > 0.05 OR duplicate_count / n > 0.10
+                   THEN 'warn' ELSE 'good' END AS quality_level
+FROM vscore JOIN alert USING (slice)""")
+def agg_quality_level(spark, sf):
+    """good / warn / fail per slice: fail if the V score < 60 or the valid share < 0.90, warn if any
+    V issue or alert, else good."""
+    s = _v_audit(spark, sf)
+    al = au.alerts(au.quality_a(a_corpus(spark, sf), ["slice"])).select("slice", (F.col("alert_short") | F.col("alert_dups")).alias("alert"))
+    s = s.join(al, "slice", "left")
+    valid_share = F.col("valid_lines") / (F.col("valid_lines") + F.col("invalid_lines"))
+    lvl = (F.when((F.col("score") < au.V_PASS_SCORE) | (valid_share < au.VALID_SHARE_MIN), F.lit("fail"))
+           .when((F.size("issues") > 0) | F.coalesce("alert", F.lit(False)), F.lit("warn")).otherwise(F.lit("good")))
+    return s.select("slice", lvl.alias("quality_level"))
+
+
 @register("agg_exact_dups", sql="""
 SELECT source AS slice, count(*) AS n, count(*) - count(DISTINCT md5(text)) AS duplicate_count,
-       count(*) - 1 AS duplicate_count_a
+       count(*) - count(DISTINCT md5(coalesce(lang, '') || ' ' || coalesce(text, ''))) AS duplicate_count_a
 FROM documents GROUP BY source""")
 def agg_exact_dups(spark, sf):
-    """n − distinct texts per source on raw document text, and A's count on CPT records (all texts
-    are ' ' under A, so n − 1)."""
+    """n − distinct texts per source on raw document text, and A's count on instruction/output records."""
     d = fx.table(spark, sf, "documents").select(F.col("source").alias("slice"),
                                                 F.unhex(F.md5("text")).alias("k"))
     raw = au.exact_dups(d, ["slice"], "k")
-    r = au.a_rows(fx.text_records(spark, sf), ["slice"])
+    r = au.a_rows(fx.reply_records(spark, sf), ["slice"])
     a = au.exact_dups(r, ["slice"]).select("slice", F.col("duplicate_count").alias("duplicate_count_a"))
     return raw.join(a, "slice").select("slice", "n", "duplicate_count", "duplicate_count_a")
 

@@ -17,7 +17,7 @@ from .q_logs import D_LOG, D_SIGS
 WITH c AS (SELECT item_id, text, '### Instruction:' || chr(10) || text || chr(10) || chr(10) || '### Response:' || chr(10) AS p
            FROM benchmark)
 SELECT item_id, text AS instruction, p AS formatted_prompt, text AS expected,
-       left(text, 80) AS base_model_output, {d_strip('text')} AS lora_model_output FROM c""")
+       text AS base_model_output, {d_strip('text')} AS lora_model_output FROM c""")
 def jn_eval_side_by_side(spark, sf):
     """Test case ⋈ base output ⋈ tuned output on the case id."""
     from .q_sources import _eval_rows

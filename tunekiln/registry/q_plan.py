@@ -20,7 +20,7 @@ TASKS = ["chat", "code", "math", "roleplay", "cpt"]
 
 
 def plan_corpus(spark, sf) -> DataFrame:
-    parts = [fx.text_records(spark, sf).drop("lang"), fx.messages_records(spark, sf),
+    parts = [fx.reply_records(spark, sf), fx.messages_records(spark, sf),
              fx.pair_records(spark, sf).drop("conv_id", "turn")]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -28,7 +28,7 @@ def plan_corpus(spark, sf) -> DataFrame:
 # DuckDB: A's per-row token estimate for the same slices.
 D_PLAN_ROWS = D_PAIRS + f""",
 pa AS (
-  SELECT source AS slice, 0.3::DOUBLE AS tokens_f FROM documents
+  SELECT source AS slice, {d_tokens_f("coalesce(lang, '') || ' ' || coalesce(text, '')")} AS tokens_f FROM documents
   UNION ALL
   SELECT 'conversations', {d_tokens_f('t')} FROM (
     SELECT string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
@@ -271,7 +271,10 @@ ov AS (SELECT source AS slice, 16 AS rank, 0.0005::DOUBLE AS learning_rate FROM
 
 @register("jn_overrides", sql="WITH " + D_OVR + """
 SELECT hp.slice, coalesce(ov.rank, hp.rank) AS rank, ov.rank IS NOT NULL AS rank_overridden,
-       coalesce(ov.learning_rate, hp.learning_rate) AS learning_rate
+       coalesce(ov.learning_rate, hp.learning_rate) AS learning_rate,
+       CASE WHEN n < 500 THEN '极小数据集（<500），使用 r=4 防止严重过拟合' WHEN n < 1000 THEN '小数据集（<1k），使用 r=4 防止过拟合'
+            WHEN n < 5000 THEN '中等数据集（1k-5k），r=8 平衡学习能力与泛化' WHEN n < 20000 THEN '大数据集（5k-20k），r=16 充分学习新知识'
+            ELSE '超大数据集（>20k），r=32 捕获复杂模式' END || CASE WHEN ov.rank IS NOT NULL THEN ' [用户覆盖]' ELSE '' END AS rank_reason
 FROM hp LEFT JOIN ov USING (slice)""")
 def jn_overrides(spark, sf):
     """A per-slice override table (rank 16, lr 5e-4 for sources whose smallest doc_id is even)
@@ -284,4 +287,4 @@ def jn_overrides(spark, sf):
           .agg(F.min("doc_id").alias("m")).filter(F.pmod("m", F.lit(2)) == 0)
           .select("slice", F.lit(16).alias("rank"), F.lit(5e-4).alias("learning_rate")))
     j = pl.apply_overrides(hp, ov, ["rank", "learning_rate"])
-    return j.select("slice", "rank", F.col("rank_overridden"), "learning_rate")
+    return j.select("slice", "rank", F.col("rank_overridden"), "learning_rate", "rank_reason")

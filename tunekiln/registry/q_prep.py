@@ -101,7 +101,7 @@ def prj_prompt(spark, sf):
 @register("prj_strip_prompt", sql=f"""
 WITH c AS (SELECT item_id, text, '### Instruction:' || chr(10) || text || chr(10) || chr(10) || '### Response:' || chr(10) AS p
            FROM benchmark)
-SELECT item_id, left(text, 80) AS base_clean, {d_strip('text')} AS tuned_clean FROM c""")
+SELECT item_id, text AS base_clean, {d_strip('text')} AS tuned_clean FROM c""")
 def prj_strip_prompt(spark, sf):
     """Model responses with the echoed prompt removed (first len(prompt) chars, then strip)."""
     e = fx.eval_outputs(spark, sf)
@@ -305,7 +305,7 @@ def agg_eval_metrics(spark, sf):
 
 
 @register("top_compare_50", sql="WITH " + D_CASES.format(k=50) + f"""
-SELECT item_id, instruction, left(instruction, 80) AS base_model_output, {d_strip('instruction')} AS lora_model_output
+SELECT item_id, instruction, instruction AS base_model_output, {d_strip('instruction')} AS lora_model_output
 FROM cases""")
 def top_compare_50(spark, sf):
     """First 50 cases with base and tuned outputs side by side."""
@@ -338,13 +338,13 @@ def top_empty_details(spark, sf):
 
 
 @register("top_samples", sql="""
-SELECT slice, doc_id, rank FROM (SELECT source AS slice, doc_id,
+SELECT slice, doc_id, rank, text FROM (SELECT source AS slice, doc_id, text,
   row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 3""")
 def top_samples(spark, sf):
     """First 3 records of each slice (partial top-k before the shuffle)."""
-    d = fx.table(spark, sf, "documents").select(F.col("source").alias("slice"), "doc_id")
+    d = fx.table(spark, sf, "documents").select(F.col("source").alias("slice"), "doc_id", "text")
     return prep.top_k_per_group(d, ["slice"], [F.col("doc_id")], 3).select(
-        "slice", "doc_id", F.col("rank").cast("bigint").alias("rank"))
+        "slice", "doc_id", F.col("rank").cast("bigint").alias("rank"), "text")
 
 
 # ---- scalar rules -------------------------------------------------------------

@@ -400,7 +400,7 @@ def snk_train_text(spark, sf):
 WITH c AS (SELECT item_id, text, '### Instruction:' || chr(10) || text || chr(10) || chr(10) || '### Response:' || chr(10) AS p
            FROM benchmark)
 SELECT item_id, text AS instruction, p AS formatted_prompt, text AS expected,
-       left(text, 80) AS base_model_output, """ + d_strip("text") + """ AS lora_model_output FROM c""")
+       text AS base_model_output, """ + d_strip("text") + """ AS lora_model_output FROM c""")
 def snk_eval_results(spark, sf):
     """Side-by-side eval rows written as JSON and read back."""
     rows = _eval_rows(spark, sf)
@@ -420,7 +420,7 @@ def _eval_rows(spark, sf):
 @register("snk_qa_text", sql="""
 WITH q AS (SELECT row_number() OVER (ORDER BY item_id) AS q_no, text FROM benchmark)
 SELECT q_no, 'Q' || CAST(q_no AS VARCHAR) || ': ' || text || chr(10) || 'A' || CAST(q_no AS VARCHAR) || ': '
-       || left(text, 80) || chr(10) || chr(10) AS block
+       || text || chr(10) || chr(10) AS block
 FROM q""")
 def snk_qa_text(spark, sf):
     """Q/A text blocks: question i (item order) and its base-model answer."""

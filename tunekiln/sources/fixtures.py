@@ -49,6 +49,13 @@ def text_records(spark, sf_dir) -> DataFrame:
     return samples_from_columns(d, text="text", keep=["slice", "sample_id", "lang"])
 
 
+def reply_records(spark, sf_dir) -> DataFrame:
+    """documents as instruction/output records (instruction = lang, output = text); slice = source."""
+    d = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("slice"), F.col("doc_id").alias("sample_id"), "text", "lang")
+    return samples_from_columns(d, instruction="lang", output="text", keep=["slice", "sample_id"])
+
+
 def fold_turns(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                text_col: str = "text") -> DataFrame:
     """Long turn table → one ordered ``turns`` array per conversation (bounded per conversation)."""
@@ -197,13 +204,13 @@ def holdout(spark, sf_dir) -> DataFrame:
 
 
 def eval_outputs(spark, sf_dir) -> DataFrame:
-    """benchmark as eval cases: base output = first 80 chars, tuned output = prompt + text."""
+    """benchmark as eval cases: base output = text, tuned output = prompt + text."""
     from ..functions.formats import prompt
     b = table(spark, sf_dir, "benchmark")
     p = prompt(F.lit("instruction-output"), F.col("text"))
     return b.select("item_id", F.col("text").alias("instruction"), F.col("text").alias("expected"),
                     p.alias("formatted_prompt"),
-                    F.substring("text", 1, 80).alias("base_raw"), F.concat(p, F.col("text")).alias("tuned_raw"))
+                    F.col("text").alias("base_raw"), F.concat(p, F.col("text")).alias("tuned_raw"))
 
 
 def log_lines(spark, sf_dir) -> DataFrame:
