@@ -110,3 +110,37 @@ def test_length_stats_match_numpy(spark):
         assert (g.p80_chars, g.p95_chars) == (int(np.percentile(chars, 80)), int(np.percentile(chars, 95)))
         assert g.p95_tokens_est == int(np.percentile(toks, 95))
         assert g.median_tokens_est == float(round(np.median(toks), 1))
+
+
+def test_clean_keeps_every_format(spark):
+    recs = [{"messages": [{"role": "user", "content": "hello"}, {"role": "assistant", "content": "a full reply"}]},
+            {"conversations": [{"from": "user", "value": "hello"}, {"from": "bot", "value": "a full reply"}]},
+            {"text": "some text"}, {"instruction": "do it", "output": "a full reply"}, {"foo": "bar"},
+            {"messages": []}, {"text": " "}, {"instruction": "do it", "output": "ok"}, {"foo": " "}]
+    got = [r.line_no for r in prep.clean(_samples(spark, recs)).orderBy("line_no").collect()]
+    assert got == [1, 2, 3, 4, 5]
+    assert prep.clean(_samples(spark, [{"text": "word " * 5000}])).count() == 1
+    assert prep.clean(_samples(spark, [{"text": "word " * 5000}]), 2048).count() == 0
+
+
+def test_dedupe_merges_whole_texts_only(spark):
+    from tunekiln import api
+    head = "x" * 300
+    recs = [{"text": head + " one"}, {"text": head + " two"}, {"text": head.upper() + "  ONE"}, {"foo": "a"}, {"bar": "a"},
+            {"foo": "a"}, [1], [2], {"messages": []}, {"messages": [], "id": 2}]
+    got = [(r.line_no, r.group_size) for r in api.dedupe(_samples(spark, recs)).orderBy("line_no").collect()]
+    assert got == [(1, 2), (2, 1), (4, 2), (5, 1), (7, 1), (8, 1), (9, 1), (10, 1)]
+
+
+def test_trap_text_records_have_no_text_for_the_analyzer(spark):
+    s = _samples(spark, [{"text": "a long text of a training corpus"}])
+    row = au.a_rows(s, ["slice"]).collect()[0]
+    assert row.chars == 1 and abs(row.tokens_f - 0.3) < 1e-12
+
+
+def test_packs_keep_slice_and_id(spark):
+    from tunekiln import api
+    df = spark.createDataFrame([(s, i, "word " * (i % 40 + 1)) for s in "ab" for i in range(100)], "slice string, line_no long, text string")
+    pieces = api.pack(df, 64, ids_per_shard=30).collect()
+    assert {(p.slice, p.line_no) for p in pieces} == {(s, i) for s in "ab" for i in range(100)}
+    assert {p.shard for p in pieces} == {0, 1, 2, 3}

@@ -1,20 +1,22 @@
 """Training-log analysis over points ``(run_id, step, ts, metric, value, line)``.
 
-Moving windows are built with a self-join on (run, step − k) rather than a window partitioned
-by run, so a run holding a third of all points still spreads over all tasks.
+Moving windows run over blocks of a run's numbered points, with the points before a block as a halo, so
+a run holding a third of all points still spreads over all tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import catalog as cat
+from ..session import land
 from ..sources.lines import number_rows
 
 # Our thresholds (the reference describes the symptoms in prose only); parameters below.
 SPIKE_FACTOR = 2.0
 SPIKE_WINDOW = 5
+SPIKE_BLOCK = 1 << 16
 OVERFIT_RATIO = 1.2
 UTILISATION_LOW = 50.0
 
@@ -24,7 +26,7 @@ def match_signatures(lines: DataFrame, line_col: str = "line") -> DataFrame:
     The 11-entry signature table is a literal array exploded per line (no join)."""
     x = lines.filter(F.col(line_col).isNotNull()).select("*", F.explode(cat.signatures_array()).alias("_s"))
     hit = F.instr(F.lower(F.col(line_col)), F.lower(F.col("_s.signature"))) > 0
-    return x.filter(hit).select(*lines.columns, "_s.sig_pos", "_s.signature", "_s.cause", "_s.fix")
+    return x.filter(hit).select(*lines.columns, "_s.sig_pos", "_s.signature", "_s.cause")
 
 
 def signature_counts(lines: DataFrame) -> DataFrame:
@@ -48,14 +50,19 @@ def run_summary(points: DataFrame) -> DataFrame:
 
 
 def loss_spikes(points: DataFrame, k: float = SPIKE_FACTOR, w: int = SPIKE_WINDOW) -> DataFrame:
-    """Train-loss points above k × the mean of the previous w train-loss points of the run."""
-    tr = points.filter(F.col("metric") == "train_loss").select("run_id", "step", "value")
-    tr = number_rows(tr, "step", by=["run_id"], out="idx")
-    prev = tr.select("run_id", F.explode(F.sequence(F.lit(1), F.lit(w))).alias("_d"), "idx", "value")
-    prev = prev.select("run_id", (F.col("idx") + F.col("_d")).alias("idx"), F.col("value").alias("_pv"))
-    m = prev.groupBy("run_id", "idx").agg(F.avg("_pv").alias("prev_mean"), F.count(F.lit(1)).alias("prev_n"))
-    j = tr.join(m, ["run_id", "idx"])
-    return j.filter(F.col("value") > F.lit(k) * F.col("prev_mean")).select(
+    """Train-loss points above k × the mean of the previous w train-loss points of the run.
+
+    Points are numbered per run and cut into blocks of SPIKE_BLOCK numbers; the last w points of a block
+    also stand in the next one as a halo, so one window per block sees all it needs and a long run is
+    spread over many tasks."""
+    tr = land(points.filter(F.col("metric") == "train_loss").select("run_id", "step", "value"), "losses")
+    tr = number_rows(tr, "step", by=["run_id"], out="idx").withColumn("idx", F.col("idx") - 1)
+    block = F.floor(F.col("idx") / SPIKE_BLOCK)
+    late = F.col("idx") % SPIKE_BLOCK >= SPIKE_BLOCK - w
+    d = tr.withColumn("_b", F.explode(F.when(late, F.array(block, block + 1)).otherwise(F.array(block))))
+    win = Window.partitionBy("run_id", "_b").orderBy("idx").rowsBetween(-w, -1)
+    d = d.withColumn("prev_mean", F.avg("value").over(win)).withColumn("prev_n", F.count(F.lit(1)).over(win))
+    return d.filter((F.col("_b") == block) & (F.col("value") > F.lit(k) * F.col("prev_mean"))).select(
         "run_id", "step", "value", "prev_mean", "prev_n")
 
 

@@ -6,9 +6,10 @@ Modulo rules below inject defects into some rows; no row is dropped by them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import land
 from .lines import number_rows
 from .records import conversation_turn, message_turn, parse_lines, samples_from_columns, to_samples
 
@@ -85,16 +86,13 @@ def conversations_records(spark, sf_dir, slice_value: str = "conversations") ->
 
 
 def pair_turns(turns: DataFrame, id_col="conv_id", turn_col="turn", role_col="role", text_col="text") -> DataFrame:
-    """Each assistant turn whose previous turn is a user turn → (instruction, output).
-
-    Turns are numbered per conversation (skew-safe numbering), then each turn meets its
-    predecessor by an equi-join on (conversation, position − 1): unique keys, so no task holds
-    a whole conversation however long it is."""
-    t = number_rows(turns.select(id_col, turn_col, role_col, text_col), turn_col, by=[id_col], out="_idx")
-    prev = t.filter(F.col(role_col) == "user").select(
-        id_col, (F.col("_idx") + 1).alias("_idx"), F.col(text_col).alias("instruction"))
-    cur = t.filter(F.col(role_col) == "assistant")
-    return cur.join(prev, [id_col, "_idx"]).select(id_col, turn_col, "instruction", F.col(text_col).alias("output"))
+    """Each assistant turn whose previous turn is a user turn → (instruction, output): one window over
+    the turns of a conversation."""
+    w = Window.partitionBy(id_col).orderBy(turn_col)
+    t = turns.select(id_col, turn_col, role_col, text_col, F.lag(role_col).over(w).alias("_role"),
+                     F.lag(text_col).over(w).alias("instruction"))
+    return t.filter((F.col(role_col) == "assistant") & (F.col("_role") == "user")).select(
+        id_col, turn_col, "instruction", F.col(text_col).alias("output"))
 
 
 def pairs(spark, sf_dir) -> DataFrame:
@@ -225,6 +223,6 @@ def log_lines(spark, sf_dir) -> DataFrame:
     pts = e.select(F.col("user_id").alias("run_id"), "event_id", "ts", "event_type", metric.alias("metric"),
                    "value", line.alias("line"))
     # rank by (ts, event_id) inside a run; a run may be hot, so no single-group window
-    pts = pts.withColumn("_ord", F.struct("ts", "event_id"))
+    pts = land(pts, "log-points").withColumn("_ord", F.struct("ts", "event_id"))  # the events are read once
     return number_rows(pts, "_ord", by=["run_id"], out="step",
-                       bucket_key=F.unix_micros(F.col("ts").cast("timestamp")), bucket_shift=32).drop("_ord")
+                       bucket_key=F.unix_micros(F.col("ts").cast("timestamp"))).drop("_ord")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, py_strip
 
+NUMBER_BUCKETS = 64
+
 
 
 def _scan_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -70,26 +72,45 @@ def read_questions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def _cuts(df: DataFrame, key: Column, buckets: int) -> list:
+    """Up to ``buckets`` - 1 values that cut ``key`` into ranges of about equal counts, from a sample of
+    its values by hash (about 32 for each bucket). Any cuts give the same numbers; these balance the work."""
+    values = df.select(key.alias("_k")).filter("_k is not null")
+    total = values.count()
+    every = max(1, total // (buckets * 32))
+    some = sorted(r["_k"] for r in values.filter(F.pmod(F.xxhash64("_k"), F.lit(every)) == 0).distinct().limit(buckets * 1024).collect())
+    return sorted({some[i * len(some) // buckets] for i in range(1, buckets)}) if some else []
+
+
+def _range_of(key: Column, cuts: list, a: int, b: int) -> Column:
+    """Number of ``cuts`` at or below ``key``, by halving; a null key is in range 0."""
+    if a == b:
+        return F.lit(a)
+    m = (a + b) // 2
+    return F.when(key >= F.lit(cuts[m]), _range_of(key, cuts, m + 1, b)).otherwise(_range_of(key, cuts, a, m))
+
+
 def number_rows(df: DataFrame, order_col: str, by: list[str] | None = None, out: str = "row_no",
-                bucket_key: Column | None = None, bucket_shift: int = 20) -> DataFrame:
+                bucket_key: Column | None = None, buckets: int = NUMBER_BUCKETS) -> DataFrame:
     """1-based position of each row by ``order_col`` inside each group of ``by``.
 
-    Deterministic and skew-safe without a global sort: rows are ranked inside (group, bucket),
-    bucket = ``bucket_key >> bucket_shift`` (default key: the order column, 2^20 key values per
-    bucket), and shifted by the counts of the group's earlier buckets. A hot group spreads over
-    its buckets; no partition id or sampled bound enters the result, so a recomputed task gives
-    the same numbers, and no statistics pass is needed. ``order_col`` must be unique within a
-    group and ordered consistently with ``bucket_key``.
+    Deterministic and skew-safe without a global sort: rows are ranked inside (group, range of the order)
+    and shifted by the counts of the group's earlier ranges. The ranges are cut from a sample of the
+    order values, so they are balanced for dense, sparse and text ids alike, and a hot group spreads over
+    all of them; the cuts do not enter the result. ``order_col`` must be unique within a group.
+    ``bucket_key`` (default: the order column) is what the ranges are cut by where the order is a struct;
+    it must be ordered as the order column is. Reads ``df`` three times, all but the last its key only.
     """
     by = by or []
     key = bucket_key if bucket_key is not None else F.col(order_col)
-    d = df.withColumn("_b", F.shiftright(key.cast("long"), bucket_shift))
+    cuts = _cuts(df, key, buckets)
+    d = df.withColumn("_b", _range_of(key, cuts, 0, len(cuts)))
     counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, -1)
+    # at most ``buckets`` rows for each group
+    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     ranked = d.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(order_col)))
-    # one row per (group, bucket); AQE broadcasts it when its measured size is small
+    # one row per (group, range); AQE broadcasts it when its measured size is small
     j = ranked.join(offsets, by + ["_b"])
     return j.withColumn(out, (F.col("_off") + F.col("_r")).cast("bigint")).drop("_b", "_r", "_off")
 
