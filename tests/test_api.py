@@ -122,3 +122,13 @@ def test_command_line_plan_and_prepare(spark, capsys):
     counts = {r["split"]: r["count"] for r in map(json.loads, capsys.readouterr().out.strip().splitlines())}
     assert counts == {"test": 60, "train": 540}
     assert spark.read.parquet(out).count() == 600
+
+
+def test_scratch_tables_are_removed(spark):
+    import os
+    from tunekiln import session
+    with session.scratch(spark):
+        df = session.land(spark.range(5), "gone")
+        path = df.inputFiles()[0].replace("file:", "").replace("//", "/").rsplit("/", 1)[0]
+        assert df.count() == 5 and os.path.isdir(path)
+    assert not os.path.isdir(path)

@@ -2,8 +2,8 @@
 
 Commands mirror the file-level API: ``validate`` (V report), ``analyze`` (A report), ``report``
 (both, optionally written as JSON), ``plan`` (training plan) and ``prepare`` (templated, split
-training rows written as Parquet partitioned by split). Per-file results are printed as JSON
-lines; their number is bounded by the number of input files.
+training rows written as Parquet partitioned by split). Per-file results are written as JSON to
+``--out``, or without it printed one by one; they never stand in the driver together.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="tunekiln")
     p.add_argument("command", choices=["validate", "analyze", "report", "plan", "prepare"])
     p.add_argument("path", help="JSON-lines file, folder or glob")
-    p.add_argument("--out", help="output folder (report: JSON documents; prepare: Parquet)")
+    p.add_argument("--out", help="output folder (per-file results as JSON; prepare: Parquet)")
     p.add_argument("--task", default="chat", choices=["chat", "code", "math", "roleplay", "cpt"])
     p.add_argument("--model", default="qwen2-7b")
     p.add_argument("--gpu", type=float, default=24.0, help="card memory in GB")
@@ -26,25 +26,29 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from . import api
-    from .session import get_session, prepare
+    from .session import get_session, prepare, scratch
     spark = get_session(a.master) if a.master else prepare(SparkSession.builder.getOrCreate())
-    samples = api.load_jsonl(spark, a.path)
-    if a.command == "validate":
-        out = api.validate(samples)
-    elif a.command == "analyze":
-        out = api.analyze(samples)
-    elif a.command == "report":
-        out = api.report(samples, a.out)
-    elif a.command == "plan":
-        out = api.plan(samples, task=a.task, model=a.model, gpu_gb=a.gpu)
-    else:
-        if not a.out:
-            p.error("prepare needs --out")
-        rows = api.training_text(samples)
-        rows.write.mode("overwrite").partitionBy("split").parquet(a.out)
-        out = rows.groupBy("slice", "split").count()
-    for line in out.toJSON().collect():
-        print(line)
+    if a.command == "prepare" and not a.out:
+        p.error("prepare needs --out")
+    with scratch(spark):
+        samples = api.load_jsonl(spark, a.path)
+        if a.command == "validate":
+            out = api.validate(samples)
+        elif a.command == "analyze":
+            out = api.analyze(samples)
+        elif a.command == "report":
+            out = api.report(samples, a.out)
+        elif a.command == "plan":
+            out = api.plan(samples, task=a.task, model=a.model, gpu_gb=a.gpu)
+        else:
+            rows = api.training_text(samples)
+            rows.write.mode("overwrite").partitionBy("split").parquet(a.out)
+            out = rows.groupBy("slice", "split").count()
+        if a.out and a.command in ("validate", "analyze", "plan"):
+            out.write.mode("overwrite").json(a.out)
+        else:
+            for line in out.toJSON().toLocalIterator():
+                print(line)
     return 0
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -58,24 +61,55 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not d:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder for scratch tables")
         return d
+    local = sc.master.startswith("local")
     current = sc.getCheckpointDir()
+    conf_dir = current or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    mounted = spark.conf.get("spark.tunekiln.checkpointDirIsMounted", "false") == "true"
+    if conf_dir and conf_dir.startswith("file:") and not local and not mounted:
+        raise RuntimeError(f"{conf_dir} is a folder of one machine: set spark.checkpoint.dir to a folder shared by the "
+                           "cluster (or spark.tunekiln.checkpointDirIsMounted where all machines mount it)")
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
-    elif sc.master.startswith("local"):
-        # tests and single-machine runs only: a fresh local folder
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    elif local:
+        # tests and single-machine runs only: a fresh local folder, removed when the process ends
+        own = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     return sc.getCheckpointDir()
 
 
+_WRITTEN: list[str] = []  # scratch tables of this process that are still there
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
-    return base.rstrip("/") + "/tunekiln-" + name + "-" + uuid.uuid4().hex[:12]
+    path = base.rstrip("/") + "/tunekiln-" + name + "-" + uuid.uuid4().hex[:12]
+    _WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the scratch tables of this process beyond the first ``keep``. Frames that still read them
+    must have been written or collected by then."""
+    jvm = spark.sparkContext._jvm
+    while len(_WRITTEN) > keep:
+        p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete on leaving what is written to scratch inside: ``with scratch(spark): api.plan(s).write...``"""
+    keep = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        release(spark, keep)
 
 
 def land(df, name: str):
