@@ -94,3 +94,31 @@ def test_strip_prompt_quirk_and_alias_precedence(spark):
     d = spark.createDataFrame([(i, l) for i, l in enumerate(lines)], "i int, raw string")
     rows = {r.i: (r.instruction, r.output) for r in map_aliases(parse_lines(d), keep=["i"]).collect()}
     assert rows == {0: ("I", "C"), 1: ("Q", "A"), 2: ("T", "S"), 3: ("N", "G")}
+
+
+def _audit(spark, lines):
+    from pyspark.sql import functions as F
+    from tunekiln.operators import audit as au
+    from tunekiln.sources.records import parse_lines, to_samples
+    df = spark.createDataFrame(list(enumerate(lines, 1)), "line_no long, raw string").withColumn("slice", F.lit("s"))
+    s = to_samples(parse_lines(df), keep=["slice", "line_no", "raw"])
+    return [(r.n_empty, r.tokens) for r in au._v_rows(s, ["slice"], "line_no").orderBy("line_no").collect()]
+
+
+def test_validator_reads_typed_values(spark):
+    # unknown format: an empty list is empty, a list of strings is joined, a number gives no text
+    assert _audit(spark, ['{"foo": "abcd", "bar": 7, "tags": ["a", "b"], "none": []}'] * 2) == [(1, 1)] * 2
+    assert _audit(spark, ['{"instruction": 5, "output": []}', '{"instruction": [], "output": {"a": 1}}']) == [(1, 0), (1, 0)]
+    # messages given as a string are read as one
+    assert _audit(spark, ['{"messages": "a text of more than ten"}', '{"messages": " "}', '{"messages": null}', '{"messages": []}']) == [
+        (0, 6), (1, 0), (1, 0), (1, 0)]
+    assert _audit(spark, ['{"text": ["ab", {"content": "cd"}, {"value": "efgh"}]}', '{"text": 3.5}']) == [(0, 2), (0, 0)]
+    assert _audit(spark, ['{"a": "x", "b": null}', '{"a": ""}']) == [(1, 0), (2, 0)]
+
+
+def test_bare_nan_and_infinity_are_numbers(spark):
+    from tunekiln.sources.records import parse_lines
+    lines = ['{"a": NaN}', '{"a": [1, -Infinity, Infinity]}', "NaN", "-Infinity", '{"a": nan}', '{"a": NaN', '{"a": "x, NaN, y"}', "[NaN]"]
+    df = spark.createDataFrame(list(enumerate(lines)), "i long, raw string")
+    got = [r.status for r in parse_lines(df).orderBy("i").collect()]
+    assert got == ["ok", "ok", "not_object", "not_object", "bad_json", "bad_json", "ok", "not_object"]

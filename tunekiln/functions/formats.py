@@ -28,6 +28,7 @@ PROMPT_CHAT_HEAD = "<|user|>\n"
 PROMPT_CHAT_TAIL = "\n<|assistant|>\n"
 DEFAULT_ROLE = "user"
 ASSISTANT_ROLES_CONV = ("assistant", "bot")
+KNOWN_KEYS = ("messages", "instruction", "output", "conversations", "text", "input")
 # ---------------------------------------------------------------------------
 
 def _E() -> Column:
@@ -111,24 +112,31 @@ def _list_text_v(arr: Column) -> Column:
         m["is_obj"], F.coalesce(m["content"], m["value"], _E())).otherwise(F.coalesce(m["as_str"], _E()))), ""), _E())
 
 
+def odd(k: str | Column) -> Column:
+    """Kind of key ``k``'s value where it has no typed column (an unknown key, or an unusual type), else null."""
+    return F.col("kinds")[k]
+
+
 def field_value(k: Column) -> Column:
-    """String value of top-level key ``k``: typed column for the known keys, else ``fields``."""
-    return (F.when(k == "instruction", F.col("instruction")).when(k == "output", F.col("output"))
+    """V's text of top-level key ``k``: ``fields`` where its value stands there, else the typed column."""
+    return (F.when(odd(k).isNotNull(), F.col("fields")[k]).when(k == "instruction", F.col("instruction")).when(k == "output", F.col("output"))
             .when(k == "input", F.col("input")).when(k == "text", F.col("text"))
-            .otherwise(F.col("fields")[k]))
+            .when(k == "messages", _list_text_v(F.col("messages"))).when(k == "conversations", _list_text_v(F.col("conversations"))))
 
 
 def full_text_v(key_fmt, first_keys: Column | None = None) -> Column:
-    """V: key fields concatenated with nothing; list items give content, else value."""
+    """V: key fields concatenated with nothing; list items give content, else value; a value that is
+    neither a string nor a list gives nothing."""
     c = _c(key_fmt)
+    one = lambda k: F.coalesce(field_value(F.lit(k)), _E())
     unknown = _E()
     if first_keys is not None:
         unknown = F.array_join(F.transform(first_keys, lambda k: F.coalesce(field_value(k), _E())), "")
     return (
-        F.when(c == FMT_MESSAGES, _list_text_v(F.col("messages")))
-        .when(c == FMT_IO, F.concat(F.coalesce(F.col("instruction"), _E()), F.coalesce(F.col("output"), _E())))
-        .when(c == FMT_CONV, _list_text_v(F.col("conversations")))
-        .when(c == FMT_V_TEXT, F.coalesce(F.col("text"), _E()))
+        F.when(c == FMT_MESSAGES, one("messages"))
+        .when(c == FMT_IO, F.concat(one("instruction"), one("output")))
+        .when(c == FMT_CONV, one("conversations"))
+        .when(c == FMT_V_TEXT, one("text"))
         .otherwise(unknown)
     )
 

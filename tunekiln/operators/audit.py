@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import formats as fm
 from ..functions import text as tx
 from ..session import land
+from ..sources.records import plain_numbers
 
 # ---------------------------------------------------------------------------
 # Thresholds, issue texts and advice texts of the reference rules.
@@ -131,7 +132,7 @@ def slice_info(samples: DataFrame, by=("slice",), order: str = "line_no") -> Dat
         F.min(F.when(~bad, F.col(order))).alias("_first")), "slice-counts")
     ok = F.col("status") == "ok"
     fmt = lambda f: F.when(ok, f()).otherwise(F.lit(fm.FMT_UNKNOWN))
-    keys = F.json_object_keys("raw") if "raw" in samples.columns else F.map_keys("fields")
+    keys = F.json_object_keys(plain_numbers(F.col("raw"))) if "raw" in samples.columns else F.map_keys("fields")
     starts = counts.filter("_first is not null").select(*by, F.col("_first").alias(order))
     first = attach_small(samples.filter(~bad), starts, [*by, order], order).select(
         *by, fmt(fm.fmt_v).alias("fmt_v"), fmt(fm.fmt_a).alias("fmt_a"), fmt(fm.fmt_t).alias("fmt_t"),
@@ -176,33 +177,47 @@ def _v_rows(samples: DataFrame, by: list[str], order: str, first: DataFrame | No
     )
 
 
-def _empty_flag_str(k: str) -> Column:
-    return (~F.col("k_" + k)) | F.col(k).isNull() | tx.is_blank(F.col(k))
+def empty_reason(k: str) -> Column:
+    """Reason a format key's value is empty: missing/None, empty string, empty list; null when not empty.
 
+    The value's own kind decides, whatever its key usually holds; numbers and objects are never empty."""
+    kind = fm.odd(k)
+    is_list = k in ("messages", "conversations")
+    usual = (F.when((~F.col("k_" + k)) | F.col(k).isNull(), F.lit("missing/None"))
+             .when(F.size(F.col(k)) == 0 if is_list else tx.is_blank(F.col(k)), F.lit("empty list" if is_list else "empty string")))
+    return F.when(kind.isNull(), usual).otherwise(_odd_reason(kind, F.col("fields")[k]))
 
-def _empty_flag_list(k: str) -> Column:
-    return (~F.col("k_" + k)) | F.col(k).isNull() | (F.size(F.col(k)) == 0)
 
+def _odd_reason(kind: Column, text: Column) -> Column:
+    return (F.when(kind == "null", F.lit("missing/None")).when((kind == "string") & tx.is_blank(text), F.lit("empty string"))
+            .when(kind == "empty list", F.lit("empty list")))
 
-def empty_reason(k: str, kind: str) -> Column:
-    """Reason a key field is empty: missing/None, empty string, empty list; null when not empty."""
-    if kind == "list":
-        return (F.when((~F.col("k_" + k)) | F.col(k).isNull(), F.lit("missing/None"))
-                .when(F.size(F.col(k)) == 0, F.lit("empty list")))
-    return (F.when((~F.col("k_" + k)) | F.col(k).isNull(), F.lit("missing/None"))
-            .when(tx.is_blank(F.col(k)), F.lit("empty string")))
+
+def any_filled() -> Column:
+    """Whether any top-level value of a record is not empty."""
+    out = F.exists(F.map_keys("kinds"), lambda k: _odd_reason(F.col("kinds")[k], F.col("fields")[k]).isNull())
+    for k in fm.KNOWN_KEYS:
+        out = out | (F.col("k_" + k) & empty_reason(k).isNull())
+    return out
 
 
 def _empty_fields_count(kf: Column, first_keys: Column) -> Column:
-    i = lambda c: c.cast("int")
-    unknown = F.aggregate(first_keys, F.lit(0), lambda acc, k: acc + i(
-        F.coalesce(tx.is_blank(fm.field_value(k)), F.lit(True))))
+    n = lambda k: empty_reason(k).isNotNull().cast("int")
+
+    def any_key(k):
+        known = F.lit(None).cast("string")
+        for f in fm.KNOWN_KEYS:
+            known = F.when(k == f, empty_reason(f)).otherwise(known)
+        kind = F.col("kinds")[k]
+        other = F.when(kind.isNull(), F.lit("missing/None")).otherwise(_odd_reason(kind, F.col("fields")[k]))
+        return F.when(k.isin(*fm.KNOWN_KEYS), known).otherwise(other).isNotNull().cast("int")
+
     return (
-        F.when(kf == fm.FMT_MESSAGES, i(_empty_flag_list("messages")))
-        .when(kf == fm.FMT_IO, i(_empty_flag_str("instruction")) + i(_empty_flag_str("output")))
-        .when(kf == fm.FMT_CONV, i(_empty_flag_list("conversations")))
-        .when(kf == fm.FMT_V_TEXT, i(_empty_flag_str("text")))
-        .otherwise(unknown)
+        F.when(kf == fm.FMT_MESSAGES, n("messages"))
+        .when(kf == fm.FMT_IO, n("instruction") + n("output"))
+        .when(kf == fm.FMT_CONV, n("conversations"))
+        .when(kf == fm.FMT_V_TEXT, n("text"))
+        .otherwise(F.aggregate(first_keys, F.lit(0), lambda acc, k: acc + any_key(k)))
     )
 
 

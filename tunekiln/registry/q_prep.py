@@ -138,8 +138,8 @@ SELECT conv_id, turn, f.field, f.reason FROM (
 def flt_empty_field(spark, sf):
     """Per (record, key field): missing/None, empty string or empty list, with the reason."""
     d = fx.defects(spark, sf)
-    fields = F.array(F.struct(F.lit("instruction").alias("field"), au.empty_reason("instruction", "str").alias("reason")),
-                     F.struct(F.lit("output").alias("field"), au.empty_reason("output", "str").alias("reason")))
+    fields = F.array(F.struct(F.lit("instruction").alias("field"), au.empty_reason("instruction").alias("reason")),
+                     F.struct(F.lit("output").alias("field"), au.empty_reason("output").alias("reason")))
     x = d.select("conv_id", "turn", F.explode(fields).alias("f"))
     return x.filter(F.col("f.reason").isNotNull()).select("conv_id", "turn", "f.field", "f.reason")
 
@@ -329,8 +329,8 @@ def top_empty_details(spark, sf):
     d = fx.defects(spark, sf)
     d = number_rows(d, "sample_id", out="line")
     fields = F.array(
-        F.struct(F.lit(1).alias("pos"), F.lit("instruction").alias("field"), au.empty_reason("instruction", "str").alias("reason")),
-        F.struct(F.lit(2).alias("pos"), F.lit("output").alias("field"), au.empty_reason("output", "str").alias("reason")))
+        F.struct(F.lit(1).alias("pos"), F.lit("instruction").alias("field"), au.empty_reason("instruction").alias("reason")),
+        F.struct(F.lit(2).alias("pos"), F.lit("output").alias("field"), au.empty_reason("output").alias("reason")))
     x = d.select("line", F.explode(fields).alias("f")).filter(F.col("f.reason").isNotNull())
     x = x.select("line", "f.pos", F.format_string("Line %d: field '%s' is %s", F.col("line"), F.col("f.field"),
                                                   F.col("f.reason")).alias("detail"))

@@ -6,7 +6,12 @@ Canonical sample columns (all operators read these):
     k_messages, k_instruction, k_output, k_conversations, k_text, k_input   -- key present
     instruction, input, output, text                       -- STRING or null
     messages, conversations                                -- ARRAY<TURN> when the value is a list
-    fields                                                 -- MAP<STRING,STRING>: other top-level string values
+    fields                                                 -- MAP<STRING,STRING>: text of the other top-level values
+    kinds                                                  -- MAP<STRING,STRING>: their kinds (KINDS)
+
+``fields`` and ``kinds`` also hold a format key whose value is not of its usual type (a string in ``messages``, a
+list in ``output``). The text of a string is itself, that of a list its items' texts joined with nothing (content,
+else value, of objects), that of any other value empty.
 
 TURN = STRUCT<role, content, from, value, is_obj, as_str>.
 """
@@ -21,6 +26,7 @@ from ..functions.text import py_strip
 TURN_TYPE = "struct<role:string,content:string,from:string,value:string,is_obj:boolean,as_str:string>"
 TURN_ARRAY = "array<" + TURN_TYPE + ">"
 
+KINDS = ("string", "list", "empty list", "null", "other")
 FORMAT_KEYS = ("messages", "instruction", "output", "conversations", "text", "input")
 
 
@@ -36,13 +42,26 @@ def strict_json_ok(raw: Column) -> Column:
                       F.lit(False))
 
 
+# literals that the usual parsers take beside strict JSON, where a value may stand
+_BARE = r"(?<=[:\[,][ \t]{0,8})(?:-?Infinity|NaN)(?=[ \t]*[,\]}])"
+_ALONE = r"^(?:-?Infinity|NaN)$"
+
+
+def plain_numbers(raw: Column) -> Column:
+    """``NaN`` and ``Infinity`` values of a JSON text as a plain number."""
+    return F.regexp_replace(raw, _BARE, "0")
+
+
 def parse_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``rec`` (VARIANT) and ``status`` to a frame of JSON lines (A strips the line first).
 
     Two parses per line: the array-wrapped parse both checks the line and yields the record
     (its first element); the object-wrapped parse catches a stray ``]`` that would end the
-    array early."""
-    body = py_strip(F.col(raw))
+    array early. A line that fails is tried again with bare ``NaN`` and ``Infinity`` as numbers."""
+    strict = py_strip(F.col(raw))
+    body = F.when(strict_json_ok(strict), strict).when(strict.rlike(_ALONE), F.lit("0")).otherwise(plain_numbers(strict))
+    df = df.withColumn("_body", body)
+    body = F.col("_body")
     ok = strict_json_ok(body)
     rec = F.when(ok, F.variant_get(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), "$[0]", "variant"))
     status = (
@@ -50,7 +69,7 @@ def parse_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
         .when(body.startswith("{"), F.lit("ok"))
         .otherwise(F.lit("not_object"))
     )
-    return df.withColumn("rec", rec).withColumn("status", status)
+    return df.withColumn("rec", rec).withColumn("status", status).drop("_body")
 
 
 def _turns_from_variant(v: Column) -> Column:
@@ -68,6 +87,24 @@ def _turns_from_variant(v: Column) -> Column:
     )
 
 
+def _kind(v: Column) -> Column:
+    """Kind of a variant value."""
+    t = F.schema_of_variant(v)
+    n = F.size(F.try_variant_get(v, "$", "array<variant>"))
+    return (F.when(t == "STRING", F.lit("string")).when(t == "VOID", F.lit("null"))
+            .when(t.startswith("ARRAY"), F.when(n == 0, F.lit("empty list")).otherwise(F.lit("list"))).otherwise(F.lit("other")))
+
+
+def _text(v: Column) -> Column:
+    """Text of a variant value: a string, or the joined texts of a list's items; else empty."""
+    items = _turns_from_variant(v)
+    listed = F.array_join(F.transform(items, lambda m: F.when(
+        m["is_obj"], F.coalesce(m["content"], m["value"], F.lit(""))).otherwise(F.coalesce(m["as_str"], F.lit("")))), "")
+    t = F.schema_of_variant(v)
+    return (F.when(t == "STRING", F.try_variant_get(v, "$", "string")).when(t.startswith("ARRAY"), F.coalesce(listed, F.lit("")))
+            .otherwise(F.lit("")))
+
+
 def _present(rec: Column, key: str) -> Column:
     return F.coalesce(F.variant_get(rec, "$." + key, "variant").isNotNull(), F.lit(False))
 
@@ -83,10 +120,18 @@ def to_samples(parsed: DataFrame, keep: list[str] | None = None) -> DataFrame:
         cols.append(F.try_variant_get(rec, "$." + k, "string").alias(k))
     for k in ("messages", "conversations"):
         cols.append(_turns_from_variant(F.variant_get(rec, "$." + k, "variant")).alias(k))
-    # only keys without a typed column, so long values are not stored twice
-    known = F.array(*[F.lit(k) for k in FORMAT_KEYS])
-    extra = F.map_filter(F.try_variant_get(rec, "$", "map<string,string>"), lambda k, v: ~F.array_contains(known, k))
-    cols.append(extra.alias("fields"))
+    # only values without a typed column, so long texts are not stored twice
+    lists = F.array(F.lit("messages"), F.lit("conversations"))
+    texts = F.array(*[F.lit(k) for k in FORMAT_KEYS if k not in ("messages", "conversations")])
+
+    def usual(k, v):
+        kind = _kind(v)
+        return ((F.array_contains(texts, k) & kind.isin("string", "null"))
+                | (F.array_contains(lists, k) & kind.isin("list", "empty list", "null")))
+
+    extra = F.map_filter(F.try_variant_get(rec, "$", "map<string,variant>"), lambda k, v: ~usual(k, v))
+    cols.append(F.transform_values(extra, lambda k, v: _text(v)).alias("fields"))
+    cols.append(F.transform_values(extra, lambda k, v: _kind(v)).alias("kinds"))
     return parsed.select(*cols)
 
 
@@ -115,7 +160,7 @@ def samples_from_columns(df: DataFrame, instruction=None, input=None, output=Non
         cols.append(F.lit(given[k]).alias("k_" + k))
     for k in ("instruction", "input", "output", "text", "messages", "conversations"):
         cols.append(parts[k].alias(k))
-    cols.append(F.create_map().cast("map<string,string>").alias("fields"))
+    cols += [F.create_map().cast("map<string,string>").alias(c) for c in ("fields", "kinds")]
     return df.select(*cols)
 
 
