@@ -61,6 +61,9 @@ def fixture(seed):
 def test_components_against_brute_force(make_docs, monkeypatch, percent, size, rounds, tile):
     monkeypatch.setattr(near_join, "STAR_ROUNDS", rounds)
     monkeypatch.setattr(near_join, "TILE", tile)
+    if percent == 80:  # every other key counts as hot
+        monkeypatch.setattr(near_join, "SAMPLE", 2)
+        monkeypatch.setattr(near_join, "HOT", 2)
     rows = fixture(percent + rounds)
     got = near_join.join(make_docs([(d, t, None, None, None) for d, t in rows]), percent, size).collect()
     assert sorted(tuple(r) for r in got) == brute(rows, percent, size)

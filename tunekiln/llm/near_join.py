@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import land, light_batches, per_text
@@ -41,8 +41,9 @@ PERCENT = 90
 BAND_STEPS = 3       # a band spans this many factors of 10/9 in size
 STAR_ROUNDS = 2
 TILE = 1000
+SAMPLE, HOT = 64, 20 # a key of a thousand classes or more is very likely to stand so often in the sample
 SMALL_ROWS = 1_000_000  # key tables of at most so many rows are broadcast, larger ones are shuffled
-MEMO = 300_000
+MEMO = 150_000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -151,13 +152,18 @@ class Join:
         self.classes = land(self.rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "near-classes")
         reps = land(self.classes.filter("node is not null").select("node").distinct(), "near-nodes")
         self.nodes = _with_keys(self.rows.filter("n > 0").withColumnRenamed("doc_id", "node"), reps, "node").drop("s1", "s2")
-        self.links = None
 
     def buckets(self) -> DataFrame:
-        """(key, node) of the blocks that two or more classes share."""
+        """(key, node) of the blocks that two or more classes share.
+
+        Keys that stand HOT times in a sample of one class in SAMPLE are shared anyhow: their rows need no
+        shuffle. All others are few for each key and are counted where they meet."""
         blocks = _blocks(self.nodes)
-        shared = blocks.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
-        return land(blocks.join(land(shared, "near-shared"), "key"), "near-buckets")
+        sample = _blocks(self.nodes.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0))
+        hot = land(sample.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= HOT).select("key"), "near-hot")
+        rest = _with_keys(blocks, hot, "key", "left_anti")
+        shared = rest.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("c > 1").drop("c")
+        return land(shared.unionByName(_with_keys(blocks, hot, "key")), "near-buckets")
 
     def sketches(self, buckets: DataFrame) -> DataFrame:
         some = land(buckets.select("node").distinct(), "near-some")
@@ -167,8 +173,10 @@ class Join:
         """The pairs (a, b) whose sizes and sketch distance allow a link."""
         p = self.percent
         s = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("band").alias(f"band{x}"), F.col("own").alias(f"own{x}"), F.col("up").alias(f"up{x}"))
-        j = pairs.join(s("a"), "a").join(s("b"), "b").filter(
-            (F.col("na") * 100 >= F.col("nb") * p) & (F.col("nb") * 100 >= F.col("na") * p))
+        sizes = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"))
+        pairs = pairs.join(sizes("a"), "a").join(sizes("b"), "b").filter(
+            (F.col("na") * 100 >= F.col("nb") * p) & (F.col("nb") * 100 >= F.col("na") * p)).select("a", "b")
+        j = pairs.join(s("a"), "a").join(s("b"), "b")
         layout = F.greatest("banda", "bandb")
         left, right = [F.when(F.col(f"band{x}") == layout, F.col(f"own{x}")).otherwise(F.col(f"up{x}")) for x in "ab"]
         most = F.floor((F.col("na") + F.col("nb")) * (100 - p) / F.lit(100 + p) + F.lit(1e-9))
@@ -194,10 +202,10 @@ class Join:
 
         return land(j.select("a", "b", "x", "y").mapInArrow(test, "a bigint, b bigint").distinct(), "near-links")
 
-    def add(self, links: DataFrame) -> DataFrame:
-        """Merge links and return (node, root) of all so far."""
-        self.links = links if self.links is None else self.links.unionByName(links)
-        return components(self.links)
+    def add(self, links: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """(node, root) after merging links into the components so far."""
+        known = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        return components(known)
 
     def find(self) -> DataFrame:
         """(node, root) of the classes that are linked with another."""
@@ -213,13 +221,13 @@ class Join:
                 F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
             if roots is not None:
                 pairs = self._apart(pairs, roots)
-            roots = self.add(self.verify(self.close(pairs, sketches)))
+            roots = self.add(self.verify(self.close(pairs, sketches)), roots)
             # the centre is done with in its bucket; buckets within one component are done with
             left = met.filter("node <> c").select("key", "node")
             todo = self._open(left, roots)
             if todo.isEmpty():
                 return roots
-        return self.add(self.verify(self._tiles(todo, sketches, roots)))
+        return self.add(self.verify(self._tiles(todo, sketches, roots)), roots)
 
     def _root(self, df: DataFrame, column: str, roots: DataFrame | None, out: str) -> DataFrame:
         if roots is None:
@@ -260,16 +268,17 @@ class Join:
                                   for b, o, u in zip(mine["band"], mine["own"], mine["up"])])
                 node, root, n = mine["node"].to_numpy(), mine["root"].to_numpy(), mine["n"].to_numpy()
                 part = mine["part"].to_numpy()
-                for i in np.flatnonzero(part == lo):
-                    ok = (part == hi) & (root != root[i]) & (n * 100 >= n[i] * percent) & (n[i] * 100 >= n * percent)
-                    if lo == hi:
-                        ok &= node > node[i]
-                    at = np.flatnonzero(ok)
-                    if not len(at):
-                        continue
-                    d = np.bitwise_count(words[at] ^ words[i]).sum(axis=1)
-                    at = at[d <= (n[at] + n[i]) * (100 - percent) // (100 + percent)]
-                    found += [(min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))) for j in at]
+                left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+                lot = max(1, (1 << 20) // max(1, len(right) * words.shape[1]))
+                for k in range(0, len(left), lot):
+                    i, j = left[k:k + lot, None], right[None, :]
+                    ok = (root[i] != root[j]) & (n[j] * 100 >= n[i] * percent) & (n[i] * 100 >= n[j] * percent)
+                    ok &= node[j] > node[i] if lo == hi else True
+                    i, j = (np.broadcast_to(x, ok.shape)[ok] for x in (i, j))
+                    d = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
+                    near = d <= (n[i] + n[j]) * (100 - percent) // (100 + percent)
+                    a, b = node[i[near]], node[j[near]]
+                    found += zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())
             return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
         return rows.groupBy("key", "lo", "hi").applyInPandas(compare, "a bigint, b bigint").distinct()
