@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
-MEMO = 400_000  # remembered words; the memo starts anew beyond that
+MEMO = 300_000  # remembered words; beyond that the older half is forgotten
+LOT = 4096      # words given to the library at once
+MARKS = ".,!?;:#*$%&|"
 _ODD = re.compile(r"\s\s|\A\s|\s\Z")
 
 
@@ -32,29 +35,60 @@ class Encoder(dict):
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
         self.marks = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         settings = str(self.lib.pre_tokenizer)
+        feed = self.lib.encode("\n", add_special_tokens=False).ids
+        self.feed, self.feed_id, self.tails = feed[0], np.array(feed, dtype=self.dtype).tobytes(), {}
         self.by_word = (settings.startswith("ByteLevel") and "add_prefix_space=False" in settings
-                        and "use_regex=True" in settings and self.lib.normalizer is None
-                        and len(self.lib.encode("\n", add_special_tokens=False).ids) == 1)
+                        and "use_regex=True" in settings and self.lib.normalizer is None and len(feed) == 1)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        """A word follows a blank, or a line feed that it then starts with."""
-        ids = self.whole(word if word.startswith("\n") else " " + word)
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.by_word or _ODD.search(text) or any(m in text for m in self.marks):
-            return self.whole(text)
-        # a line feed put in front stands for the start of the text; its id is cut off again
-        words = ("\n" + text).replace("\n", " \n").split(" ")[1:]
-        return b"".join(map(self.__getitem__, words))[self.width:]
+    def learn(self, words: set[str]) -> None:
+        """Add the ids of words. A word follows a blank, or a line feed that it then starts with. Marks at
+        its end are encoded apart, as the library splits there; the rest of the words go to the library
+        as the lines of one text, and the ids are cut at the line feeds again."""
+        core = {w: c if (c := w.rstrip(MARKS))[-1:].isalnum() else w for w in words}
+        fresh = [c for c in set(core.values()) if c not in self]
+        for k in range(0, len(fresh), LOT):
+            new = fresh[k:k + LOT]
+            bare = [c.startswith("\n") for c in new]
+            lines = [c if b else " " + c for c, b in zip(new, bare)]
+            text = "\n".join(x[1:] if b else x for x, b in zip(lines, bare)) + "\n"
+            ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = np.flatnonzero(ids == self.feed)
+            if len(ends) == len(new):
+                data, w, at = ids.tobytes(), self.width, 0
+                for c, b, end in zip(new, bare, ends.tolist()):
+                    self[c] = (self.feed_id if b else b"") + data[at * w:end * w]
+                    at = end + 1
+            else:  # a line that held other line feeds
+                for c, x in zip(new, lines):
+                    self[c] = self.whole(x)
+        for w, c in core.items():
+            if c is not w:
+                tail = w[len(c):]
+                if tail not in self.tails:
+                    self.tails[tail] = self.whole(tail)
+                self[w] = self[c] + self.tails[tail]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; null counts as empty."""
+        out: list = [b"" if not t else None for t in texts]
+        split = []
+        for i, t in enumerate(texts):
+            if t and (not self.by_word or _ODD.search(t) or any(m in t for m in self.marks)):
+                out[i] = self.whole(t)
+            elif t:
+                # a line feed put in front stands for the start of the text; its id is cut off again
+                split.append((i, ("\n" + t).replace("\n", " \n").split(" ")[1:]))
+        needed = set().union(*[words for _, words in split])
+        if len(self) > MEMO:
+            for w in list(islice(self, len(self) // 2)):
+                del self[w]
+        self.learn(needed - self.keys())
+        for i, words in split:
+            out[i] = b"".join(map(self.__getitem__, words))[self.width:]
+        return out
 
 
 @lru_cache(maxsize=2)
