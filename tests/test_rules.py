@@ -81,3 +81,11 @@ def test_target_modules_strict_doc(spark):
     coded = [len(r[0]) for r in df.select(ru.target_modules(F.lit("chat"), F.col("model"))).collect()]
     prose = [len(r[0]) for r in df.select(ru.target_modules(F.lit("chat"), F.col("model"), strict_doc=True)).collect()]
     assert coded == [2, 3, 2, 2] and prose == [3, 3, 2, 2]
+
+
+def test_large_models_say_that_a_module_was_added(spark):
+    df = spark.createDataFrame([("chat", "72B"), ("code", "72B"), ("chat", "7b")], "task string, model string")
+    got = [(r.m, r.w) for r in df.select(ru.target_modules(F.col("task"), F.col("model")).alias("m"),
+                                         ru.modules_reason(F.col("task"), F.col("model")).alias("w")).collect()]
+    assert ["o_proj" in m for m, _ in got] == [True, True, False]
+    assert [w.endswith(ru.MODULES_REASON_LARGE) for _, w in got] == [True, False, False]

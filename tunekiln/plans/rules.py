@@ -1,7 +1,7 @@
 """Training-plan rules R2-R11 as column expressions over per-slice statistics.
 
 Inputs are columns: ``n`` (sample count), ``task`` (chat|code|math|roleplay|cpt),
-``model`` (model name or size text), ``gpu_gb``. Every value column has a ``*_reason``.
+``model`` (model name or size text), ``gpu_gb``. The recommended values have a ``*_reason``.
 """
 
 from __future__ import annotations
@@ -64,6 +64,30 @@ SCHEDULERS = {"cpt": "constant_with_warmup", "roleplay": "linear"}
 SCHEDULER_DEFAULT = "cosine"
 NEFTUNE_CPT, NEFTUNE_DEFAULT = 0, 5
 OVERRIDE_TAG = " [用户覆盖]"
+# Reason texts of R4-R8 (fixed values, in the order of the bands above)
+MODULES_REASONS = {
+    "cpt": "CPT（继续预训练）：训练全 7 层，最大化领域知识注入",
+    "code": "代码任务：训练 Q/K/V/O 全部注意力层",
+    "math": "数学推理：注意力层 + 前馈网络层（需要更强的表示能力）",
+    "roleplay": "角色扮演：仅训练 V 投影层，最大限度保留基础语言能力",
+    "chat": "通用对话：标准 Q/V 配置",
+}
+MODULES_REASON_LARGE = "；大模型增加输出投影层"
+DROPOUT_REASON_CPT = "CPT 数据量通常较大，低 dropout (0.05)"
+DROPOUT_REASONS = [(500, "极小数据集，高 dropout (0.15) 强力防过拟合"), (1000, "小数据集，较高 dropout (0.1) 防过拟合"),
+                   (10000, "中等数据集，中等 dropout (0.05)")]
+DROPOUT_REASON_TOP = "大数据集，dropout=0，充分利用数据"
+LR_REASONS = [(4, "小 rank (%d)，较低学习率 (1e-4) 防止震荡"), (8, "标准 rank (%d)，标准学习率 (2e-4)"),
+              (16, "较大 rank (%d)，较高学习率 (3e-4)")]
+LR_REASON_TOP = "大 rank (%d)，高学习率 (5e-4) 加速收敛"
+LR_REASON_TASKS = {"cpt": "；CPT 降低学习率 (5e-5~1e-4) 保护预训练知识", "roleplay": "；角色扮演提高学习率增强风格学习",
+                   "math": "；数学推理降低学习率保护推理链"}
+LR_REASON_LARGE = "；大数据集适当提高"
+EPOCH_REASON_CPT = "CPT 数据量大，1 轮足够注入知识，多轮可能过拟合"
+EPOCH_REASONS = [(500, "极小数据集，5 轮充分学习"), (1000, "小数据集，3 轮"), (5000, "中等数据集，3 轮"), (20000, "大数据集，2 轮即可")]
+EPOCH_REASON_TOP = "超大数据集，1 轮避免过拟合"
+BATCH_REASONS = [(8, "显存较小，batch_size=1"), (16, "中等显存，batch_size=2"), (24, "显存充裕，batch_size=4"), (48, "大显存，batch_size=8")]
+BATCH_REASON_TOP = "超大显存，batch_size=16"
 THROUGHPUT_TOKENS_PER_S = 2000
 TIME_BAND = (0.7, 1.3)
 # Memory rule R10
@@ -170,6 +194,38 @@ def batch_size(gpu_gb: Column) -> Column:
     return _band(gpu_gb, BATCH_BANDS, BATCH_TOP)
 
 
+def modules_reason(task: Column, model: Column) -> Column:
+    """Reason of ``target_modules``; large models say that the output projection was added."""
+    why, has = F.lit(MODULES_REASONS["chat"]), F.lit("o_proj" in MODULES["chat"])
+    for t in ("cpt", "code", "math", "roleplay"):
+        why = F.when(task == t, F.lit(MODULES_REASONS[t])).otherwise(why)
+        has = F.when(task == t, F.lit("o_proj" in MODULES[t])).otherwise(has)
+    added = model_size_b(model).isin(*LARGE_SIZES) & ~has
+    return F.concat(why, F.when(added, F.lit(MODULES_REASON_LARGE)).otherwise(F.lit("")))
+
+
+def dropout_reason(n: Column, task: Column) -> Column:
+    return F.when(task == "cpt", F.lit(DROPOUT_REASON_CPT)).otherwise(_band(n, DROPOUT_REASONS, DROPOUT_REASON_TOP))
+
+
+def learning_rate_reason(r: Column, n: Column, task: Column) -> Column:
+    why = F.format_string(LR_REASON_TOP, r)
+    for lim, text in reversed(LR_REASONS):
+        why = F.when(r <= lim, F.format_string(text, r)).otherwise(why)
+    own = F.lit("")
+    for t, text in LR_REASON_TASKS.items():
+        own = F.when(task == t, F.lit(text)).otherwise(own)
+    return F.concat(why, own, F.when(n > LR_LARGE_N, F.lit(LR_REASON_LARGE)).otherwise(F.lit("")))
+
+
+def epochs_reason(n: Column, task: Column) -> Column:
+    return F.when(task == "cpt", F.lit(EPOCH_REASON_CPT)).otherwise(_band(n, EPOCH_REASONS, EPOCH_REASON_TOP))
+
+
+def batch_size_reason(gpu_gb: Column) -> Column:
+    return _band(gpu_gb, BATCH_REASONS, BATCH_REASON_TOP)
+
+
 def target_batch(n: Column, task: Column) -> Column:
     return (F.when(task == "cpt", F.lit(TARGET_BATCH_CPT)).when(n < SMALL_N_BATCH, F.lit(TARGET_BATCH_SMALL))
             .when(n > LARGE_N_BATCH, F.lit(TARGET_BATCH_LARGE)).otherwise(F.lit(TARGET_BATCH)))
@@ -187,6 +243,9 @@ def hyperparams(df: DataFrame, n="n", task="task", model="model", gpu_gb="gpu_gb
     df = df.withColumn("learning_rate", learning_rate(F.col("rank"), n_, t_))
     df = df.withColumn("epochs", epochs(n_, t_))
     df = df.withColumn("batch_size", batch_size(g_))
+    df = df.withColumn("modules_reason", modules_reason(t_, m_)).withColumn("dropout_reason", dropout_reason(n_, t_))
+    df = df.withColumn("learning_rate_reason", learning_rate_reason(F.col("rank"), n_, t_))
+    df = df.withColumn("epochs_reason", epochs_reason(n_, t_)).withColumn("batch_size_reason", batch_size_reason(g_))
     df = df.withColumn("target_batch", target_batch(n_, t_))
     df = df.withColumn("gradient_accumulation", F.greatest(F.lit(1), F.floor(F.col("target_batch") / F.col("batch_size")).cast("int")))
     return schedule(df, n)

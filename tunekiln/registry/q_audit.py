@@ -331,8 +331,7 @@ SELECT role, count(*) AS n_rows, CAST(sum({d_tokens_v('text')}) AS BIGINT) AS to
 FROM conversations GROUP BY role""")
 def agg_role_tokens(spark, sf):
     """Rows and V tokens per role (system tokens are counted but bear no loss)."""
-    turns = fx.messages_records(spark, sf).select(F.explode("messages").alias("m"))
-    t = turns.select(F.col("m.role").alias("role"), tx.tokens_v(F.col("m.content")).alias("tok"))
+    t = fx.table(spark, sf, "conversations").select("role", tx.tokens_v(F.col("text")).alias("tok"))
     return t.groupBy("role").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("tok").alias("tokens"),
                                  (F.col("role") != "system").alias("bears_loss"))
 

@@ -150,14 +150,31 @@ SELECT slice, task, base_reason || CASE
             WHEN 'roleplay' THEN printf('角色扮演：alpha=%d（4×rank），增强风格学习强度', alpha)
             WHEN 'code' THEN printf('代码任务：alpha=%d（2×rank），标准比例', alpha)
             WHEN 'math' THEN printf('数学推理：alpha=%d（1×rank），保守更新，保留推理链', alpha)
-            ELSE printf('通用对话：alpha=%d（2×rank），标准比例', alpha) END AS alpha_reason
+            ELSE printf('通用对话：alpha=%d（2×rank），标准比例', alpha) END AS alpha_reason,
+  CASE task WHEN 'cpt' THEN 'CPT（继续预训练）：训练全 7 层，最大化领域知识注入' WHEN 'code' THEN '代码任务：训练 Q/K/V/O 全部注意力层'
+            WHEN 'math' THEN '数学推理：注意力层 + 前馈网络层（需要更强的表示能力）' WHEN 'roleplay' THEN '角色扮演：仅训练 V 投影层，最大限度保留基础语言能力'
+            ELSE '通用对话：标准 Q/V 配置' END AS modules_reason,
+  CASE WHEN task = 'cpt' THEN 'CPT 数据量通常较大，低 dropout (0.05)' WHEN n < 500 THEN '极小数据集，高 dropout (0.15) 强力防过拟合'
+       WHEN n < 1000 THEN '小数据集，较高 dropout (0.1) 防过拟合' WHEN n < 10000 THEN '中等数据集，中等 dropout (0.05)'
+       ELSE '大数据集，dropout=0，充分利用数据' END AS dropout_reason,
+  CASE WHEN rank <= 4 THEN printf('小 rank (%d)，较低学习率 (1e-4) 防止震荡', rank) WHEN rank <= 8 THEN printf('标准 rank (%d)，标准学习率 (2e-4)', rank)
+       WHEN rank <= 16 THEN printf('较大 rank (%d)，较高学习率 (3e-4)', rank) ELSE printf('大 rank (%d)，高学习率 (5e-4) 加速收敛', rank) END
+  || CASE task WHEN 'cpt' THEN '；CPT 降低学习率 (5e-5~1e-4) 保护预训练知识' WHEN 'roleplay' THEN '；角色扮演提高学习率增强风格学习'
+               WHEN 'math' THEN '；数学推理降低学习率保护推理链' ELSE '' END
+  || CASE WHEN n > 20000 THEN '；大数据集适当提高' ELSE '' END AS learning_rate_reason,
+  CASE WHEN task = 'cpt' THEN 'CPT 数据量大，1 轮足够注入知识，多轮可能过拟合' WHEN n < 500 THEN '极小数据集，5 轮充分学习'
+       WHEN n < 1000 THEN '小数据集，3 轮' WHEN n < 5000 THEN '中等数据集，3 轮' WHEN n < 20000 THEN '大数据集，2 轮即可'
+       ELSE '超大数据集，1 轮避免过拟合' END AS epochs_reason,
+  CASE WHEN gpu_gb < 8 THEN '显存较小，batch_size=1' WHEN gpu_gb < 16 THEN '中等显存，batch_size=2' WHEN gpu_gb < 24 THEN '显存充裕，batch_size=4'
+       WHEN gpu_gb < 48 THEN '大显存，batch_size=8' ELSE '超大显存，batch_size=16' END AS batch_size_reason
 FROM rr""")
 def plan_hyper_reasons(spark, sf):
-    """Reason strings of rank and alpha per slice and task."""
+    """Reason strings of rank, alpha, modules, dropout, learning rate, epochs and batch per slice and task."""
     stats = pl.slice_stats(plan_corpus(spark, sf), ["slice"])
     req = stats.select("slice", "n", F.explode(F.array(*[F.lit(t) for t in TASKS])).alias("task"),
                        F.lit("qwen2-7b").alias("model"), F.lit(ru.DEFAULT_GPU_GB).alias("gpu_gb"))
-    return ru.hyperparams(req).select("slice", "task", "rank_reason", "alpha_reason")
+    return ru.hyperparams(req).select("slice", "task", "rank_reason", "alpha_reason", "modules_reason", "dropout_reason",
+                                      "learning_rate_reason", "epochs_reason", "batch_size_reason")
 
 
 def _models_sql(alias):
