@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,6 +18,13 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
+def free_shuffles(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of finished jobs now. It does so when the driver's JVM collects the
+    jobs' objects, which a driver with little to do would put off for long."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import land, light_batches, per_text
+from .common import free_shuffles, land, light_batches, per_text
 from .components import components
 
 SHINGLE = 3
@@ -108,22 +108,29 @@ def sketch(hashes: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def describe(text: str | None, percent: int = PERCENT, size: int = SHINGLE) -> dict:
-    """Size, signature, band and sketches (own layout, and the next band's where needed) of a text's set."""
+    """Size, signature, band and sketches (own layout, and the next band's where needed) of a text's set.
+
+    ``own`` and ``up`` are the blocks to join on, ``own_bits`` and ``up_bits`` shorter sketches of the same
+    kind, whose distance bounds the difference as well."""
     s = shingle_set(text, size)
     n = len(s)
     if n == 0:
-        return {"n": 0, "s1": 0, "s2": 0, "band": -1, "own": None, "up": None}
+        return dict.fromkeys(SETS_COLUMNS) | {"n": 0, "s1": 0, "s2": 0, "band": -1}
     bounds = _bounds(percent, 100 * n // percent + 1)
     band = int(np.searchsorted(bounds, n, side="right")) - 1
     bounds = bounds if band + 2 < len(bounds) else _bounds(percent, bounds[-1])
     blocks = lambda k: most_different(bounds[k + 1] - 1, bounds[k + 1] - 1, percent) + 1
+    short = lambda k: 1 + (2 * bounds[k + 1]) // 64  # noqa: E731  about two bits for each shingle
     up = 100 * n // percent >= bounds[band + 1]
     signed = lambda x: int(np.uint64(x).view(np.int64))
     return {"n": n, "s1": signed(s.sum(dtype=np.uint64)), "s2": signed(np.bitwise_xor.reduce(_mix(s ^ _K[0]))), "band": band,
-            "own": sketch(s, blocks(band)).tolist(), "up": sketch(s, blocks(band + 1)).tolist() if up else None}
+            "own": sketch(s, blocks(band)).tolist(), "up": sketch(s, blocks(band + 1)).tolist() if up else None,
+            "own_bits": sketch(s, short(band)).tolist(), "up_bits": sketch(s, short(band + 1)).tolist() if up else None}
 
 
-SETS = "n bigint, s1 bigint, s2 bigint, band int, own array<bigint>, up array<bigint>"
+SETS = ("n bigint, s1 bigint, s2 bigint, band int, own array<bigint>, up array<bigint>, own_bits array<bigint>, "
+        "up_bits array<bigint>")
+SETS_COLUMNS = [c.split()[0] for c in SETS.split(", ")]
 
 
 def _with_keys(df: DataFrame, keys: DataFrame, cond, how: str = "left_semi") -> DataFrame:
@@ -167,12 +174,12 @@ class Join:
 
     def sketches(self, buckets: DataFrame) -> DataFrame:
         some = land(buckets.select("node").distinct(), "near-some")
-        return land(_with_keys(self.nodes, some, "node").distinct(), "near-sketches")
+        return land(_with_keys(self.nodes, some, "node").select("node", "n", "band", "own_bits", "up_bits").distinct(), "near-sketches")
 
     def close(self, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sizes and sketch distance allow a link."""
         p = self.percent
-        s = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("band").alias(f"band{x}"), F.col("own").alias(f"own{x}"), F.col("up").alias(f"up{x}"))
+        s = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("band").alias(f"band{x}"), F.col("own_bits").alias(f"own{x}"), F.col("up_bits").alias(f"up{x}"))
         sizes = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"))
         pairs = pairs.join(sizes("a"), "a").join(sizes("b"), "b").filter(
             (F.col("na") * 100 >= F.col("nb") * p) & (F.col("nb") * 100 >= F.col("na") * p)).select("a", "b")
@@ -210,6 +217,7 @@ class Join:
     def find(self) -> DataFrame:
         """(node, root) of the classes that are linked with another."""
         todo = self.buckets()
+        free_shuffles(todo)
         sketches = self.sketches(todo)
         roots = None
         for r in range(STAR_ROUNDS):
@@ -221,10 +229,13 @@ class Join:
                 F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
             if roots is not None:
                 pairs = self._apart(pairs, roots)
-            roots = self.add(self.verify(self.close(pairs, sketches)), roots)
+            links = self.verify(self.close(pairs, sketches))
+            free_shuffles(links)
+            roots = self.add(links, roots)
             # the centre is done with in its bucket; buckets within one component are done with
             left = met.filter("node <> c").select("key", "node")
             todo = self._open(left, roots)
+            free_shuffles(todo)
             if todo.isEmpty():
                 return roots
         return self.add(self.verify(self._tiles(todo, sketches, roots)), roots)
@@ -261,11 +272,11 @@ class Join:
             lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
             found = []
             for layout in sorted({int(b) for b in pdf["band"]} | {int(b) + 1 for b in pdf["band"]}):
-                mine = pdf[(pdf["band"] == layout) | (pdf["band"] + 1 == layout) & pdf["up"].notna()]
+                mine = pdf[(pdf["band"] == layout) | (pdf["band"] + 1 == layout) & pdf["up_bits"].notna()]
                 if len(mine) < 2:
                     continue
                 words = np.stack([np.asarray(o if b == layout else u, dtype=np.int64).view(np.uint64)
-                                  for b, o, u in zip(mine["band"], mine["own"], mine["up"])])
+                                  for b, o, u in zip(mine["band"], mine["own_bits"], mine["up_bits"])])
                 node, root, n = mine["node"].to_numpy(), mine["root"].to_numpy(), mine["n"].to_numpy()
                 part = mine["part"].to_numpy()
                 left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
@@ -285,7 +296,7 @@ class Join:
 
 
 def _columns(rows: list[dict]) -> dict:
-    return {k: [r[k] for r in rows] for k in ("n", "s1", "s2", "band", "own", "up")}
+    return {k: [r[k] for r in rows] for k in SETS_COLUMNS}
 
 
 def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
