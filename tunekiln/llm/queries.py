@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import class_lm, decontaminate, language, line_rules, mixing, near_join, ranking, records, secrets
+from . import class_lm, decontaminate, language, line_rules, mixing, near_join, pseudonyms, ranking, records, secrets
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def op1_viterbi_language(spark, sf_dir):
     return language.held_out_predictions(read(spark, sf_dir, "documents")).drop("spans")
 
 
+@_register
+def op2_feistel_pseudonyms(spark, sf_dir):
+    """Every whole text with personal numbers, addresses and dates replaced by keyed pseudonyms."""
+    return pseudonyms.mask(read(spark, sf_dir, "documents"), pseudonyms.DEMO_KEY)
+
+
 @_register
 def op3_brown_class_lm(spark, sf_dir):
     """Unigram base score and class bigram score of every whole text, counted outside the held-out fold."""
