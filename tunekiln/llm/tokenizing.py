@@ -14,10 +14,10 @@ from itertools import islice
 
 import numpy as np
 
-MEMO = 300_000  # remembered words; beyond that the older half is forgotten
+MEMO = 600_000  # remembered words; beyond that the older half is forgotten
 LOT = 4096      # words given to the library at once
 MARKS = ".,!?;:#*$%&|"
-_ODD = re.compile(r"\s\s|\A\s|\s\Z")
+_ODD = re.compile(r"\s\s")
 
 
 class Encoder(dict):
@@ -76,7 +76,7 @@ class Encoder(dict):
         out: list = [b"" if not t else None for t in texts]
         split = []
         for i, t in enumerate(texts):
-            if t and (not self.by_word or _ODD.search(t) or any(m in t for m in self.marks)):
+            if t and (not self.by_word or t[0].isspace() or t[-1].isspace() or _ODD.search(t) or any(m in t for m in self.marks)):
                 out[i] = self.whole(t)
             elif t:
                 # a line feed put in front stands for the start of the text; its id is cut off again
