@@ -84,3 +84,60 @@ def test_email_and_no_python(make_docs):
     assert a == b
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_cards_beside_other_numbers(make_docs):
+    key, c = "k1", "4111111111111111"
+    spaced = lambda d: " ".join(d[i:i + 4] for i in range(0, 16, 4))
+    new = card(c, key)
+    old = [f"{spaced(c)} 12/27", f"{c} 123", f"order 12 {spaced(c)}", f"{c}-123", f"{spaced(c)} 12 2027 123", f"77 {c} 99 {spaced(c)} 5"]
+    docs = make_docs([(i, t, None, None, None) for i, t in enumerate(old)])
+    masked = P.mask_documents(docs, key)
+    want = [t.replace(spaced(c), spaced(new)).replace(c, new) for t in old]
+    assert [r["text"] for r in sorted(masked.collect())] == want
+    assert [r["n_card"] for r in sorted(P.mask(docs, key).collect())] == [1] * len(old)
+    assert [r["text"] for r in sorted(P.restore(masked, key).collect())] == old
+
+
+def test_cards_in_any_run_are_restored(make_docs):
+    rng = __import__("random").Random(3)
+    group = lambda: str(rng.randrange(10 ** rng.randrange(1, 6)))
+    cut = lambda d, k: " ".join(d[i:i + k] for i in range(0, len(d), k))
+    old = [" ".join([group() for _ in range(rng.randrange(3))] + [cut(c, rng.choice([3, 4, 5, 19]))] + [group() for _ in range(rng.randrange(3))])
+           for c in valid_cards(120) if len(c) >= 13]
+    docs = make_docs([(i, t, None, None, None) for i, t in enumerate(old)])
+    masked = P.mask_documents(docs, "k1")
+    new = [r["text"] for r in sorted(masked.collect())]
+    assert all(a != b and re.sub("[0-9]", "9", a) == re.sub("[0-9]", "9", b) for a, b in zip(old, new))
+    assert [r["text"] for r in sorted(P.restore(masked, "k1").collect())] == old
+
+
+def test_phones_in_all_forms_are_linked(make_docs):
+    groups = [["+15551234567", "+1 555 123 4567", "+1-555-123-4567", "+1.555.123.4567", "(555) 123-4567", "555-123-4567", "555.123.4567"],
+              ["+49 30 1234567", "+49301234567", "+49.30.1234567"], ["+353 1 234 5678", "+35312345678"],
+              ["020 7946 0958", "(020) 7946 0958", "020-7946-0958"], ["01 23 45 67 89"]]
+    old = [p for g in groups for p in g]
+    docs = make_docs([(i, f"call {p}, or not", None, None, None) for i, p in enumerate(old)])
+    masked = P.mask_documents(docs, "k")
+    new = [re.fullmatch("call (.*), or not", r["text"])[1] for r in sorted(masked.collect())]
+    assert [r["text"] for r in sorted(P.restore(masked, "k").collect())] == [r["text"] for r in sorted(docs.collect())]
+    digits = iter(re.sub("[^0-9]", "", t) for t in new)
+    for g, tail in zip(groups, (10, 9, 8, 10, 9)):
+        tails = {next(digits)[-tail:] for _ in g}
+        assert len(tails) == 1 and re.sub("[^0-9]", "", g[0])[-tail:] not in tails
+    assert new[0].startswith("+1") and new[7].startswith("+49") and new[10].startswith("+353")
+
+
+def test_a_phone_does_not_hide_a_card(make_docs):
+    old = [f"{p} 4111 1111 1111 1111 12/27" for p in ("+49 30 123456", "+1 555 123 4567", "020 7946 0958")]
+    rows = P.mask(make_docs([(i, t, None, None, None) for i, t in enumerate(old)]), "k").collect()
+    assert all((r["n_phone"], r["n_card"]) == (1, 1) for r in rows)
+
+
+def test_month_first_dates(make_docs):
+    old = [f"{m:02d}/{d:02d}/{y}" for m in (1, 2, 7, 12) for d in (13, 28) for y in range(1990, 2010)]
+    docs = make_docs([(i, t, None, None, None) for i, t in enumerate(old)])
+    masked = P.mask_documents(docs, "k")
+    new = [r["text"] for r in sorted(masked.collect())]
+    assert len(set(new)) == len(old) and all(a != b and int(b[:2]) <= 12 < int(b[3:5]) for a, b in zip(old, new))
+    assert [r["text"] for r in sorted(P.restore(masked, "k").collect())] == old
