@@ -106,3 +106,21 @@ def test_components_of_chains_and_stars(spark):
     edges = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in chain + star + ring + [(7, 7)]]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(1, 201)}, **{500 + i: 500 for i in range(1, 300)}, **{900 + i: 900 for i in range(1, 50)}}
+
+
+def test_keep_one_by_rows_not_by_ids(make_docs):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    nameless = [(None, text(1)), (None, text(1)), (None, text(1) + " end"), (None, text(2)), (None, text(6)), (None, ""), (None, ""), (None, None)]
+    named = [(3, text(6)), (4, text(7)), (9, text(7) + " end"), (8, "")]
+    repeated = [(5, text(3)), (5, text(4)), (7, text(5)), (7, text(5)), (8, "")]
+
+    def kept(rows):
+        out = near_join.keep_one(make_docs([(d, t, None, None, None) for d, t in rows]))
+        assert "_near_key" not in out.columns
+        return sorted(((r["doc_id"], (r["text"] or "").removesuffix(" end")) for r in out.collect()), key=repr)
+
+    want = [(None, text(1)), (None, text(2)), (None, ""), (None, ""), (None, ""), (3, text(6)), (4, text(7)), (8, "")]
+    assert kept(nameless + named) == sorted(want, key=repr)
+    # a repeated id elsewhere changes nothing for them, and its different texts both stay
+    assert kept(nameless + named + repeated) == sorted(want + [(5, text(3)), (5, text(4)), (7, text(5))], key=repr)
+    assert kept(named + repeated[:2]) == sorted([(3, text(6)), (4, text(7)), (8, ""), (5, text(3)), (5, text(4))], key=repr)

@@ -21,7 +21,8 @@ pre-aggregated and joined, never gathered. Shingles are 64-bit hashes; sets are
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a null id takes part in
 its class, whose id is the least id that is not null; rows that share an id count as one document; repeated
 rows form a class; an empty table gives an empty result; other columns are ignored, or passed through by
-``keep_one``.
+``keep_one``, to which each row is a document by its text, whatever its id (equal rows are one, if they have an id
+or a text).
 """
 
 from __future__ import annotations
@@ -309,12 +310,41 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFr
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs``, all columns, with one row of each component: that of the component's id."""
-    drop = land(join(docs, percent, size).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    kept = _with_keys(docs, drop, docs["doc_id"].cast("bigint") == drop["_gone"], "left_anti")
-    return kept.dropDuplicates(["doc_id"]) if _repeats(docs) else kept
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether an id stands in two rows."""
-    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 and doc_id is not null").isEmpty()
+    """The rows of ``docs``, all columns, with one row of each component: that of the component's least id.
+
+    Ids that are null or stand in several rows name no row: the rows are then joined by a key of id and text."""
+    if _named(docs):
+        drop = land(join(docs, percent, size).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
+        return _with_keys(docs, drop, docs["doc_id"].cast("bigint") == drop["_gone"], "left_anti")
+    key, keys = _keyed(docs)
+    rows = docs.withColumn("_near_key", key)
+    found = land(join(rows.select(F.col("_near_key").alias("doc_id"), "text"), percent, size).distinct(), "near-found")
+    all_ = keys.join(found.withColumnRenamed("doc_id", "_near_key"), "_near_key")
+    least = all_.groupBy("component_id").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.col("id").isNull(), "id", "_near_key")).alias("_least"))
+    least = land(least.filter("m > 1").select("component_id", F.col("_least._near_key").alias("_stays")), "near-least")
+    drop = land(_with_keys(all_, least, "component_id", "inner").filter("_near_key <> _stays").select("_near_key"), "near-gone")
+    kept = _with_keys(rows, drop, "_near_key", "left_anti")
+    # equal rows are one document, but without an id only if they have a text
+    equal = land(all_.filter("c > 1 and (id is not null or n_shingles > 0)").select("_near_key"), "near-equal")
+    once = _with_keys(kept, equal, "_near_key", "left_anti")
+    return once.unionByName(_with_keys(kept, equal, "_near_key").dropDuplicates(["_near_key"])).drop("_near_key")
+
+
+def _named(docs: DataFrame) -> bool:
+    """Whether each row has an id of its own."""
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
+    return ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or doc_id is null").isEmpty()
+
+
+def _keyed(docs: DataFrame):
+    """A key of id and text that different rows do not share, and (_near_key, c, id): its rows and their id."""
+    # null and the empty text differ
+    parts = [x for c in ("doc_id", "text") for x in (F.col(c).isNull(), F.col(c).cast("string"))]
+    other = F.xxhash64(F.lit(-1), *parts)
+    for turn in range(8):
+        key = F.xxhash64(F.lit(turn), *parts)
+        keys = land(docs.select(key.alias("_near_key"), other.alias("o"), F.col("doc_id").cast("bigint").alias("id")).groupBy("_near_key").agg(
+            F.count(F.lit(1)).alias("c"), F.min("id").alias("id"), F.min("o").alias("lo"), F.max("o").alias("hi")), "near-keys")
+        if keys.filter("lo <> hi").isEmpty():
+            return key, keys.select("_near_key", "c", "id")
+    raise RuntimeError("rows share their 64-bit keys under every seed")
