@@ -12,7 +12,7 @@ from ..operators import prep
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import sinks
-from ..sources.lines import read_lines, read_questions
+from ..sources.lines import read_lines, read_question_parts, sorted_digest
 from ..sources.records import map_aliases, parse_lines
 from .common import (D_JSONL, D_PAIRS, d_fp, d_np_quantile, d_np_round, d_rank, d_short, d_strip, d_tokens_f,
                      d_tokens_v, register)
@@ -41,9 +41,9 @@ def src_jsonl_lines(spark, sf):
     folder = F.regexp_extract("slice", "/slice=([^/]+)/[^/]*$", 1)
     sound = files.groupBy(folder.alias("slice")).agg(F.bool_and((F.col("last") == F.col("n")) & (F.col("d") == F.col("n")) & (F.col("odd") == 0)).alias("sound"))
     per = lines.groupBy(folder.alias("slice")).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.countDistinct("raw").alias("n_distinct"), F.sum(F.length("raw")).cast("bigint").alias("chars"),
-        F.md5(F.array_join(F.array_sort(F.collect_list(F.md5("raw"))), "")).alias("lines_md5"))
-    return per.join(sound.filter("sound"), "slice").drop("sound")
+        F.count(F.lit(1)).alias("n_lines"), F.countDistinct("raw").alias("n_distinct"), F.sum(F.length("raw")).cast("bigint").alias("chars"))
+    digests = sorted_digest(lines.select(folder.alias("slice"), "raw"))
+    return per.join(digests, "slice").join(sound.filter("sound"), "slice").drop("sound")
 
 
 @register("src_json_parse", sql="WITH " + D_JSONL + "SELECT slice, sample_id, line_no, status FROM js")
@@ -139,12 +139,13 @@ def src_pair_turns(spark, sf):
 SELECT row_number() OVER (ORDER BY item_id) AS q_no, {d_strip("replace(replace(text, chr(13), ' '), chr(10), ' ')")} AS question
 FROM benchmark""")
 def src_question_lines(spark, sf):
-    """benchmark texts written as one question file, line breaks as blanks, and read back: one question a
+    """benchmark texts written as a question file in part files by ranges of ids, line breaks as blanks, and read back: one question a
     line, numbered from 1."""
     path = scratch_path(spark, "questions")
     line = F.translate("text", "\r\n", "  ")
-    fx.table(spark, sf, "benchmark").select("item_id", line.alias("text")).coalesce(1).sortWithinPartitions("item_id").select("text").write.text(path)
-    return read_questions(spark, path).select("q_no", "question")
+    fx.table(spark, sf, "benchmark").select("item_id", line.alias("text")).repartitionByRange("item_id").sortWithinPartitions(
+        "item_id").select("text").write.text(path)
+    return read_question_parts(spark, path).select("q_no", "question")
 
 
 # ---- parse-level aggregates -------------------------------------------------

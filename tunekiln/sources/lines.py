@@ -7,13 +7,16 @@ table with one row per file split.
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, py_strip
 
 NUMBER_BUCKETS = 64
-
+CHUNK_LINES = 256  # line digests that travel in one row
 
 
 def _scan_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -72,6 +75,67 @@ def read_questions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def read_question_parts(spark: SparkSession, path: str) -> DataFrame:
+    """A question file written as a folder of part files in order, as ``read_questions`` reads one file.
+
+    The numbers of a part are shifted by the questions of the parts before it: one row for each part."""
+    q = read_questions(spark, path)
+    part = F.regexp_extract("slice", "/part-([0-9]+)[^/]*$", 1).cast("bigint")
+    parts = q.groupBy("slice").agg(F.count(F.lit(1)).alias("_n")).withColumn("_part", part)
+    before = F.sum("_n").over(Window.orderBy("_part", "slice").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.select("slice", F.coalesce(before, F.lit(0)).alias("_off"))
+    return q.join(offsets, "slice").select("slice", (F.col("q_no") + F.col("_off")).alias("q_no"), "question")
+
+
+def sorted_digest(lines: DataFrame, slice_col: str = "slice", raw: str = "raw") -> DataFrame:
+    """(slice, lines_md5): md5 of the sorted md5 digests of a slice's lines, joined without a separator.
+
+    Equal lines are counted and the digests sorted in ranges over all tasks; what has to be read in order, as
+    md5 has no partial form, are rows of ``CHUNK_LINES`` digests, one after the other and none of them kept."""
+    size = CHUNK_LINES
+    counts = lines.groupBy(F.col(slice_col).alias("slice"), F.md5(raw).alias("m")).agg(F.count(F.lit(1)).alias("n"))
+
+    def pack(batches):
+        now, first, held, piece = None, None, [], 0
+
+        def out():
+            return pa.RecordBatch.from_pydict({"slice": [now], "m": [first], "piece": [piece], "chunk": ["".join(held)]}, schema=packed)
+
+        for batch in batches:
+            for s, m, n in zip(*[batch.column(c).to_pylist() for c in ("slice", "m", "n")]):
+                if held and s != now:
+                    yield out()
+                    held, piece = [], piece + 1
+                now = s
+                while n > 0:
+                    first = first if held else m
+                    k = min(n, size - len(held))
+                    held += [m] * k
+                    n -= k
+                    if len(held) == size:
+                        yield out()
+                        held, piece = [], piece + 1
+        if held:
+            yield out()
+
+    def fold(batches):
+        now, md5 = None, None
+        for batch in batches:
+            for s, chunk in zip(batch.column("slice").to_pylist(), batch.column("chunk").to_pylist()):
+                if md5 is None or s != now:
+                    if md5 is not None:
+                        yield pa.RecordBatch.from_pydict({"slice": [now], "lines_md5": [md5.hexdigest()]}, schema=folded)
+                    now, md5 = s, hashlib.md5()
+                md5.update(chunk.encode())
+        if md5 is not None:
+            yield pa.RecordBatch.from_pydict({"slice": [now], "lines_md5": [md5.hexdigest()]}, schema=folded)
+
+    packed = pa.schema([("slice", pa.string()), ("m", pa.string()), ("piece", pa.int64()), ("chunk", pa.string())])
+    folded = pa.schema([("slice", pa.string()), ("lines_md5", pa.string())])
+    chunks = counts.repartitionByRange("slice", "m").sortWithinPartitions("slice", "m").mapInArrow(pack, "slice string, m string, piece bigint, chunk string")
+    return chunks.repartition("slice").sortWithinPartitions("slice", "m", "piece").mapInArrow(fold, "slice string, lines_md5 string")
+
+
 def _cuts(df: DataFrame, key: Column, buckets: int) -> list:
     """Up to ``buckets`` - 1 values that cut ``key`` into ranges of about equal counts, from a sample of
     its values by hash (about 32 for each bucket). Any cuts give the same numbers; these balance the work."""
