@@ -69,3 +69,27 @@ def test_words_come_near_the_target(make_docs):
 def test_empty_table(make_docs):
     assert mixing.mix(make_docs([])).count() == 0
     assert mixing.mixed_documents(make_docs([])).count() == 0
+
+
+def test_long_documents_are_traded():
+    assert mixing.fit_counts([17000, 20000], [10, 10], 51000) == [3, 0]
+    rng = random.Random(5)
+    for _ in range(20):
+        sizes = rng.sample(range(9000, 30000, 500), 6)
+        counts = [rng.randrange(5, 30) for _ in sizes]
+        budget = rng.randrange(40_000, sum(s * n for s, n in zip(sizes, counts)))
+        can = 1  # all sums, in steps of 500
+        for s, n in zip(sizes, counts):
+            for _ in range(n):
+                can |= can << s // 500
+        best = max(b for b in range(budget // 500 + 1) if can >> b & 1) * 500
+        took = mixing.fit_counts(sizes, counts, budget)
+        assert all(0 <= k <= n for k, n in zip(took, counts))
+        assert sum(s * k for s, k in zip(sizes, took)) == best
+
+
+def test_lengths_that_stand_once_are_taken_in_proportion():
+    sizes = list(range(100, 2100))
+    took = mixing.fit_counts(sizes, [1] * len(sizes), sum(sizes) // 2)
+    assert sum(s * k for s, k in zip(sizes, took)) == sum(sizes) // 2 and max(took) == 1
+    assert 400 < sum(took[:1000]) < 600

@@ -25,7 +25,8 @@ WEIGHTS = (5, 2, 1)   # by source in code point order, repeating; null last
 CAP = 3               # a document is taken at most so many times
 SEED = 20240611
 BUCKETS = 1024        # hash ranges within a (source, length) group
-GAP = 16384           # words that the dynamic program closes; larger gaps are first filled by long documents
+GAP = 16384           # words that the dynamic program closes at least; larger gaps are first filled by long documents
+LONGEST = 4           # it closes so many times the longest document, so that it can trade long ones
 
 
 def word_sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -66,10 +67,15 @@ def fit_counts(sizes: list[int], counts: list[int], budget: int, gap: int = GAP)
     total = sum(s * n for s, n in zip(sizes, counts))
     if budget >= total:
         return list(counts)
-    # in proportion up to half a gap below the budget, so that the program has documents to choose from
-    take = [n * max(0, budget - gap // 2) // total for n in counts]
-    rest = budget - sum(s * k for s, k in zip(sizes, take))
+    gap = max(gap, LONGEST * max(sizes))
     by_size = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    # in proportion up to half a gap below the budget, so that the program has documents to choose from; rounded over
+    # the running count, which strays by one document at most and lets lengths that stand once take part
+    share, upto, take = max(0, budget - gap // 2), 0, [0] * len(sizes)
+    for i in by_size:
+        take[i] = (upto + counts[i]) * share // total - upto * share // total
+        upto += counts[i]
+    rest = budget - sum(s * k for s, k in zip(sizes, take))
     for i in by_size:
         if rest <= gap:
             break
@@ -79,6 +85,8 @@ def fit_counts(sizes: list[int], counts: list[int], budget: int, gap: int = GAP)
     # bounded knapsack over the rest: bit b of ``reach`` says that b words can be reached
     reach, steps, mask = 1, [], (1 << (min(rest, gap) + 1)) - 1
     for i in by_size:
+        if reach > mask >> 1:  # the whole rest is reached
+            break
         left, lot = min(counts[i] - take[i], min(rest, gap) // sizes[i]), 1
         while left > 0:
             lot = min(lot, left)
