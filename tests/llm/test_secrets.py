@@ -46,3 +46,15 @@ def test_long_text_and_edges(make_docs, edge_rows):
     rows = {r["doc_id"]: r for r in secrets.digest(secrets.scan(docs)).collect()}
     assert rows[99]["n_assign"] == 1 and rows[3]["spans"] == ""
     assert secrets.digest(secrets.scan(make_docs([]))).count() == 0
+
+
+def test_keys_of_letters_alone_and_keys_within_long_runs():
+    key = "kJhGfDsAqWeRtYuIoPlMzX"
+    assert secrets.find(f"use {key} here")[1] == [("random", 4, 4 + len(key))]
+    path = "/documents/international/information/government/development/environment/management/"
+    mixed = "x7Kq9ZpL2vRt8WmY4nBd6"
+    for k in (key, mixed):
+        assert secrets.find(path + k)[1] == [("random", len(path), len(path) + len(k))]
+    names = ["InternationalInformationManagement", path, "development_environment_management", "GOVERNMENT_DEVELOPMENT_BOARD",
+             "getInternationalInformationManagement", path + "d41d8cd98f00b204e9800998ecf8427e".upper()]
+    assert all(not secrets.find(n)[1] for n in names)

@@ -4,8 +4,9 @@ Base kinds, leftmost and non-overlapping per kind: ``assign`` (a name such as pa
 value), ``access`` (access key ids) and ``hex`` (long hexadecimal runs). The method adds ``random``:
 a run of key characters that a byte-pair vocabulary splits into many short tokens is unlikely to be
 words. Before the test, known digests (hexadecimal runs of digest lengths) and identifiers (UUIDs,
-numbers, one-case names, paths and snake_case names without digits) are excluded. The vocabulary is a
-tiktoken rank file whose path is a parameter.
+numbers, and names, paths and snake_case without digits whose parts are one-case or capitalised words) are
+excluded. A run that passes as a whole is judged by its parts between ``/``, ``=``, ``_`` and ``-`` as well. The
+vocabulary is a tiktoken rank file whose path is a parameter.
 
 The scan is row by row over whole texts, without a shuffle. A random span that overlaps a base span is
 not reported again.
@@ -32,6 +33,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_VALUE = 6
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile(r"[A-Za-z0-9+]{20,}")
+WORDS = re.compile(r"(?:[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?![A-Za-z]))*[+/_=-]*\Z|(?:[A-Z][a-z]{2,})+\Z")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)  # md5, sha1, sha224, sha256, sha384, sha512
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z")
@@ -52,12 +55,12 @@ def encoder(path: str | None = None):
 
 
 def is_identifier(run: str) -> bool:
-    """Digests, UUIDs, numbers, and names without both letters and digits."""
+    """Digests, UUIDs, numbers, and names, paths and snake_case of letters alone."""
     if UUID.match(run) or len(run) in DIGEST_LENGTHS and DIGEST.match(run):
         return True
-    digits = any(c.isdigit() for c in run)
-    letters = any(c.isalpha() for c in run)
-    return not (digits and letters)
+    if any(c.isdigit() for c in run):
+        return not any(c.isalpha() for c in run)
+    return WORDS.match(run) is not None
 
 
 def efficiency(run: str, path: str | None = None) -> float:
@@ -89,6 +92,12 @@ def random_spans(text: str, base: list[tuple[str, int, int]], max_ratio: float =
             continue
         if not is_identifier(m[0]) and efficiency(m[0], path) <= max_ratio:
             out.append(("random", a, b))
+            continue
+        if UUID.match(m[0]):
+            continue
+        for p in PART.finditer(text, a, b):
+            if p.span() != (a, b) and not is_identifier(p[0]) and efficiency(p[0], path) <= max_ratio:
+                out.append(("random", *p.span()))
     return out
 
 
