@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import class_lm, decontaminate, language, line_rules, mixing, near_join, pseudonyms, ranking, records, secrets
+from . import class_lm, decontaminate, language, line_rules, merkle, mixing, near_join, pseudonyms, ranking, records, secrets
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,12 @@ def op9_parity_sketch_join(spark, sf_dir):
 def op10_subset_sum_mix(spark, sf_dir):
     """Words that the mix takes of every document, repeats counted."""
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@_register
+def op13_pointer_jumping_manifest(spark, sf_dir):
+    """Leaf, subroot and root of every document, its proof, and the root folded from the damaged or original leaf."""
+    return merkle.verify(read(spark, sf_dir, "documents"))
+
+
+SQL["op13_pointer_jumping_manifest"] = merkle.ORACLE
