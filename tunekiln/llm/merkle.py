@@ -190,7 +190,7 @@ def verify(docs: DataFrame) -> DataFrame:
 
 # crc32 by its bits: DuckDB has no such function. Each step folds one bit of the decimal id into the sum.
 _CRC = """list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(d) + 1),
-            lambda i: list_prepend(ascii(d[i])::BIGINT, [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+            lambda i: list_prepend(ascii(d[i])::BIGINT, [-1::BIGINT, -1, -1, -1, -1, -1, -1])))),
             lambda c, b: CASE WHEN b >= 0 THEN CASE WHEN xor(c, b) % 2 = 1 THEN xor(xor(c, b) // 2, 3988292384) ELSE xor(c, b) // 2 END
                               WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"""
 
