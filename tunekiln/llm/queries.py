@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import class_lm, decontaminate, language, line_rules, merkle, mixing, near_join, pseudonyms, ranking, records, secrets
+from . import class_lm, decontaminate, impact_index, language, line_rules, merkle, mixing, near_join, pseudonyms, ranking, records, secrets
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,15 @@ def op10_subset_sum_mix(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_register
+def op11_impact_ordered_topk(spark, sf_dir):
+    """The 20 best rows by integer inner product for every 20th vector, over an impact-ordered index."""
+    return impact_index.search(read(spark, sf_dir, "embeddings"), impact_index.query_rows())
+
+
+SQL["op11_impact_ordered_topk"] = impact_index.ORACLE
+
+
 @_register
 def op13_pointer_jumping_manifest(spark, sf_dir):
     """Leaf, subroot and root of every document, its proof, and the root folded from the damaged or original leaf."""
