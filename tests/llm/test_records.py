@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF001
 
@@ -24,20 +25,29 @@ def test_known_checksums():
         assert got == crc ^ 0xFFFFFFFF
 
 
-def test_words_encode_as_the_library_does(spark):
-    enc = tokenizing.encoder()
+ODD = ["", " a", "a  b", "a\n\nb", "a \nb", "a\tb c", "it's o'k <|endoftext|> b", "\n", "a\n", "1.2 3,4\nB's 'c",
+       "... a.. .b '. c'.", ".\n.\nb.", "a\r\nb", "x² ².  ! !", "é. é", "　x y", "a  b", "a\x0bb c\x85d", "▁a b▁ c",
+       "a <unk> <s> b</s>\n<0x0A>", "ﬁ ① Ａ é ́x ​z", "\U0001f600 ab\u0000c d"]
+
+
+@pytest.mark.parametrize("kind,bare", [("ids", True), ("plain", False), ("pieces", False)])
+def test_words_encode_as_the_library_does(spark, kind, bare):
+    enc = {"ids": tokenizing.Encoder, "plain": lambda: tokenizing.Encoder(plain_marks=True), "pieces": tokenizing.Pieces}[kind]()
     assert enc.by_word
     texts = [r["text"] for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
-    texts += ["", " a", "a  b", "a\n\nb", "a \nb", "a\tb c", "it's o'k <|endoftext|> b", "\n", "a\n", "1.2 3,4\nB's 'c",
-              "... a.. .b '. c'.", ".\n.\nb.", "a\r\nb", "x² ².  ! !", "é. é", "　x y", "a  b"]
-    assert enc.encode(texts) == [enc.whole(t) for t in texts]
+    for some in (texts + ODD, ODD, texts, [""], [None, ""], []):
+        ids, n = enc.flat(pa.array(some, pa.string()), bare)
+        filled = [t for t in some if t]
+        want = enc.whole(filled, bare)
+        assert ids.tolist() == want[0].tolist()
+        assert n.tolist() == [want[1][filled.index(t)] if t else 0 for t in some]
 
 
 def test_memo_starts_anew(monkeypatch):
     monkeypatch.setattr(tokenizing, "MEMO", 5)
     enc = tokenizing.Encoder()
-    for t in ("a b c d", "e f g h", "a b e f i j k l m n"):
-        assert enc.encode([t]) == [enc.whole(t)]
+    for t in ("a b c d", "e f g h", "a b e f i j k l m n", "a c.. zz!", "a m n c..\nzz!"):
+        assert enc.encode([t]) == [enc.whole([t])[0].tobytes()]
 
 
 def test_round_trip_against_the_library(spark, make_docs, edge_rows):
@@ -48,7 +58,7 @@ def test_round_trip_against_the_library(spark, make_docs, edge_rows):
     assert [r["doc_id"] for r in back] == sorted((r[0] for r in edge_rows), key=lambda x: (x is not None, x or 0))
     enc = tokenizing.encoder()
     end = struct.pack("<H", records.END_ID)
-    want = sorted(enc.whole(r[1] or "") + end for r in edge_rows)
+    want = sorted(enc.whole([r[1] or ""])[0].tobytes() + end for r in edge_rows)
     assert sorted(bytes(r["ids"]) for r in back) == want
     start = 0
     for r in sorted(records.describe(index, uri).collect(), key=lambda r: r["start"]):

@@ -110,9 +110,9 @@ def write_records(docs: DataFrame, uri: str, tokenizer: str | None = None, end_i
         enc = encoder(tokenizer)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         shards = _Shards(uri, TaskContext.get().partitionId())
-        for batch in light_batches(batches, "text", 1 << 20):
+        for batch in light_batches(batches, "text"):
             ids = batch.column("doc_id").to_pylist()
-            tokens = [t + end for t in enc.encode(batch.column("text").to_pylist())]
+            tokens = [t + end for t in enc.encode(batch.column("text"))]
             records = frame([struct.pack("<Iq", enc.width | (NULL_ID if i is None else 0), i or 0) + t for i, t in zip(ids, tokens)])
             where = shards.add(records)
             yield pa.RecordBatch.from_arrays(
