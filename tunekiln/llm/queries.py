@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import class_lm, decontaminate, impact_index, language, line_rules, merkle, mixing, near_join, pseudonyms, ranking, records, secrets
+from . import alignment, class_lm, decontaminate, impact_index, language, line_rules, merkle, mixing, near_join, pseudonyms, ranking, records, secrets
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,12 @@ def op11_impact_ordered_topk(spark, sf_dir):
 SQL["op11_impact_ordered_topk"] = impact_index.ORACLE
 
 
+@_register
+def op12_token_alignment(spark, sf_dir):
+    """Tokens, groups and links of every whole text under two vocabularies, and how common its links are."""
+    return alignment.alignment(read(spark, sf_dir, "documents"))
+
+
 @_register
 def op13_pointer_jumping_manifest(spark, sf_dir):
     """Leaf, subroot and root of every document, its proof, and the root folded from the damaged or original leaf."""
