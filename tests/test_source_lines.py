@@ -1,18 +1,34 @@
 import hashlib
 
 from conftest import SF01
+from pyspark.sql import functions as F
 
 from tunekiln.registry import queries
 from tunekiln.sources import lines
 
 
-def test_digest_of_sorted_lines(spark, monkeypatch):
-    monkeypatch.setattr(lines, "CHUNK_LINES", 3)
-    rows = [("a", f"line {i % 7}") for i in range(40)] + [("a", "often")] * 25 + [("b", "one")] + [("c", f"é{i}") for i in range(6)]
-    got = dict(tuple(r) for r in lines.sorted_digest(spark.createDataFrame(rows, "slice string, raw string")).collect())
-    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
-    assert got == {s: md5("".join(sorted(md5(t) for k, t in rows if k == s))) for s in "abc"}
-    assert lines.sorted_digest(spark.createDataFrame([], "slice string, raw string")).count() == 0
+def test_digest_of_any_order(spark):
+    rows = [("a", f"line {i % 7}") for i in range(40)] + [("a", "often")] * 25 + [("b", "one")] + [("c", f"é{i}") for i in range(6)] + [(None, "x"), ("d", None)]
+    df = spark.createDataFrame(rows, "slice string, raw string")
+    digest = lines.multiset_digest(F.col("raw")).alias("m")
+    got = dict(tuple(r) for r in df.groupBy("slice").agg(digest).collect())
+
+    def want(texts):
+        pieces = [hashlib.md5(t.encode()).hexdigest() for t in texts]
+        sums = [str(sum(int(m[8 * i:8 * i + 8], 16) for m in pieces)) for i in range(4)] if pieces else []
+        return hashlib.md5("|".join([str(len(pieces)), *sums]).encode()).hexdigest()
+
+    assert got == {s: want([t for k, t in rows if k == s and t is not None]) for s in ("a", "b", "c", None, "d")}
+    assert got == dict(tuple(r) for r in df.orderBy(F.desc("raw")).repartition(5).groupBy("slice").agg(digest).collect())
+    plan = df.groupBy("slice").agg(digest)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_" in plan and "Python" not in plan and "Sort" not in plan
+
+
+def test_slices_named_by_folders(spark, tmp_path):
+    rows = [("a b", "1"), ("x+y%z", "2"), (None, "3"), ("é:/=", "4")]
+    spark.createDataFrame(rows, "slice string, value string").write.partitionBy("slice").text(str(tmp_path / "t"))
+    back = spark.read.text(str(tmp_path / "t/*/*.txt")).select(lines.slice_of_path(F.col("_metadata.file_path")).alias("s"), "value")
+    assert {(r.s, r.value) for r in back.collect()} == set(rows)
 
 
 def test_no_slice_is_gathered(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import formats as fm
+from .functions.joins import join_on
 from .operators import audit as au
 from .operators import prep
 from .plans import corpus_plan
@@ -41,7 +42,7 @@ def analyze(samples: DataFrame, by=("slice",)) -> DataFrame:
     """Analyzer report per slice: length distribution, quality ratios and issues, first format."""
     by = list(by)
     first = au.first_records(samples, by, "line_no").select(*by, F.col("fmt_a").alias("format"))
-    return au.length_stats(samples, by).join(au.quality_a(samples, by).drop("n"), by).join(first, by, "left")
+    return join_on(join_on(au.length_stats(samples, by), au.quality_a(samples, by).drop("n"), by), first, by, "left")
 
 
 def training_text(samples: DataFrame, by=("slice",), test_size: float = prep.SPLIT_TEST_SIZE,

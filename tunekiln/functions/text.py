@@ -37,6 +37,9 @@ WS_CLASS = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{20
 # The same white space as a literal character set (for trim / translate, which need no regex).
 WS_CHARS = "".join(chr(c) for c in [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
                                     *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+FROM_KANA_CLASS = r"[^\x{0}-\x{303F}]"  # every class above starts at U+3040 or later
+PREFIX_CHARS = 1000  # characters in which a fingerprint is looked for first
+SIGMA = "\u03a3"     # the one capital whose lower case depends on what follows it
 _NON_WS_CLASS = "[^" + WS_CLASS[1:-1] + "]"
 
 
@@ -49,14 +52,20 @@ def char_len(t) -> Column:
     return F.coalesce(F.length(_c(t)), F.lit(0))
 
 
+def _count_class(t: Column, cls: str) -> Column:
+    """Characters of a class of U+3040 and above: texts of ASCII alone, or without such a character, need no count."""
+    none = (F.octet_length(t) == F.char_length(t)) | ~t.rlike(FROM_KANA_CLASS)
+    return F.when(none, F.lit(0)).otherwise(F.coalesce(F.regexp_count(t, F.lit(cls)), F.lit(0)))
+
+
 def cjk_count(t) -> Column:
     """CJK characters under the A/V class."""
-    return F.coalesce(F.regexp_count(_c(t), F.lit(CJK_CLASS)), F.lit(0))
+    return _count_class(_c(t), CJK_CLASS)
 
 
 def cjk_count_t(t) -> Column:
     """CJK characters under T's narrower class."""
-    return F.coalesce(F.regexp_count(_c(t), F.lit(CJK_CLASS_T)), F.lit(0))
+    return _count_class(_c(t), CJK_CLASS_T)
 
 
 def _tokens(t, cjk: Column) -> Column:
@@ -93,8 +102,13 @@ def fingerprint(t) -> Column:
     """V's near-duplicate key: lower case, all white space removed, first 200 characters.
 
     It counts near duplicates; rows are removed by ``text_key`` only. Lower-casing comes first, as
-    it can depend on the neighbours of a letter (a Greek final sigma)."""
-    return F.substring(_normalised(t), 1, FINGERPRINT_CHARS)
+    it can depend on the neighbours of a letter (a Greek final sigma). The first PREFIX_CHARS characters
+    decide where they hold enough and no such letter; else the whole text is normalised."""
+    t = F.coalesce(_c(t), F.lit(""))
+    head = t.substr(1, PREFIX_CHARS)
+    start = _normalised(head)
+    enough = (F.length(start) >= FINGERPRINT_CHARS) & ~F.contains(head, F.lit(SIGMA))
+    return F.substring(F.when(enough, start).otherwise(_normalised(t)), 1, FINGERPRINT_CHARS)
 
 
 def _normalised(t) -> Column:

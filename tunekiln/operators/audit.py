@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats as fm
 from ..functions import text as tx
+from ..functions.joins import join_on
 from ..session import land
 from ..sources.records import plain_numbers
 
@@ -76,10 +77,10 @@ def attach_small(big: DataFrame, small: DataFrame, on: list[str], salt: str | No
     The table is broadcast where it has at most SLICE_BROADCAST_ROWS rows (counted). With more slices
     the rows are joined on (slice, salt), so that a hot slice is spread over SALTS tasks."""
     if small.count() <= SLICE_BROADCAST_ROWS:
-        return big.join(F.broadcast(small), on)
+        return join_on(big, small, on, hint="broadcast")
     salts = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     key = F.pmod(F.xxhash64(salt) if salt else F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    return big.withColumn("_salt", key).join(salts, [*on, "_salt"]).drop("_salt")
+    return join_on(big.withColumn("_salt", key), salts, [*on, "_salt"]).drop("_salt")
 
 
 def grouped_counts(rows: DataFrame, by: list[str], keys: list[str], aggs: list[Column] | None = None) -> dict:
@@ -137,7 +138,7 @@ def slice_info(samples: DataFrame, by=("slice",), order: str = "line_no") -> Dat
     first = attach_small(samples.filter(~bad), starts, [*by, order], order).select(
         *by, fmt(fm.fmt_v).alias("fmt_v"), fmt(fm.fmt_a).alias("fmt_a"), fmt(fm.fmt_t).alias("fmt_t"),
         F.coalesce(F.when(ok, keys), F.array().cast("array<string>")).alias("first_keys")).dropDuplicates(by)
-    out = counts.drop("_first").join(first, by, "left")
+    out = join_on(counts.drop("_first"), first, by, "left")
     return land(out.withColumn("first_keys", F.coalesce("first_keys", F.array().cast("array<string>"))), "slice-info")
 
 
@@ -156,7 +157,7 @@ def format_mix(samples: DataFrame, by=("slice",), order: str = "line_no") -> Dat
     nfmt = per.groupBy(*by).agg(F.count(F.lit(1)).alias("n_formats"))
     first = first_records(samples, by, order).select(*by, F.col("fmt_a").alias("first_fmt_a"),
                                                      F.col("fmt_v").alias("first_fmt_v"))
-    return per.join(nfmt, by).join(first, by, "left")
+    return join_on(join_on(per, nfmt, by), first, by, "left")
 
 
 # ---- V: validator audit -----------------------------------------------------
@@ -246,7 +247,7 @@ def token_stats(rows: DataFrame, by: list[str], tokens: str = "tokens", p99: boo
     pct = nearest_rank(hist, by, tokens, "_c", ranks)
     base = hist.groupBy(*by).agg(
         F.sum("_c").alias("n"), F.sum(F.col(tokens) * F.col("_c")).alias("total_tokens"))
-    return base.join(pct, by).withColumn("avg_tokens", F.col("total_tokens") / F.col("n"))
+    return join_on(base, pct, by).withColumn("avg_tokens", F.col("total_tokens") / F.col("n"))
 
 
 def near_dups(rows: DataFrame, by: list[str], key: str = "fp", counts: DataFrame | None = None) -> DataFrame:
@@ -276,7 +277,7 @@ def v_audit(samples: DataFrame, by=("slice",), order: str = "line_no") -> DataFr
     basic = parts[None].select(*by, F.col("_e").cast("bigint").alias("empty_count"))
     counts = sinfo.select(*by, "total_lines", "valid_lines", "invalid_lines",
                           F.col("fmt_v").alias("detected_format"), F.col("first_keys").alias("key_fields"))
-    s = counts.join(basic, by, "left").join(dups, by, "left").join(toks.drop("n"), by, "left")
+    s = join_on(join_on(join_on(counts, basic, by, "left"), dups, by, "left"), toks.drop("n"), by, "left")
     return score_v(s)
 
 
@@ -304,14 +305,17 @@ def score_v(s: DataFrame) -> DataFrame:
     for p in penalties:
         raw_score = raw_score - p.cast("double")
     has_valid = F.coalesce(valid, F.lit(0)) > 0
-    score = F.when(has_valid, F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw_score))).otherwise(F.lit(0.0))
+    # a missing statistic gives no score: its penalty is unknown, not zero
+    known = p95.isNotNull() & avg.isNotNull()
+    bounded = F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw_score))
+    score = F.when(~has_valid, F.lit(0.0)).when(known, bounded)
     s = s.withColumn("score", score)
     sc = F.col("score")
     grade = F.lit(V_GRADE_LAST)
     for lim, name in reversed(V_GRADES):
         grade = F.when(sc >= lim, F.lit(name)).otherwise(grade)
-    s = s.withColumn("grade", F.when(has_valid, grade).otherwise(F.lit(V_GRADE_LAST)))
-    s = s.withColumn("passed", has_valid & (sc >= V_PASS_SCORE))
+    s = s.withColumn("grade", F.when(~has_valid, F.lit(V_GRADE_LAST)).when(sc.isNotNull(), grade))
+    s = s.withColumn("passed", has_valid & F.coalesce(sc >= V_PASS_SCORE, F.lit(False)))
     s = s.withColumn("score_int", sc.cast("bigint"))
     issues = F.array_compact(F.array(
         F.when(inv > 0, F.format_string(V_ISSUE_PARSE, inv)),
@@ -418,7 +422,7 @@ def length_stats(samples: DataFrame, by=("slice",)) -> DataFrame:
                               numpy_round(F.col("_sum") / F.col("_c"), 1).alias("mean_chars"))
     qc = numpy_quantiles(None, by, "chars", {"_p80": 0.8, "_p95": 0.95}, median="_med", hist=parts["chars"])
     qt = numpy_quantiles(None, by, "tokens_f", {"_tp95": 0.95}, median="_tmed", hist=parts["tokens_f"])
-    s = base.join(qc, by).join(qt, by)
+    s = join_on(join_on(base, qc, by), qt, by)
     return s.select(*by, "total_samples", "min_chars", "max_chars", "mean_chars",
                     numpy_round(F.col("_med"), 1).alias("median_chars"),
                     F.col("_p80").cast("bigint").alias("p80_chars"),
@@ -442,7 +446,7 @@ def quality_a(samples: DataFrame, by=("slice",)) -> DataFrame:
         F.count_if("bilingual").alias("bilingual_count")])
     base = parts[None].select(*by, F.col("_c").alias("n"), "short_count", "control_count", "bilingual_count")
     d = parts["text_key"].groupBy(*by).agg((F.sum("_c") - F.count(F.lit(1))).alias("duplicate_count"))
-    s = base.join(d, by)
+    s = join_on(base, d, by)
     n = F.col("n")
     s = s.select(
         *by, "n", "short_count", "duplicate_count", "control_count", "bilingual_count",
@@ -481,7 +485,7 @@ def truncation(samples: DataFrame, max_len: int = 2048, by=("slice",), order: st
     hist = grouped_counts(r, by, ["tokens"])["tokens"]  # one text pass, landed; both results read it
     over = hist.groupBy(*by).agg(F.sum(F.when(F.col("tokens") > max_len, F.col("_c")).otherwise(0)).alias("over_count"))
     st = token_stats(None, by, "tokens", p99=False, hist=hist)
-    return st.join(over, by).withColumn("p95_over", F.col("p95_tokens") > max_len).withColumn(
+    return join_on(st, over, by).withColumn("p95_over", F.col("p95_tokens") > max_len).withColumn(
         "max_len", F.lit(max_len))
 
 
@@ -500,12 +504,12 @@ def audit_report(samples: DataFrame, by=("slice",), order: str = "line_no") -> D
                       F.col("median_tokens_est").alias("estimated_median_tokens"))
     quality = F.struct("has_issues", F.col("issues").alias("issues"), "empty_output_ratio", "duplicate_ratio",
                        "bilingual_ratio")
-    a = (ln.join(q.select(*by, "has_issues", "issues", "empty_output_ratio", "duplicate_ratio", "bilingual_ratio"), by)
-         .join(first.select(*by, "fmt_a", "first_keys"), by, "left")
+    quality_cols = q.select(*by, "has_issues", "issues", "empty_output_ratio", "duplicate_ratio", "bilingual_ratio")
+    a = (join_on(join_on(ln, quality_cols, by), first.select(*by, "fmt_a", "first_keys"), by, "left")
          .select(*by, length.alias("length"), quality.alias("quality"),
                  F.struct(F.col("fmt_a").alias("format"), F.col("first_keys").alias("fields")).alias("format")))
     stats = F.struct("total_lines", "valid_lines", "invalid_lines", "detected_format", "key_fields", "empty_count",
                      "dup_count", "total_duplicates", tx.round_even("avg_tokens", 1).alias("avg_tokens"),
                      "p50_tokens", "p95_tokens", "p99_tokens", tx.round_even("score", 1).alias("score"), "grade")
     vv = v.select(*by, "passed", stats.alias("stats"), "issues", "advice")
-    return vv.join(a, by, "left")
+    return join_on(vv, a, by, "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats as fm
 from ..functions import text as tx
+from ..functions.joins import join_on
 from ..operators import audit as au
 from . import catalog as cat
 from . import rules as ru
@@ -25,7 +26,7 @@ def slice_stats(samples: DataFrame, by: list[str], hist: DataFrame | None = None
     hist = hist if hist is not None else token_hist(samples, by)
     n = hist.groupBy(*by).agg(F.sum("_c").alias("n"))
     q = au.numpy_quantiles(None, by, "tokens_f", {"_p95": 0.95}, hist=hist)
-    return n.join(q, by).select(*by, "n", F.col("_p95").cast("bigint").alias("p95_tokens")) \
+    return join_on(n, q, by).select(*by, "n", F.col("_p95").cast("bigint").alias("p95_tokens")) \
             .withColumn("seq_len", tx.seq_len_from_p95(F.col("p95_tokens")))
 
 
@@ -33,10 +34,10 @@ def seq_len_plan(samples: DataFrame, by: list[str]) -> DataFrame:
     """Sequence length per slice and the rows (A token estimate) above it, from one histogram."""
     hist = token_hist(samples, by)
     st = slice_stats(samples, by, hist)
-    over = (hist.join(st.select(*by, "seq_len"), by)
+    over = (join_on(hist, st.select(*by, "seq_len"), by)
             .groupBy(*by).agg(F.sum(F.when(F.col("tokens_f") > F.col("seq_len"), F.col("_c")).otherwise(0))
                               .alias("over_count")))
-    out = st.join(over, by)
+    out = join_on(st, over, by)
     return out.select(*by, "n", "p95_tokens", "seq_len", "over_count",
                       tx.round_even(F.col("over_count") / F.col("n"), 4).alias("over_share"))
 
@@ -79,7 +80,7 @@ def fit(seq: DataFrame) -> DataFrame:
 def apply_overrides(plan: DataFrame, ov: DataFrame, cols: list[str], on: str = "slice") -> DataFrame:
     """Override values win; the reason of an overridden value gains the override tag."""
     o = ov.select(on, *[F.col(c).alias("_ov_" + c) for c in cols])
-    j = plan.join(o, on, "left")
+    j = join_on(plan, o, on, "left")
     for c in cols:
         hit = F.col("_ov_" + c).isNotNull()
         j = j.withColumn(c + "_overridden", hit).withColumn(c, F.coalesce(F.col("_ov_" + c), F.col(c)))
@@ -94,7 +95,7 @@ def full_plan(samples: DataFrame, by: list[str], task: str = "chat", model: str
     """Audit summary + sequence length + rule columns + matched model memory, one row per slice."""
     st = slice_stats(samples, by)
     first = au.first_records(samples, by, "sample_id").select(*by, fm.map_format(F.col("fmt_a")).alias("data_format"))
-    req = st.join(first, by).withColumn("task", F.lit(task)).withColumn("model", F.lit(model)) \
+    req = join_on(st, first, by).withColumn("task", F.lit(task)).withColumn("model", F.lit(model)) \
             .withColumn("gpu_gb", F.lit(float(gpu_gb)))
     hp = ru.hyperparams(req)
     hp = match_models(hp, "model")

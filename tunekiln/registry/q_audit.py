@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats as fm
 from ..functions import text as tx
+from ..functions.joins import join_on
 from ..operators import audit as au
 from ..session import land
 from ..sources import fixtures as fx
@@ -66,7 +67,7 @@ vstat AS (
          {d_rank('s', 'n', None)} AS p50_tokens, {d_rank('s', 'n', 0.95)} AS p95_tokens,
          {d_rank('s', 'n', 0.99)} AS p99_tokens, d.dup_count, d.total_duplicates,
          CAST(0 AS BIGINT) AS invalid_lines
-  FROM vtok t JOIN vdup d USING (slice)),
+  FROM vtok t JOIN vdup d ON t.slice IS NOT DISTINCT FROM d.slice),
 vscore AS (
   SELECT *, greatest(0.0, least(100.0,
       100.0::DOUBLE
@@ -134,7 +135,7 @@ def agg_near_dups(spark, sf):
     parts = au.grouped_counts(d, ["slice"], ["fp"])  # one fingerprint pass, landed
     nd = au.near_dups(None, ["slice"], "fp", parts["fp"])
     n = parts[None].select("slice", F.col("_c").alias("n"))
-    return nd.join(n, "slice").select("slice", "dup_count", "total_duplicates", "n")
+    return join_on(nd, n, "slice").select("slice", "dup_count", "total_duplicates", "n")
 
 
 @register("agg_empty_fields", sql="WITH " + D_CORPUS_V + """
@@ -270,17 +271,17 @@ def agg_alerts(spark, sf):
 
 
 @register("agg_quality_level", sql="WITH " + D_CORPUS_V + "," + D_A_ROWS + D_ALERTS + """
-SELECT slice, CASE WHEN score < 60 THEN 'fail'
+SELECT vscore.slice, CASE WHEN score < 60 THEN 'fail'
                    WHEN dup_count > 0 OR empty_count > 0 OR valid_lines < 500 OR p95_tokens > 4096 OR avg_tokens < 50
                         OR short_count / n > 0.05 OR duplicate_count / n > 0.10
                    THEN 'warn' ELSE 'good' END AS quality_level
-FROM vscore JOIN alert USING (slice)""")
+FROM vscore JOIN alert ON vscore.slice IS NOT DISTINCT FROM alert.slice""")
 def agg_quality_level(spark, sf):
     """good / warn / fail per slice: fail if the V score < 60 or the valid share < 0.90, warn if any
     V issue or alert, else good."""
     s = _v_audit(spark, sf)
     al = au.alerts(au.quality_a(a_corpus(spark, sf), ["slice"])).select("slice", (F.col("alert_short") | F.col("alert_dups")).alias("alert"))
-    s = s.join(al, "slice", "left")
+    s = join_on(s, al, "slice", "left")
     valid_share = F.col("valid_lines") / (F.col("valid_lines") + F.col("invalid_lines"))
     lvl = (F.when((F.col("score") < au.V_PASS_SCORE) | (valid_share < au.VALID_SHARE_MIN), F.lit("fail"))
            .when((F.size("issues") > 0) | F.coalesce("alert", F.lit(False)), F.lit("warn")).otherwise(F.lit("good")))
@@ -298,7 +299,7 @@ def agg_exact_dups(spark, sf):
     raw = au.exact_dups(d, ["slice"], "k")
     r = au.a_rows(fx.reply_records(spark, sf), ["slice"])
     a = au.exact_dups(r, ["slice"]).select("slice", F.col("duplicate_count").alias("duplicate_count_a"))
-    return raw.join(a, "slice").select("slice", "n", "duplicate_count", "duplicate_count_a")
+    return join_on(raw, a, "slice").select("slice", "n", "duplicate_count", "duplicate_count_a")
 
 
 @register("agg_cjk_mix_a", sql=f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.joins import join_on
 from ..operators import logs as lg
 from ..operators import prep
 from ..session import land
@@ -41,14 +42,14 @@ def jn_holdout_anti(spark, sf):
 @register("jn_dup_members", sql=f"""
 WITH g AS (SELECT source AS slice, doc_id, {d_fp('text')} AS fp FROM documents),
 c AS (SELECT slice, fp, count(*) AS group_size FROM g GROUP BY 1, 2 HAVING count(*) > 1)
-SELECT g.slice, g.doc_id, c.group_size, md5(g.fp) AS group_key FROM g JOIN c USING (slice, fp)""")
+SELECT g.slice, g.doc_id, c.group_size, md5(g.fp) AS group_key FROM g JOIN c ON g.slice IS NOT DISTINCT FROM c.slice AND g.fp = c.fp""")
 def jn_dup_members(spark, sf):
     """Near-duplicate groups joined back to their member rows."""
     d = fx.table(spark, sf, "documents").select(F.col("source").alias("slice"), "doc_id",
                                                 tx.fingerprint("text").alias("fp"))
     d = land(d, "fingerprints")  # narrow rows; the fingerprint pass runs once for both sides
     groups = d.groupBy("slice", "fp").agg(F.count(F.lit(1)).alias("group_size")).filter(F.col("group_size") > 1)
-    return d.join(groups, ["slice", "fp"]).select("slice", "doc_id", "group_size", F.md5("fp").alias("group_key"))
+    return join_on(d, groups, ["slice", "fp"]).select("slice", "doc_id", "group_size", F.md5("fp").alias("group_key"))
 
 
 @register("jn_log_signatures", sql="WITH " + D_LOG + ", " + D_SIGS + """

@@ -46,7 +46,7 @@ psl AS (
 SELECT psl.slice, psl.n, psl.p95_tokens, psl.seq_len,
        count(*) FILTER (WHERE pa.tokens_f > psl.seq_len) AS over_count,
        round_even(count(*) FILTER (WHERE pa.tokens_f > psl.seq_len) / psl.n, 4) AS over_share
-FROM psl JOIN pa USING (slice) GROUP BY psl.slice, psl.n, psl.p95_tokens, psl.seq_len""")
+FROM psl JOIN pa ON psl.slice IS NOT DISTINCT FROM pa.slice GROUP BY psl.slice, psl.n, psl.p95_tokens, psl.seq_len""")
 def plan_seq_len(spark, sf):
     """Max sequence length per slice from A's token P95, and the rows it would truncate."""
     return pl.seq_len_plan(plan_corpus(spark, sf), ["slice"])
@@ -202,7 +202,7 @@ matched AS (
   SELECT req.slice, req.request, coalesce(b.matched, 'default-7b') AS matched,
          coalesce(b.params, 7e9::DOUBLE) AS params, CAST(coalesce(b.hidden, 4096) AS BIGINT) AS hidden,
          CAST(coalesce(b.layers, 32) AS BIGINT) AS layers
-  FROM req LEFT JOIN best b USING (slice, request))
+  FROM req LEFT JOIN best b ON req.slice IS NOT DISTINCT FROM b.slice AND req.request = b.request)
 """
 
 
@@ -292,7 +292,7 @@ SELECT hp.slice, coalesce(ov.rank, hp.rank) AS rank, ov.rank IS NOT NULL AS rank
        CASE WHEN n < 500 THEN '极小数据集（<500），使用 r=4 防止严重过拟合' WHEN n < 1000 THEN '小数据集（<1k），使用 r=4 防止过拟合'
             WHEN n < 5000 THEN '中等数据集（1k-5k），r=8 平衡学习能力与泛化' WHEN n < 20000 THEN '大数据集（5k-20k），r=16 充分学习新知识'
             ELSE '超大数据集（>20k），r=32 捕获复杂模式' END || CASE WHEN ov.rank IS NOT NULL THEN ' [用户覆盖]' ELSE '' END AS rank_reason
-FROM hp LEFT JOIN ov USING (slice)""")
+FROM hp LEFT JOIN ov ON hp.slice IS NOT DISTINCT FROM ov.slice""")
 def jn_overrides(spark, sf):
     """A per-slice override table (rank 16, lr 5e-4 for sources whose smallest doc_id is even)
     wins over the recommended values; the reason gains the override tag."""

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import formats as fm
 from ..functions import text as tx
+from ..functions.joins import join_on
 from ..operators import audit as au
 from ..operators import evalset as ev
 from ..operators import prep
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import sinks
-from ..sources.lines import read_lines, read_question_parts, sorted_digest
+from ..sources.lines import multiset_digest, read_lines, read_question_parts, slice_of_path
 from ..sources.records import map_aliases, parse_lines
 from .common import (D_JSONL, D_PAIRS, d_fp, d_np_quantile, d_np_round, d_rank, d_short, d_strip, d_tokens_f,
                      d_tokens_v, register)
@@ -26,24 +27,25 @@ def _jsonl(spark, sf, with_nb=False):
 
 @register("src_jsonl_lines", sql="WITH " + D_JSONL + """
 SELECT slice, count(*) AS n_lines, count(DISTINCT raw) AS n_distinct, CAST(sum(length(raw)) AS BIGINT) AS chars,
-       md5(string_agg(md5(raw), '' ORDER BY md5(raw))) AS lines_md5
+       md5(concat_ws('|', count(raw), """ + ", ".join(f"sum(('0x' || substr(md5(raw), {1 + 8 * i}, 8))::UBIGINT)" for i in range(4)) + """)) AS lines_digest
 FROM jl1 WHERE raw <> '' GROUP BY slice""")
 def src_jsonl_lines(spark, sf):
     """The JSON-lines fixture written as text files (a folder per slice) and read back as numbered lines.
 
     Line numbers follow the files, whose borders depend on the writer; the result has what does not: the
-    lines of each slice, named by its folder, after a check that every file is numbered without a gap."""
+    lines of each slice, named by its folder, with an order-free digest of them, after a check that every file
+    is numbered without a gap."""
     path = scratch_path(spark, "jsonl")
     sinks.write_jsonl_lines(fx.jsonl_lines(spark, sf), path)
     lines = read_lines(spark, path + "/*/*.txt")
     files = lines.groupBy("slice").agg(F.max("nb_no").alias("last"), F.count(F.lit(1)).alias("n"), F.countDistinct("nb_no").alias("d"),
                                        F.count_if(F.col("line_no") < F.col("nb_no")).alias("odd"))
-    folder = F.regexp_extract("slice", "/slice=([^/]+)/[^/]*$", 1)
+    folder = slice_of_path(F.col("slice"))
     sound = files.groupBy(folder.alias("slice")).agg(F.bool_and((F.col("last") == F.col("n")) & (F.col("d") == F.col("n")) & (F.col("odd") == 0)).alias("sound"))
     per = lines.groupBy(folder.alias("slice")).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.countDistinct("raw").alias("n_distinct"), F.sum(F.length("raw")).cast("bigint").alias("chars"))
-    digests = sorted_digest(lines.select(folder.alias("slice"), "raw"))
-    return per.join(digests, "slice").join(sound.filter("sound"), "slice").drop("sound")
+        F.count(F.lit(1)).alias("n_lines"), F.countDistinct(F.unhex(F.md5("raw"))).alias("n_distinct"),
+        F.sum(F.length("raw")).cast("bigint").alias("chars"), multiset_digest(F.col("raw")).alias("lines_digest"))
+    return join_on(per, sound.filter("sound"), "slice").drop("sound")
 
 
 @register("src_json_parse", sql="WITH " + D_JSONL + "SELECT slice, sample_id, line_no, status FROM js")
@@ -76,7 +78,7 @@ def au_parse_errors(s):
         return F.array_join(F.transform(F.slice("_l", 1, k), lambda x: x[field].cast("string")), ",")
     lst = lst.select("slice", first(3, "line_no").alias("first3_lines"), first(5, "nb_no").alias("first5_nonblank"),
                      first(10, "nb_no").alias("first10_nonblank"))
-    return n.join(lst, "slice")
+    return join_on(n, lst, "slice")
 
 
 @register("src_typed_records", sql="WITH " + D_JSONL + """
@@ -194,7 +196,8 @@ per AS (SELECT slice, CASE WHEN coalesce(k_messages, false) THEN 'messages'
                            WHEN coalesce(k_text, false) THEN 'text' ELSE 'unknown' END AS fmt, count(*) AS n
         FROM js WHERE status = 'ok' GROUP BY 1, 2),
 nf AS (SELECT slice, count(*) AS n_formats FROM per GROUP BY slice)
-SELECT per.slice, fmt, n, n_formats, first_fmt_a, first_fmt_v FROM per JOIN nf USING (slice) LEFT JOIN ff USING (slice)""")
+SELECT per.slice, fmt, n, n_formats, first_fmt_a, first_fmt_v FROM per JOIN nf ON per.slice IS NOT DISTINCT FROM nf.slice
+LEFT JOIN ff ON per.slice IS NOT DISTINCT FROM ff.slice""")
 def agg_format_mix(spark, sf):
     """Per slice and format: count, number of formats, and the first record's A and V format."""
     return au.format_mix(_jsonl(spark, sf), ["slice"], ORDER)
@@ -259,7 +262,7 @@ SELECT jf.slice, sample_id, CASE first_fmt_v
          coalesce(json_extract_string(m, '$.content'), json_extract_string(m, '$.value'), '')), ''), '')
     WHEN 'instruction-output' THEN coalesce(instruction, '') || coalesce(output, '')
     WHEN 'text (CPT/pretraining)' THEN coalesce(text, '') ELSE '' END AS full_text
-FROM jf JOIN ff USING (slice)""")
+FROM jf JOIN ff ON jf.slice IS NOT DISTINCT FROM ff.slice""")
 def prj_full_text_v(spark, sf):
     """V's text: the slice's key fields concatenated with nothing."""
     s = _jsonl(spark, sf)
@@ -277,7 +280,7 @@ SELECT jf.slice, sample_id, CASE first_fmt_v
          (CASE WHEN coalesce(k_output, false) THEN coalesce(output, 'None') ELSE '' END)
     WHEN 'text (CPT/pretraining)' THEN CASE WHEN coalesce(k_text, false) THEN coalesce(text, 'None') ELSE '' END
     ELSE '' END AS full_text
-FROM jf JOIN ff USING (slice)""")
+FROM jf JOIN ff ON jf.slice IS NOT DISTINCT FROM ff.slice""")
 def prj_full_text_t(spark, sf):
     """T's text: like V, but a non-list value is str(value) ('None' for null)."""
     s = _jsonl(spark, sf)
@@ -313,7 +316,7 @@ jv AS (
            WHEN 'instruction-output' THEN CAST(instruction IS NULL OR {{blank_i}} AS INT) + CAST(output IS NULL OR {{blank_o}} AS INT)
            WHEN 'text (CPT/pretraining)' THEN CAST(text IS NULL OR {{blank_t}} AS INT)
            ELSE 0 END AS n_empty
-  FROM jf JOIN ff USING (slice)),
+  FROM jf JOIN ff ON jf.slice IS NOT DISTINCT FROM ff.slice),
 jr AS (SELECT slice, {d_fp('t')} AS fp, {d_tokens_v('t')} AS tokens, n_empty FROM jv),
 jc AS (SELECT slice, count(*) AS total_lines, count(*) FILTER (WHERE status <> 'bad_json') AS valid_lines,
               count(*) FILTER (WHERE status = 'bad_json') AS invalid_lines FROM js GROUP BY slice),
@@ -324,7 +327,8 @@ jd AS (SELECT slice, count(*) FILTER (WHERE c > 1) AS dup_count,
        FROM (SELECT slice, fp, count(*) AS c FROM jr GROUP BY 1, 2) GROUP BY slice),
 ja AS (SELECT jc.*, ff.first_fmt_v AS detected_format, jt.avg_tokens, jt.empty_count,
               {d_rank('jt.s', 'jt.n', 0.95)} AS p95_tokens, jd.dup_count, jd.total_duplicates
-       FROM jc JOIN jt USING (slice) JOIN jd USING (slice) JOIN ff USING (slice)),
+       FROM jc JOIN jt ON jc.slice IS NOT DISTINCT FROM jt.slice JOIN jd ON jc.slice IS NOT DISTINCT FROM jd.slice
+            JOIN ff ON jc.slice IS NOT DISTINCT FROM ff.slice),
 jsc AS (SELECT *, greatest(0.0, least(100.0, 100.0::DOUBLE
       - (CASE WHEN invalid_lines > 0 THEN least(30, invalid_lines * 2) ELSE 0 END)::DOUBLE
       - (CASE WHEN empty_count > 0 THEN least(25.0::DOUBLE, empty_count / valid_lines * 100 * 5.0::DOUBLE) ELSE 0 END)::DOUBLE
@@ -360,7 +364,7 @@ SELECT jsc.slice, total_lines, valid_lines, invalid_lines, detected_format, empt
        CAST(trunc({d_np_quantile('ja2.st', 'ja2.n', 0.95)}) AS BIGINT) AS a_p95_tokens,
        round_even(ja2.short_n / ja2.n, 4) AS a_empty_output_ratio, round_even(ja2.dup_n / ja2.n, 4) AS a_duplicate_ratio,
        ff.first_fmt_a AS a_format
-FROM jsc LEFT JOIN ja2 USING (slice) LEFT JOIN ff USING (slice)""")
+FROM jsc LEFT JOIN ja2 ON jsc.slice IS NOT DISTINCT FROM ja2.slice LEFT JOIN ff ON jsc.slice IS NOT DISTINCT FROM ff.slice""")
 def snk_audit_report(spark, sf):
     """Analyzer + validator report of the JSON-lines fixture, one JSON document per slice
     (length, quality, format, passed, stats with floats to 1 decimal, issues, advice), read back."""

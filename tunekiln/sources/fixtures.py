@@ -6,7 +6,7 @@ Modulo rules below inject defects into some rows; no row is dropped by them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import land
@@ -35,6 +35,7 @@ ERROR_LINES = [
     "RuntimeError: expected scalar type Half but found Float",
     "Warning: step took longer than expected",
 ]
+ARRIVAL_FILES = 5
 # ---------------------------------------------------------------------------
 
 
@@ -107,6 +108,11 @@ def pair_records(spark, sf_dir, slice_value: str = "pairs", pairs_df: DataFrame
                                 keep=["slice", "sample_id", "conv_id", "turn"])
 
 
+def to_json(c):
+    """JSON text in which a null value stands as null, not left out."""
+    return F.to_json(c, {"ignoreNullFields": "false"})
+
+
 def jsonl_lines(spark, sf_dir) -> DataFrame:
     """documents as JSON lines with mixed formats and injected defects.
 
@@ -117,9 +123,9 @@ def jsonl_lines(spark, sf_dir) -> DataFrame:
     """
     d = table(spark, sf_dir, "documents")
     k = F.pmod(F.col("doc_id"), F.lit(3))
-    rec_text = F.to_json(F.struct(F.col("text").alias("text")))
-    rec_io = F.to_json(F.struct(F.col("lang").alias("instruction"), F.col("text").alias("output")))
-    rec_msg = F.to_json(F.struct(F.array(
+    rec_text = to_json(F.struct(F.col("text").alias("text")))
+    rec_io = to_json(F.struct(F.col("lang").alias("instruction"), F.col("text").alias("output")))
+    rec_msg = to_json(F.struct(F.array(
         F.struct(F.lit("user").alias("role"), F.col("source").alias("content")),
         F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content"))).alias("messages")))
     good = F.when(k == 0, rec_text).when(k == 1, rec_io).otherwise(rec_msg)
@@ -154,7 +160,7 @@ def alias_lines(spark, sf_dir) -> DataFrame:
     k = F.pmod(F.col("doc_id"), F.lit(4))
     raw = None
     for idx, (a, b) in enumerate(ALIAS_PAIRS):
-        js = F.to_json(F.struct(F.col("lang").alias(a), F.col("text").alias(b)))
+        js = to_json(F.struct(F.col("lang").alias(a), F.col("text").alias(b)))
         raw = F.when(k == idx, js) if raw is None else raw.when(k == idx, js)
     return d.select(F.col("doc_id").alias("sample_id"), raw.alias("raw"))
 
@@ -226,3 +232,24 @@ def log_lines(spark, sf_dir) -> DataFrame:
     pts = land(pts, "log-points").withColumn("_ord", F.struct("ts", "event_id"))  # the events are read once
     return number_rows(pts, "_ord", by=["run_id"], out="step",
                        bucket_key=F.unix_micros(F.col("ts").cast("timestamp"))).drop("_ord")
+
+
+def event_arrivals(spark, sf_dir, very_late: bool = False) -> DataFrame:
+    """events with ``file``, the number of the file they arrive in.
+
+    An event arrives up to an hour after its time (by event_id), so the ARRIVAL_FILES files overlap in time;
+    with ``very_late`` those with event_id % 97 = 0 arrive two days later."""
+    e = table(spark, sf_dir, "events")
+    delay = F.col("event_id") * 7919 % 3600
+    if very_late:
+        delay = delay + F.when(F.col("event_id") % 97 == 0, 2 * 86400).otherwise(0)
+    at = F.unix_micros(F.col("ts").cast("timestamp")) + delay * 1_000_000
+    e = land(e.withColumn("_at", F.struct(at.alias("at"), "event_id")), "arrivals")
+    e = number_rows(e, "_at", out="_n", bucket_key=F.col("_at.at"))
+    return land(e.withColumn("file", F.floor((F.col("_n") - 1) * ARRIVAL_FILES / F.lit(e.count())).cast("int")).drop("_at", "_n"), "arrivals")
+
+
+def event_line() -> Column:
+    """An event as a JSON line {ts, instruction, output}; the last character is cut where event_id % 23 = 0."""
+    line = to_json(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), F.col("event_type").alias("instruction"), F.col("props").alias("output")))
+    return F.when(F.col("event_id") % 23 == 0, line.substr(F.lit(1), F.length(line) - 1)).otherwise(line)

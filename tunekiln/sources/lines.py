@@ -7,16 +7,14 @@ table with one row per file split.
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_on
 from ..functions.text import is_blank, py_strip
 
-NUMBER_BUCKETS = 64
-CHUNK_LINES = 256  # line digests that travel in one row
+RANGE_ROWS = 1_000_000              # rows of a range when rows are numbered, about
+LEAST_RANGES, MOST_RANGES = 8, 4096
 
 
 def _scan_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -87,55 +85,6 @@ def read_question_parts(spark: SparkSession, path: str) -> DataFrame:
     return q.join(offsets, "slice").select("slice", (F.col("q_no") + F.col("_off")).alias("q_no"), "question")
 
 
-def sorted_digest(lines: DataFrame, slice_col: str = "slice", raw: str = "raw") -> DataFrame:
-    """(slice, lines_md5): md5 of the sorted md5 digests of a slice's lines, joined without a separator.
-
-    Equal lines are counted and the digests sorted in ranges over all tasks; what has to be read in order, as
-    md5 has no partial form, are rows of ``CHUNK_LINES`` digests, one after the other and none of them kept."""
-    size = CHUNK_LINES
-    counts = lines.groupBy(F.col(slice_col).alias("slice"), F.md5(raw).alias("m")).agg(F.count(F.lit(1)).alias("n"))
-
-    def pack(batches):
-        now, first, held, piece = None, None, [], 0
-
-        def out():
-            return pa.RecordBatch.from_pydict({"slice": [now], "m": [first], "piece": [piece], "chunk": ["".join(held)]}, schema=packed)
-
-        for batch in batches:
-            for s, m, n in zip(*[batch.column(c).to_pylist() for c in ("slice", "m", "n")]):
-                if held and s != now:
-                    yield out()
-                    held, piece = [], piece + 1
-                now = s
-                while n > 0:
-                    first = first if held else m
-                    k = min(n, size - len(held))
-                    held += [m] * k
-                    n -= k
-                    if len(held) == size:
-                        yield out()
-                        held, piece = [], piece + 1
-        if held:
-            yield out()
-
-    def fold(batches):
-        now, md5 = None, None
-        for batch in batches:
-            for s, chunk in zip(batch.column("slice").to_pylist(), batch.column("chunk").to_pylist()):
-                if md5 is None or s != now:
-                    if md5 is not None:
-                        yield pa.RecordBatch.from_pydict({"slice": [now], "lines_md5": [md5.hexdigest()]}, schema=folded)
-                    now, md5 = s, hashlib.md5()
-                md5.update(chunk.encode())
-        if md5 is not None:
-            yield pa.RecordBatch.from_pydict({"slice": [now], "lines_md5": [md5.hexdigest()]}, schema=folded)
-
-    packed = pa.schema([("slice", pa.string()), ("m", pa.string()), ("piece", pa.int64()), ("chunk", pa.string())])
-    folded = pa.schema([("slice", pa.string()), ("lines_md5", pa.string())])
-    chunks = counts.repartitionByRange("slice", "m").sortWithinPartitions("slice", "m").mapInArrow(pack, "slice string, m string, piece bigint, chunk string")
-    return chunks.repartition("slice").sortWithinPartitions("slice", "m", "piece").mapInArrow(fold, "slice string, lines_md5 string")
-
-
 def _cuts(df: DataFrame, key: Column, buckets: int) -> list:
     """Up to ``buckets`` - 1 values that cut ``key`` into ranges of about equal counts, from a sample of
     its values by hash (about 32 for each bucket). Any cuts give the same numbers; these balance the work."""
@@ -155,28 +104,58 @@ def _range_of(key: Column, cuts: list, a: int, b: int) -> Column:
 
 
 def number_rows(df: DataFrame, order_col: str, by: list[str] | None = None, out: str = "row_no",
-                bucket_key: Column | None = None, buckets: int = NUMBER_BUCKETS) -> DataFrame:
-    """1-based position of each row by ``order_col`` inside each group of ``by``.
-
-    Deterministic and skew-safe without a global sort: rows are ranked inside (group, range of the order)
-    and shifted by the counts of the group's earlier ranges. The ranges are cut from a sample of the
-    order values, so they are balanced for dense, sparse and text ids alike, and a hot group spreads over
-    all of them; the cuts do not enter the result. ``order_col`` must be unique within a group.
-    ``bucket_key`` (default: the order column) is what the ranges are cut by where the order is a struct;
-    it must be ordered as the order column is. Reads ``df`` three times, all but the last its key only.
+                bucket_key: Column | None = None, buckets: int | None = None) -> DataFrame:
+    """1-based position of each row by ``order_col`` inside each group of ``by`` (null groups count as one group).
+
+    Only the keys are numbered: they are ranked inside (group, range of the order) and shifted by the counts of
+    the group's earlier ranges, and the numbers are then joined to the rows, which move only if the numbers are
+    too many to broadcast. The ranges (by default of about RANGE_ROWS rows) are cut from a sample of the order
+    values, so they are balanced for dense, sparse and text ids alike, and a hot group spreads over all of them;
+    the cuts do not enter the result. Rows that share an order value within a group follow each other in any
+    order. ``bucket_key`` (default: the order column) is what the ranges are cut by where the order is a struct;
+    it must be ordered as the order column is.
     """
     by = by or []
     key = bucket_key if bucket_key is not None else F.col(order_col)
-    cuts = _cuts(df, key, buckets)
-    d = df.withColumn("_b", _range_of(key, cuts, 0, len(cuts)))
-    counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    ids = df.select(*by, order_col, key.alias("_cut"))
+    if buckets is None:
+        buckets = min(MOST_RANGES, max(LEAST_RANGES, -(-ids.count() // RANGE_ROWS)))
+    cuts = _cuts(ids, F.col("_cut"), buckets)
+    # the count of a repeated key keeps its place for each of its rows
+    d = ids.withColumn("_b", _range_of(F.col("_cut"), cuts, 0, len(cuts))).groupBy(*by, "_b", order_col).agg(F.count(F.lit(1)).alias("_c"))
+    counts = d.groupBy(*by, "_b").agg(F.sum("_c").alias("_n"))
     # at most ``buckets`` rows for each group
     w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    ranked = d.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(order_col)))
+    inside = Window.partitionBy(*by, "_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = d.withColumn("_r", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
     # one row per (group, range); AQE broadcasts it when its measured size is small
-    j = ranked.join(offsets, by + ["_b"])
-    return j.withColumn(out, (F.col("_off") + F.col("_r")).cast("bigint")).drop("_b", "_r", "_off")
+    numbers = join_on(ranked, offsets, by + ["_b"]).select(*by, order_col, (F.col("_off") + F.col("_r")).cast("bigint").alias("_first"), "_c")
+    joined = join_on(df, numbers, [*by, order_col])
+    if ids.groupBy(*by, order_col).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").isEmpty():
+        return joined.withColumn(out, F.col("_first") + 1).drop("_first", "_c")
+    # only the rows that share their key are ranked among each other
+    among = F.row_number().over(Window.partitionBy(*by, order_col).orderBy("_first"))
+    one = joined.filter("_c = 1").withColumn(out, F.col("_first") + 1)
+    more = joined.filter("_c > 1").withColumn(out, (F.col("_first") + among).cast("bigint"))
+    return one.unionByName(more).drop("_first", "_c")
+
+
+def multiset_digest(text: Column) -> Column:
+    """Aggregate: a digest of a group's texts that does not depend on their order, as one plain partial sum.
+
+    It is the md5 of the number of texts and of the sums of the four 32-bit pieces of their md5 digests."""
+    d = F.md5(text)
+    pieces = [F.sum(F.conv(F.substring(d, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    return F.md5(F.concat_ws("|", F.count(text).cast("string"), *pieces))
+
+
+def slice_of_path(path: Column) -> Column:
+    """The slice that a ``slice=...`` folder of a file's path names; null for the folder of null slices."""
+    name = F.regexp_extract(path, "/slice=([^/]+)/[^/]*$", 1)
+    for _ in range(2):  # folder names are escaped, and again where the path is a URI
+        name = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return F.when(name != "__HIVE_DEFAULT_PARTITION__", name)
 
 
 def blank_lines(spark: SparkSession, path: str | list[str], slice_col: str = "slice") -> DataFrame:
