@@ -281,6 +281,49 @@ def v_audit(samples: DataFrame, by=("slice",), order: str = "line_no") -> DataFr
     return score_v(s)
 
 
+def audit_rollup(samples: DataFrame, by: list[str]) -> DataFrame:
+    """The audit of every level of ``by`` at once: each full group, each prefix of ``by``, and the total.
+
+    One text pass counts the distinct values (tokens, lengths, fingerprints, digests) of the finest groups; counts
+    are additive, so the histograms of the coarser levels are sums of the finer ones and all percentiles,
+    duplicates, scores and grades are exact at every level. ``level`` is 0 for the full groups, then 1, 3, 7, ... as
+    columns are rolled up from the right (a grouping id); columns rolled up are null. V's text follows
+    each row's own format, as a level has no single first record."""
+    valid = F.col("status") != "bad_json"
+    text = fm.full_text_v(fm.fmt_v(), F.map_keys("fields"))
+    rows = samples.withColumn("_tv", F.when(valid, F.coalesce(text, F.lit(""))))
+    rows = rows.select(*by, valid.alias("valid"), F.unhex(F.md5(tx.fingerprint("_tv"))).alias("fp"), tx.tokens_v("_tv").alias("tokens"),
+                       tx.char_len("_tv").alias("chars"), F.unhex(F.md5("_tv")).alias("text_key"),
+                       F.when(valid, _empty_fields_count(fm.fmt_v(), F.map_keys("fields"))).alias("n_empty"),
+                       (valid & tx.is_short_output(fm.output_text_a())).alias("short"))
+    parts = grouped_counts(rows, by, ["fp", "tokens", "chars", "text_key"], [
+        F.count_if("valid").alias("valid_lines"), F.sum("n_empty").alias("empty_count"), F.count_if("short").alias("short_count")])
+    keys = ["level", *by]
+
+    def levels(df: DataFrame, more: list[str], aggs: list[Column]) -> DataFrame:
+        out = None
+        for k in range(len(by), -1, -1):
+            g = df.groupBy(*by[:k], *more).agg(*aggs)
+            rolled = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in by[k:]]
+            g = g.select(F.lit((1 << (len(by) - k)) - 1).alias("level"), *by[:k], *rolled, *[c for c in g.columns if c not in by[:k]])
+            out = g if out is None else out.unionByName(g)
+        return out
+
+    def counts(key: str) -> DataFrame:
+        return levels(parts[key].filter("valid_lines > 0"), [key], [F.sum("valid_lines").alias("_c")])
+
+    base = levels(parts[None], [], [F.sum("_c").alias("total_lines"), *[F.sum(c).cast("bigint").alias(c) for c in ("valid_lines", "empty_count", "short_count")]])
+    base = base.withColumn("invalid_lines", F.col("total_lines") - F.col("valid_lines"))
+    exact = counts("text_key").groupBy(*keys).agg((F.sum("_c") - F.count(F.lit(1))).alias("duplicate_count"))
+    chars = numpy_quantiles(None, keys, "chars", {"p80_chars": 0.8, "p95_chars": 0.95}, median="median_chars", hist=counts("chars"))
+    ends = levels(parts["chars"].filter("valid_lines > 0"), [], [F.min("chars").cast("bigint").alias("min_chars"), F.max("chars").cast("bigint").alias("max_chars")])
+    s = base
+    for part in (near_dups(None, keys, "fp", counts("fp")), token_stats(None, keys, hist=counts("tokens")).drop("n"), exact, chars, ends):
+        s = join_on(s, part, keys, "left")
+    name = F.concat_ws("/", *[F.coalesce(c, F.lit("")) for c in by])
+    return score_v(s.select(name.alias("name"), *s.columns)).drop("name")
+
+
 def score_v(s: DataFrame) -> DataFrame:
     """Rule R1 on per-slice statistics: score, grade, passed, issues and advice."""
     valid = F.col("valid_lines")

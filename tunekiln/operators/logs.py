@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..plans import catalog as cat
 from ..session import land
 from ..sources.lines import number_rows
+from .substrings import substring_join
 
 # Our thresholds (the reference describes the symptoms in prose only); parameters below.
 SPIKE_FACTOR = 2.0
@@ -21,16 +22,17 @@ OVERFIT_RATIO = 1.2
 UTILISATION_LOW = 50.0
 
 
-def match_signatures(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """Each log line × each known error signature it contains (case-insensitive).
-    The 11-entry signature table is a literal array exploded per line (no join)."""
-    x = lines.filter(F.col(line_col).isNotNull()).select("*", F.explode(cat.signatures_array()).alias("_s"))
-    hit = F.instr(F.lower(F.col(line_col)), F.lower(F.col("_s.signature"))) > 0
-    return x.filter(hit).select(*lines.columns, "_s.sig_pos", "_s.signature", "_s.cause")
+def match_signatures(lines: DataFrame, line_col: str = "line", signatures: DataFrame | None = None) -> DataFrame:
+    """Each log line with each error signature it contains (case-insensitive).
 
+    ``signatures`` (sig_pos, signature, cause) may be a user's own table of any size; by default the known
+    ones. Lines meet the signatures through an index of their q-grams (``substring_join``)."""
+    table = (signatures if signatures is not None else cat.signatures_table(lines.sparkSession)).select("sig_pos", "signature", "cause")
+    return substring_join(lines, F.lower(F.col(line_col)), table, F.lower("signature"))
 
-def signature_counts(lines: DataFrame) -> DataFrame:
-    m = match_signatures(lines)
+
+def signature_counts(lines: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
+    m = match_signatures(lines, signatures=signatures)
     return m.groupBy("run_id", "signature", "cause").agg(F.count(F.lit(1)).alias("n"))
 
 

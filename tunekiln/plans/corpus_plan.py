@@ -9,6 +9,8 @@ from ..functions import formats as fm
 from ..functions import text as tx
 from ..functions.joins import join_on
 from ..operators import audit as au
+from ..operators.substrings import substring_join
+from ..session import land
 from . import catalog as cat
 from . import rules as ru
 
@@ -42,18 +44,22 @@ def seq_len_plan(samples: DataFrame, by: list[str]) -> DataFrame:
                       tx.round_even(F.col("over_count") / F.col("n"), 4).alias("over_share"))
 
 
-def match_models(req: DataFrame, name_col: str) -> DataFrame:
+def match_models(req: DataFrame, name_col: str, catalog: DataFrame | None = None) -> DataFrame:
     """Each request row gets ``matched_model`` (catalogue struct): substring match either way after
     normalising; nearest to 7e9 parameters, then catalogue order; else the 7B default.
-    The catalogue is a 43-entry literal, exploded per request row (no join)."""
-    nm = F.replace(F.replace(F.lower(F.col(name_col)), F.lit("-"), F.lit("")), F.lit("_"), F.lit(""))
-    ex = req.select("*", nm.alias("_nm"), F.explode(cat.models_array()).alias("_c"))
-    key = F.replace(F.col("_c.name"), F.lit("-"), F.lit(""))
-    hit = (F.col("_nm") != "") & ((F.instr(F.col("_nm"), key) > 0) | (F.instr(key, F.col("_nm")) > 0))
-    order = F.struct((~hit).alias("miss"), F.abs(F.col("_c.params") - F.lit(7e9)).alias("d"), F.col("_c.pos").alias("p"))
-    keys = [c for c in req.columns]
-    best = ex.groupBy(*keys).agg(F.min_by(F.struct(hit.alias("hit"), F.col("_c").alias("c")), order).alias("_b"))
-    return best.select(*keys, F.when(F.col("_b.hit"), F.col("_b.c")).otherwise(cat.default_model()).alias("matched_model"))
+
+    ``catalog`` may be a user's own table (pos, name, params, hidden, layers, is_moe, total_params). The distinct
+    request names meet the catalogue through two substring joins, one in each direction."""
+    bare = lambda c: F.replace(F.lower(F.col(c)), F.lit("-"), F.lit(""))
+    names = land(req.select(F.col(name_col).alias("_name"), F.replace(bare(name_col), F.lit("_"), F.lit("")).alias("_nm")).distinct(), "model-names")
+    table = catalog if catalog is not None else cat.models_table(req.sparkSession)
+    models = table.select(F.struct("pos", "name", "params", "hidden", "layers", "is_moe", "total_params").alias("_c"), F.replace("name", F.lit("-"), F.lit("")).alias("_key"))
+    asked = names.filter("_nm <> ''")
+    hits = substring_join(asked, F.col("_nm"), models, F.col("_key")).unionByName(substring_join(models, F.col("_key"), asked, F.col("_nm")))
+    order = F.struct(F.abs(F.col("_c.params") - F.lit(7e9)), F.col("_c.pos"))
+    best = hits.groupBy("_name").agg(F.min_by("_c", order).alias("_best"))
+    out = join_on(req.withColumn("_name", F.col(name_col)), best, "_name", "left")
+    return out.withColumn("matched_model", F.coalesce("_best", cat.default_model())).drop("_name", "_best")
 
 
 def fit(seq: DataFrame) -> DataFrame:
@@ -77,9 +83,10 @@ def fit(seq: DataFrame) -> DataFrame:
                     "hv.headroom_gb", "hv.fits", "hv.headroom_band", "cv.card_gb", "cv.status", "cv.advice")
 
 
-def apply_overrides(plan: DataFrame, ov: DataFrame, cols: list[str], on: str = "slice") -> DataFrame:
+def apply_overrides(plan: DataFrame, ov: DataFrame, cols: list[str], on: str | list[str] = "slice") -> DataFrame:
     """Override values win; the reason of an overridden value gains the override tag."""
-    o = ov.select(on, *[F.col(c).alias("_ov_" + c) for c in cols])
+    on = [on] if isinstance(on, str) else on
+    o = ov.select(*on, *[F.col(c).alias("_ov_" + c) for c in cols])
     j = join_on(plan, o, on, "left")
     for c in cols:
         hit = F.col("_ov_" + c).isNotNull()
@@ -90,23 +97,58 @@ def apply_overrides(plan: DataFrame, ov: DataFrame, cols: list[str], on: str = "
     return j.drop(*["_ov_" + c for c in cols])
 
 
+# Values that an override document may hold, below the same keys as in the plan document.
+OVERRIDE_SCHEMA = ("config struct<rank: struct<value: int>, alpha: struct<value: int>, learning_rate: struct<value: double>, "
+                   "epochs: struct<value: int>, batch_size: struct<value: int>>, max_seq_length bigint")
+OVERRIDE_COLUMNS = ["rank", "alpha", "learning_rate", "epochs", "batch_size"]
+
+
+def override_columns(docs: DataFrame, by: list[str], document: str = "document") -> DataFrame:
+    """Override documents (JSON text per slice, nested as the plan document is) as columns; keys that a document
+    leaves out, or that a plan does not have, stay null."""
+    d = docs.select(*by, F.from_json(document, OVERRIDE_SCHEMA).alias("_o"))
+    return d.select(*by, *[F.col(f"_o.config.{c}.value").alias(c) for c in OVERRIDE_COLUMNS], F.col("_o.max_seq_length").alias("seq_len"))
+
+
 def full_plan(samples: DataFrame, by: list[str], task: str = "chat", model: str = "qwen2-7b",
-              gpu_gb: float = ru.DEFAULT_GPU_GB) -> DataFrame:
-    """Audit summary + sequence length + rule columns + matched model memory, one row per slice."""
+              gpu_gb: float = ru.DEFAULT_GPU_GB, overrides: DataFrame | None = None) -> DataFrame:
+    """One row per slice: audit summary, sequence length, rule columns with their reasons, and the matched model's memory.
+
+    ``overrides`` (``by``, document) are merged into the rule columns first: given values win and their reasons
+    gain the tag; steps and memory follow from the merged values."""
     st = slice_stats(samples, by)
     first = au.first_records(samples, by, "sample_id").select(*by, fm.map_format(F.col("fmt_a")).alias("data_format"))
-    req = join_on(st, first, by).withColumn("task", F.lit(task)).withColumn("model", F.lit(model)) \
-            .withColumn("gpu_gb", F.lit(float(gpu_gb)))
+    q = au.quality_a(samples, by).select(*by, F.struct("has_issues", "issues", "empty_output_ratio", "duplicate_ratio", "bilingual_ratio").alias("quality"))
+    req = join_on(join_on(st, first, by), q, by, "left")
+    req = req.withColumn("task", F.lit(task)).withColumn("model", F.lit(model)).withColumn("gpu_gb", F.lit(float(gpu_gb)))
     hp = ru.hyperparams(req)
+    if overrides is not None:
+        hp = ru.schedule(apply_overrides(hp, override_columns(overrides, by), [*OVERRIDE_COLUMNS, "seq_len"], by))
     hp = match_models(hp, "model")
     mem = ru.memory(F.col("matched_model.params"), F.col("matched_model.hidden"), F.col("matched_model.layers"), F.col("seq_len"),
                     F.col("batch_size"), F.col("rank"), F.size("target_modules"))
+    why = [c for c in hp.columns if c.endswith("_reason")]
     return hp.select(*by, "n", "p95_tokens", "seq_len", "data_format", "rank", "alpha", "learning_rate", "epochs",
-                     "batch_size", "gradient_accumulation", "total_steps", "warmup_steps",
-                     mem["total"].alias("memory_total_gb"))
+                     "batch_size", "gradient_accumulation", "total_steps", "warmup_steps", "dropout", "target_modules",
+                     mem["total"].alias("memory_total_gb"), mem.alias("memory"), "quality", "task", "model", *why)
 
 
 def plan_document(plan: DataFrame, by: list[str]) -> DataFrame:
-    """The plan of each slice as one JSON document."""
-    cols = [c for c in plan.columns if c not in by]
-    return plan.select(*by, F.to_json(F.struct(*cols)).alias("document"))
+    """The plan of each slice (``full_plan``) as one JSON document: config with value and reason, data summary,
+    sequence length, memory."""
+    def with_reason(c):
+        return F.struct(F.col(c).alias("value"), F.col(c + "_reason" if c != "target_modules" else "modules_reason").alias("reason"))
+    config = F.struct(*[with_reason(c).alias(c) for c in ("rank", "alpha", "target_modules", "dropout", "learning_rate", "epochs", "batch_size")],
+                      F.struct(F.col("gradient_accumulation").alias("value")).alias("gradient_accumulation"),
+                      F.col("task").alias("task_type"), F.col("model").alias("model_size"), F.col("n").alias("num_samples"))
+    summary = F.struct(F.col("n").alias("num_samples"), "p95_tokens", F.col("data_format").alias("format"), "quality")
+    steps = F.struct("total_steps", "warmup_steps")
+    doc = F.struct(config.alias("config"), summary.alias("data_summary"), F.col("seq_len").alias("max_seq_length"), "memory", steps.alias("schedule"))
+    return plan.select(*by, F.to_json(doc).alias("document"))
+
+
+DOCUMENT_SCHEMA = ("config struct<rank: struct<value: int, reason: string>, alpha: struct<value: int, reason: string>, "
+                   "learning_rate: struct<value: double, reason: string>, epochs: struct<value: int>, batch_size: struct<value: int>, "
+                   "gradient_accumulation: struct<value: int>>, "
+                   "data_summary struct<num_samples: bigint, p95_tokens: bigint, format: string, quality: struct<has_issues: boolean, duplicate_ratio: double>>, "
+                   "max_seq_length bigint, memory struct<total: double>, schedule struct<total_steps: bigint, warmup_steps: bigint>")

@@ -394,17 +394,39 @@ def agg_train_time(spark, sf):
     return rules.train_time(s).select("slice", "n", "epochs", "eff_batch", "minutes", "minutes_low", "minutes_high")
 
 
+ROLLUP_SCORE = """greatest(0.0, least(100.0, 100.0::DOUBLE
+      - (CASE WHEN invalid_lines > 0 THEN least(30, invalid_lines * 2) ELSE 0 END)::DOUBLE
+      - (CASE WHEN empty_count > 0 THEN least(25.0::DOUBLE, empty_count / n * 100 * 5.0::DOUBLE) ELSE 0 END)::DOUBLE
+      - (CASE WHEN dup_count > 0 THEN least(20.0::DOUBLE, total_duplicates / n * 100 * 2.0::DOUBLE) ELSE 0 END)::DOUBLE
+      - (CASE WHEN n < 100 THEN 15 WHEN n < 500 THEN 5 ELSE 0 END)::DOUBLE
+      - (CASE WHEN p95_tokens > 4096 THEN 10 ELSE 0 END)::DOUBLE
+      - (CASE WHEN avg_tokens < 50 THEN 10 ELSE 0 END)::DOUBLE))"""
+
+
 @register("agg_slices_rollup", sql=f"""
-WITH r AS (SELECT source, lang, {d_tokens_v('text')} AS tokens, length(text) AS chars FROM documents)
-SELECT source, lang, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS total_tokens,
-       round_even(avg(tokens), 6) AS avg_tokens, max(chars) AS max_chars,
-       CAST(grouping(source, lang) AS INT) AS level
-FROM r GROUP BY ROLLUP (source, lang)""")
+WITH r AS (SELECT source, lang, coalesce(text, '') AS t, CAST({d_blank('text')} AS INT) AS n_empty FROM documents),
+v AS (SELECT source, lang, {d_tokens_v('t')} AS tokens, length(t) AS chars, {d_fp('t')} AS fp, md5(t) AS k, n_empty FROM r),
+x AS (SELECT l.level, CASE WHEN l.level < 3 THEN source END AS source, CASE WHEN l.level = 0 THEN lang END AS lang, tokens, chars, fp, k, n_empty
+      FROM v, (VALUES (0), (1), (3)) AS l(level)),
+g AS (SELECT level, source, lang, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS total_tokens, avg(tokens) AS avg_tokens,
+             list_sort(list(tokens)) AS st, list_sort(list(chars)) AS sc, CAST(sum(n_empty) AS BIGINT) AS empty_count,
+             count(*) - count(DISTINCT k) AS duplicate_count, CAST(0 AS BIGINT) AS invalid_lines FROM x GROUP BY 1, 2, 3),
+f AS (SELECT level, source, lang, count(*) FILTER (WHERE c > 1) AS dup_count, CAST(coalesce(sum(c - 1) FILTER (WHERE c > 1), 0) AS BIGINT) AS total_duplicates
+      FROM (SELECT level, source, lang, fp, count(*) AS c FROM x GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+s AS (SELECT g.*, f.dup_count, f.total_duplicates, {d_rank('st', 'n', None)} AS p50_tokens, {d_rank('st', 'n', 0.95)} AS p95_tokens, {d_rank('st', 'n', 0.99)} AS p99_tokens
+      FROM g JOIN f ON g.level = f.level AND g.source IS NOT DISTINCT FROM f.source AND g.lang IS NOT DISTINCT FROM f.lang),
+z AS (SELECT *, {ROLLUP_SCORE} AS score FROM s)
+SELECT source, lang, CAST(level AS INT) AS level, n, total_tokens, round_even(avg_tokens, 6) AS avg_tokens, sc[n] AS max_chars,
+       p50_tokens, p95_tokens, p99_tokens, round_even({d_np_median('sc', 'n')}, 6) AS median_chars,
+       round_even({d_np_quantile('sc', 'n', 0.95)}, 6) AS p95_chars, duplicate_count, dup_count, total_duplicates, empty_count,
+       round_even(score, 6) AS score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 60 THEN 'Fair'
+            WHEN score >= 40 THEN 'Poor' ELSE 'Unusable' END AS grade, score >= 60 AS passed
+FROM z""")
 def agg_slices_rollup(spark, sf):
-    """Per (source, lang), per source and in total in one pass (ROLLUP)."""
-    d = fx.table(spark, sf, "documents").select("source", "lang", tx.tokens_v("text").alias("tokens"),
-                                                tx.char_len("text").alias("chars"))
-    return d.rollup("source", "lang").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("total_tokens"),
-        tx.round_even(F.avg("tokens"), 6).alias("avg_tokens"), F.max("chars").cast("bigint").alias("max_chars"),
-        F.grouping_id("source", "lang").cast("int").alias("level"))
+    """The whole audit per (source, lang), per source and in total from one text pass: percentiles, exact and near
+    duplicates, empties, score and grade."""
+    a = au.audit_rollup(fx.text_records(spark, sf), ["slice", "lang"])
+    return a.select(F.col("slice").alias("source"), "lang", "level", F.col("valid_lines").alias("n"), "total_tokens", tx.round_even("avg_tokens", 6).alias("avg_tokens"),
+                    "max_chars", "p50_tokens", "p95_tokens", "p99_tokens", tx.round_even("median_chars", 6).alias("median_chars"),
+                    tx.round_even("p95_chars", 6).alias("p95_chars"), "duplicate_count", "dup_count", "total_duplicates", "empty_count",
+                    tx.round_even("score", 6).alias("score"), "grade", "passed")

@@ -261,21 +261,48 @@ def plan_fit(spark, sf):
     return pl.fit(seq)
 
 
+PLAN_OVERRIDE = '{"config": {"rank": {"value": 16}, "learning_rate": {"value": 0.0005}, "batch_size": {"value": 2}}, "max_seq_length": 1024}'
+
+
 @register("plan_full", sql="WITH " + D_PLAN_ROWS + """,
 req AS (SELECT slice, n, 'chat' AS task, 'qwen2-7b' AS model, 24.0::DOUBLE AS gpu_gb, p95_tokens, seq_len FROM psl),
 """ + _d_hyper_select("req") + """,
+ov AS (SELECT source AS slice, true AS given FROM documents GROUP BY source HAVING min(doc_id) % 2 = 0),
+dq AS (SELECT slice, round_even((count(*) - count(DISTINCT k)) / count(*), 4) AS duplicate_ratio FROM (
+  SELECT source AS slice, md5(coalesce(lang, '') || ' ' || coalesce(text, '')) AS k FROM documents UNION ALL
+  SELECT 'conversations', md5(string_agg(coalesce(text, ''), ' ' ORDER BY turn)) FROM conversations GROUP BY conv_id UNION ALL
+  SELECT 'pairs', md5(coalesce(instruction, '') || ' ' || coalesce(output, '')) FROM pairs) GROUP BY slice),
+ho AS (
+  SELECT hp.slice, n, p95_tokens, alpha, epochs, gradient_accumulation, mods, coalesce(ov.given, false) AS given, duplicate_ratio,
+         CASE WHEN ov.given THEN 16 ELSE rank END AS r, CASE WHEN ov.given THEN 0.0005::DOUBLE ELSE learning_rate END AS lr,
+         CASE WHEN ov.given THEN 2 ELSE batch_size END AS bs, CASE WHEN ov.given THEN 1024 ELSE seq_len END AS len,
+         CASE WHEN n < 500 THEN '极小数据集（<500），使用 r=4 防止严重过拟合' WHEN n < 1000 THEN '小数据集（<1k），使用 r=4 防止过拟合'
+              WHEN n < 5000 THEN '中等数据集（1k-5k），r=8 平衡学习能力与泛化' WHEN n < 20000 THEN '大数据集（5k-20k），r=16 充分学习新知识'
+              ELSE '超大数据集（>20k），r=32 捕获复杂模式' END || CASE WHEN ov.given THEN ' [用户覆盖]' ELSE '' END AS rank_reason
+  FROM hp LEFT JOIN ov ON hp.slice IS NOT DISTINCT FROM ov.slice JOIN dq ON hp.slice IS NOT DISTINCT FROM dq.slice),
+hs AS (SELECT *, greatest(1, (n // (bs * gradient_accumulation)) * epochs) AS steps FROM ho),
 mem AS (
-  SELECT *, 7e9::DOUBLE * 0.5::DOUBLE / 1e9::DOUBLE + (28 * (2 * rank * 3584 * len(mods)) * 2) / 1e9::DOUBLE AS w,
-         (batch_size * seq_len * 3584 * 2) / 1e9::DOUBLE * 28 * 0.3::DOUBLE AS a,
-         (28 * len(mods) * (2 * rank * 3584)) * 8 / 1e9::DOUBLE AS o FROM hp),
+  SELECT *, 7e9::DOUBLE * 0.5::DOUBLE / 1e9::DOUBLE + (28 * (2 * r * 3584 * len(mods)) * 2) / 1e9::DOUBLE AS w,
+         (bs * len * 3584 * 2) / 1e9::DOUBLE * 28 * 0.3::DOUBLE AS a,
+         (28 * len(mods) * (2 * r * 3584)) * 8 / 1e9::DOUBLE AS o FROM hs),
 mem2 AS (SELECT *, w + a + o + (w + a + o) * 0.15::DOUBLE AS tot FROM mem)
-SELECT slice, n, p95_tokens, seq_len, CASE WHEN slice = 'conversations' THEN 'messages' ELSE 'instruction-output' END AS data_format,
-       rank, alpha, learning_rate, epochs, batch_size, gradient_accumulation, total_steps, warmup_steps,
-       round_even(tot, 2) AS memory_total_gb
+SELECT slice, n, p95_tokens, len AS seq_len, CASE WHEN slice = 'conversations' THEN 'messages' ELSE 'instruction-output' END AS data_format,
+       r AS rank, rank_reason, alpha, lr AS learning_rate, epochs, bs AS batch_size, gradient_accumulation, steps AS total_steps,
+       least(greatest(10, steps // 10), greatest(1, steps - 1)) AS warmup_steps, duplicate_ratio, round_even(tot, 2) AS memory_total_gb
 FROM mem2""")
 def plan_full(spark, sf):
-    """Per slice: audit summary, sequence length, chat plan for qwen2-7b on a 24 GB card, and memory."""
-    return pl.full_plan(plan_corpus(spark, sf), ["slice"], task="chat", model="qwen2-7b", gpu_gb=24.0)
+    """Per slice one document: config with reasons, data summary, sequence length, schedule and memory of the chat plan
+    for qwen2-7b on a 24 GB card, after the override documents of the sources whose smallest doc_id is even;
+    the values are read back from the documents."""
+    ov = (fx.table(spark, sf, "documents").groupBy(F.col("source").alias("slice")).agg(F.min("doc_id").alias("m"))
+          .filter(F.pmod("m", F.lit(2)) == 0).select("slice", F.lit(PLAN_OVERRIDE).alias("document")))
+    plan = pl.full_plan(plan_corpus(spark, sf), ["slice"], task="chat", model="qwen2-7b", gpu_gb=24.0, overrides=ov)
+    d = pl.plan_document(plan, ["slice"]).select("slice", F.from_json("document", pl.DOCUMENT_SCHEMA).alias("d"))
+    value = lambda c: F.col(f"d.config.{c}.value").alias(c)
+    return d.select("slice", F.col("d.data_summary.num_samples").alias("n"), "d.data_summary.p95_tokens", F.col("d.max_seq_length").alias("seq_len"),
+                    F.col("d.data_summary.format").alias("data_format"), value("rank"), F.col("d.config.rank.reason").alias("rank_reason"), value("alpha"),
+                    value("learning_rate"), value("epochs"), value("batch_size"), value("gradient_accumulation"), "d.schedule.total_steps",
+                    "d.schedule.warmup_steps", "d.data_summary.quality.duplicate_ratio", F.col("d.memory.total").alias("memory_total_gb"))
 
 
 D_OVR = D_PLAN_ROWS + """,

@@ -206,6 +206,22 @@ def win_split(spark, sf):
     return prep.split(d, "doc_id", ["slice"]).select("slice", "doc_id", "split")
 
 
+@register("win_split_given", sql="""
+WITH p AS (SELECT source AS slice, doc_id, CASE WHEN CAST(replace(source, 'src', '') AS INT) % 3 = 0 AND doc_id % 7 = 0 THEN 'eval'
+                  WHEN CAST(replace(source, 'src', '') AS INT) % 3 = 1 AND doc_id % 11 = 0 THEN 'test' ELSE 'train' END AS part FROM documents),
+r AS (SELECT slice, doc_id, part, bool_or(part <> 'train') OVER (PARTITION BY slice) AS given,
+             row_number() OVER (PARTITION BY slice ORDER BY md5('42|' || CAST(doc_id AS VARCHAR))) AS rk,
+             count(*) OVER (PARTITION BY slice) AS n FROM p)
+SELECT slice, doc_id, CASE WHEN CASE WHEN given THEN part <> 'train' ELSE rk <= ceil(0.1::DOUBLE * n) END THEN 'test' ELSE 'train' END AS split FROM r""")
+def win_split_given(spark, sf):
+    """The split of documents with a given part: sources that have a test or eval part keep it, the others are
+    split anew."""
+    number = F.col("slice").substr(F.lit(4), F.lit(9)).cast("int")
+    part = (F.when((number % 3 == 0) & (F.col("doc_id") % 7 == 0), "eval").when((number % 3 == 1) & (F.col("doc_id") % 11 == 0), "test").otherwise("train"))
+    d = fx.table(spark, sf, "documents").select(F.col("source").alias("slice"), "doc_id").withColumn("part", part)
+    return prep.split(d, "doc_id", ["slice"], existing="part").select("slice", "doc_id", "split")
+
+
 PACK_SEQ = 2048
 PACK_IDS = 300  # ids of a shard here: several shards at every scale
 D_PACK = f"""
@@ -233,6 +249,22 @@ def win_pack(spark, sf):
     return _pieces(spark, sf)
 
 
+@register("win_pack_continuous", sql=f"""
+WITH t AS (SELECT source AS slice, doc_id AS sample_id, {d_tokens_v('text')} + 1 AS sample_len FROM documents),
+c AS (SELECT *, CAST(sum(sample_len) OVER (PARTITION BY slice ORDER BY sample_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e,
+             CAST(sum(sample_len) OVER (PARTITION BY slice) AS BIGINT) AS total FROM t),
+p AS (SELECT slice, sample_id, sample_len, e - sample_len AS s, e, total,
+             unnest(range((e - sample_len) // {PACK_SEQ}, (e - 1) // {PACK_SEQ} + 1)) AS pack FROM c)
+SELECT slice, pack, sample_id, greatest(s, pack * {PACK_SEQ}) - s AS piece_start,
+       least(e, (pack + 1) * {PACK_SEQ}) - greatest(s, pack * {PACK_SEQ}) AS piece_len,
+       greatest(s, pack * {PACK_SEQ}) - pack * {PACK_SEQ} AS pack_offset, sample_len, (pack + 1) * {PACK_SEQ} <= total AS is_full FROM p""")
+def win_pack_continuous(spark, sf):
+    """Documents of each source packed in one row of 2048-token sequences, by a two-level prefix sum over ranges of
+    ids: at most one pack a source is part-filled."""
+    d = fx.table(spark, sf, "documents").select(F.col("source").alias("slice"), "doc_id", tx.tokens_v("text").alias("tokens"))
+    return prep.pack_continuous(d, "doc_id", "tokens", PACK_SEQ, ["slice"])
+
+
 @register("win_pack_segments", sql="WITH " + D_PACK + """
 SELECT shard, pack, count(*) AS n_segments, CAST(sum(piece_len) AS BIGINT) AS used, bool_and(is_full) AS is_full,
        string_agg(CAST(sample_id AS VARCHAR) || ':' || CAST(pack_offset AS VARCHAR) || ':' || CAST(piece_len AS VARCHAR), ';'

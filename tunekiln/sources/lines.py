@@ -103,6 +103,14 @@ def _range_of(key: Column, cuts: list, a: int, b: int) -> Column:
     return F.when(key >= F.lit(cuts[m]), _range_of(key, cuts, m + 1, b)).otherwise(_range_of(key, cuts, a, m))
 
 
+def by_ranges(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """``df`` with ``_b``, the number of the range of ``key`` (RANGE_ROWS rows or so) that a row lies in."""
+    if buckets is None:
+        buckets = min(MOST_RANGES, max(LEAST_RANGES, -(-df.count() // RANGE_ROWS)))
+    cuts = _cuts(df, F.col(key), buckets)
+    return df.withColumn("_b", _range_of(F.col(key), cuts, 0, len(cuts)))
+
+
 def number_rows(df: DataFrame, order_col: str, by: list[str] | None = None, out: str = "row_no",
                 bucket_key: Column | None = None, buckets: int | None = None) -> DataFrame:
     """1-based position of each row by ``order_col`` inside each group of ``by`` (null groups count as one group).
@@ -118,11 +126,8 @@ def number_rows(df: DataFrame, order_col: str, by: list[str] | None = None, out:
     by = by or []
     key = bucket_key if bucket_key is not None else F.col(order_col)
     ids = df.select(*by, order_col, key.alias("_cut"))
-    if buckets is None:
-        buckets = min(MOST_RANGES, max(LEAST_RANGES, -(-ids.count() // RANGE_ROWS)))
-    cuts = _cuts(ids, F.col("_cut"), buckets)
     # the count of a repeated key keeps its place for each of its rows
-    d = ids.withColumn("_b", _range_of(F.col("_cut"), cuts, 0, len(cuts))).groupBy(*by, "_b", order_col).agg(F.count(F.lit(1)).alias("_c"))
+    d = by_ranges(ids, "_cut", buckets).groupBy(*by, "_b", order_col).agg(F.count(F.lit(1)).alias("_c"))
     counts = d.groupBy(*by, "_b").agg(F.sum("_c").alias("_n"))
     # at most ``buckets`` rows for each group
     w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
