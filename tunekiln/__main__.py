@@ -27,6 +27,8 @@ def main(argv: list[str] | None = None) -> int:
 
     from . import api
     from .session import get_session, prepare, scratch
+    from .sources.publish import publish
+    from .sources.sinks import write_train
     spark = get_session(a.master) if a.master else prepare(SparkSession.builder.getOrCreate())
     if a.command == "prepare" and not a.out:
         p.error("prepare needs --out")
@@ -42,10 +44,10 @@ def main(argv: list[str] | None = None) -> int:
             out = api.plan(samples, task=a.task, model=a.model, gpu_gb=a.gpu)
         else:
             rows = api.training_text(samples)
-            rows.write.mode("overwrite").partitionBy("split").parquet(a.out)
+            write_train(rows, a.out)
             out = rows.groupBy("slice", "split").count()
         if a.out and a.command in ("validate", "analyze", "plan"):
-            out.write.mode("overwrite").json(a.out)
+            publish(out, a.out)
         else:
             for line in out.toJSON().toLocalIterator():
                 print(line)

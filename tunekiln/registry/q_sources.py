@@ -397,7 +397,7 @@ def snk_train_text(spark, sf):
     s = prep.split(d, "doc_id", ["slice"])
     path = scratch_path(spark, "train")
     sinks.write_train(s.select("split", "slice", "doc_id", F.col("text")), path)
-    back = spark.read.parquet(path)
+    back = sinks.read_train(spark, path)
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("text")).alias("chars"))
 
 

@@ -1,11 +1,14 @@
 """Sinks: audit reports, training text, eval results, JSON lines. All writes are distributed
-(one file per task, partitioned by the listed columns); nothing passes through the driver."""
+(one file per task, partitioned by the listed columns); nothing passes through the driver. Reports, training text and
+eval results are published as a whole (``publish``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .publish import publish, read_published
+
 REPORT_SCHEMA = (
     "slice string, passed boolean, "
     "stats struct<total_lines:bigint, valid_lines:bigint, invalid_lines:bigint, detected_format:string, "
@@ -25,24 +28,28 @@ EVAL_SCHEMA = ("item_id bigint, instruction string, formatted_prompt string, exp
 def write_report(report: DataFrame, path: str) -> None:
     """One JSON document per slice (``operators.audit.audit_report``): length, quality, format,
     passed, stats (floats to 1 decimal), issues, advice. One file per task."""
-    report.write.mode("overwrite").json(path)
+    publish(report, path)
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REPORT_SCHEMA).json(path)
+    return read_published(spark, path, schema=REPORT_SCHEMA)
 
 
 def write_train(rows: DataFrame, path: str) -> None:
     """Formatted training rows, partitioned by split (and slice) for partition pruning."""
-    rows.write.mode("overwrite").partitionBy("split").parquet(path)
+    publish(rows, path, "parquet", ["split"])
+
+
+def read_train(spark: SparkSession, path: str) -> DataFrame:
+    return read_published(spark, path, "parquet")
 
 
 def write_eval(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+    publish(rows, path)
 
 
 def read_eval(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVAL_SCHEMA).json(path)
+    return read_published(spark, path, schema=EVAL_SCHEMA)
 
 
 def write_jsonl_lines(lines: DataFrame, path: str) -> None:
