@@ -69,6 +69,44 @@ def test_components_against_brute_force(make_docs, monkeypatch, percent, size, r
     assert sorted(tuple(r) for r in got) == brute(rows, percent, size)
 
 
+@pytest.mark.parametrize("percent,size,pairs", [(80, 5, 200), (90, 3, 2)])
+def test_all_links_against_brute_force(make_docs, monkeypatch, percent, size, pairs):
+    monkeypatch.setattr(near_join, "PAIRS", pairs)
+    monkeypatch.setattr(near_join, "HOT_ROWS", 5)
+    rows = [(d, t) for d, t in fixture(7)] + [(2000 + i, " ".join(f"s{k}" for k in range(i % 3, i % 3 + 5 + i // 3))) for i in range(30)]
+    links, members = near_join.links(make_docs([(d, t, None, None, None) for d, t in rows]), percent, size)
+    sets = {d: shingles(t, size) for d, t in rows}
+    least = {}
+    for d in sorted(sets):
+        least.setdefault(sets[d], d)
+    assert sorted(map(tuple, members.collect())) == sorted((d, len(s), least[s] if s else None) for d, s in sets.items())
+    reps = [(d, s) for s, d in least.items() if s]
+    want = {(min(a, b), max(a, b)) for i, (a, x) in enumerate(reps) for b, y in reps[:i] if 100 * len(x & y) >= percent * len(x | y)}
+    assert sorted(map(tuple, links.collect())) == sorted(want) and len(want) > 20
+
+
+def test_sets_on_the_fall_back_keep_their_empty_blocks():
+    """Two linked sets always share a block to join on, and few sets join on empty blocks."""
+    rng = random.Random(4)
+    fall_back = 0
+    for percent in (80, 90):
+        for _ in range(1500):
+            n = rng.choice([2, 4, 5, 6, 8, 9, 12, 20, 45, 200])
+            a = near_join.np.unique(near_join.np.array([rng.getrandbits(64) for _ in range(n)], dtype="u8"))
+            b = list(a)
+            for _ in range(rng.randrange(0, 1 + near_join.most_different(n, n, percent))):
+                b[rng.randrange(len(b))] = near_join.np.uint64(rng.getrandbits(64))
+            b = near_join.np.unique(near_join.np.array(b[:len(b) - rng.randrange(0, 2)], dtype="u8"))
+            if not near_join.linked(a, b, percent):
+                continue
+            most = near_join.most_different(n + 2, n + 2, percent)
+            blocks = near_join.ceil(near_join.SPARE * (most + 1))
+            x, y = (near_join.wide_sketch(s, blocks, most) for s in (a, b))
+            assert any(u is not None and u == v for u, v in zip(x, y))
+            fall_back += None not in x and 0 in x
+    assert fall_back >= 5
+
+
 def test_bands_reach_all_partners():
     for percent in (80, 90):
         bounds = near_join._bounds(percent, 100_000)

@@ -3,20 +3,25 @@
 A text's set is its distinct shingles of ``SHINGLE`` words (a shorter text is one shingle). Each shingle
 flips one bit of a sketch, so the Hamming distance of two sketches never exceeds the sets' symmetric
 difference, which for two linked sets of a and b shingles is at most (a + b) / 19 at a similarity of 0.9. Sets are
-laid out in size bands; in a layout for a difference of at most D the sketch has D + 1 blocks of 64 bits, and
-linked sets agree in one block at least (pigeonhole). A set joins on its blocks in its own band's layout, and
-in the next band's where a partner may lie there.
+laid out in size bands; in a layout for a difference of at most D shingles are dealt to SPARE * (D + 1) blocks, and
+a block's key is the XOR of the hashes in it, a parity sketch of 64 bits each. A difference touches one block, so a
+set with more than D blocks that are not empty shares one of them with each linked set (pigeonhole), and empty
+blocks, which would bring together sets that have nothing in common, need not be joined on. Only a set with fewer
+(it is on the fall-back) joins on its empty blocks too, and so meets the others of that kind. A set joins on its
+blocks in its own band's layout, and in the next band's where a partner may lie there.
 
 1. Texts with equal sets form classes; one document stands for each class.
 2. Blocks shared by two or more classes form buckets. In a bucket every class is first compared with one
    centre (its least class by a seeded order): sketch distance, then the exact sets. Links merge components.
 3. Buckets whose classes are all in one component are finished, the rest get another centre, STAR_ROUNDS
-   times. What then remains is compared in full by sketch distance, in tiles of at most TILE x TILE classes,
-   only between components, and the survivors are verified exactly.
+   times. What then remains is compared in full by sketch distance, only between components, and the survivors
+   are verified exactly: buckets of up to PAIRS classes by a self-join, larger ones in tiles of at most
+   TILE x TILE classes.
 
 No pair that the pigeonhole proposes is left out unless both ends are already connected, so components are
-exact, while a large group of near copies costs one comparison for each member and centre. Hot buckets are
-pre-aggregated and joined, never gathered. Shingles are 64-bit hashes; sets are compared as such.
+exact, while a large group of near copies costs one comparison for each member and centre. ``links`` gives all linked
+pairs of classes instead, with the classes' members. Hot buckets are pre-aggregated and meet their centre by a
+broadcast (they are few by count), never gathered. Shingles are 64-bit hashes; sets are compared as such.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a null id takes part in
 its class, whose id is the least id that is not null; rows that share an id count as one document; repeated
@@ -27,6 +32,8 @@ or a text).
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -42,6 +49,10 @@ PERCENT = 90
 BAND_STEPS = 3       # a band spans this many factors of 10/9 in size
 STAR_ROUNDS = 2
 TILE = 1000
+PAIRS = 200          # buckets of at most so many classes are compared by a self-join
+SPARE = 1.15         # blocks for each one that the pigeonhole needs
+HOT_SHARE = 100_000  # a bucket is hot if it holds more than this part of all rows, so at most so many are
+HOT_ROWS = 1_000     # and more than so many rows
 SAMPLE, HOT = 64, 20 # a key of a thousand classes or more is very likely to stand so often in the sample
 SMALL_ROWS = 1_000_000  # key tables of at most so many rows are broadcast, larger ones are shuffled
 MEMO = 150_000
@@ -108,11 +119,29 @@ def sketch(hashes: np.ndarray, blocks: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view("<i8")
 
 
+def wide_sketch(hashes: np.ndarray, blocks: int, most: int) -> list[int | None]:
+    """XOR of the hashes in each of ``blocks`` blocks, to join on.
+
+    An empty block is None unless the set has no more than ``most`` others, its greatest difference from a partner."""
+    at = (hashes >> np.uint64(6)) % np.uint64(blocks)
+    order = np.argsort(at, kind="stable")
+    at = at[order].astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    if len(first) <= most:
+        out = np.zeros(blocks, dtype=np.uint64)
+        out[at[first]] = np.bitwise_xor.reduceat(hashes[order], first)
+        return out.view(np.int64).tolist()
+    out = [None] * blocks
+    for i, v in zip(at[first].tolist(), np.bitwise_xor.reduceat(hashes[order], first).view(np.int64).tolist()):
+        out[i] = v
+    return out
+
+
 def describe(text: str | None, percent: int = PERCENT, size: int = SHINGLE) -> dict:
     """Size, signature, band and sketches (own layout, and the next band's where needed) of a text's set.
 
-    ``own`` and ``up`` are the blocks to join on, ``own_bits`` and ``up_bits`` shorter sketches of the same
-    kind, whose distance bounds the difference as well."""
+    ``own`` and ``up`` are the blocks to join on, ``own_bits`` and ``up_bits`` sketches of single bits, whose
+    distance bounds the difference."""
     s = shingle_set(text, size)
     n = len(s)
     if n == 0:
@@ -120,12 +149,13 @@ def describe(text: str | None, percent: int = PERCENT, size: int = SHINGLE) -> d
     bounds = _bounds(percent, 100 * n // percent + 1)
     band = int(np.searchsorted(bounds, n, side="right")) - 1
     bounds = bounds if band + 2 < len(bounds) else _bounds(percent, bounds[-1])
-    blocks = lambda k: most_different(bounds[k + 1] - 1, bounds[k + 1] - 1, percent) + 1
+    blocks = lambda k: ceil(SPARE * (most_different(bounds[k + 1] - 1, bounds[k + 1] - 1, percent) + 1))
     short = lambda k: 1 + (2 * bounds[k + 1]) // 64  # noqa: E731  about two bits for each shingle
     up = 100 * n // percent >= bounds[band + 1]
     signed = lambda x: int(np.uint64(x).view(np.int64))
     return {"n": n, "s1": signed(s.sum(dtype=np.uint64)), "s2": signed(np.bitwise_xor.reduce(_mix(s ^ _K[0]))), "band": band,
-            "own": sketch(s, blocks(band)).tolist(), "up": sketch(s, blocks(band + 1)).tolist() if up else None,
+            "own": wide_sketch(s, blocks(band), most_different(n, min(100 * n // percent, bounds[band + 1] - 1), percent)),
+            "up": wide_sketch(s, blocks(band + 1), most_different(n, 100 * n // percent, percent)) if up else None,
             "own_bits": sketch(s, short(band)).tolist(), "up_bits": sketch(s, short(band + 1)).tolist() if up else None}
 
 
@@ -143,7 +173,15 @@ def _blocks(nodes: DataFrame) -> DataFrame:
     """(key, node): hash of (layout, block, value) of every block of every class."""
     own = nodes.select("node", "band", F.posexplode("own").alias("i", "v"))
     up = nodes.filter("up is not null").select("node", (F.col("band") + 1).alias("band"), F.posexplode("up").alias("i", "v"))
-    return own.unionByName(up).select(F.xxhash64("band", "i", "v").alias("key"), "node")
+    return own.unionByName(up).filter("v is not null").select(F.xxhash64("band", "i", "v").alias("key"), "node")
+
+
+def _meet(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``keys`` (key, m, ...), m being the key's number of rows. Hot keys are broadcast:
+    they are at most HOT_SHARE, and the rows of the others are few for each key."""
+    limit = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    hot = F.broadcast(keys.filter(F.col("m") > limit))
+    return rows.join(hot.select("key"), "key", "left_anti").join(keys.filter(F.col("m") <= limit), "key").unionByName(rows.join(hot, "key"))
 
 
 def _distance(a: str, b: str):
@@ -224,8 +262,8 @@ class Join:
         for r in range(STAR_ROUNDS):
             # a centre for each bucket: the least node once the bits of a constant are flipped, another in each round
             turn = F.lit((r * 0x5DEECE66D2B79F35) & 0x7FFFFFFFFFFFFFFF)
-            centre = todo.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).alias("c")).withColumn("c", F.col("c").bitwiseXOR(turn))
-            met = land(todo.join(centre, "key"), "near-centres")
+            centre = todo.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(turn)).alias("c"), F.count(F.lit(1)).alias("m"))
+            met = land(_meet(todo, land(centre.withColumn("c", F.col("c").bitwiseXOR(turn)), "near-centre")).drop("m"), "near-centres")
             pairs = met.filter("node <> c").select(
                 F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
             if roots is not None:
@@ -239,7 +277,12 @@ class Join:
             free_shuffles(todo)
             if todo.isEmpty():
                 return roots
-        return self.add(self.verify(self._tiles(todo, sketches, roots)), roots)
+        return self.add(self.verify(self._pairs(todo, sketches, roots)), roots)
+
+    def links(self) -> DataFrame:
+        """(a, b): all linked pairs of classes, by their representatives."""
+        buckets = self.buckets()
+        return self.verify(self._pairs(buckets, self.sketches(buckets), None))
 
     def _root(self, df: DataFrame, column: str, roots: DataFrame | None, out: str) -> DataFrame:
         if roots is None:
@@ -254,15 +297,24 @@ class Join:
     def _open(self, buckets: DataFrame, roots: DataFrame) -> DataFrame:
         """Rows of the buckets that span two or more components."""
         rows = land(self._root(buckets, "node", roots, "root"), "near-left")
-        spread = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        return land(rows.select("key", "node").join(spread, "key"), "near-open")
+        spread = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"))
+        spread = land(spread.filter("lo <> hi").select("key", "m"), "near-spread")
+        return land(_meet(rows.select("key", "node"), spread).drop("m"), "near-open")
 
-    def _tiles(self, buckets: DataFrame, sketches: DataFrame, roots: DataFrame | None) -> DataFrame:
+    def _pairs(self, buckets: DataFrame, sketches: DataFrame, roots: DataFrame | None) -> DataFrame:
         """Pairs of the remaining buckets that lie in different components and within sketch distance."""
+        sizes = land(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "near-sizes")
+        rows = land(_meet(self._root(buckets, "node", roots, "root"), sizes), "near-rows")
+        side = lambda x: rows.filter(F.col("m") <= PAIRS).select("key", F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+        pairs = side("a").join(side("b"), "key").filter("a < b and ra <> rb").select("a", "b").distinct()
+        found = self.close(land(pairs, "near-proposed"), sketches)
+        large = rows.filter(F.col("m") > PAIRS)
+        return found if large.isEmpty() else found.unionByName(self._tiles(large, sketches)).distinct()
+
+    def _tiles(self, rows: DataFrame, sketches: DataFrame) -> DataFrame:
         percent = self.percent
-        rows = self._root(buckets, "node", roots, "root")
-        parts = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("parts"))
-        rows = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")).cast("int"))
+        rows = rows.withColumn("parts", F.ceil(F.col("m") / F.lit(TILE)).cast("int")).drop("m")
+        rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         rows = rows.withColumn("_o", other).select(
             "key", "node", "root", "part", F.least("part", "_o").alias("lo"), F.greatest("part", "_o").alias("hi"))
@@ -309,6 +361,17 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFr
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def links(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b) between the representatives of different sets, and membership (doc_id, n_shingles, class_id).
+
+    A class is the rows with one set, its id (and its representative) the least id; rows without a set have a null
+    class, and classes without an id take no part in links."""
+    j = Join(docs, percent, size)
+    named = j.classes.select("n", "s1", "s2", F.col("node").alias("class_id"))
+    rows = j.rows.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
+    return j.links(), rows.select("doc_id", F.col("n").alias("n_shingles"), "class_id")
+
+
 def keep_one(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each component: that of the component's least id.
 
