@@ -160,6 +160,8 @@ def lots(docs: DataFrame, a: str | None = None, b: str | None = None) -> DataFra
             lists |= {"lot": [number], "doc_id": [batch.column("doc_id").to_pylist()]} | {c: [made[c].astype("<u4").tobytes()] for c in ("place", "times")}
             yield pa.RecordBatch.from_pydict({f.name: lists[f.name] for f in shape}, schema=shape)
             number += 1
+        left.words.rest()
+        right.words.rest()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

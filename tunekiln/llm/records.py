@@ -36,6 +36,7 @@ from .tokenizing import encoder
 END_ID = 2
 SHARD_BYTES = 256 << 20
 READ_BYTES = 4 << 20
+BATCH_BYTES = 3 << 19  # of text encoded at once
 NULL_ID = 256
 INDEX = "doc_id bigint, shard string, offset bigint, length bigint, n_tokens bigint"
 
@@ -110,7 +111,7 @@ def write_records(docs: DataFrame, uri: str, tokenizer: str | None = None, end_i
         enc = encoder(tokenizer)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         shards = _Shards(uri, TaskContext.get().partitionId())
-        for batch in light_batches(batches, "text"):
+        for batch in light_batches(batches, "text", BATCH_BYTES):
             ids = batch.column("doc_id").to_pylist()
             tokens = [t + end for t in enc.encode(batch.column("text"))]
             records = frame([struct.pack("<Iq", enc.width | (NULL_ID if i is None else 0), i or 0) + t for i, t in zip(ids, tokens)])
@@ -120,6 +121,7 @@ def write_records(docs: DataFrame, uri: str, tokenizer: str | None = None, end_i
                  pa.array([len(r) for r in records], pa.int64()), pa.array([len(t) // enc.width for t in tokens], pa.int64())],
                 names=["doc_id", "shard", "offset", "length", "n_tokens"])
         shards.close()
+        enc.rest()
 
     index = f"{uri.rstrip('/')}/index"
     rows.mapInArrow(write, INDEX).write.mode("overwrite").parquet(index)
@@ -129,10 +131,17 @@ def write_records(docs: DataFrame, uri: str, tokenizer: str | None = None, end_i
 def read_records(index: DataFrame, uri: str, partitions: int | None = None) -> DataFrame:
     """(doc_id, shard, offset, before, ids): every record, checked; ``before`` counts the ids that stand
     before it in its shard. One task reads a whole shard, in pieces of about READ_BYTES."""
-    spark = index.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = index.select("shard", "offset", "length").repartition(n, "shard").sortWithinPartitions("shard", "offset")
     schema = "doc_id bigint, shard string, offset bigint, before bigint, ids binary, width int"
+    return _by_shard(index, partitions).mapInArrow(lambda batches: _read(batches, uri), schema)
+
+
+def _by_shard(index: DataFrame, partitions: int | None) -> DataFrame:
+    n = partitions or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return index.select("shard", "offset", "length").repartition(n, "shard").sortWithinPartitions("shard", "offset")
+
+
+def _read(batches, uri: str):
+    """Arrow batches of index rows, sorted by shard and offset, to batches of records."""
 
     def pieces(batches):
         shard, some, held = None, [], 0
@@ -168,7 +177,7 @@ def read_records(index: DataFrame, uri: str, partitions: int | None = None) -> D
                  pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(widths, pa.int32())],
                 names=["doc_id", "shard", "offset", "before", "ids", "width"])
 
-    return rows.mapInArrow(read, schema)
+    yield from read(batches)
 
 
 def describe(index: DataFrame, uri: str) -> DataFrame:
@@ -184,8 +193,8 @@ def describe(index: DataFrame, uri: str) -> DataFrame:
                 [b.column(c) for c in ("doc_id", "shard", "offset", "before")] + [pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "shard", "offset", "before", "n_tokens", "ids_crc32"])
 
-    found = read_records(index, uri).mapInArrow(
-        rows, "doc_id bigint, shard string, offset bigint, before bigint, n_tokens bigint, ids_crc32 bigint")
+    found = _by_shard(index, None).mapInArrow(
+        lambda batches: rows(_read(batches, uri)), "doc_id bigint, shard string, offset bigint, before bigint, n_tokens bigint, ids_crc32 bigint")
     # one row per shard is all that this window orders
     w = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = index.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_start"))

@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 800_000  # remembered words (some 40 MB); beyond that the less used half is forgotten
+MEMO = 350_000  # remembered words (some 15 MB); beyond that the less used half is forgotten
+REST = 150_000  # words that stay remembered between tasks
 LOT = 4096      # words given to the library at once
 MARKS = ".,!?;:#*$%&|"
 # white space of Unicode, as the libraries' patterns see it
@@ -26,7 +27,11 @@ _ODD = f"^{_WS}|{_WS}{_WS}|{_WS}$"
 
 def _gather(ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The stretches of ``ids`` at ``start`` of length ``n``, one after the other."""
-    return ids[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    total = int(n.sum())
+    kind = np.int32 if max(total, len(ids)) < 1 << 30 else np.int64
+    at = np.repeat((start - (np.cumsum(n) - n)).astype(kind), n)
+    at += np.arange(total, dtype=kind)
+    return ids[at]
 
 
 def _flat(parts: list, dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -48,8 +53,14 @@ class Words:
         self.start, self.count, self.hits = (np.zeros(0, dtype=np.int64) for _ in range(3))
         self.ids = np.zeros(0, dtype=self.dtype)
 
-    def _shrink(self) -> None:
-        keep = np.sort(np.argsort(-self.hits, kind="stable")[:MEMO // 2])
+    def rest(self) -> None:
+        """Give memory back at the end of a task; the worker may go on with other work."""
+        if len(self.words) > REST:
+            self._shrink(REST)
+        pa.default_memory_pool().release_unused()
+
+    def _shrink(self, most: int) -> None:
+        keep = np.sort(np.argsort(-self.hits, kind="stable")[:most])
         self.ids = _gather(self.ids, self.start[keep], self.count[keep])
         self.words, self.count, self.hits = self.words.take(pa.array(keep)), self.count[keep], self.hits[keep] // 2
         self.start = np.cumsum(self.count) - self.count
@@ -57,7 +68,7 @@ class Words:
     def _known(self, names: pa.Array) -> np.ndarray:
         """Places of words in the memo; new ones are learnt."""
         if len(self.words) > MEMO:
-            self._shrink()
+            self._shrink(MEMO // 2)
         at = pc.index_in(names, value_set=self.words)
         new = at.is_null()
         at = at.fill_null(0).to_numpy().astype(np.int64)
