@@ -58,3 +58,39 @@ def test_keys_of_letters_alone_and_keys_within_long_runs():
     names = ["InternationalInformationManagement", path, "development_environment_management", "GOVERNMENT_DEVELOPMENT_BOARD",
              "getInternationalInformationManagement", path + "d41d8cd98f00b204e9800998ecf8427e".upper()]
     assert all(not secrets.find(n)[1] for n in names)
+
+
+def test_keys_beside_base_spans():
+    key, digest = "kJ8hGf2DsAq9WeRt4YuIoP7LmZx", "04dbebab91ab85687d33eeaaf9ac699e"
+    text = f"{digest}/{key} {key}/{digest}/{key}-{digest}={key}"
+    spans = secrets.find(text)[1]
+    assert [text[a:b] for k, a, b in spans if k == "random"] == [key] * 4
+    assert sum(k == "hex" for k, _, _ in spans) == 3
+    many = "/".join([digest] * 20 + [key])
+    assert [many[a:b] for k, a, b in secrets.find(many)[1] if k == "random"] == [key]
+    assert all(x[2] <= y[1] for x, y in zip(spans, spans[1:]))
+
+
+def test_long_runs_are_judged_whole():
+    import random
+    rng = random.Random(1)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(50_000))
+    assert secrets.find(f"a {run} b")[1] == [("random", 2, 2 + len(run))]
+    assert secrets.efficiency(run) == len(run) / len(secrets.encoder().encode_ordinary(run))
+
+
+def test_recall_and_precision_of_random_keys(spark):
+    """Planted keys of several alphabets are found; names made of the documents' words are left alone."""
+    import random
+
+    from conftest import SF001
+    rng = random.Random(2)
+    alphabets = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+                 "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"]
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (24, 32, 43) for _ in range(30)]
+    found = sum(any(k == "random" for k, _, _ in secrets.find(f"the key is {x} for now")[1]) for x in keys)
+    assert found >= 0.95 * len(keys)
+    words = sorted({w for r in spark.read.parquet(f"{SF001}/documents.parquet").select("text").limit(40).collect() for w in (r["text"] or "").split() if w.isalpha()})[:3000]
+    names = ["_".join(rng.choice(words).lower() for _ in range(4)) for _ in range(200)] + ["".join(rng.choice(words).capitalize() for _ in range(4)) for _ in range(200)]
+    wrong = sum(bool(secrets.find(f"call {n} here")[1]) for n in names)
+    assert wrong <= 0.06 * len(names)  # their words are invented, so some of them are as odd as keys

@@ -8,8 +8,8 @@ numbers, and names, paths and snake_case without digits whose parts are one-case
 excluded. A run that passes as a whole is judged by its parts between ``/``, ``=``, ``_`` and ``-`` as well. The
 vocabulary is a tiktoken rank file whose path is a parameter.
 
-The scan is row by row over whole texts, without a shuffle. A random span that overlaps a base span is
-not reported again.
+The scan is row by row over whole texts, without a shuffle. Of a run that base spans cover in part, what lies
+beside them is judged; a random span never overlaps a base span.
 
 Defined cases: null and empty texts have no spans; repeated rows are judged alike; an empty table gives
 an empty result; other columns of the input are ignored.
@@ -34,12 +34,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_VALUE = 6
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 PART = re.compile(r"[A-Za-z0-9+]{20,}")
+JOINS = "/_=-"
 WORDS = re.compile(r"(?:[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?![A-Za-z]))*[+/_=-]*\Z|(?:[A-Z][a-z]{2,})+\Z")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)  # md5, sha1, sha224, sha256, sha384, sha512
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z")
 MAX_RATIO = 2.2   # characters a token, at most
-LONGEST = 400     # longer runs are judged piece by piece, each piece of this length
+SHORTEST = 20     # characters of a run, at least
 
 
 @lru_cache(maxsize=4)
@@ -65,9 +66,7 @@ def is_identifier(run: str) -> bool:
 
 def efficiency(run: str, path: str | None = None) -> float:
     """Characters per token."""
-    enc = encoder(path)
-    pieces = [run[i:i + LONGEST] for i in range(0, len(run), LONGEST)]
-    return len(run) / max(1, sum(len(enc.encode_ordinary(p)) for p in pieces))
+    return len(run) / max(1, len(encoder(path).encode_ordinary(run)))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -85,22 +84,36 @@ def random_spans(text: str, base: list[tuple[str, int, int]], max_ratio: float =
     out, taken = [], sorted((a, b) for _, a, b in base)
     at = 0
     for m in RUN.finditer(text):
-        a, b = m.span()
-        while at < len(taken) and taken[at][1] <= a:
+        start, end = m.span()
+        # the stretches of the run that no base span covers
+        free = []
+        while at < len(taken) and taken[at][0] < end:
+            if taken[at][1] > start:
+                free.append((start, taken[at][0]))
+                start = max(start, taken[at][1])
+            if taken[at][1] > end:
+                break
             at += 1
-        if any(x < b and a < y for x, y in taken[at:at + 8]):
-            continue
-        if not is_identifier(m[0]) and efficiency(m[0], path) <= max_ratio:
-            out.append(("random", a, b))
-            continue
-        if UUID.match(m[0]):
-            continue
-        for p in PART.finditer(text, a, b):
-            if p.span() != (a, b) and not is_identifier(p[0]) and efficiency(p[0], path) <= max_ratio:
-                out.append(("random", *p.span()))
+        free.append((start, end))
+        for a, b in free:
+            if (a, b) != m.span():  # without the marks that joined it to a base span
+                a += len(text[a:b]) - len(text[a:b].lstrip(JOINS))
+                b = a + len(text[a:b].rstrip(JOINS))
+            if b - a >= SHORTEST:
+                out += _judge(text, a, b, max_ratio, path)
     return out
 
 
+def _judge(text: str, a: int, b: int, max_ratio: float, path: str | None):
+    run = text[a:b]
+    if not is_identifier(run) and efficiency(run, path) <= max_ratio:
+        return [("random", a, b)]
+    if UUID.match(run):
+        return []
+    return [("random", *p.span()) for p in PART.finditer(text, a, b)
+            if p.span() != (a, b) and not is_identifier(p[0]) and efficiency(p[0], path) <= max_ratio]
+
+
 def find(text: str | None, max_ratio: float = MAX_RATIO, path: str | None = None):
     """(base spans, all spans), each sorted by start, then kind as listed."""
     if not text:
