@@ -70,3 +70,51 @@ def test_clean_documents_stay(spark):
     j = line_rules.judge(docs).join(labels, "doc_id").filter("not base_failed")
     assert j.filter("quality = 1 and not kept").count() == 0
     assert j.filter("quality = 0 and not kept").count() > 0
+
+
+def all_labellings(model, x, allowed=None):
+    """(score, labels) of every labelling of a short text."""
+    s = x @ model["emit"]
+    out = []
+    for n in range(2 ** len(x)):
+        y = [n >> i & 1 for i in range(len(x))]
+        if allowed is None or all(a < 0 or a == b for a, b in zip(allowed, y)):
+            out.append((sum(s[i, v] for i, v in enumerate(y)) + sum(model["trans"][a, b] for a, b in zip(y, y[1:])), y))
+    return out
+
+
+def test_viterbi_against_all_labellings():
+    rng = line_rules.np.random.default_rng(1)
+    for _ in range(60):
+        model = {"emit": rng.normal(size=(13, 2)), "trans": rng.normal(size=(2, 2))}
+        x = rng.random((rng.integers(1, 9), 13))
+        best = max(all_labellings(model, x))[0]
+        y = line_rules.decode(model, x)
+        assert abs(next(s for s, z in all_labellings(model, x) if z == y) - best) < 1e-9
+
+
+def test_training_climbs_the_likelihood_of_all_labellings():
+    """Forward-backward gradients, checked through the likelihood summed over all labellings of short texts."""
+    rng = line_rules.np.random.default_rng(2)
+    samples = []
+    for _ in range(12):
+        x = rng.random((int(rng.integers(1, 7)), 13))
+        samples.append((x, rng.integers(-1, 2, len(x))))
+    lse = line_rules.np.logaddexp.reduce
+
+    def likelihood(model):
+        return sum(lse([s for s, _ in all_labellings(model, x, y)]) - lse([s for s, _ in all_labellings(model, x)]) for x, y in samples)
+
+    levels = [likelihood(line_rules.train(samples, steps=n)) for n in (0, 5, 40)]
+    assert levels[0] < levels[1] < levels[2]
+
+
+def test_the_training_sample_has_long_texts_and_each_text_once(make_docs):
+    long = "\n".join(f"line {i} of a very long text that has many lines" for i in range(9000))
+    docs = make_docs([(1, "one line here", None, None, None)] * 500 + [(2, long, None, None, None), (3, None, None, None, None), (4, "", None, None, None)])
+    blocks = [len(r["block"]) // 104 for r in line_rules.training_blocks(docs, 10 ** 6).collect()]
+    assert sum(blocks) == 9001 and max(blocks) == line_rules.BLOCK_LINES and blocks.count(1) == 1
+    thinned = line_rules.training_blocks(docs, 10 ** 6, 2000).collect()
+    assert 1000 < sum(len(r["block"]) // 104 for r in thinned) < 3500
+    a, b = line_rules.fit(docs, 10 ** 6, 2000), line_rules.fit(docs.repartition(5), 10 ** 6, 2000)
+    assert (a["emit"] == b["emit"]).all() and (a["trans"] == b["trans"]).all()

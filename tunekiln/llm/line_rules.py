@@ -3,9 +3,9 @@
 Every line of a text is content or boilerplate. A two-state linear-chain CRF scores the label sequence
 from features of each line and from the transition between neighbours; Viterbi decoding gives the best
 sequence. The share of a text's word characters on content lines decides retention, after the base
-rules. The CRF is trained here, on a bounded sample of documents (``TRAIN_DOCS``, a parameter) whose
-lines get seed labels from plain rules; the chain then labels lines that the rules leave open by their
-neighbours. Scoring is row by row: nothing but the sample's texts leaves the executors.
+rules. The CRF is trained here, on a bounded sample of documents (``TRAIN_DOCS`` and
+``TRAIN_LINES``, parameters) of any length whose lines get seed labels from plain rules; the chain then labels lines that the rules leave open by their
+neighbours. Scoring is row by row: nothing but the features of the sample's lines leaves the executors.
 
 Defined cases: null, empty and blank texts have no words, fail the base rule and are not kept; an empty
 table gives an empty result (zero weights keep every line); repeated rows are judged alike; other columns
@@ -14,16 +14,19 @@ of the input are ignored, or passed through by ``keep_documents``.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import light_batches, per_text
+from .common import land, light_batches, per_text
 from .texts import BLANKS, SYMBOLS, duplicate_lines, repeated_words, without
 
 TRAIN_DOCS = 2000        # documents of the training sample
-TRAIN_CHARS = 20000      # longer texts are left out of the training sample (never out of scoring)
+TRAIN_LINES = 100_000    # lines of the training sample, about (13 numbers each reach the driver)
+BLOCK_LINES = 128        # lines of one training sequence at most
 MIN_CONTENT = 0.3        # least share of word characters on content lines
 MIN_WORDS = 10
 UPPERS, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
@@ -130,17 +133,41 @@ def decode(model: dict, x: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
-    """Train on about ``train_docs`` documents of at most TRAIN_CHARS characters, chosen by a hash of the id
-    (never more than four times as many, should one id stand in very many rows)."""
+def training_blocks(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> DataFrame:
+    """(block): line features of the training sample, BLOCK_LINES lines of a text in each row.
+
+    The sample is about ``train_docs`` documents with a text, chosen by a hash of it, whatever its length; equal
+    texts count once, so a text in very many rows adds no more than another. If the chosen texts have more than
+    ``train_lines`` lines, a hash of text and place chooses among their blocks. Features are those of the whole text."""
     text = F.col("text").cast("string")
     total = docs.count()
-    chance = F.pmod(F.xxhash64(F.lit(3), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    some = (docs.filter(chance < train_docs / max(1, total)).select(text.alias("text"))
-            .filter(F.char_length("text").between(1, TRAIN_CHARS)).limit(4 * train_docs))
+    chance = F.pmod(F.xxhash64(F.lit(3), text), F.lit(1 << 30)) / float(1 << 30)
+    some = docs.filter((F.length(text) > 0) & (chance < train_docs / max(1, total))).select(text.alias("text")).distinct()
+    some = land(some, "line-sample")
+    lines = some.agg(F.coalesce(F.sum(F.size(F.split("text", "\n"))), F.lit(0))).first()[0]
+    share = min(1.0, train_lines / max(1, lines))
+
+    def cut(batches):
+        for batch in batches:
+            for part in light_batches([batch], "text", 1 << 20):
+                out = []
+                for t in part.column("text").to_pylist():
+                    data = t.encode("utf-8", "replace")
+                    x = line_features(data.split(b"\n"))
+                    seed = zlib.crc32(data)
+                    for k in range(0, len(x), BLOCK_LINES):
+                        if zlib.crc32(k.to_bytes(8, "little"), seed) < share * 2 ** 32:
+                            out.append(x[k:k + BLOCK_LINES].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["block"])
+
+    return some.mapInArrow(cut, "block binary")
+
+
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> dict:
+    """Train on the seed labels of ``training_blocks``; the same rows give the same model."""
     samples = []
-    for t in sorted(row["text"] for row in some.toLocalIterator()):
-        x = line_features(t.encode("utf-8", "replace").split(b"\n"))
+    for block in sorted(bytes(r["block"]) for r in training_blocks(docs, train_docs, train_lines).toLocalIterator()):
+        x = np.frombuffer(block, dtype=np.float64).reshape(-1, len(FEATURES))
         samples.append((x, seed_labels(x)))
     return train(samples)
 
