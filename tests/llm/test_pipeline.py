@@ -38,3 +38,20 @@ def test_stages_against_brute_force(spark):
         assert ids == sorted(want), name
         kept[name], docs = len(ids), out
     assert decontaminate.WINDOW == 13 and list(kept) == [n for n, _ in corpus_pipeline.STAGES]
+
+
+def test_stages_on_edge_rows_and_an_empty_table(spark, make_docs, edge_rows):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns, and a table without rows."""
+    clean = [(100 + i, f"Document {i} holds {i * 7} plain words that no other document of this small table has in its place. "
+              + " ".join(f"word{i}x{k}" for k in range(40)) + ".", "en", "a", 1) for i in range(12)]
+    for rows in (edge_rows + clean, []):
+        docs = make_docs(rows)
+        for name, stage in corpus_pipeline.STAGES:
+            out = land(stage(spark, docs, SF001), "test-edge-stage")
+            if name != "token records":
+                assert out.columns == docs.columns
+                kept = {r["doc_id"] for r in out.select("doc_id").collect()}
+                assert not rows or name == "mix" or kept >= {r[0] for r in clean}
+            docs = out
+        starts = sorted((r["start"], r["n_tokens"]) for r in docs.collect())
+        assert [s for s, _ in starts] == [sum(n for _, n in starts[:i]) for i in range(len(starts))] and bool(starts) == bool(rows)
