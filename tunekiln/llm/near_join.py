@@ -49,7 +49,7 @@ PERCENT = 90
 BAND_STEPS = 3       # a band spans this many factors of 10/9 in size
 STAR_ROUNDS = 2
 TILE = 1000
-PAIRS = 200          # buckets of at most so many classes are compared by a self-join
+PAIRS = 30           # buckets of at most so many classes are compared by a self-join
 SPARE = 1.15         # blocks for each one that the pigeonhole needs
 HOT_SHARE = 100_000  # a bucket is hot if it holds more than this part of all rows, so at most so many are
 HOT_ROWS = 1_000     # and more than so many rows
