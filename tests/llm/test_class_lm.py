@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 from conftest import SF01
+from pyspark.sql import functions as F
 
 from tunekiln.llm import class_lm
 
@@ -20,6 +21,48 @@ def test_exchange_separates_two_alternating_groups():
     assert len(set(of[::2])) == 1 and len(set(of[1::2])) == 1 and of[0] != of[1]
 
 
+def test_move_out_of_the_start_class_raises_the_likelihood_most():
+    rng = np.random.default_rng(1)
+    side, other = class_lm.SIDE, class_lm.OTHER
+    seq = rng.integers(0, 60, 4000)
+    of = np.where(seq < 40, seq % class_lm.CLASSES, other)  # words 40 to 59 start in OTHER
+    n = np.zeros((side, side))
+    np.add.at(n, (of[:-1], of[1:]), 1)
+
+    def value(cls):
+        m = np.zeros((side, side))
+        np.add.at(m, (cls[:-1], cls[1:]), 1)
+        f = lambda a: (a * np.log(np.maximum(a, 1))).sum()
+        return f(m) - f(m.sum(axis=0)) - f(m.sum(axis=1))
+
+    for w in (41, 50, 59):
+        left, right = np.zeros((1, side)), np.zeros((1, side))
+        for a, b, ca, cb in zip(seq[:-1], seq[1:], of[:-1], of[1:]):
+            left[0, ca] += b == w != a
+            right[0, cb] += a == w != b
+        own = np.array([((seq[:-1] == w) & (seq[1:] == w)).sum()])
+        got = class_lm.best_class(n, left, right, own)[0]
+        values = [value(np.where(seq == w, k, of)) for k in range(class_lm.CLASSES)]
+        assert abs(values[got] - max(values)) < 1e-6
+
+
+def test_words_beyond_the_head_get_classes_by_their_neighbours(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(class_lm, "FLUSH", 20)
+    # x words stand where "x" does, y words where "y" does: both as rare, so that counts alone cannot tell them apart
+    texts = [f"a x{i} c a x c b y{i} d b y d" for i in range(60)]
+    docs = make_docs([(i, t, None, None, None) for i, t in enumerate(texts)])
+    classes = {w.encode(): k for k, w in enumerate("abcdxy")}
+    rows = class_lm._chunked(docs, F.lit(False))
+    near = class_lm._neighbours(rows, classes)
+    pairs = np.zeros(class_lm.SIDE ** 2)
+    for r in near.filter("word is null").collect():
+        pairs[r["pair"]] += r["n"]
+    assert pairs.sum() == sum(len(t.split()) + 1 for t in texts)
+    got = {bytes(r["word"]): r["class"] for r in class_lm._assign(near.filter("word is not null"), pairs.reshape(class_lm.SIDE, -1)).collect()}
+    assert set(got) == {f"{k}{i}".encode() for k in "xy" for i in range(60)}
+    assert {got[f"x{i}".encode()] for i in range(60)} == {4} and {got[f"y{i}".encode()] for i in range(60)} == {5}
+
+
 def check(rows, got, held):
     counts = Counter()
     for d, t in rows:

@@ -5,8 +5,11 @@ Tokens are the words of a text, A-Z lower-cased, and one end token. Words get cl
 - the ``HEAD`` most frequent words are clustered into ``CLASSES`` classes by the exchange algorithm, which moves
   each word to the class that raises the class bigram likelihood most, over and over. It needs their bigram
   counts alone, at most HEAD x HEAD numbers gathered from all training texts;
-- rarer words, whose counts are too small to move them reliably, form classes by frequency (the power of two of
-  their count); the end token is a class, and so are words that training never saw.
+- every other training word, however rare, then makes its move: all of them start in one class of their own, and each
+  goes from it to the class that raises the likelihood most, by its counts of neighbours in all training texts (the
+  class of a head word, the end, or another word of that start class). Words are dealt over the tasks with their
+  counts (``_neighbours``, ``_assign``);
+- the end token is a class, and so are words that training never saw.
 
 P(word | previous word) = P(class | previous class) x P(word | class), both with add-one smoothing. Transitions are
 counted with each training word left out of its own count (a word seen once counts as unseen, and so on), which is
@@ -30,6 +33,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +44,14 @@ CLASSES = 24
 ROUNDS = 4
 CHUNK_ROWS = 8000
 FLUSH = 200_000  # distinct words that a task holds before it sends their counts
+TOKENS = 1_000_000  # tokens that a task holds before it sends the neighbours of their words
 END = CLASSES
-BAND = CLASSES + 1
-UNSEEN = BAND + 48
+UNSEEN = CLASSES + 1
 ALL = UNSEEN + 1
+OTHER = CLASSES + 1  # while classes are learnt: the class in which words beyond the head start
+SIDE = CLASSES + 2   # classes that a neighbour can have then
+OWN = 2 * SIDE       # a word beside itself
+WORDS_AT_ONCE = 4000
 
 
 def split(text: str | None) -> list[bytes]:
@@ -93,8 +101,37 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     return of[:m]
 
 
-def band(count: int) -> int:
-    return BAND + min(47, count.bit_length() - 1)
+def best_class(n: np.ndarray, left: np.ndarray, right: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Class of each word that starts in class OTHER: the one with the best class bigram likelihood after its move.
+
+    ``n`` has the class bigrams of all words before any moves; ``left`` and ``right`` (words x classes) count a word's
+    neighbours before and behind it by class, without ``own``, the times that it stands beside itself."""
+    def xlogx(a):
+        return a * np.log(np.maximum(a, 1))
+
+    k = np.arange(CLASSES)
+    out = np.empty(len(own), dtype=np.int8)
+    for a in range(0, len(own), WORDS_AT_ONCE):
+        x, y, z = left[a:a + WORDS_AT_ONCE], right[a:a + WORDS_AT_ONCE], own[a:a + WORDS_AT_ONCE, None]
+        cell = n[k, k]
+        value = np.zeros((len(x), CLASSES))
+        for table, add, gone in ((n[:CLASSES].T, y, x), (n[:, :CLASSES], x, y)):
+            w, j = np.nonzero(add)
+            if not len(w):
+                continue
+            before = table[j]
+            before[j == OTHER] -= gone[w[j == OTHER], :CLASSES]  # the word has left OTHER
+            gain = xlogx(before + add[w, j][:, None]) - xlogx(before)
+            first = np.flatnonzero(np.diff(w, prepend=-1))
+            value[w[first]] += np.add.reduceat(gain, first)
+        # a class beside itself is in a row and a column, but one number
+        value += xlogx(cell + x[:, :CLASSES] + y[:, :CLASSES] + z) + xlogx(cell)
+        value -= xlogx(cell + y[:, :CLASSES]) + xlogx(cell + x[:, :CLASSES])
+        for total, more in ((n.sum(axis=1)[k], y), (n.sum(axis=0)[k], x)):
+            value -= xlogx(total + more.sum(axis=1, keepdims=True) + z) - xlogx(total)
+        value[:, n.sum(axis=0)[k] == 0] = -np.inf  # every word would see the same empty class as its own
+        out[a:a + WORDS_AT_ONCE] = value.argmax(axis=1)
+    return out
 
 
 def _chunked(docs: DataFrame, held_out) -> DataFrame:
@@ -164,10 +201,89 @@ def _head_bigrams(rows: DataFrame, head: list[bytes]) -> np.ndarray:
     return out.reshape(m, m)
 
 
+def _neighbours(rows: DataFrame, classes: dict[bytes, int]) -> DataFrame:
+    """(word, near): for each training word beyond the head, in part, how often its neighbours are of which class, as
+    4-byte numbers of kind (1 byte) and count. Rows without a word have the bigrams of classes: (pair, n), in part."""
+    schema = pa.schema([("word", pa.binary()), ("near", pa.binary()), ("pair", pa.int64()), ("n", pa.int64())])
+
+    def batch_of(**cols):
+        m = len(next(iter(cols.values())))
+        return pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(m, f.type)) for f in schema], schema=schema)
+
+    def count(batches):
+        def out(place, words, cls):
+            a, b = cls[:-1], cls[1:]
+            u, v = words[:-1], words[1:]
+            same = (u == v) & (u >= 0)
+            keys = np.concatenate([v * 64 + np.where(same, OWN, a), u * 64 + SIDE + b])
+            keys, times = np.unique(keys[np.concatenate([v >= 0, (u >= 0) & ~same])], return_counts=True)
+            near = ((keys & 63) << 24 | times).astype("<u4")
+            ends = np.searchsorted(keys >> 6, np.arange(len(place) + 1)) * 4
+            near = pa.BinaryArray.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(near)])
+            whole = batch_of(word=pa.array(list(place), pa.binary()), near=near)
+            yield from (whole.slice(i, 20_000) for i in range(0, len(place), 20_000))
+
+        pairs = np.zeros(SIDE * SIDE, dtype=np.int64)
+        place: dict[bytes, int] = {}
+        words, cls, size = [], [], 0
+        for batch in light_batches(batches, "text"):
+            w, c = [-1], [END]
+            for text in batch.column("text").to_pylist():
+                for x in split(text):
+                    k = classes.get(x, OTHER)
+                    c.append(k)
+                    w.append(place.setdefault(x, len(place)) if k == OTHER else -1)
+                c.append(END)
+                w.append(-1)
+            words.append(np.array(w, dtype=np.int64))
+            cls.append(np.array(c, dtype=np.int64))
+            size += len(w)
+            pairs += np.bincount(cls[-1][:-1] * SIDE + cls[-1][1:], minlength=len(pairs))
+            if len(place) > FLUSH or size > TOKENS:
+                yield from out(place, np.concatenate(words), np.concatenate(cls))
+                place, words, cls, size = {}, [], [], 0
+        if place:
+            yield from out(place, np.concatenate(words), np.concatenate(cls))
+        at = np.flatnonzero(pairs)
+        yield batch_of(pair=pa.array(at, pa.int64()), n=pa.array(pairs[at], pa.int64()))
+
+    return rows.filter("not held_out").select("text").mapInArrow(count, "word binary, near binary, pair bigint, n bigint")
+
+
+def _assign(near: DataFrame, n: np.ndarray) -> DataFrame:
+    """(word, class) of every word of ``near``: its counts are added up and it makes its move."""
+    def assign(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            # the last word may go on in the next batch
+            last = len(t) - 1
+            while last > 0 and t["word"][last - 1] == t["word"][last]:
+                last -= 1
+            held = t.slice(last)
+            if last:
+                yield moved(t.slice(0, last))
+        if held is not None and len(held):
+            yield moved(held)
+
+    def moved(t: pa.Table) -> pa.RecordBatch:
+        words = t["word"].combine_chunks().dictionary_encode()
+        per = pc.binary_length(t["near"]).to_numpy() // 4
+        at = np.repeat(words.indices.to_numpy().astype(np.int64), per)
+        near = np.frombuffer(b"".join(t["near"].to_pylist()), "<u4")
+        m = len(words.dictionary)
+        full = np.bincount(at * (OWN + 1) + (near >> 24), weights=near & 0xFFFFFF, minlength=m * (OWN + 1)).reshape(m, OWN + 1)
+        found = best_class(n, full[:, :SIDE], full[:, SIDE:OWN], full[:, OWN])
+        return pa.RecordBatch.from_arrays([words.dictionary, pa.array(found, pa.int8())], names=["word", "class"])
+
+    return near.repartition("word").sortWithinPartitions("word").mapInArrow(assign, "word binary, class byte")
+
+
 def score(docs: DataFrame, held_out=None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every row."""
     held_out = fold(F.col("doc_id"), 7) == 2 if held_out is None else held_out
-    rows = _chunked(docs, held_out)
+    spark, rows = docs.sparkSession, _chunked(docs, held_out)
     by_word = Window.partitionBy("word")
     parts = _words(rows).groupBy("chunk", "word").agg(F.sum("n").alias("n"))
     counts = land(parts.repartition("word").select("chunk", "word", "n", F.sum("n").over(by_word).alias("c"),
@@ -179,29 +295,25 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     head = {bytes(r["word"]): r["c"] for r in words.orderBy(F.desc("c"), "word").limit(HEAD).collect()}
     classes = dict(zip(head, exchange(_head_bigrams(rows, list(head))).tolist())) if head else {}
 
-    back = counts.filter("c > n").select("chunk", "word", "c")
+    # each chunk gets the totals and classes of its training words
+    near = land(_neighbours(rows, classes), "lm-neighbours")
+    found = near.filter("word is null").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    pairs = np.zeros(SIDE * SIDE)
+    pairs[found["pair"].to_numpy(dtype=np.int64)] = found["n"]
+    kinds = _assign(near.filter("word is not null").select("word", "near"), pairs.reshape(SIDE, SIDE))
+    if classes:
+        kinds = kinds.unionByName(spark.createDataFrame([(bytearray(w), k) for w, k in classes.items()], "word binary, class byte"))
+    known = land(counts.filter("c > 0").select("chunk", "word", "c", "lead").join(kinds, "word"), "lm-classes")
+    back = known.select("chunk", "word", "c", "class")
 
     def chunk_rows(left: pa.Table, right: pa.Table) -> pa.Table:
-        # the words of the chunk with their training counts in it; texts are split anew when they are scored
-        place: dict[bytes, int] = Counter()
-        for text, out_of in zip(left.column("text"), left.column("held_out").to_pylist()):
-            words_ = split(text.as_py())
-            place.update(dict.fromkeys(words_, 0) if out_of else words_)
-        c = np.fromiter(place.values(), dtype=np.int64, count=len(place))
-        for i, w in enumerate(place):  # from counts to places
-            place[w] = i
-        # a word without a total stands in this chunk only
-        for batch in right.select(["word", "c"]).to_batches(max_chunksize=20_000):
-            at = np.fromiter((place[w] for w in batch.column(0).to_pylist()), dtype=np.int64, count=batch.num_rows)
-            c[at] = batch.column(1).to_numpy()
-        kind = np.full(len(c), UNSEEN, dtype=np.uint8)
-        kind[c > 0] = BAND + np.minimum(47, np.log2(c[c > 0] + 0.5).astype(np.int64))
-        left_out = np.full(len(c), UNSEEN, dtype=np.uint8)
-        left_out[c > 1] = BAND + np.minimum(47, np.log2(c[c > 1] - 0.5).astype(np.int64))
-        for w, k in classes.items():
-            if w in place:
-                kind[place[w]] = k if c[place[w]] > 0 else UNSEEN
-                left_out[place[w]] = k if c[place[w]] > 1 else UNSEEN
+        # the training words of the chunk have a place each; place 0 is for words that training never saw
+        place: dict[bytes, int] = {}
+        for batch in right.select(["word"]).to_batches(max_chunksize=20_000):
+            place.update(zip(batch.column(0).to_pylist(), range(len(place) + 1, len(place) + 1 + batch.num_rows)))
+        c = np.concatenate([[0], right.column("c").to_numpy()]).astype(np.int64)
+        kind = np.concatenate([[UNSEEN], right.column("class").to_numpy()]).astype(np.uint8)
+        left_out = np.where(c > 1, kind, UNSEEN)
         logs = np.log10(c + 1.0)
         log_end, cols = math.log10(ends + 1), ([], [], [], [], [])
         moves = np.zeros(ALL * ALL, dtype=np.int64)
@@ -212,7 +324,7 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
 
         for text, out_of in zip(left.column("text"), left.column("held_out").to_pylist()):
             words_ = split(text.as_py())
-            at = np.fromiter((place[w] for w in words_), dtype=np.int64, count=len(words_))
+            at = np.fromiter((place.get(w, 0) for w in words_), dtype=np.int64, count=len(words_))
             if not out_of:
                 moves += np.bincount(bigrams(left_out[at]), minlength=len(moves))
             pair, times = np.unique(bigrams(kind[at]), return_counts=True)
@@ -242,17 +354,10 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     moves = np.zeros(ALL * ALL)
     moves[found["pair"].to_numpy(dtype=np.int64)] = found["n"]
     moves = moves.reshape(ALL, ALL)
-    # words and distinct words of each class, by powers of two for the rare ones
+    # words and distinct words of each class
     tokens, types = np.zeros(ALL), np.zeros(ALL)
-    power = F.least(F.length(F.bin("c")) - 1, F.lit(47))
-    for r in words.groupBy(power.alias("k")).agg(F.count(F.lit(1)).alias("t"), F.sum("c").alias("s")).collect():
-        types[BAND + r["k"]], tokens[BAND + r["k"]] = r["t"], r["s"]
-    for w, k in classes.items():
-        c = head[w]
-        types[band(c)] -= 1
-        tokens[band(c)] -= c
-        types[k] += 1
-        tokens[k] += c
+    for r in known.filter("lead").groupBy(F.col("class").alias("k")).agg(F.count(F.lit(1)).alias("t"), F.sum("c").alias("s")).collect():
+        types[r["k"]], tokens[r["k"]] = r["t"], r["s"]
     tokens[END], types[END] = ends, ends > 0
     turn = np.log10((moves + 1) / (moves.sum(axis=1, keepdims=True) + ALL))
     emit = np.log10(tokens + types + 1)
