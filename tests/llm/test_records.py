@@ -89,3 +89,14 @@ def test_small_shards(spark, make_docs, monkeypatch):
 
 def test_empty_table(spark, make_docs):
     assert records.write_and_describe(make_docs([]), spark).count() == 0
+
+
+def test_only_words_that_end_in_marks_are_searched_for_them(monkeypatch):
+    import pyarrow.compute as pc
+
+    enc, seen, plain = tokenizing.Encoder(), [], pc.replace_substring_regex
+    monkeypatch.setattr(pc, "replace_substring_regex", lambda a, *more, **names: seen.append(len(a)) or plain(a, *more, **names))
+    texts = [" ".join(f"word{i}" for i in range(200)) + " end. (x). .. a# été?!", "", "one two", "..."]
+    got = enc.encode(pa.array(texts))
+    assert [np.frombuffer(g, enc.dtype).tolist() for g in got] == [enc.lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(seen) < 10

@@ -156,10 +156,16 @@ class Encoder(Words):
         """A word follows a blank, or a line feed that it then starts with. Marks at its end, after a letter or
         digit, are encoded apart, as the library splits there; the rest of the words go to the library as the
         lines of one text, and the ids are cut at the line feeds again."""
-        core = pc.utf8_rtrim(words, characters=MARKS)
-        core = pc.if_else(pc.match_substring_regex(core, r"[\pL\pN]$"), core, words)
-        tails = pc.replace_substring_regex(words, f"(?s)^.*?([{re.escape(MARKS)}]*)$", r"\1")
-        tails = pc.if_else(pc.equal(core, words), pa.scalar("", words.type), tails).dictionary_encode()
+        core, tails = pc.utf8_rtrim(words, characters=MARKS), np.full(len(words), "", dtype=object)
+        # only words that end in a mark are looked at further
+        ends = pc.not_equal(pc.binary_length(core), pc.binary_length(words))
+        if pc.any(ends).as_py():
+            full, cut = words.filter(ends), core.filter(ends)
+            split = pc.match_substring_regex(cut, r"[\pL\pN]$")
+            core = pc.replace_with_mask(words, ends, pc.if_else(split, cut, full))
+            tail = pc.replace_substring_regex(full, f"(?s)^.*?([{re.escape(MARKS)}]*)$", r"\1")
+            tails[ends.to_numpy(zero_copy_only=False)] = pc.if_else(split, tail, pa.scalar("", words.type)).to_numpy(zero_copy_only=False)
+        tails = pa.array(tails, words.type).dictionary_encode()
         cores = core.dictionary_encode()
         ids, n = self._lines(cores.dictionary.to_pylist())
         marks, m = self.whole(tails.dictionary.to_pylist())
