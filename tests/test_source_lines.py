@@ -24,6 +24,19 @@ def test_digest_of_any_order(spark):
     assert "partial_" in plan and "Python" not in plan and "Sort" not in plan
 
 
+def test_digest_of_sorted_digests(spark, monkeypatch):
+    monkeypatch.setattr(lines, "PIECE", 100)  # pieces of three digests
+    rows = [("a", f"line {i % 7}") for i in range(40)] + [("a", "often")] * 25 + [("b", "one")] + [(None, "x"), (None, "y")]
+    df = spark.createDataFrame(rows, "slice string, raw string").repartition(5)
+    counts = df.groupBy("slice", F.md5("raw").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    got = {r["slice"]: r["m"] for r in lines.sorted_digest(counts, "slice", "k", "n", "m").collect()}
+    assert got == {s: hashlib.md5("".join(sorted(hashlib.md5(t.encode()).hexdigest() for k, t in rows if k == s)).encode()).hexdigest() for s in ("a", "b", None)}
+
+
+def test_jsonl_lines_have_the_sorted_digest(spark):
+    assert "lines_md5" in queries()["src_jsonl_lines"](spark, SF01).columns
+
+
 def test_slices_named_by_folders(spark, tmp_path):
     rows = [("a b", "1"), ("x+y%z", "2"), (None, "3"), ("é:/=", "4")]
     spark.createDataFrame(rows, "slice string, value string").write.partitionBy("slice").text(str(tmp_path / "t"))
