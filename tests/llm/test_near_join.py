@@ -162,3 +162,33 @@ def test_keep_one_by_rows_not_by_ids(make_docs):
     # a repeated id elsewhere changes nothing for them, and its different texts both stay
     assert kept(nameless + named + repeated) == sorted(want + [(5, text(3)), (5, text(4)), (7, text(5))], key=repr)
     assert kept(named + repeated[:2]) == sorted([(3, text(6)), (4, text(7)), (8, ""), (5, text(3)), (5, text(4))], key=repr)
+
+
+def test_small_lots_reach_the_workers(spark, make_docs):
+    """Rows go to the workers in batches of some MB, the join's texts in lots of LOT, and the words are given back."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from tunekiln.llm.common import per_text
+    from tunekiln.session import prepare
+
+    prepare(spark)
+    docs = make_docs([(i, f"t{i} " + "a word " * 1500, "en", "a", 1) for i in range(2000)], extra=False).coalesce(1)
+
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "b": [batch.nbytes]})
+
+    sent = docs.mapInArrow(size, "n bigint, b bigint").collect()
+    assert sum(r["n"] for r in sent) == 2000 and max(r["b"] for r in sent) < 5 << 20
+
+    def lots(texts):
+        near_join.shingle_set("some words")
+        return {"lot": [sum(map(len, texts))] * len(texts), "known": [len(near_join._HASH)] * len(texts)}
+
+    made = lambda: per_text(docs, [F.col("doc_id")], lots, "lot bigint, known bigint", max_bytes=near_join.LOT, done=near_join._rest)
+    rows = made().collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(2000)) and max(r["lot"] for r in rows) <= near_join.LOT
+    assert {r["known"] for r in rows} == {2}
+    near_join.shingle_set("other words here")
+    near_join._rest()
+    assert not near_join._HASH

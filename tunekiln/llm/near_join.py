@@ -55,7 +55,8 @@ HOT_SHARE = 100_000  # a bucket is hot if it holds more than this part of all ro
 HOT_ROWS = 1_000     # and more than so many rows
 SAMPLE, HOT = 64, 20 # a key of a thousand classes or more is very likely to stand so often in the sample
 SMALL_ROWS = 1_000_000  # key tables of at most so many rows are broadcast, larger ones are shuffled
-MEMO = 150_000
+MEMO = 50_000        # remembered words of a task
+LOT = 1 << 20        # bytes of text or of sets that a task turns into Python's values at once
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -71,6 +72,12 @@ class _WordHash(dict):
 _HASH = _WordHash()
 
 
+def _rest() -> None:
+    """Give memory back at the end of a task: the worker goes on with other work, beside the next stage's joins."""
+    _HASH.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ h >> np.uint64(31)) * np.uint64(0x7FB5D329728EA185)
     h = (h ^ h >> np.uint64(27)) * np.uint64(0x81DADEF4BC2DD44D)
@@ -194,7 +201,7 @@ class Join:
     def __init__(self, docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE):
         self.docs, self.percent, self.size = docs, percent, size
         self.rows = land(per_text(docs, [F.col("doc_id").cast("bigint").alias("doc_id")],
-                                  lambda texts: _columns([describe(t, percent, size) for t in texts]), SETS), "near-sets")
+                                  lambda texts: _columns([describe(t, percent, size) for t in texts]), SETS, max_bytes=LOT, done=_rest), "near-sets")
         self.classes = land(self.rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "near-classes")
         reps = land(self.classes.filter("node is not null").select("node").distinct(), "near-nodes")
         self.nodes = _with_keys(self.rows.filter("n > 0").withColumnRenamed("doc_id", "node"), reps, "node").drop("s1", "s2")
@@ -234,14 +241,14 @@ class Join:
         some = land(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-some")
         percent, size = self.percent, self.size
         texts = _with_keys(self.docs.select(F.col("doc_id").cast("bigint").alias("node"), "text"), some, "node")
-        sets = per_text(texts, [F.col("node")], lambda ts: {"s": [shingle_set(t, size).tobytes() for t in ts]}, "s binary")
+        sets = per_text(texts, [F.col("node")], lambda ts: {"s": [shingle_set(t, size).tobytes() for t in ts]}, "s binary", max_bytes=LOT, done=_rest)
         sets = land(sets.filter(F.length("s") > 0).distinct(), "near-verify")
         j = (pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
              .join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b"))
 
         def test(batches):
             for batch in batches:
-                for part in light_batches([batch], "x"):
+                for part in light_batches([batch], "x", LOT):
                     a, b = part.column("x").to_pylist(), part.column("y").to_pylist()
                     good = [linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(a, b)]
                     yield part.select(["a", "b"]).filter(pa.array(good, type=pa.bool_()))
