@@ -108,3 +108,48 @@ def test_edges(make_docs, edge_rows):
     none = class_lm.score(docs, held_out=F.lit(True)).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 for r in none)
     assert class_lm.score(make_docs([])).count() == 0
+
+
+def test_neighbours_have_one_row_for_each_word(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(class_lm, "FLUSH", 3)
+    monkeypatch.setattr(class_lm, "MOST", 20)  # larger counts take several numbers
+    docs = make_docs([(i, "a rare rare b", None, None, None) for i in range(70)] + [(100 + i, f"a once{i} b", None, None, None) for i in range(30)]).repartition(5)
+    near = class_lm._neighbours(class_lm._chunked(docs, F.lit(False)), {b"a": 0, b"b": 1})
+
+    def total(rows):
+        out = Counter()
+        for r in rows:
+            for x in np.frombuffer(r["near"], "<u4").tolist():
+                out[bytes(r["word"]), x >> 24] += x & 0xFFFFFF
+        return out
+
+    before, after = near.collect(), class_lm._gather(near).collect()
+    assert len([r for r in before if r["word"] == b"rare"]) > 1
+    words = [bytes(r["word"]) for r in after if r["word"] is not None]
+    assert len(words) == len(set(words)) == 31
+    assert total(r for r in after if r["word"]) == total(r for r in before if r["word"])
+    assert total(r for r in after if r["word"])[b"rare", 0] == 70
+    assert max(x & 0xFFFFFF for r in after if r["word"] for x in np.frombuffer(r["near"], "<u4").tolist()) == 20
+    key = lambda r: (r["pair"], r["n"])
+    assert sorted(key(r) for r in after if r["word"] is None) == sorted(key(r) for r in before if r["word"] is None)
+
+
+def test_scratch_tables_go_when_the_next_is_written(spark, make_docs, monkeypatch):
+    import os
+
+    from tunekiln import session
+    base, written = session.checkpoint_dir(spark).removeprefix("file:"), []
+
+    def land(df, name):
+        out = session.land(df, name)
+        written.append((name, out, sorted(f.rsplit("-", 1)[0] for f in os.listdir(base) if f not in there), df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")))
+        return out
+
+    there = set(os.listdir(base))
+    monkeypatch.setattr(class_lm, "land", land)
+    got = class_lm.score(make_docs([(i, f"the cat w{i} sat on m{i % 7}", None, None, None) for i in range(200)]))
+    assert got.count() == 200
+    assert [w[0] for w in written] == ["lm-words", "lm-neighbours", "lm-classes", "lm-documents"]
+    assert written[0][3] == 1  # one shuffle for the sums by chunk and word and for the totals by word
+    assert written[3][2] == ["tunekiln-lm-classes", "tunekiln-lm-documents"]
+    assert sorted(f.rsplit("-", 1)[0] for f in os.listdir(base) if f not in there) == ["tunekiln-lm-documents"]

@@ -8,7 +8,7 @@ Tokens are the words of a text, A-Z lower-cased, and one end token. Words get cl
 - every other training word, however rare, then makes its move: all of them start in one class of their own, and each
   goes from it to the class that raises the likelihood most, by its counts of neighbours in all training texts (the
   class of a head word, the end, or another word of that start class). Words are dealt over the tasks with their
-  counts (``_neighbours``, ``_assign``);
+  counts, which are added up there (``_neighbours``, ``_gather``, ``_assign``);
 - the end token is a class, and so are words that training never saw.
 
 P(word | previous word) = P(class | previous class) x P(word | class), both with add-one smoothing. Transitions are
@@ -16,10 +16,11 @@ counted with each training word left out of its own count (a word seen once coun
 how such words will look in other texts. Every count covers all training texts.
 
 Word counts grow with the corpus and are never broadcast. Texts are dealt into chunks by ranges of ids; a chunk
-sends its distinct words with counts (pre-aggregated), a window over each word adds them up, and words that stand
-in several chunks get their total sent back; a word of one chunk is known there already. Chunk and counts meet in
-a co-group of bounded size (``CHUNK_ROWS`` documents), which leaves for each document its counts by class bigram.
-Transition and emission totals, of a size fixed by the number of classes, then turn these into scores.
+sends its distinct words with counts (pre-aggregated) to the tasks of the words, where a window over each word adds
+them up, and gets the totals of its training words sent back. Chunk and counts meet in a co-group of bounded size
+(``CHUNK_ROWS`` documents), which leaves for each document its counts by class bigram. Transition and emission
+totals, of a size fixed by the number of classes, then turn these into scores. Scratch tables and shuffle files go
+as soon as the next table is written, so that disk holds two steps at most.
 
 Defined cases: null texts are empty, and empty texts are the end token alone; null ids belong to the training
 fold and the first chunk; without training texts all counts are 0; repeated rows count each for itself; an empty
@@ -37,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, land, light_batches
+from .common import discard, fold, free_shuffles, land, light_batches
 
 HEAD = 500
 CLASSES = 24
@@ -52,6 +53,7 @@ OTHER = CLASSES + 1  # while classes are learnt: the class in which words beyond
 SIDE = CLASSES + 2   # classes that a neighbour can have then
 OWN = 2 * SIDE       # a word beside itself
 WORDS_AT_ONCE = 4000
+MOST = 0xFFFFFF  # largest count in a 4-byte number of ``near``
 
 
 def split(text: str | None) -> list[bytes]:
@@ -250,34 +252,66 @@ def _neighbours(rows: DataFrame, classes: dict[bytes, int]) -> DataFrame:
     return rows.filter("not held_out").select("text").mapInArrow(count, "word binary, near binary, pair bigint, n bigint")
 
 
-def _assign(near: DataFrame, n: np.ndarray) -> DataFrame:
-    """(word, class) of every word of ``near``: its counts are added up and it makes its move."""
-    def assign(batches):
+def _gather(near: DataFrame) -> DataFrame:
+    """``near`` with one row for each word: its counts are added up. Rows without a word stay as they are."""
+    def gather(batches):
         held = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
+            bare = pc.is_null(t["word"])
+            if pc.any(bare).as_py():
+                yield from t.filter(bare).to_batches()
+                t = t.filter(pc.invert(bare))
             t = t if held is None else pa.concat_tables([held, t])
+            if not len(t):
+                continue
             # the last word may go on in the next batch
             last = len(t) - 1
             while last > 0 and t["word"][last - 1] == t["word"][last]:
                 last -= 1
             held = t.slice(last)
             if last:
-                yield moved(t.slice(0, last))
-        if held is not None and len(held):
-            yield moved(held)
+                yield added(t.slice(0, last))
+        if held is not None:
+            yield added(held)
+
+    def added(t: pa.Table) -> pa.RecordBatch:
+        words, full = _unpacked(t)
+        m = len(words)
+        at, kind = np.nonzero(full)
+        times = full[at, kind].astype(np.int64)
+        # a count that is too large for one number takes several
+        lots = -(-times // MOST)
+        at, kind, part = np.repeat(at, lots), np.repeat(kind, lots), np.full(lots.sum(), MOST)
+        part[np.cumsum(lots) - 1] = times - MOST * (lots - 1)
+        ends = np.searchsorted(at, np.arange(m + 1)) * 4
+        found = pa.BinaryArray.from_buffers(pa.binary(), m, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer((kind << 24 | part).astype("<u4"))])
+        return pa.RecordBatch.from_arrays([words, found, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=["word", "near", "pair", "n"])
+
+    return near.repartition("word").sortWithinPartitions("word").mapInArrow(gather, "word binary, near binary, pair bigint, n bigint")
+
+
+def _unpacked(t: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """Distinct words of rows (word, near), and their counts by kind."""
+    words = t["word"].combine_chunks().dictionary_encode()
+    per = pc.binary_length(t["near"]).to_numpy() // 4
+    at = np.repeat(words.indices.to_numpy().astype(np.int64), per)
+    near = np.frombuffer(b"".join(t["near"].to_pylist()), "<u4")
+    m = len(words.dictionary)
+    return words.dictionary, np.bincount(at * (OWN + 1) + (near >> 24), weights=near & 0xFFFFFF, minlength=m * (OWN + 1)).reshape(m, OWN + 1)
+
 
-    def moved(t: pa.Table) -> pa.RecordBatch:
-        words = t["word"].combine_chunks().dictionary_encode()
-        per = pc.binary_length(t["near"]).to_numpy() // 4
-        at = np.repeat(words.indices.to_numpy().astype(np.int64), per)
-        near = np.frombuffer(b"".join(t["near"].to_pylist()), "<u4")
-        m = len(words.dictionary)
-        full = np.bincount(at * (OWN + 1) + (near >> 24), weights=near & 0xFFFFFF, minlength=m * (OWN + 1)).reshape(m, OWN + 1)
-        found = best_class(n, full[:, :SIDE], full[:, SIDE:OWN], full[:, OWN])
-        return pa.RecordBatch.from_arrays([words.dictionary, pa.array(found, pa.int8())], names=["word", "class"])
+def _assign(near: DataFrame, n: np.ndarray) -> DataFrame:
+    """(word, class) of every word of ``near``, which has one row for each: it makes its move."""
+    def assign(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, full = _unpacked(pa.Table.from_batches([batch]))
+            found = best_class(n, full[:, :SIDE], full[:, SIDE:OWN], full[:, OWN])
+            yield pa.RecordBatch.from_arrays([words, pa.array(found, pa.int8())], names=["word", "class"])
 
-    return near.repartition("word").sortWithinPartitions("word").mapInArrow(assign, "word binary, class byte")
+    return near.select("word", "near").mapInArrow(assign, "word binary, class byte")
 
 
 def score(docs: DataFrame, held_out=None) -> DataFrame:
@@ -285,10 +319,12 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     held_out = fold(F.col("doc_id"), 7) == 2 if held_out is None else held_out
     spark, rows = docs.sparkSession, _chunked(docs, held_out)
     by_word = Window.partitionBy("word")
-    parts = _words(rows).groupBy("chunk", "word").agg(F.sum("n").alias("n"))
-    counts = land(parts.repartition("word").select("chunk", "word", "n", F.sum("n").over(by_word).alias("c"),
-                  (F.min("chunk").over(by_word) == F.col("chunk")).alias("lead")), "lm-words")
-    words = counts.filter("lead and c > 0").select("word", "c")
+    # dealt by word before they are added up by chunk and word: one shuffle does for the window too
+    parts = _words(rows).repartition("word").groupBy("chunk", "word").agg(F.sum("n").alias("n"))
+    counts = land(parts.select("chunk", "word", F.sum("n").over(by_word).alias("c"),
+                  (F.min("chunk").over(by_word) == F.col("chunk")).alias("lead")).filter("c > 0"), "lm-words")
+    free_shuffles(rows)
+    words = counts.filter("lead").select("word", "c")
     ends = rows.filter("not held_out").count()
     totals = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
@@ -296,14 +332,17 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     classes = dict(zip(head, exchange(_head_bigrams(rows, list(head))).tolist())) if head else {}
 
     # each chunk gets the totals and classes of its training words
-    near = land(_neighbours(rows, classes), "lm-neighbours")
+    near = land(_gather(_neighbours(rows, classes)), "lm-neighbours")
+    free_shuffles(rows)
     found = near.filter("word is null").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     pairs = np.zeros(SIDE * SIDE)
     pairs[found["pair"].to_numpy(dtype=np.int64)] = found["n"]
-    kinds = _assign(near.filter("word is not null").select("word", "near"), pairs.reshape(SIDE, SIDE))
+    kinds = _assign(near.filter("word is not null"), pairs.reshape(SIDE, SIDE))
     if classes:
         kinds = kinds.unionByName(spark.createDataFrame([(bytearray(w), k) for w, k in classes.items()], "word binary, class byte"))
-    known = land(counts.filter("c > 0").select("chunk", "word", "c", "lead").join(kinds, "word"), "lm-classes")
+    known = land(counts.join(kinds, "word"), "lm-classes")
+    discard(counts, near)
+    free_shuffles(rows)
     back = known.select("chunk", "word", "c", "class")
 
     def chunk_rows(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -340,7 +379,10 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
         return pa.Table.from_arrays([*ids, *made], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "pairs", "times"])
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, pairs binary, times binary"
+    sizes = known.filter("lead").groupBy(F.col("class").alias("k")).agg(F.count(F.lit(1)).alias("t"), F.sum("c").alias("s")).collect()
     seen = land(rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(chunk_rows, schema), "lm-documents")
+    discard(known)
+    free_shuffles(rows)
 
     def add_up(batches):
         held = np.zeros(ALL * ALL, dtype=np.int64)
@@ -356,7 +398,7 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     moves = moves.reshape(ALL, ALL)
     # words and distinct words of each class
     tokens, types = np.zeros(ALL), np.zeros(ALL)
-    for r in known.filter("lead").groupBy(F.col("class").alias("k")).agg(F.count(F.lit(1)).alias("t"), F.sum("c").alias("s")).collect():
+    for r in sizes:
         types[r["k"]], tokens[r["k"]] = r["t"], r["s"]
     tokens[END], types[END] = ends, ends > 0
     turn = np.log10((moves + 1) / (moves.sum(axis=1, keepdims=True) + ALL))
