@@ -1,8 +1,25 @@
+import contextlib
+
+import duckdb
 import pytest
 
 CLASHING = ("kept", "size", "score", "node", "n", "words", "term", "copies", "component_id", "_text", "_h", "chunk", "target", "start")
 
 
+@pytest.fixture(autouse=True)
+def arrow_lambdas(monkeypatch):
+    """DuckDB 2 refuses the lambdas ``x -> y`` of op11's SQL unless this setting, which versions before 1.3 lack, is made."""
+    connect = duckdb.connect
+
+    def with_arrows(*args, **kwargs):
+        con = connect(*args, **kwargs)
+        with contextlib.suppress(duckdb.CatalogException):
+            con.execute("SET lambda_syntax = 'ENABLE_SINGLE_ARROW'")
+        return con
+
+    monkeypatch.setattr(duckdb, "connect", with_arrows)
+
+
 @pytest.fixture(scope="session")
 def make_docs(spark):
     """(doc_id, text, lang, source, n_chars) rows to a documents table with extra columns of clashing names."""

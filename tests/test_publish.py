@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tunekiln.sources.publish import POINTER, current, publish, read_published
+from tunekiln.sources.publish import POINTER, current, publish, read_published, replace
 
 
 def test_a_failed_job_leaves_the_earlier_output(spark, tmp_path):
@@ -38,3 +38,13 @@ def test_partitions_and_empty_results(spark, tmp_path):
     assert any(f.endswith("split=test") for f, _, _ in os.walk(path))
     publish(spark.range(0).toDF("a"), path + "2", "parquet")
     assert read_published(spark, path + "2", "parquet", "a bigint").count() == 0
+
+
+def test_replace_leaves_a_plain_folder(spark, tmp_path):
+    path = str(tmp_path / "train")
+    bad = spark.range(0, 100, 1, 4).select(F.when(F.col("id") == 90, F.raise_error(F.lit("a task fails"))).otherwise(F.col("id")).cast("bigint").alias("id"))
+    for n in (10, 4):
+        replace(spark.range(n).withColumn("split", F.col("id") % 2), path, "parquet", ["split"])
+        with pytest.raises(Exception, match="a task fails"):
+            replace(bad, path)
+        assert spark.read.parquet(path).count() == n and os.listdir(tmp_path) == ["train"]

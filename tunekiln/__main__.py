@@ -27,8 +27,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from . import api
     from .session import get_session, prepare, scratch
-    from .sources.publish import publish
-    from .sources.sinks import write_train
+    from .sources.publish import publish, replace
     spark = get_session(a.master) if a.master else prepare(SparkSession.builder.getOrCreate())
     if a.command == "prepare" and not a.out:
         p.error("prepare needs --out")
@@ -44,7 +43,7 @@ def main(argv: list[str] | None = None) -> int:
             out = api.plan(samples, task=a.task, model=a.model, gpu_gb=a.gpu)
         else:
             rows = api.training_text(samples)
-            write_train(rows, a.out)
+            replace(rows, a.out, "parquet", ["split"])  # plain Parquet, which any reader finds
             out = rows.groupBy("slice", "split").count()
         if a.out and a.command in ("validate", "analyze", "plan"):
             publish(out, a.out)

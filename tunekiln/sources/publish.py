@@ -72,6 +72,28 @@ def _point(jvm, conf, root, fs, name: str) -> None:
     where.rename(fs.makeQualified(temp), fs.makeQualified(hadoop.Path(root, POINTER)), how)
 
 
+def replace(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
+    """Write ``df`` beside ``path`` and put it in the place of that folder, for readers that know no pointer.
+
+    A job that fails leaves ``path`` as it was. Two renames put the new folder there; between them there is none."""
+    spark, tag = df.sparkSession, uuid.uuid4().hex[:12]
+    jvm, conf, root, fs = _files(spark, path.rstrip("/"))
+    new, old = (jvm.org.apache.hadoop.fs.Path(root.getParent(), f".{root.getName()}-{k}-{tag}") for k in ("new", "old"))
+    try:
+        df.write.format(fmt).mode("errorifexists").partitionBy(*(partition_by or [])).save(new.toString())
+        there = fs.exists(root)
+        if there and not fs.rename(root, old):
+            raise OSError(f"cannot move {path} aside")
+        if not fs.rename(new, root):
+            if there:
+                fs.rename(old, root)
+            raise OSError(f"cannot put the new folder at {path}")
+    except Exception:
+        fs.delete(new, True)
+        raise
+    fs.delete(old, True)
+
+
 def read_published(spark: SparkSession, path: str, fmt: str = "json", schema: str | None = None) -> DataFrame:
     """The published version of ``path``."""
     folder = current(spark, path)
